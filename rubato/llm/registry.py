@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_mixing": mixing.op4_mixing,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {**mixing.ORACLE_SQL}
