@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding, simhash
+from . import mixing, quality_classifier, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
 }
 
