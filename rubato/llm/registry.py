@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_classifier, quality_rules, sharding, simhash
+from . import byte_bpe, mixing, quality_classifier, quality_rules, sharding, simhash, winnowing
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_mixing": mixing.op4_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_winnowing": winnowing.op7_winnowing,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
 }
