@@ -327,7 +327,7 @@ def decoded_digests(encoded: DataFrame, path: str | None = None, keep: tuple[str
             )
 
     schema = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep)
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

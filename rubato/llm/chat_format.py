@@ -6,7 +6,7 @@ which only that reply is trainable.  A turn is written as::
     ### role: text</turn>
 
 Inside roles and texts a backslash is doubled, ``### `` becomes ``#\\## `` and
-``</turn>`` becomes ``<\\/turn>``; in roles ``:`` becomes ``\\:`` as well.  So a
+``</turn>`` becomes ``<\\/turn>``; in roles ``: `` becomes ``:\\ `` as well.  So a
 control string never occurs inside a turn, a plain split finds the turns, and
 dropping each escaping backslash gives the text back.
 """
@@ -31,7 +31,7 @@ def escape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit(":"), F.lit("\\:"))
+    return F.replace(escape(role), F.lit(COLON), F.lit(":\\ "))
 
 
 def unescape(text: Column) -> Column:
@@ -126,22 +126,22 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     esc = r"replace(replace(replace({}, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>')"
     return rf"""
-WITH rows AS (
+WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '{PROBE_TEXT}'), (-7, 1, 'assistant', '{PROBE_TEXT}')
 ), turns AS (
-  SELECT *, length({esc.format("text")}) + length(replace({esc.format("role")}, ':', '\:')) + {len(HEAD + COLON + END)} AS chars,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at,
+  SELECT *, length({esc.format("text")}) + length(replace({esc.format("role")}, ': ', ':\ ')) + {len(HEAD + COLON + END)} AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
          count(*) OVER (PARTITION BY conv_id) AS n
-  FROM rows
+  FROM said
 ), upto AS (
-  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS prefix FROM turns
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       (sum(prefix) FILTER (role = 'assistant' OR at = n))::BIGINT AS formatted_chars
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(prefix) FILTER (role = 'assistant' OR pos = n))::BIGINT AS formatted_chars
 FROM upto GROUP BY conv_id
 """
 

@@ -16,7 +16,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,15 @@ from .page_templates import training_pages
 
 PATH_BUCKETS, WORD_BUCKETS = 1 << 11, 1 << 12
 PATH_VECTOR, WORD_VECTOR, HIDDEN, N_STATS = 12, 8, 16, 9
-TRAINING_PAGES, EPOCHS, BATCH, RATE, SEED = 900, 8, 32, 0.01, 11
+TRAINING_PAGES, EPOCHS, BATCH, RATE, SEED = 800, 7, 32, 0.01, 11
 #: Open elements that are followed; deeper ones are read as part of the deepest.
 DEPTH = 200
 #: Pages read together, and padded blocks that the network sees at once; bounds of memory.
 GROUP_PAGES, GROUP_BLOCKS = 128, 1 << 15
 
+#: Text and the markup after it: a comment, a tag, a tag with odd quotes, a declaration, or a lone "<" or the end.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]{0,4096}"|'[^']{0,4096}'|[^"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""",
+    r"""([^<]*)(?:<(/?)([a-zA-Z][^\s/>]*)(?:>|((?:"[^"]{0,4096}"|'[^']{0,4096}'|[^"'>])*)>)|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(<)|\Z)""",
     re.S,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -45,13 +47,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open element of this kind ends where one of its family begins.
 FAMILY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Characters that end a sentence.
+ENDS = frozenset(".!?…\"”")
 CLOSERS = {name: re.compile(rf"</{name}", re.I) for name in HIDDEN_TAGS}
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
-    path: list[int]
+    path: tuple[int, ...]
     link_chars: int
     depth: int
 
@@ -60,110 +64,107 @@ def bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % PATH_BUCKETS
 
 
-@cache
+@lru_cache(4096)
 def tag_buckets(tag: str) -> tuple[int, ...]:
     return (bucket(f"<{tag}"),)
 
 
+@lru_cache(4096)
 def element_buckets(tag: str, attrs: str) -> tuple[int, ...]:
     """Hashes of an element's name and of the words of its class, id and role."""
-    if "=" not in attrs:
-        return tag_buckets(tag) if len(tag) < 16 else (bucket(f"<{tag}"),)
     words = {w.lower() for m in NAMED.finditer(attrs) for w in NAME_WORD.findall(m[1])}
-    return (bucket(f"<{tag}"), *(bucket(f".{w}") for w in sorted(words)))
+    return (bucket(f"<{tag[:16]}"), *(bucket(f".{w}") for w in sorted(words)))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, white space made single, references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, tuple[int, ...]]] = []  # open elements, each with the path to it
     parts: list[str] = []
-    links = 0
-    link_chars = 0
+    links = link_chars = 0
 
     def flush() -> None:
         nonlocal link_chars
-        if parts:
-            joined = "".join(parts)
-            text = " ".join((html.unescape(joined) if "&" in joined else joined).split())
-            if text:
-                block_tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                path = [b for _, own in stack for b in own]
-                out.append(Block(text, [*path, bucket(f"leaf {block_tag}")], link_chars, len(stack)))
-            parts.clear()
+        joined = "".join(parts)
+        parts.clear()
+        text = " ".join((html.unescape(joined) if "&" in joined else joined).split())
+        if text:
+            block_tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
+            out.append(Block(text, (stack[-1][1] if stack else ()) + tag_buckets("leaf " + block_tag[:16]), link_chars, len(stack)))
         link_chars = 0
 
     def close(tags: tuple[str, ...]) -> None:
         """End the innermost block-level element if it is one of ``tags``."""
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
+            name = stack[i][0]
+            if name in tags:
                 del stack[i:]
                 return
-            if stack[i][0] not in INLINE:
+            if name not in INLINE:
+                return
+
+    def end_tag(tag: str, within: bool) -> None:
+        """Close ``tag``; an inline element only within its block, and alone."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == tag:
+                del stack[i : i + 1 if within else len(stack)]
+                return
+            if within and stack[i][0] not in INLINE:
                 return
 
     at, end = 0, len(page)
+    match = TOKEN.match
     while at < end:
-        m = TOKEN.match(page, at)
+        m = match(page, at)
         at = m.end()
-        tag = m[2] or m[5]
+        text, shut, tag, attrs, odd_shut, odd_tag, odd_attrs, lone = m.groups()
+        if text:
+            parts.append(text)
+            if links:
+                link_chars += len(text)
         if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                parts.append(text)
-                if links:
-                    link_chars += len(text)
-            continue
+            if lone:
+                parts.append(lone)
+            if odd_tag is None:
+                continue
+            shut, tag, attrs = odd_shut, odd_tag, odd_attrs
         tag = tag.lower()
-        if tag in INLINE and tag not in VOID and (m[1] or m[4]):
-            if tag == "a":
-                links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-            continue
-        if m[1] or m[4]:
-            flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            links = 0
+        inline = tag in INLINE
+        if shut:
+            if inline:
+                if tag == "a" and links:
+                    links -= 1
+                end_tag(tag, True)
+            else:
+                if parts:
+                    flush()
+                end_tag(tag, False)
+                links = 0
             continue
         if tag in HIDDEN_TAGS:
             found = CLOSERS[tag].search(page, at)
-            at = found.end() if found else end
-            close_at = page.find(">", at)
-            at = close_at + 1 if found and close_at >= 0 else end
+            close_at = page.find(">", found.end()) if found else -1
+            at = close_at + 1 if close_at >= 0 else end
             continue
-        attrs = m[3] if m[2] else m[6]
-        if tag in INLINE:
-            if tag in ("br", "wbr", "img"):
-                parts.append(" " if tag != "wbr" else "")
+        if inline:
+            if tag in VOID:
+                if tag != "wbr":
+                    parts.append(" ")
                 continue
             if tag == "a":
                 links += 1
         else:
-            flush()
+            if parts:
+                flush()
             links = 0
-            close(FAMILY.get(tag, ()) or ("p",))
-        if tag not in VOID and not attrs.endswith("/") and len(stack) < DEPTH:
-            stack.append((tag, element_buckets(tag, attrs)))
+            close(FAMILY.get(tag, ("p",)))
+        if tag not in VOID and len(stack) < DEPTH and not (attrs and attrs[-1] == "/"):
+            own = element_buckets(tag, attrs) if attrs and "=" in attrs else tag_buckets(tag[:16])
+            stack.append((tag, stack[-1][1] + own if stack else own))
     flush()
     return out
 
 
-def block_stats(b: Block, n_words: int, at: int, n: int) -> tuple[float, ...]:
-    chars = len(b.text)
-    return (
-        np.log1p(chars) / 7, np.log1p(n_words) / 5, min(1.0, b.link_chars / chars), float(b.text[-1] in ".!?…\"”"), min(1.0, b.text.count(",") / n_words),
-        float("©" in b.text), at / n, np.log1p(n) / 5, min(1.0, b.depth / 10),
-    )
-
-
 @dataclass
 class Pages:
     """The blocks of several pages, laid end to end."""
@@ -177,23 +178,22 @@ class Pages:
 
     @classmethod
     def of(cls, pages: list[list[Block]]) -> Pages:
-        paths: list[int] = []
-        words: list[int] = []
-        path_starts, word_starts, stats = [], [], []
-        crc = zlib.crc32
-        for blocks in pages:
-            for i, b in enumerate(blocks):
-                own = b.text.lower().encode().split()
-                path_starts.append(len(paths))
-                word_starts.append(len(words))
-                paths += b.path
-                words += map(crc, own)
-                stats.append(block_stats(b, max(1, len(own)), i, len(blocks)))
+        blocks = [b for p in pages for b in p]
+        split = [b.text.lower().encode().split() for b in blocks]
         ints = lambda x: np.array(x, np.int64)
-        return cls(
-            ints([len(p) for p in pages]), ints(paths), ints(path_starts), ints(words) % WORD_BUCKETS, ints(word_starts),
-            np.array(stats, np.float64).reshape(-1, N_STATS),
-        )
+        starts = lambda sizes: np.cumsum(sizes) - sizes
+        n_words, n_path = ints([len(w) for w in split]), ints([len(b.path) for b in blocks])
+        lengths = ints([len(p) for p in pages])
+        chars, counts = ints([len(b.text) for b in blocks]), np.repeat(lengths, lengths)
+        at = np.arange(len(blocks)) - np.repeat(starts(lengths), lengths)
+        stats = [
+            np.log1p(chars) / 7, np.log1p(n_words) / 5, np.minimum(1, ints([b.link_chars for b in blocks]) / np.maximum(chars, 1)),
+            np.array([b.text[-1] in ENDS for b in blocks], float), np.minimum(1, ints([b.text.count(",") for b in blocks]) / np.maximum(n_words, 1)),
+            np.array(["©" in b.text for b in blocks], float), at / np.maximum(counts, 1), np.log1p(counts) / 5, np.minimum(1, ints([b.depth for b in blocks]) / 10),
+        ]
+        words = np.fromiter(map(zlib.crc32, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        paths = np.fromiter(chain.from_iterable(b.path for b in blocks), np.int64, int(n_path.sum()))
+        return cls(lengths, paths, starts(n_path), words % WORD_BUCKETS, starts(n_words), np.stack(stats, axis=1))
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """(time, page) of every block."""
@@ -236,14 +236,14 @@ def segment_means(vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> n
     """Mean vector of each segment; every segment has an id."""
     if not len(starts):
         return np.zeros((0, vectors.shape[1]))
-    return np.add.reduceat(vectors[ids], starts, axis=0) / np.diff(np.r_[starts, len(ids)])[:, None]
+    return np.add.reduceat(vectors[ids], starts, axis=0) / np.diff(np.r_[starts, len(ids)])[:, None].astype(vectors.dtype)
 
 
-def lstm(x: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states by (time, page) from the inputs' share of the gates."""
+def lstm(x: np.ndarray, wh: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """Hidden states by (time, page) from the inputs' share of the gates; ``keep`` what training needs."""
     steps, n, _ = x.shape
-    h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-    out, kept = np.empty((steps, n, HIDDEN)), []
+    h, c = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype)
+    out, kept = np.empty((steps, n, HIDDEN), x.dtype), []
     for t in range(steps):
         z = x[t] + h @ wh
         s = sigmoid(z[:, : 3 * HIDDEN])
@@ -251,7 +251,8 @@ def lstm(x: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, list]:
         g = np.tanh(z[:, 3 * HIDDEN :])
         c_new = f * c + i * g
         tc = np.tanh(c_new)
-        kept.append((i, f, o, g, c, tc, h))
+        if keep:
+            kept.append((i, f, o, g, c, tc, h))
         h, c = o * tc, c_new
         out[t] = h
     return out, kept
@@ -273,17 +274,18 @@ def lstm_back(dout: np.ndarray, kept: list, wh: np.ndarray) -> tuple[np.ndarray,
     return dx, dwh
 
 
-def forward(m: Labeller, x: Pages) -> tuple[np.ndarray, dict]:
+def forward(m: Labeller, x: Pages, keep: bool = False) -> tuple[np.ndarray, dict]:
     """Probability that each block is main text, and what the backward pass needs."""
     at, page = x.places()
-    inputs = np.concatenate([segment_means(m.paths, x.paths, x.path_starts), segment_means(m.words, x.words, x.word_starts), x.stats], axis=1)
+    kind = m.paths.dtype
+    inputs = np.concatenate([segment_means(m.paths, x.paths, x.path_starts), segment_means(m.words, x.words, x.word_starts), x.stats.astype(kind)], axis=1)
     steps, n = int(x.lengths.max(initial=0)), len(x.lengths)
     times = (at, x.lengths[page] - 1 - at)  # either direction starts at time 0
     states, kept = [], []
     for d in (0, 1):
-        gates = np.zeros((steps, n, 4 * HIDDEN))
+        gates = np.zeros((steps, n, 4 * HIDDEN), kind)
         gates[times[d], page] = inputs @ m.wx[d] + m.b[d]
-        h, k = lstm(gates, m.wh[d])
+        h, k = lstm(gates, m.wh[d], keep)
         states.append(h[times[d], page])
         kept.append(k)
     h = np.concatenate(states, axis=1)
@@ -292,7 +294,7 @@ def forward(m: Labeller, x: Pages) -> tuple[np.ndarray, dict]:
 
 
 def gradients(m: Labeller, x: Pages, y: np.ndarray) -> dict[str, np.ndarray]:
-    p, c = forward(m, x)
+    p, c = forward(m, x, keep=True)
     ds = (p - y) / len(y)
     inputs, steps_n = c["inputs"], c["shape"]
     dh = ds[:, None] * m.out
@@ -326,9 +328,9 @@ def trained_labeller() -> Labeller:
     second = {k: np.zeros_like(getattr(m, k)) for k in names}
     step = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(data))
+        order = sorted(rng.permutation(len(data)).tolist(), key=lambda i: len(data[i][0]))  # like lengths together
         rate = RATE * (1 - epoch / EPOCHS)
-        for lo in range(0, len(order), BATCH):
+        for lo in rng.permutation(range(0, len(order), BATCH)).tolist():
             part = [data[i] for i in order[lo : lo + BATCH]]
             grads = gradients(m, Pages.of([b for b, _ in part]), np.concatenate([y for _, y in part]))
             step += 1
@@ -336,7 +338,7 @@ def trained_labeller() -> Labeller:
                 first[k] += 0.1 * (grads[k] - first[k])
                 second[k] += 0.001 * (grads[k] ** 2 - second[k])
                 setattr(m, k, getattr(m, k) - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8))
-    return m
+    return Labeller(*(getattr(m, k).astype(np.float32) for k in names))
 
 
 def label_pages(m: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:

@@ -119,8 +119,24 @@ def word_count():
     return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def sized_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and mix_hash of every row, written once."""
+    return materialise(docs.select("doc_id", "source", word_count().alias("size"), mix_hash(docs).alias("mix_hash")), "mix")
+
+
+def repeats_of(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add source_size, target and repeats to ``rows`` (source, mix_hash, ...)."""
+    known = plan.select(F.col("source").alias("plan_source"), "source_size", "target", F.col("repeats").alias("whole"), "threshold")
+    taken = F.col("whole") + (F.col("mix_hash") < F.col("threshold")).cast("long")
+    return (
+        rows.join(known, rows["source"].eqNullSafe(known["plan_source"]))
+        .withColumn("repeats", taken)
+        .drop("plan_source", "whole", "threshold")
+    )
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Return doc_id, size, source, source_size, target, repeats for all rows.
+    """Return doc_id, source, size, mix_hash, source_size, target, repeats for all rows.
 
     ``repeats`` (0 to 3) is how often the mix takes the row.  A null text has
     size 0; such rows, and all rows of a source of size 0, are taken as their
@@ -128,12 +144,20 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     Repeated rows are taken alike.  An empty input gives an empty result, and
     columns besides doc_id, text and source are ignored.
     """
-    sized = materialise(docs.select("doc_id", "source", word_count().alias("size"), mix_hash(docs).alias("mix_hash")), "mix")
-    plan = mixing_plan(sized).select(F.col("source").alias("plan_source"), "source_size", "target", F.col("repeats").alias("whole"), "threshold")
-    taken = F.col("whole") + (F.col("mix_hash") < F.col("threshold")).cast("long")
-    return sized.join(plan, sized["source"].eqNullSafe(plan["plan_source"])).select(
-        "doc_id", "size", "source", "source_size", "target", taken.alias("repeats"), "mix_hash"
-    )
+    sized = sized_documents(docs)
+    return repeats_of(sized, mixing_plan(sized))
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, columns as they are.
+
+    The plan, a row per source, is written first: so its size is known and
+    Spark broadcasts it only while it is small.
+    """
+    plan = materialise(mixing_plan(sized_documents(docs)), "mix-plan")
+    packed = docs.select(F.struct("*").alias("_doc"), "source", mix_hash(docs).alias("mix_hash"))
+    taken = repeats_of(packed, plan).where("repeats > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_doc.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

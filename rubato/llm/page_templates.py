@@ -116,7 +116,9 @@ class Site:
             if i and rng.random() < 0.06:
                 inner += self.part(rng.choice(("ad", "share", "form", "sidebar", "notice")))
             kind = rng.random()
-            text = self.keep(self.prose(8) if rng.random() < 0.85 else self.sentence())
+            text = self.keep(self.prose(8) if rng.random() < 0.75 else self.sentence() if rng.random() < 0.7 else f"{self.word()}.".capitalize())
+            if rng.random() < 0.12:  # an article may use any words
+                text = self.keep(" ".join(rng.choice(rng.choice(list(CUES.values()))) for _ in range(rng.randint(2, 6))) + ".")
             first, _, rest = text.partition(" ")
             if kind < 0.7:
                 inner += rng.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f'<p><a href="/y">{first}</a> {rest}</p>'))

@@ -278,6 +278,12 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, score double")
 
 
+def accepted_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score ``least`` or more."""
+    packed = docs.select(F.struct("*").alias("_doc"), "text")
+    return score_documents(packed, model, ("_doc",)).where(F.col("score") >= least).select("_doc.*")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_on(docs, table(spark, sf_dir, "labels"))

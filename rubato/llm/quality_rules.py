@@ -96,7 +96,7 @@ def rule_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -
             )
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, {FEATURES}")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, {FEATURES}")
 
 
 def scores() -> dict[str, F.Column]:
@@ -205,6 +205,19 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(features, materialise(select_cutoffs(features, labels), "rule-cutoffs"))
 
 
+def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the rules keep.
+
+    Cutoffs come from the labelled documents alone, so the first pass counts
+    those and the second judges every row as it streams by; no text is shuffled.
+    """
+    known = labels.select("doc_id").distinct()
+    features = materialise(rule_features(docs.join(known, "doc_id", "left_semi")), "rule-features")
+    cutoffs = materialise(select_cutoffs(features, labels), "rule-cutoffs")
+    packed = docs.select(F.struct("*").alias("_doc"), "lang", "text")
+    return judge(rule_features(packed, ("_doc", "lang")), cutoffs).where("kept").select("_doc.*")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(

@@ -136,15 +136,17 @@ def text_fingerprint(text: str | None) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row and the columns ``keep``; null and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [text_fingerprint(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            kept = [batch.column(k) for k in keep]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64()), *kept], ["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    schema = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, fp long{schema}")
 
 
 def emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +264,24 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return near_duplicate_components(materialise(fingerprints(docs), "simhash"))
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are first of their component, columns as they are.
+
+    First is the smallest doc_id, null last, and among rows that share it the
+    smallest fingerprint and text hash; of wholly equal rows one stays.
+    """
+    packed = F.struct("*").alias("_doc")
+    hashed = docs.select(packed, F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
+    prints = materialise(fingerprints(hashed, ("_text",)), "simhash")
+    reached = near_duplicate_components(prints)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_text")).alias("m")
+    # within a component of null ids alone component_id is null; its rows have one fingerprint or are told apart by it
+    firsts = reached.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first)
+    chosen = materialise(firsts.select(F.col("m.doc_id").alias("_id"), F.col("m._text").alias("_hash")).distinct(), "firsts")
+    met = hashed["doc_id"].eqNullSafe(chosen["_id"]) & (hashed["_text"] == chosen["_hash"])
+    return hashed.join(chosen, met, "left_semi").dropDuplicates(["doc_id", "_text"]).select("_doc.*")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
