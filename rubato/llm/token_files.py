@@ -38,7 +38,7 @@ BLOCK_IDS = 1 << 20
 #: Files per shuffle partition of the session.
 SHARDS_PER_PARTITION = 4
 #: Words kept in a worker's cache; beyond it the cache starts anew.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 #: Rounds of replacement, pairs replaced in a round, and the least count that pays.
 ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 5, 2048, 16
 HEAD = struct.Struct("<4s4Q2I")
@@ -55,34 +55,42 @@ class WordEncoder:
     """
 
     WORD_AND_TAIL = re.compile(rb"([a-z]+)([^a-z0-9A-Z\x80-\xff']+)")
-    LETTERS = re.compile(rb"[a-z]+")
     UNSAFE = (b"<|", b"\xcc", b"\xcd")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.cache: dict[bytes, bytes] = {}
+        self.is_end = np.zeros(self.vocabulary, bool)
+        self.is_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
         """Put new words and their parts into the cache."""
-        cache = self.cache
-        cut = {w: m.groups() for w in words if (m := self.WORD_AND_TAIL.fullmatch(w)) and b"<|" not in m[2]}
-        parts = {p for pair in cut.values() for p in pair} | words.difference(cut)
-        new = [p for p in parts if p not in cache]
-        plain = [p for p in new if self.LETTERS.fullmatch(p)]
-        for lo in range(0, len(plain), 8192):  # one piece each, so they can go in one call
+        cache, cut_at = self.cache, self.WORD_AND_TAIL.fullmatch
+        plain, others, cut = [], set(), []
+        for w in words:
+            if w.isalpha() and w.islower():
+                plain.append(w)
+            elif (m := cut_at(w)) and b"<|" not in m[2]:
+                cut.append((w, *m.groups()))
+            else:
+                others.add(w)
+        heads = {a for _, a, _ in cut}.difference(cache)
+        plain += heads.difference(words)
+        others.update({b for _, _, b in cut}.difference(cache))
+        for lo in range(0, len(plain), 8192):  # one piece each, which its last token tells, so they can go in one call
             part = plain[lo : lo + 8192]
-            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            ends = np.searchsorted(of, np.arange(len(part)), "right") * 4
+            found = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = ((np.flatnonzero(self.is_end[ids]) + 1) * 4).tolist()
             raw, at = ids.tobytes(), 0
-            for p, end in zip(part, ends.tolist(), strict=True):
+            for p, end in zip(part, ends, strict=True):
                 cache[p] = raw[at:end]
                 at = end
-        others = [p for p in new if p not in cache]
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in others], add_special_tokens=False)
-        cache.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(others, found, strict=True))
-        cache.update((w, cache[a] + cache[b]) for w, (a, b) in cut.items())
+        rest = list(others)
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
+        cache.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, found, strict=True))
+        cache.update((w, cache[a] + cache[b]) for w, a, b in cut)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_WORDS:
@@ -91,14 +99,11 @@ class WordEncoder:
         for t in texts:
             raw = (t or "").encode()
             split.append((raw if any(x in raw for x in self.UNSAFE) else raw.lower()).split())
-        get = self.cache.get
-        found = [list(map(get, words)) for words in split]
-        missing = [i for i, f in enumerate(found) if None in f]
-        if missing:
-            self.learn({w for i in missing for w, f in zip(split[i], found[i], strict=True) if f is None})
-            for i in missing:
-                found[i] = list(map(get, split[i]))
-        return [np.frombuffer(b"".join(f), "<u4") for f in found]
+        new = set().union(*split).difference(self.cache)
+        if new:
+            self.learn(new)
+        get = self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
