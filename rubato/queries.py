@@ -1,10 +1,384 @@
-"""Registry of the engine's queries and of the SQL that each must equal."""
+"""Queries of the library's own operators, and their SQL.
+
+The test tables hold no audio, so ``events`` stands in for one-dimensional
+series (a recording per user), ``embeddings`` for spectra (a recording per
+label) and text tables for labels and lengths.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars as s
+from .operators import chunks, evaluation, importance, joins, rates, signal
+from .operators import windows as w
+from .plans.analysis import analyse, scored_events
+from .sources.audio import analysis_documents
+from .streaming.tumbling import tumbling_energy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Frames of events, with scores, as SQL.
+FRAMES = """frames AS (
+  SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx,
+         (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS t, value, event_type
+  FROM events
+)"""
+SCORED = FRAMES + """, scored AS (
+  SELECT *, CASE WHEN max(value) OVER r > min(value) OVER r THEN (value - min(value) OVER r) / (max(value) OVER r - min(value) OVER r) ELSE 0 END AS score
+  FROM frames WINDOW r AS (PARTITION BY recording_id)
+)"""
+MEL = """mel AS (
+  SELECT label AS recording_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding::DOUBLE[] AS mel FROM embeddings
+)"""
+ORDERED = "(PARTITION BY recording_id ORDER BY frame_idx)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return w.frames_from_events(read(spark, sf_dir, "events"))
+
+
+def mel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("label").orderBy("vec_id")
+    return read(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("recording_id"), (F.row_number().over(order) - 1).alias("frame_idx"), F.transform("embedding", lambda v: v.cast("double")).alias("mel")
+    )
+
+
+def r6(x: Column | str, name: str) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, 6).alias(name)
+
+
+@query()
+def rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: scores to rates that meet the target duration, and a summary per recording."""
+    out = rates.schedule_rates(scored_events(read(spark, sf_dir, "events")), 3.0)
+    steps = out.withColumn("dt", w.step_in(F.col("t")))
+    return steps.groupBy("recording_id").agg(
+        F.count(F.lit(1)).alias("n_frames"), F.max("t").alias("in_duration"), F.sum(F.col("dt") / F.col("rate")).alias("out_duration"),
+        F.avg("rate").alias("mean_rate"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"),
+    )
+
+
+@query(f"""WITH {SCORED} SELECT recording_id, frame_idx::INT AS frame_idx, t, round(score, 6) AS score,
+  round(1 + (1 - score) * 9, 6) AS rate, round(least(greatest(1 + pow((1 - score), 1.5) * 9, 1), 10), 6) AS contrasted FROM scored""")
+def importance_to_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = s.importance_to_rate(F.col("score"))
+    return scored_events(read(spark, sf_dir, "events")).select(
+        "recording_id", "frame_idx", "t", r6("score", "score"), r6(rate, "rate"), r6(s.rate_contrast(rate, 1.5), "contrasted")
+    )
+
+
+@query(f"""WITH {FRAMES} SELECT recording_id, frame_idx::INT AS frame_idx,
+  max(value) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS highest,
+  round(min(value - frame_idx * 0.3) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + frame_idx * 0.3, 6) AS limited,
+  round(CASE WHEN lag(value) OVER o IS NULL THEN lead(value) OVER o - value WHEN lead(value) OVER o IS NULL THEN value - lag(value) OVER o
+        ELSE (lead(value) OVER o - lag(value) OVER o) / 2 END, 6) AS slope
+  FROM frames WINDOW o AS {ORDERED}""")
+def frame_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return frames(spark, sf_dir).select("recording_id", "frame_idx", w.max_filter(v).alias("highest"), r6(w.slew_limited(v), "limited"), r6(w.gradient(v), "slope"))
+
+
+@query(f"""WITH {FRAMES}, m AS (
+  SELECT *, median(value) OVER f AS med, count(*) OVER f AS n FROM frames
+  WINDOW f AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING))
+  SELECT recording_id, frame_idx::INT AS frame_idx, round(CASE WHEN n = 21 THEN med END, 6) AS median,
+         coalesce(n = 21 AND med > 1e-10 AND value > 5 * med, false) AS click FROM m""")
+def running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return frames(spark, sf_dir).select("recording_id", "frame_idx", r6(w.running_median(v), "median"), w.is_click(v).alias("click"))
+
+
+@query(f"""WITH {FRAMES} SELECT recording_id, (frame_idx // 8)::INT AS frame_idx, round(sum(value * value), 4) AS power, round(sqrt(avg(value * value)), 6) AS rms
+  FROM frames GROUP BY ALL HAVING count(*) = 8""")
+def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return w.frame_energy(frames(spark, sf_dir), 8).select("recording_id", "frame_idx", F.round(F.col("energy") * 8, 4).alias("power"), r6("rms", "rms"))
+
+
+@query(f"""WITH {FRAMES}, sized AS (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM frames),
+  k AS (SELECT d, exp(-(d * d) / 8.0) / (SELECT sum(exp(-(e * e) / 8.0)) FROM range(-8, 9) x(e)) AS w FROM range(-8, 9) y(d)),
+  wanted AS (SELECT recording_id, frame_idx, n, w, ((frame_idx + d) % (2 * n) + 2 * n) % (2 * n) AS m FROM sized, k)
+  SELECT a.recording_id, a.frame_idx::INT AS frame_idx, round(sum(w * b.value), 6) AS smoothed
+  FROM wanted a JOIN frames b ON a.recording_id = b.recording_id AND b.frame_idx = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL""")
+def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return w.gaussian_smooth(frames(spark, sf_dir), 2.0).select("recording_id", "frame_idx", r6("smoothed", "smoothed"))
+
+
+@query(f"""WITH {SCORED}, stepped AS (
+  SELECT *, (t - coalesce(lag(t) OVER {ORDERED}, 0)) / (1 + (1 - score) * 9) AS step FROM scored)
+  SELECT recording_id, frame_idx::INT AS frame_idx, round(sum(step) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS out_time FROM stepped""")
+def output_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored_events(read(spark, sf_dir, "events")).withColumn("step", w.step_in(F.col("t")) / s.importance_to_rate(F.col("score")))
+    return rows.select("recording_id", "frame_idx", F.round(w.running_total(F.col("step")), 4).alias("out_time"))
+
+
+@query(f"""WITH {FRAMES}, q AS (SELECT recording_id, i::INT AS frame_idx, i * d / 63 AS t FROM (SELECT recording_id, max(t) AS d FROM frames GROUP BY 1), range(64) r(i)),
+  b AS (SELECT q.*, f.t AS t0, f.value AS v0 FROM q ASOF JOIN frames f ON q.recording_id = f.recording_id AND q.t >= f.t),
+  a AS (SELECT b.*, f.t AS t1, f.value AS v1 FROM b ASOF LEFT JOIN frames f ON b.recording_id = f.recording_id AND b.t <= f.t)
+  SELECT recording_id, frame_idx, round(t, 4) AS t, round(CASE WHEN t1 IS NULL OR t1 <= t0 THEN v0 ELSE v0 + (v1 - v0) * ((t - t0) / (t1 - t0)) END, 4) AS value FROM a""")
+def asof_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    knots = frames(spark, sf_dir)
+    grid = joins.time_grid(knots.groupBy("recording_id").agg(F.max("t").alias("duration")), F.lit(64))
+    return joins.interpolate_at(knots, grid).select("recording_id", "frame_idx", F.round("t", 4).alias("t"), F.round("value", 4).alias("value"))
+
+
+@query()
+def resample_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = joins.resample_importance(scored_events(read(spark, sf_dir, "events")).withColumnRenamed("value", "raw").withColumnRenamed("score", "value"), 3600.0)
+    return found.withColumnRenamed("value", "score")
+
+
+@query(f"""WITH {MEL}, want AS (SELECT recording_id, i::INT AS frame_idx, i * 1.5 AS src FROM (SELECT recording_id, count(*) AS n FROM mel GROUP BY 1), range(1000) r(i) WHERE i * 1.5 <= n - 1)
+  SELECT w.recording_id, w.frame_idx, round(a.mel[1] + (coalesce(b.mel[1], a.mel[1]) - a.mel[1]) * (src - floor(src)), 6) AS first_bin,
+         round(a.mel[64] + (coalesce(b.mel[64], a.mel[64]) - a.mel[64]) * (src - floor(src)), 6) AS last_bin
+  FROM want w JOIN mel a ON a.recording_id = w.recording_id AND a.frame_idx = floor(src) LEFT JOIN mel b ON b.recording_id = w.recording_id AND b.frame_idx = floor(src) + 1""")
+def index_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mel = mel_frames(spark, sf_dir)
+    sized = mel.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"))
+    want = sized.select("recording_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1.5).cast("int"))).alias("frame_idx"))
+    want = want.withColumn("src", F.col("frame_idx") * 1.5)
+    found = joins.index_interpolate(mel, want)
+    return found.select("recording_id", "frame_idx", r6(F.get("mel", F.lit(0)), "first_bin"), r6(F.get("mel", F.lit(63)), "last_bin"))
+
+
+_CLASS_SQL = "CASE " + " ".join(f"WHEN contains('{labels.replace(chr(39), '')}', label) THEN '{name}'" for name, labels in s.CLASS_LABELS.items() if name != "plosive") + " ELSE 'plosive' END"
+_FLOOR_SQL = lambda c: f"CASE {c} " + " ".join(f"WHEN '{n}' THEN {f}::DOUBLE" for n, f in s.CLASS_FLOORS.items()) + " END"
+
+
+@query(f"""WITH segs AS (SELECT label AS recording_id, vec_id AS seq, chr((97 + (vec_id % 26))::INT) AS label, (vec_id % 37) / 4.0 AS s, (vec_id % 37) / 4.0 + (vec_id % 5) / 8.0 AS e FROM embeddings),
+  grid AS (SELECT r.recording_id, i::INT AS frame_idx FROM (SELECT DISTINCT recording_id FROM segs) r, range(500) x(i)),
+  hit AS (SELECT g.recording_id, g.frame_idx, max_by(label, seq) AS label FROM grid g JOIN segs ON g.recording_id = segs.recording_id AND frame_idx >= floor(s * 50) AND frame_idx < least(floor(e * 50), 500) GROUP BY 1, 2)
+  SELECT g.recording_id, g.frame_idx, h.label, CASE WHEN h.label IS NULL THEN 0.02::DOUBLE ELSE {_FLOOR_SQL("(" + _CLASS_SQL.replace("label)", "h.label)") + ")")} END AS floor FROM grid g LEFT JOIN hit h USING (recording_id, frame_idx)""")
+def interval_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("vec_id") % 37 / 4.0
+    segments = read(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("recording_id"), F.col("vec_id").alias("seq"), F.char(97 + F.col("vec_id") % 26).alias("label"), start.alias("start"), (start + F.col("vec_id") % 5 / 8.0).alias("end")
+    )
+    durations = segments.select("recording_id", F.lit(10.0).alias("duration")).distinct()
+    return joins.interval_floors(segments, durations)
+
+
+@query(f"""WITH {MEL}, lp AS (SELECT recording_id, frame_idx, list_transform(mel[1:29], lambda v: v * 8 - ln(list_sum(list_transform(mel[1:29], lambda u: exp(u * 8))))) AS lp FROM mel),
+  best AS (SELECT recording_id, frame_idx, lp, substr('aienuotsrmkldghybpwcvjzf''qx*', list_position(lp[2:29], list_max(lp[2:29])), 1) AS label, count(*) OVER (PARTITION BY recording_id) AS n FROM lp),
+  cls AS (SELECT *, CASE WHEN exp(lp[1]) > 0.8 THEN 'silence' ELSE {_CLASS_SQL} END AS class FROM best)
+  SELECT recording_id, frame_idx::INT AS frame_idx, round(frame_idx * 10.0 / (n - 1), 6)::DOUBLE AS t, class, {_FLOOR_SQL("class")} AS floor FROM cls""")
+def phoneme_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logits = F.transform(F.slice("mel", 1, 29), lambda v: v * 8)
+    norm = F.log(s.total(F.transform(logits, F.exp)))
+    emissions = mel_frames(spark, sf_dir).select("recording_id", "frame_idx", F.transform(logits, lambda v: v - norm).alias("log_probs"))
+    durations = emissions.select("recording_id", F.lit(10.0).alias("duration")).distinct()
+    return importance.phoneme_floors(emissions, durations).withColumn("t", F.round("t", 6))
+
+
+@query(f"""WITH {MEL}, f AS (SELECT recording_id, frame_idx, mel, lag(mel) OVER {ORDERED} AS prev FROM mel),
+  a AS (SELECT recording_id, frame_idx, list_sum(mel) AS e, list_sum(mel[39:64]) AS h,
+        CASE WHEN prev IS NULL THEN 0 ELSE sqrt(list_sum(list_transform(range(1, 65), lambda i: pow((mel[i] - prev[i]) * CASE WHEN i > 32 THEN 2.5 ELSE 1 END, 2)))) END AS flux FROM f),
+  b AS (SELECT recording_id, frame_idx, flux / max(flux) OVER r AS flux, (e - min(e) OVER r) / (max(e) OVER r - min(e) OVER r) AS e, (h - min(h) OVER r) / (max(h) OVER r - min(h) OVER r) AS h FROM a WINDOW r AS (PARTITION BY recording_id)),
+  c AS (SELECT *, max(flux) OVER w AS peak FROM b WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+  d AS (SELECT *, CASE WHEN e < 0.05 AND max(peak) OVER w > 0.3 THEN 1 ELSE 0 END AS closed FROM c WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+  x AS (SELECT *, (0.5 * peak + 0.25 * e + 0.15 * h + 0.1 * closed)::DOUBLE AS blend FROM d)
+  SELECT recording_id, frame_idx::INT AS frame_idx, round((blend - min(blend) OVER r) / (max(blend) OVER r - min(blend) OVER r), 6) AS score FROM x WINDOW r AS (PARTITION BY recording_id)""")
+def mel_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.mel_importance(mel_frames(spark, sf_dir)).select("recording_id", "frame_idx", r6("score", "score"))
+
+
+_CODES = [(k, 3 + k) for k in range(8)]
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT recording_id, frame_idx, value, [{", ".join(f"floor(value / {5 + k})::INT % {m}" for k, m in _CODES)}] AS cb FROM frames),
+  p AS (SELECT *, lag(cb) OVER {ORDERED} AS prev, max(value) OVER (PARTITION BY recording_id) AS top FROM c),
+  x AS (SELECT recording_id, frame_idx, (0.45 * CASE WHEN prev IS NULL OR cb[1] = prev[1] THEN 0 ELSE 1 END + 0.15 * CASE WHEN value / top > 0.05 THEN 1 ELSE 0 END
+        + 0.40 * CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, 9), lambda i: cb[i] <> prev[i])) / 8.0 END)::DOUBLE AS b FROM p)
+  SELECT recording_id, frame_idx::INT AS frame_idx, round((b - min(b) OVER r) / (max(b) OVER r - min(b) OVER r), 6) AS score FROM x WINDOW r AS (PARTITION BY recording_id)""")
+def codec_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = lambda k, m: F.floor(F.col("value") / (5 + k)).cast("int") % m
+    codes = frames(spark, sf_dir).withColumn("cb", F.array(*[code(k, m) for k, m in _CODES])).withColumn("rms", F.col("value"))
+    return importance.codec_importance(codes).select("recording_id", "frame_idx", r6("score", "score"))
+
+
+@query("""WITH c AS (SELECT doc_id AS recording_id, n_chars AS n, i AS index, i * 1000 AS pos FROM documents, LATERAL (SELECT unnest(range(CASE WHEN n_chars <= 1000 THEN 1 ELSE (n_chars + 999) // 1000 END)) AS i))
+  SELECT recording_id, index::INT AS index, greatest(0, pos - 100) AS start_sample, least(pos + 1100, n) AS end_sample, pos - greatest(0, pos - 100) AS overlap_before,
+         CASE WHEN pos + 1000 < n THEN greatest(0, least(pos + 1100, n) - pos - 1000) ELSE 0 END AS overlap_after FROM c""")
+def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.col("n_chars").alias("n_samples"))
+    return chunks.plan_chunks(sizes, 1000, 100)
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT recording_id, i AS index, greatest(0, i * 86400 - 7200) AS a, least(i * 86400 + 93600, ceil(d)) AS b
+    FROM (SELECT recording_id, max(t) AS d FROM frames GROUP BY 1), LATERAL (SELECT unnest(range(greatest(1, ceil(ceil(d) / 86400)::INT))) AS i))
+  SELECT c.recording_id, index::INT AS index, count(*) AS n, round(sum(1 + (1 - score) * 9), 4) AS sum_rate, round(min(t - a), 4) AS first_t FROM c JOIN scored s ON s.recording_id = c.recording_id AND t BETWEEN a AND b GROUP BY 1, 2""")
+def chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scored_events(read(spark, sf_dir, "events"))
+    sizes = scored.groupBy("recording_id").agg(F.ceil(F.max("t")).alias("n_samples"))
+    found = chunks.rates_in_chunks(chunks.plan_chunks(sizes, 86_400, 7_200), scored.withColumn("rate", s.importance_to_rate(F.col("score"))), 1.0, 86_400)
+    return found.groupBy("recording_id", "index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rate"), 4).alias("sum_rate"), F.round(F.min("t"), 4).alias("first_t"))
+
+
+_HANN8 = [0.5 - 0.5 * math.cos(2 * math.pi * i / 8) for i in range(8)]
+
+
+@query(f"""WITH {MEL}, p AS (SELECT recording_id, frame_idx * 4 + i AS sample_idx, mel[i + 1] AS v, 0.5 - 0.5 * cos(2 * pi() * i / 8) AS w FROM mel, range(8) r(i))
+  SELECT recording_id, sample_idx::INT AS sample_idx, round(sum(v * w) / greatest(sum(w * w), 1e-8), 6) AS value FROM p GROUP BY 1, 2""")
+def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = mel_frames(spark, sf_dir).withColumn("samples", F.slice("mel", 1, 8))
+    return chunks.overlap_add(parts, 4, F.array(*[F.lit(x) for x in _HANN8])).select("recording_id", F.col("sample_idx").cast("int"), r6("value", "value"))
+
+
+@query(f"""WITH {MEL}, p AS (SELECT recording_id, frame_idx * 56 + i AS sample_idx, mel[i + 1]
+    * CASE WHEN i < 8 AND frame_idx > 0 THEN i / 7.0 ELSE 1 END * CASE WHEN i >= 56 THEN 1 - (i - 56) / 7.0 ELSE 1 END AS v FROM mel, range(64) r(i))
+  SELECT recording_id, sample_idx::INT AS sample_idx, round(sum(v), 6) AS value FROM p GROUP BY 1, 2""")
+def crossfade_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fade = F.when(F.col("frame_idx") > 0, 8).otherwise(0)
+    parts = mel_frames(spark, sf_dir).select("recording_id", F.col("frame_idx").alias("index"), F.col("mel").alias("samples"), fade.alias("fade_in"), F.lit(8).alias("fade_out"))
+    return chunks.crossfade_concat(parts).select("recording_id", F.col("sample_idx").cast("int"), r6("value", "value"))
+
+
+@query(f"""WITH {MEL}, q AS (SELECT *, frame_idx % 7 AS ratio FROM mel), x AS (SELECT *, (ratio - min(ratio) OVER r) / (max(ratio) OVER r - min(ratio) OVER r)::DOUBLE AS k FROM q WINDOW r AS (PARTITION BY recording_id)),
+  e AS (SELECT recording_id, frame_idx, i, mel[i + 1] - CASE WHEN i >= 25 THEN (1 + 5 * k) * pow((i - 25) / 38.0, 1.5) ELSE 0 END AS v FROM x, range(64) b(i))
+  SELECT recording_id, frame_idx::INT AS frame_idx, round(sum(v), 5) AS total, round(max(CASE WHEN i = 63 THEN v END), 6) AS last_bin FROM e GROUP BY 1, 2""")
+def hf_deemphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mel_frames(spark, sf_dir).withColumn("ratio", (F.col("frame_idx") % 7).cast("double"))
+    out = importance.hf_deemphasis(rows)
+    return out.select("recording_id", "frame_idx", F.round(s.total(F.col("mel")), 5).alias("total"), r6(F.get("mel", F.lit(63)), "last_bin"))
+
+
+@query(f"""WITH {FRAMES}, a AS (SELECT recording_id, frame_idx, value / 400 - 0.6 AS x FROM frames), p AS (SELECT *, max(abs(x)) OVER r AS peak FROM a WINDOW r AS (PARTITION BY recording_id)),
+  c AS (SELECT *, CASE WHEN peak > 0.8 AND abs(x) > 0.8 THEN sign(x) * (0.8 + tanh((abs(x) - 0.8) / (peak - 0.8 + 1e-10)) * 0.2) ELSE x END AS y FROM p),
+  q AS (SELECT *, y * (0.2 / sqrt(avg(y * y) OVER (PARTITION BY recording_id))) AS z FROM c)
+  SELECT recording_id, frame_idx::INT AS frame_idx, round(CASE WHEN max(abs(z)) OVER r > 0.99 THEN z * (0.99 / max(abs(z)) OVER r) ELSE z END, 6) AS out FROM q WINDOW r AS (PARTITION BY recording_id)""")
+def soft_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir).withColumn("value", F.col("value") / 400 - 0.6)
+    return w.soft_clip(rows, 0.2).select("recording_id", "frame_idx", r6("out", "out"))
+
+
+@query(f"""WITH {FRAMES}, m AS (SELECT *, median(value) OVER f AS med, count(*) OVER f AS n FROM frames WINDOW f AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING))
+  SELECT recording_id, count(*) FILTER (n = 25 AND med > 1e-10 AND value > 3 * med) AS n_clicks,
+         round(CASE WHEN count(*) * 0.002 < 0.01 THEN 0 ELSE count(*) FILTER (n = 25 AND med > 1e-10 AND value > 3 * med) / (count(*) * 0.002) END, 4)::DOUBLE AS clicks_per_second FROM m GROUP BY 1""")
+def click_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return w.click_counts(frames(spark, sf_dir).withColumnRenamed("value", "energy")).withColumn("clicks_per_second", F.round("clicks_per_second", 4))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS h, lag(regexp_replace(text, '[^ -~]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
+  SELECT conv_id, turn, round(levenshtein(r, h) / length(r)::DOUBLE, 6) AS cer FROM p WHERE length(r) > 0""")
+def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("h"), F.lag(plain).over(Window.partitionBy("conv_id").orderBy("turn")).alias("r"))
+    return rows.where("length(r) > 0").select("conv_id", "turn", r6(evaluation.character_error_rate(F.col("r"), F.col("h")), "cer"))
+
+
+@query()
+def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.col("text").alias("hypothesis"), before.alias("reference"))
+    return evaluation.word_error_rates(pairs.where("reference is not null"))
+
+
+@query("""SELECT lang AS session, avg((quality = 1 - toxic)::INT::DOUBLE) AS accuracy, count(*) AS n,
+  CASE WHEN avg((quality = 1 - toxic)::INT::DOUBLE) >= 0.7 THEN 'audible' WHEN avg((quality = 1 - toxic)::INT::DOUBLE) >= 0.55 THEN 'marginal' ELSE 'inaudible' END AS verdict
+  FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
+def listening_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    trials = read(spark, sf_dir, "labels").join(langs, "doc_id").select(F.col("lang").alias("session"), (F.col("quality") == 1 - F.col("toxic")).alias("correct"))
+    return evaluation.listening_verdicts(trials)
+
+
+@query("""WITH b AS (SELECT label AS batch, i AS bin, row_number() OVER (PARTITION BY label, i ORDER BY vec_id) AS f, embedding[i + 1]::DOUBLE AS phase, abs(embedding[i + 1]::DOUBLE) AS mag FROM embeddings, range(64) r(i)),
+  d AS (SELECT batch, bin, lead(phase) OVER o - phase - bin * (2 * pi() * 256 / 1024) AS d, lead(mag) OVER o AS m, max(mag) OVER (PARTITION BY batch) AS top FROM b WINDOW o AS (PARTITION BY batch, bin ORDER BY f))
+  SELECT batch, round(avg(m / top * pow(atan2(sin(d), cos(d)), 2)), 6) AS loss FROM d WHERE d IS NOT NULL AND bin >= 1 GROUP BY 1""")
+def frequency_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = mel_frames(spark, sf_dir).select(F.col("recording_id").alias("batch"), "frame_idx", F.posexplode("mel").alias("bin", "phase")).withColumn("mag", F.abs("phase"))
+    return evaluation.frequency_deviation(bins).withColumn("loss", F.round("loss", 6))
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) <= 100 AS is_validation FROM documents""")
+def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.validation_split(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100)
+
+
+@query("""WITH st AS (SELECT lang || '_' || source || '_' || (doc_id % 2)::VARCHAR AS key, doc_id, lang || '_' || source || '_' || (doc_id % 2)::VARCHAR || '_' || doc_id::VARCHAR AS stem FROM documents)
+  SELECT l.key, l.stem AS left_stem, r.right_stem FROM (SELECT * FROM st WHERE doc_id % 3 = 0) l JOIN (SELECT key, min(stem) AS right_stem FROM st WHERE doc_id % 3 = 1 GROUP BY 1) r USING (key)""")
+def matching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File stems of two folders, here documents by doc_id modulo 3, matched by their first parts."""
+    stems = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "lang", "source", F.col("doc_id") % 2, "doc_id").alias("stem"))
+    return joins.first_matches(stems.where("doc_id % 3 = 0"), stems.where("doc_id % 3 = 1"))
+
+
+@query("""SELECT speed, gamma, speed || 'x-' || gamma AS name, CASE WHEN step < 1000 THEN 0.15 WHEN step < 3000 THEN 0.15 + (step - 1000) / 2000.0 * 0.10 ELSE 0.25 END::DOUBLE AS ratio,
+  res, CASE res WHEN '20ms' THEN 0.02 WHEN '1s' THEN 1.0 ELSE 0.05 END::DOUBLE AS seconds
+  FROM (VALUES ('2.0'), ('3.0'), ('4.0')) a(speed), (VALUES ('1.0'), ('1.5')) b(gamma), (VALUES (0), (2000), (5000)) c(step), (VALUES ('20ms'), ('1s'), (' 50 ')) d(res)""")
+def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axis = lambda values, name: spark.createDataFrame([(v,) for v in values], name)
+    grid = joins.config_grid(axis(["2.0", "3.0", "4.0"], "speed string"), axis(["1.0", "1.5"], "gamma string"), axis([0, 2000, 5000], "step int"), axis(["20ms", "1s", " 50 "], "res string"))
+    return grid.select(
+        "speed", "gamma", F.concat("speed", F.lit("x-"), "gamma").alias("name"), s.augmentation_ratio(F.col("step")).alias("ratio"), "res", s.parse_resolution(F.col("res")).alias("seconds")
+    )
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, user_id AS recording_id, round(sum(value * value), 4) AS power, count(*) AS n FROM events GROUP BY 1, 2""")
+def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("ts", F.col("user_id").alias("recording_id"), "value")
+    return tumbling_energy(rows, "1 hour").select("start", "recording_id", F.round(F.col("energy") * F.col("n"), 4).alias("power"), "n")
+
+
+@query()
+def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis_documents(analyse(mel_frames(spark, sf_dir), 10.0, 0.25), 0.25)
+
+
+@query()
+def stretched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mel = mel_frames(spark, sf_dir)
+    schedule = rates.schedule_rates(analyse(mel, 10.0, 0.1), 2.0)
+    durations = mel.select("recording_id", F.lit(10.0).alias("duration")).distinct()
+    out = rates.stretch_frames(mel, schedule, durations)
+    return importance.hf_deemphasis(out).select("recording_id", "frame_idx", "mel")
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each recording's values, centred, each held for 40 samples."""
+    arrays = w.to_arrays(frames(spark, sf_dir), "value")
+    held = F.flatten(F.transform("value", lambda v: F.array_repeat(v / 500 - 0.5, 40)))
+    return arrays.select("recording_id", held.alias("samples"))
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    x = F.col("samples")
+    power = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+    return df.select("recording_id", F.size(x).alias("n"), F.round(F.sqrt(power / F.size(x)), 6).alias("rms"), F.round(F.array_max(F.transform(x, F.abs)), 6).alias("peak"))
+
+
+for _name, _step in {
+    "declick": signal.declick,
+    "post_process": signal.post_process,
+    "spectral_gate": signal.spectral_gate,
+    "prosodic_envelope": signal.prosodic_envelope,
+    "match_tilt": lambda x: signal.match_tilt(np.cumsum(x) / len(x), x),
+    "mel_spectrum": lambda x: signal.extract_mel(x).ravel(),
+    "spectral_clicks": lambda x: np.array([float(signal.spectral_clicks(x))]),
+}.items():
+
+    def _run(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:
+        return _summary(signal.per_recording(_signals(spark, sf_dir), step))
+
+    QUERIES[_name] = _run
