@@ -277,9 +277,15 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_text")).alias("m")
     # within a component of null ids alone component_id is null; its rows have one fingerprint or are told apart by it
     firsts = reached.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first)
-    chosen = materialise(firsts.select(F.col("m.doc_id").alias("_id"), F.col("m._text").alias("_hash")).distinct(), "firsts")
-    met = hashed["doc_id"].eqNullSafe(chosen["_id"]) & (hashed["_text"] == chosen["_hash"])
-    return hashed.join(chosen, met, "left_semi").dropDuplicates(["doc_id", "_text"]).select("_doc.*")
+    key = lambda i, t: F.xxhash64(i, t)
+    chosen = materialise(
+        firsts.select(F.col("m.doc_id").alias("_id"), F.col("m._text").alias("_hash")).distinct().withColumn("_chosen", key("_id", "_hash")), "firsts"
+    )
+    # one key for the join, the rest as a plain condition: so the rows' one shuffle serves the last step as well
+    keyed = hashed.withColumn("_key", key("doc_id", "_text"))
+    same_id = F.coalesce(~(keyed["doc_id"] != chosen["_id"]), keyed["doc_id"].isNull() & chosen["_id"].isNull())
+    met = keyed.join(chosen, (keyed["_key"] == chosen["_chosen"]) & same_id & ~(keyed["_text"] != chosen["_hash"]), "left_semi")
+    return met.select("_doc", "_key", "doc_id", "_text").dropDuplicates(["_key", "doc_id", "_text"]).select("_doc.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
