@@ -21,9 +21,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,7 +56,8 @@ class WordEncoder:
     word of letters and a tail of ASCII marks is two pieces to it as well.
     """
 
-    WORD_AND_TAIL = re.compile(rb"([a-z]+)([^a-z0-9A-Z\x80-\xff']+)")
+    #: Small letters of ASCII and Latin-1: they stay as they are and make one piece.
+    WORD_AND_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([^a-z0-9A-Z\x80-\xff']*)")
     UNSAFE = (b"<|", b"\xcc", b"\xcd")
 
     def __init__(self, path: str):
@@ -69,12 +72,13 @@ class WordEncoder:
         cache, cut_at = self.cache, self.WORD_AND_TAIL.fullmatch
         plain, others, cut = [], set(), []
         for w in words:
-            if w.isalpha() and w.islower():
-                plain.append(w)
-            elif (m := cut_at(w)) and b"<|" not in m[2]:
+            m = cut_at(w)
+            if m is None or b"<|" in m[2]:
+                others.add(w)
+            elif m[2]:
                 cut.append((w, *m.groups()))
             else:
-                others.add(w)
+                plain.append(w)
         heads = {a for _, a, _ in cut}.difference(cache)
         plain += heads.difference(words)
         others.update({b for _, _, b in cut}.difference(cache))
@@ -92,18 +96,27 @@ class WordEncoder:
         cache.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, found, strict=True))
         cache.update((w, cache[a] + cache[b]) for w, a, b in cut)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; words are told apart by Arrow, so the cache is asked once for each distinct word."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        split = []
-        for t in texts:
-            raw = (t or "").encode()
-            split.append((raw if any(x in raw for x in self.UNSAFE) else raw.lower()).split())
-        new = set().union(*split).difference(self.cache)
+        whole = texts.cast(pa.large_string()).fill_null("")
+        raw = whole.cast(pa.large_binary())
+        unsafe = reduce(pc.or_, [pc.match_substring(raw, x) for x in self.UNSAFE])
+        words = pc.ascii_split_whitespace(pc.if_else(unsafe, whole, pc.ascii_lower(whole)))
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return [np.zeros(0, "<u4")] * len(texts)
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        new = set(distinct).difference(self.cache)
         if new:
             self.learn(new)
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        found = pa.array(map(self.cache.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+        _, offsets, values = found.buffers()
+        at = np.frombuffer(offsets, np.int64, len(found) + 1) // 4
+        ids = np.frombuffer(values, "<u4", int(at[-1]))
+        ends = at[np.cumsum(pc.list_value_length(words).to_numpy())].tolist()
+        return [ids[lo:hi] for lo, hi in zip([0, *ends], ends)]  # noqa: B905
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -266,7 +279,7 @@ def write_token_files(docs: DataFrame, to: str, path: str | None = None) -> None
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = enc.encode(part.column("text").to_pylist())
+                found = enc.encode(part.column("text"))
                 for doc, own in zip(part.column("doc_id").to_pylist(), found, strict=True):
                     ids.append(np.concatenate([own, end]))
                     doc_ids.append(doc)
