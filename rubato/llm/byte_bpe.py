@@ -33,7 +33,9 @@ CACHE_PIECES = 1 << 19
 #: Longest piece, in bytes, whose pairs are kept in a plain list.
 SHORT_PIECE = 48
 #: Code points looked at together; bounds memory.  A longer text is a group of its own.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
+#: Rows of a batch whose texts are held as Python strings at a time.
+ROWS_AT_A_TIME = 512
 #: Characters per block of the scan.
 BLOCK = 64
 
@@ -292,15 +294,17 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            at = 0
-            for group in grouped([t or "" for t in batch.column("text").to_pylist()]):
-                found = enc.encode(group)
-                bounds = np.r_[0, np.cumsum([len(i) for i, _ in found])].astype(np.int32)
-                ids = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([i for i, _ in found]).astype(np.int32)))
-                offsets = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([o for _, o in found]).astype(np.int32)))
-                part = batch.slice(at, len(group))
-                at += len(group)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids, offsets], [*keep, "ids", "offsets"])
+            for lo in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                rows = batch.slice(lo, ROWS_AT_A_TIME)
+                at = 0
+                for group in grouped([t or "" for t in rows.column("text").to_pylist()]):
+                    found = enc.encode(group)
+                    bounds = np.r_[0, np.cumsum([len(i) for i, _ in found])].astype(np.int32)
+                    ids = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([i for i, _ in found]).astype(np.int32)))
+                    offsets = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([o for _, o in found]).astype(np.int32)))
+                    part = rows.slice(at, len(group))
+                    at += len(group)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids, offsets], [*keep, "ids", "offsets"])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, ids array<int>, offsets array<int>")
