@@ -235,10 +235,11 @@ def emit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(keys, fps)
 
 
-def near_duplicate_components(prints: DataFrame) -> DataFrame:
+def near_duplicate_components(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Add ``component_id`` to (doc_id, fp).
 
-    Fingerprints at most 3 bits apart are linked; ``component_id`` is the
+    Fingerprints at most 3 bits apart, or those of ``links`` (u, v) if given,
+    are linked; ``component_id`` is the
     smallest doc_id that can be reached, itself included.  Equal fingerprints
     count once in the search, so groups of copies cost nothing there.  A null
     doc_id is in its component like any other and never its smallest id, unless
@@ -246,9 +247,10 @@ def near_duplicate_components(prints: DataFrame) -> DataFrame:
     """
     spark = prints.sparkSession
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    keyed = distinct.select("fp").mapInArrow(emit_keys, "key long, fp long")
-    n = shuffle_partitions(spark)
-    links = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(emit_links, "u long, v long")
+    if links is None:
+        keyed = distinct.select("fp").mapInArrow(emit_keys, "key long, fp long")
+        n = shuffle_partitions(spark)
+        links = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(emit_links, "u long, v long")
     classes = connected_components(links)
     of_class = distinct.join(classes, distinct["fp"] == classes["node"])
     firsts = of_class.groupBy("component").agg(F.min("first_id").alias("class_first"))
@@ -264,20 +266,23 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return near_duplicate_components(materialise(fingerprints(docs), "simhash"))
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, prints_of=None, links_of=None) -> DataFrame:
     """The rows of ``docs`` that are first of their component, columns as they are.
 
+    ``prints_of`` and ``links_of`` take the place of the fingerprints and of the
+    search by bits, as ``near_copies.set_prints`` and ``set_links`` do.
     First is the smallest doc_id, null last, and among rows that share it the
     smallest fingerprint and text hash; of wholly equal rows one stays.
     """
     packed = F.struct("*").alias("_doc")
     hashed = docs.select(packed, F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
-    prints = materialise(fingerprints(hashed, ("_text",)), "simhash")
-    reached = near_duplicate_components(prints)
+    key = lambda i, t: F.xxhash64(i, t)
+    prints = materialise((prints_of or fingerprints)(hashed, ("_text",)), "simhash")
+    links = links_of(prints.withColumn("_key", key("doc_id", "_text")), hashed.withColumn("_key", key("doc_id", "_text"))) if links_of else None
+    reached = near_duplicate_components(prints.select("doc_id", "fp", "_text"), links)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_text")).alias("m")
     # within a component of null ids alone component_id is null; its rows have one fingerprint or are told apart by it
     firsts = reached.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first)
-    key = lambda i, t: F.xxhash64(i, t)
     chosen = materialise(
         firsts.select(F.col("m.doc_id").alias("_id"), F.col("m._text").alias("_hash")).distinct().withColumn("_chosen", key("_id", "_hash")), "firsts"
     )
