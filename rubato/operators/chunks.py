@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import interpolate_at
+
 
 def plan_chunks(recordings: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """Chunks of (recording_id, n_samples), each reaching ``overlap`` samples into its neighbours.
@@ -24,19 +26,32 @@ def plan_chunks(recordings: DataFrame, chunk: int, overlap: int) -> DataFrame:
     )
 
 
-def rates_in_chunks(chunks: DataFrame, rates: DataFrame, sample_rate: float, chunk: int) -> DataFrame:
+def points_in_chunks(chunks: DataFrame, rates: DataFrame, sample_rate: float, chunk: int) -> DataFrame:
     """Rate points within each chunk, both ends included, times shifted to its start.
 
-    A rate point is exploded to the few chunks that it can lie in, which makes
-    the range join an equi-join on (recording_id, index).
+    A chunk is exploded to the cells of ``chunk`` samples that it reaches, and
+    one more on either side against rounding, which makes the range join an
+    equi-join on (recording_id, cell) for any overlap.
     """
-    home = F.floor(F.col("t") * sample_rate / chunk).cast("int")
-    near = rates.withColumn("index", F.explode(F.sequence(F.greatest(F.lit(0), home - 1), home + 1)))
+    cell = lambda samples: F.floor(samples / chunk)
+    near = chunks.withColumn("_cell", F.explode(F.sequence(cell(F.col("start_sample")) - 1, cell(F.col("end_sample")) + 1)))
+    points = rates.select("recording_id", "t", "rate", cell(F.col("t") * sample_rate).alias("_cell"))
     start, end = F.col("start_sample") / sample_rate, F.col("end_sample") / sample_rate
-    met = chunks.join(near, ["recording_id", "index"]).where((F.col("t") >= start) & (F.col("t") <= end))
+    met = near.join(points, ["recording_id", "_cell"]).where((F.col("t") >= start) & (F.col("t") <= end))
     return met.select("recording_id", "index", (F.col("t") - start).alias("t"), "rate")
 
 
+def rates_in_chunks(chunks: DataFrame, rates: DataFrame, sample_rate: float, chunk: int) -> DataFrame:
+    """Rate curve of every chunk: its points, or where it has none the rate at its middle, at 0 and at its length."""
+    met = points_in_chunks(chunks, rates, sample_rate, chunk)
+    empty = chunks.join(met.select("recording_id", "index").distinct(), ["recording_id", "index"], "left_anti")
+    start, end = F.col("start_sample") / sample_rate, F.col("end_sample") / sample_rate
+    middles = empty.select("recording_id", F.col("index").alias("frame_idx"), ((start + end) / 2).alias("t"))
+    found = interpolate_at(rates, middles, "rate").select("recording_id", F.col("frame_idx").alias("index"), "rate")
+    ends = empty.select("recording_id", "index", F.explode(F.array(F.lit(0.0), end - start)).alias("t"))
+    return met.unionByName(ends.join(found, ["recording_id", "index"]))
+
+
 def overlap_add(frames: DataFrame, hop: int, window: Column | None = None) -> DataFrame:
     """(recording_id, sample_idx, value) from (recording_id, frame_idx, samples).
 

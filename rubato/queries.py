@@ -229,9 +229,27 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT recording_id, max(t) AS d FROM frames GROUP BY 1), LATERAL (SELECT unnest(range(greatest(1, ceil(ceil(d) / 86400)::INT))) AS i))
   SELECT c.recording_id, index::INT AS index, count(*) AS n, round(sum(1 + (1 - score) * 9), 4) AS sum_rate, round(min(t - a), 4) AS first_t FROM c JOIN scored s ON s.recording_id = c.recording_id AND t BETWEEN a AND b GROUP BY 1, 2""")
 def chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rates(spark, sf_dir, chunks.points_in_chunks)
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT recording_id, i AS index, greatest(0, i * 86400 - 7200) AS a, least(i * 86400 + 93600, ceil(d)) AS b
+    FROM (SELECT recording_id, max(t) AS d FROM frames GROUP BY 1), LATERAL (SELECT unnest(range(greatest(1, ceil(ceil(d) / 86400)::INT))) AS i)),
+  r AS (SELECT recording_id, t, 1 + (1 - score) * 9 AS rate FROM scored),
+  k AS (SELECT c.recording_id, index, a, b, (a + b) / 2 AS m, count(*) FILTER (t BETWEEN a AND b) AS n, sum(rate) FILTER (t BETWEEN a AND b) AS s, min(t - a) FILTER (t BETWEEN a AND b) AS f,
+      max(t) FILTER (t <= (a + b) / 2) AS t0, max_by(rate, {{'t': t, 'r': rate}}) FILTER (t <= (a + b) / 2) AS r0,
+      min(t) FILTER (t > (a + b) / 2) AS t1, min_by(rate, {{'t': t, 'r': rate}}) FILTER (t > (a + b) / 2) AS r1
+    FROM c JOIN r ON r.recording_id = c.recording_id GROUP BY ALL)
+  SELECT recording_id, index::INT AS index, CASE WHEN n = 0 THEN 2 ELSE n END AS n,
+      round(CASE WHEN n = 0 THEN 2 * CASE WHEN t0 IS NULL THEN r1 WHEN t1 IS NULL THEN r0 ELSE r0 + (r1 - r0) * (m - t0) / (t1 - t0) END ELSE s END, 4) AS sum_rate,
+      round(CASE WHEN n = 0 THEN 0 ELSE f END, 4) AS first_t FROM k""")
+def chunk_rates_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rates(spark, sf_dir, chunks.rates_in_chunks)
+
+
+def _chunk_rates(spark: SparkSession, sf_dir: str, within) -> DataFrame:
     scored = scored_events(read(spark, sf_dir, "events"))
     sizes = scored.groupBy("recording_id").agg(F.ceil(F.max("t")).alias("n_samples"))
-    found = chunks.rates_in_chunks(chunks.plan_chunks(sizes, 86_400, 7_200), scored.withColumn("rate", s.importance_to_rate(F.col("score"))), 1.0, 86_400)
+    found = within(chunks.plan_chunks(sizes, 86_400, 7_200), scored.withColumn("rate", s.importance_to_rate(F.col("score"))), 1.0, 86_400)
     return found.groupBy("recording_id", "index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rate"), 4).alias("sum_rate"), F.round(F.min("t"), 4).alias("first_t"))
 
 

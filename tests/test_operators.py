@@ -108,6 +108,17 @@ def test_chunks_cover_and_crossfade_restores(spark):
     assert np.allclose([r.value for r in joined.orderBy("sample_idx").collect()], x)
 
 
+def test_rates_in_empty_chunks_and_wide_overlaps(spark):
+    points = [0.5, 1.0, 4.5, 5.0]
+    plan = [(1, i, max(0, i * 10 - 25), min(i * 10 + 35, 60)) for i in range(6)] + [(2, 0, 0, 10), (2, 1, 10, 20), (2, 2, 20, 25)]
+    df = spark.createDataFrame(plan, "recording_id int, index int, start_sample long, end_sample long")
+    rows = [(1, t, 1 + t) for t in points] + [(2, 0.0, 1.0), (2, 2.4, 3.4)]
+    found = chunks.rates_in_chunks(df, spark.createDataFrame(rows, "recording_id int, t double, rate double"), 10.0, 10).collect()
+    want = [(r, i, t - a / 10, 1 + t) for r, i, a, b in plan for q, t, _ in rows if q == r and a / 10 <= t <= b / 10]
+    want += [(2, 1, 0.0, 2.5), (2, 1, 1.0, 2.5)]
+    assert np.allclose(sorted(tuple(r) for r in found), sorted(want))
+
+
 def test_signal_round_trips_and_properties():
     x = RNG.normal(size=5000) * 0.1
     assert np.allclose(signal.istft(signal.stft(x, 1024, 256), 1024, 256, 5000)[100:-200], x[100:-200])
