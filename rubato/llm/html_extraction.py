@@ -29,7 +29,7 @@ from .page_templates import training_pages
 PATH_BUCKETS, WORD_BUCKETS = 1 << 11, 1 << 12
 PATH_VECTOR, WORD_VECTOR, HIDDEN, N_STATS = 12, 8, 16, 9
 TRAINING_PAGES, EPOCHS, BATCH, RATE, SEED = 800, 7, 32, 0.01, 11
-#: Open elements that are followed; deeper ones are read as part of the deepest.
+#: Open elements that make a path; deeper ones have the path of the deepest of these.
 DEPTH = 200
 #: Pages read together, and padded blocks that the network sees at once; bounds of memory.
 GROUP_PAGES, GROUP_BLOCKS = 128, 1 << 15
@@ -43,6 +43,9 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""",
 NAME_WORD = re.compile(r"[A-Za-z]+")
 #: Their content is never text of the page.
 HIDDEN_TAGS = frozenset("script style noscript template title textarea iframe object svg math select".split())
+#: Of these, the ones that a slash before the ">" ends, unless it is the end of an unquoted value.
+FOREIGN = frozenset(("svg", "math"))
+UNQUOTED_END = re.compile(r"""=\s*[^\s"'][^\s]*\Z""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open element of this kind ends where one of its family begins.
@@ -79,7 +82,8 @@ def element_buckets(tag: str, attrs: str) -> tuple[int, ...]:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, white space made single, references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []  # open elements, each with the path to it
+    stack: list[tuple[str, tuple[int, ...], int]] = []  # name, path, place of the innermost block-level element
+    opened: dict[str, int] = {}
     parts: list[str] = []
     links = link_chars = 0
 
@@ -89,25 +93,28 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         text = " ".join((html.unescape(joined) if "&" in joined else joined).split())
         if text:
-            block_tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-            out.append(Block(text, (stack[-1][1] if stack else ()) + tag_buckets("leaf " + block_tag[:16]), link_chars, len(stack)))
+            block_tag = stack[stack[-1][2]][0] if stack and stack[-1][2] >= 0 else ""
+            out.append(Block(text, (stack[-1][1] if stack else ()) + tag_buckets("leaf " + block_tag[:16]), link_chars, min(len(stack), DEPTH)))
         link_chars = 0
 
+    def cut(start: int, stop: int) -> None:
+        for name, _, _ in stack[start:stop]:
+            opened[name] -= 1
+        del stack[start:stop]
+
     def close(tags: tuple[str, ...]) -> None:
         """End the innermost block-level element if it is one of ``tags``."""
-        for i in range(len(stack) - 1, -1, -1):
-            name = stack[i][0]
-            if name in tags:
-                del stack[i:]
-                return
-            if name not in INLINE:
-                return
+        i = stack[-1][2] if stack else -1
+        if i >= 0 and stack[i][0] in tags:
+            cut(i, len(stack))
 
     def end_tag(tag: str, within: bool) -> None:
         """Close ``tag``; an inline element only within its block, and alone."""
+        if not opened.get(tag):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                del stack[i : i + 1 if within else len(stack)]
+                cut(i, i + 1 if within else len(stack))
                 return
             if within and stack[i][0] not in INLINE:
                 return
@@ -142,6 +149,8 @@ def blocks_of(page: str) -> list[Block]:
                 links = 0
             continue
         if tag in HIDDEN_TAGS:
+            if tag in FOREIGN and attrs and attrs[-1] == "/" and not UNQUOTED_END.search(attrs):
+                continue
             found = CLOSERS[tag].search(page, at)
             close_at = page.find(">", found.end()) if found else -1
             at = close_at + 1 if close_at >= 0 else end
@@ -158,9 +167,14 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             links = 0
             close(FAMILY.get(tag, ("p",)))
-        if tag not in VOID and len(stack) < DEPTH and not (attrs and attrs[-1] == "/"):
-            own = element_buckets(tag, attrs) if attrs and "=" in attrs else tag_buckets(tag[:16])
-            stack.append((tag, stack[-1][1] + own if stack else own))
+        if tag not in VOID and not (attrs and attrs[-1] == "/"):
+            if len(stack) < DEPTH:
+                own = element_buckets(tag, attrs) if attrs and "=" in attrs else tag_buckets(tag[:16])
+                path = stack[-1][1] + own if stack else own
+            else:
+                path = stack[-1][1]
+            stack.append((tag, path, len(stack) if not inline else stack[-1][2] if stack else -1))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 

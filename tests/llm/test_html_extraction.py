@@ -24,6 +24,14 @@ def test_blocks_and_references():
     assert h.blocks_of("") == [] and h.blocks_of("<script>x") == []
 
 
+def test_empty_foreign_elements_and_deep_markup():
+    assert [b.text for b in h.blocks_of('<p>a<svg width="1"/>b<p>c<math/>d<svg>x</svg>e<p>f<svg class=y/>x</svg>g')] == ["ab", "cde", "fg"]
+    deep = h.blocks_of("<div>" * 250 + "in" + "</div>" * 249 + "<p>out</p></div><p>after</p>")
+    flat = h.blocks_of("<div><p>out</p></div><p>after</p>")
+    assert [b.text for b in deep] == ["in", "out", "after"]
+    assert [(b.path, b.depth) for b in deep[1:]] == [(b.path, b.depth) for b in flat]
+
+
 def test_article_is_found():
     text = h.main_texts(h.trained_labeller(), [PAGE, None, "", "<p>"])
     assert text[1:] == ["", "", ""]
