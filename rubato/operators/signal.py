@@ -122,13 +122,13 @@ def prosodic_modulation(scores: np.ndarray, times: np.ndarray, x: np.ndarray, sa
     return np.clip(scores * (floor + (1 - floor) * at), 0, 1)
 
 
-def click_frames(energy: np.ndarray, width: int, threshold: float) -> np.ndarray:
-    """Frames far above the running median of full windows."""
+def click_frames(energy: np.ndarray, width: int, threshold: float, floored: bool = False) -> np.ndarray:
+    """Frames far above the running median of full windows; a median of 1e-10 or less counts as 1e-10 if ``floored``, else it has no clicks."""
     half, found = width // 2, np.zeros(len(energy), bool)
     if len(energy) > 2 * half:
         median = np.median(np.lib.stride_tricks.sliding_window_view(energy, 2 * half + 1), axis=1)
         inner = energy[half : len(energy) - half]
-        found[half : len(energy) - half] = (median > 1e-10) & (inner > threshold * median)
+        found[half : len(energy) - half] = (floored | (median > 1e-10)) & (inner > threshold * np.maximum(median, 1e-10))
     return found
 
 
@@ -161,9 +161,9 @@ def spectral_clicks(x: np.ndarray, sample_rate: int = SAMPLE_RATE, frame_ms: flo
     if n < 5:
         return 0
     power = np.abs(np.fft.rfft(x[: n * size].reshape(n, size), axis=1)) ** 2
-    low = power[:, np.fft.rfftfreq(size, 1 / sample_rate) <= low_hz].sum(axis=1)
+    low = power[:, np.fft.rfftfreq(size, 1 / sample_rate) <= low_hz].mean(axis=1)
     width = max(3, int(median_ms / frame_ms)) | 1
-    return int((click_frames(power.sum(axis=1), width, threshold) | click_frames(low, width, threshold)).sum())
+    return int((click_frames(power.mean(axis=1), width, threshold, True) | click_frames(low, width, threshold, True)).sum())
 
 
 def match_tilt(reference: np.ndarray, x: np.ndarray, n_fft: int = 2048, max_db: float = 4.5) -> np.ndarray:

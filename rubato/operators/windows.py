@@ -138,6 +138,18 @@ def click_counts(energy: DataFrame, width: int = 25, threshold: float = 3.0, sec
     return counted.select("recording_id", "n_clicks", F.when(duration < 0.01, 0.0).otherwise(F.col("n_clicks") / duration).alias("clicks_per_second"))
 
 
+def clicks_per_second(energy: DataFrame, spectral: DataFrame, durations: DataFrame) -> DataFrame:
+    """(recording_id, n_clicks, clicks_per_second): the greater of the clicks in ``energy`` and in ``spectral``.
+
+    ``energy`` is as in ``click_counts``, ``spectral`` has recording_id and
+    n_clicks, ``durations`` recording_id and duration in seconds.
+    """
+    loud = click_counts(energy).select("recording_id", F.col("n_clicks").alias("_loud"))
+    both = durations.join(loud, "recording_id", "left").join(spectral.select("recording_id", F.col("n_clicks").alias("_spectral")), "recording_id", "left")
+    n = F.coalesce(F.greatest("_loud", "_spectral"), F.lit(0)).cast("long")
+    return both.select("recording_id", n.alias("n_clicks"), F.when(F.col("duration") < 0.01, 0.0).otherwise(n / F.col("duration")).alias("clicks_per_second"))
+
+
 def voice_activity(rms: Column) -> Column:
     return (peak_normalised(rms) > 0.05).cast("double")
 

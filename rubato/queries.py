@@ -380,6 +380,16 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.select("recording_id", held.alias("samples"))
 
 
+@query()
+def clicks_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = _signals(spark, sf_dir)
+    samples = signals.select("recording_id", F.posexplode("samples").alias("frame_idx", "value"))
+    found = signal.per_recording(signals, lambda x: np.array([float(signal.spectral_clicks(x))]))
+    spectral = found.select("recording_id", F.get("samples", F.lit(0)).cast("long").alias("n_clicks"))
+    durations = signals.select("recording_id", (F.size("samples") / signal.SAMPLE_RATE).alias("duration"))
+    return w.clicks_per_second(w.frame_energy(samples, 48), spectral, durations)
+
+
 def _summary(df: DataFrame) -> DataFrame:
     x = F.col("samples")
     power = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)

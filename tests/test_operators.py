@@ -119,6 +119,19 @@ def test_rates_in_empty_chunks_and_wide_overlaps(spark):
     assert np.allclose(sorted(tuple(r) for r in found), sorted(want))
 
 
+def test_clicks_of_the_spectrum_count(spark):
+    quiet = [(1, i, 1.0) for i in range(60)] + [(2, i, 9.0 if i in (20, 30, 40) else 1.0) for i in range(60)]
+    energy = spark.createDataFrame(quiet, "recording_id int, frame_idx int, energy double")
+    spectral = spark.createDataFrame([(1, 2), (2, 1), (3, 4)], "recording_id int, n_clicks long")
+    durations = spark.createDataFrame([(1, 0.12), (2, 0.12), (3, 0.001), (4, 1.0)], "recording_id int, duration double")
+    found = w.clicks_per_second(energy, spectral, durations).orderBy("recording_id").collect()
+    assert [r.n_clicks for r in found] == [2, 3, 4, 0]
+    silence = np.zeros(24_000)
+    silence[12_000] = 1.0
+    assert signal.spectral_clicks(silence) == 1
+    assert np.allclose([r.clicks_per_second for r in found], [2 / 0.12, 3 / 0.12, 0, 0])
+
+
 def test_signal_round_trips_and_properties():
     x = RNG.normal(size=5000) * 0.1
     assert np.allclose(signal.istft(signal.stft(x, 1024, 256), 1024, 256, 5000)[100:-200], x[100:-200])
