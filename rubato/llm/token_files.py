@@ -41,8 +41,8 @@ BLOCK_IDS = 1 << 20
 SHARDS_PER_PARTITION = 4
 #: Words kept in a worker's cache; beyond it the cache starts anew.
 CACHE_WORDS = 1 << 20
-#: Rounds of replacement, pairs replaced in a round, and the least count that pays.
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 5, 2048, 16
+#: Pairs replaced in a round, the most frequent first, and the least count that pays.
+PAIRS_A_ROUND, LEAST_COUNT = 2048, 16
 HEAD = struct.Struct("<4s4Q2I")
 
 
@@ -100,7 +100,8 @@ class WordEncoder:
         """The ids of each text; words are told apart by Arrow, so the cache is asked once for each distinct word."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        whole = texts.cast(pa.large_string()).fill_null("")
+        # copied first: pyarrow's ascii_lower reads beside the slice in an array that is a slice and then cast
+        whole = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()).fill_null("")
         raw = whole.cast(pa.large_binary())
         unsafe = reduce(pc.or_, [pc.match_substring(raw, x) for x in self.UNSAFE])
         words = pc.ascii_split_whitespace(pc.if_else(unsafe, whole, pc.ascii_lower(whole)))
@@ -128,15 +129,16 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def frequent_pairs(codes: np.ndarray) -> np.ndarray:
-    """The pair codes to replace next, ascending."""
+def frequent_pairs(codes: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The pair codes to replace next, ascending, and whether these are all that pay."""
     ordered = np.sort(codes)
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[starts, len(ordered)])
     best = np.flatnonzero(counts >= LEAST_COUNT)
-    if len(best) > PAIRS_A_ROUND:
+    whole = len(best) <= PAIRS_A_ROUND
+    if not whole:
         best = best[np.argsort(-counts[best], kind="stable")[:PAIRS_A_ROUND]]
-    return np.sort(ordered[starts[best]])
+    return np.sort(ordered[starts[best]]), whole
 
 
 @dataclass
@@ -152,35 +154,41 @@ class Grammar:
 
     @classmethod
     def build(cls, ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> Grammar:
+        """Replace pairs round by round until no pair is left that pays."""
         s = ids.astype(np.uint32)
         last = np.zeros(len(s), bool)
         last[ends[np.diff(np.r_[0, ends]) > 0] - 1] = True
         lefts, rights = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         lengths = np.ones(vocabulary, np.uint32)
-        # two symbols make one number, of 32 bits where all symbols stay below 2**16
-        half = 16 if vocabulary + ROUNDS * PAIRS_A_ROUND <= 1 << 16 else 32
-        kind = np.uint32 if half == 16 else np.uint64
-        for _ in range(ROUNDS):
-            if len(s) < 2:
-                break
-            codes = s[:-1].astype(kind) << kind(half) | s[1:]
+        # a round that replaces all pairs that pay leaves none of two symbols older than itself
+        older = 0
+        while len(s) > 1:
+            # two symbols make one number, of 32 bits where all symbols stay below 2**16
+            half = 16 if len(lengths) + PAIRS_A_ROUND <= 1 << 16 else 32
+            kind = np.uint32 if half == 16 else np.uint64
             open_ = ~last[:-1]
-            chosen = frequent_pairs(codes[open_])
+            if older:
+                fresh = s >= older
+                open_ &= fresh[:-1] | fresh[1:]
+            at = np.flatnonzero(open_)
+            codes = s[at].astype(kind) << kind(half) | s[at + 1]
+            chosen, whole = frequent_pairs(codes)
             if not len(chosen):
                 break
+            older = len(lengths) if whole else older
             a, b = (chosen >> kind(half)).astype(np.uint32), (chosen & kind((1 << half) - 1)).astype(np.uint32)
             begins, goes_on = np.zeros(len(lengths), bool), np.zeros(len(lengths), bool)
             begins[a], goes_on[b] = True, True
-            maybe = np.flatnonzero(begins[s[:-1]] & goes_on[s[1:]] & open_)
-            at = np.minimum(np.searchsorted(chosen, codes[maybe]), len(chosen) - 1)
-            same = chosen[at] == codes[maybe]
-            hit, at = maybe[same], at[same]
+            maybe = np.flatnonzero(begins[s[at]] & goes_on[s[at + 1]])
+            which = np.minimum(np.searchsorted(chosen, codes[maybe]), len(chosen) - 1)
+            same = chosen[which] == codes[maybe]
+            hit, which = at[maybe[same]], which[same]
             # of overlapping pairs in a row, every second one is replaced
             starts = np.r_[True, np.diff(hit) > 1]
             first = hit[np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))]
             take = (hit - first) % 2 == 0
-            hit, at = hit[take], at[take]
-            s[hit] = len(lengths) + at
+            hit, which = hit[take], which[take]
+            s[hit] = len(lengths) + which
             last[hit] = last[hit + 1]
             keep = np.ones(len(s), bool)
             keep[hit + 1] = False
@@ -319,7 +327,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     docs = blocks.select("shard", "block", "doc_ids", "payload").mapInArrow(
         run, "shard int, block int, doc_id long, in_block long, n_tokens long, ids_crc32 long"
     )
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    # one row per shard, and the shards are SHARDS_PER_PARTITION times the shuffle partitions at most
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     starts = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("_in_shard")).join(shards, "shard")

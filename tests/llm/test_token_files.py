@@ -65,3 +65,32 @@ def test_awkward_rows(spark, awkward, no_rows, library):
     empty = scratch_path(spark, "tokens")
     token_files.write_token_files(no_rows, empty)
     assert token_files.read_token_files(spark, empty).count() == 0
+
+
+def test_slices_of_a_large_batch(spark, library):
+    rng = np.random.default_rng(4)
+    words = ["Plain", "WORDS", "of", "ASCII", "only", "don't", "1234"]
+    rows = [(i, " ".join(rng.choice(words + ["été", "Ünïcode", "中文"] * (i % 2), 5).tolist())) for i in range(12_000)]  # over 512 a task
+    texts = pa.array([t for _, t in rows])
+    for lo in (0, 512, 1536):
+        part = texts.slice(lo, 512)
+        for text, ids in zip(part.to_pylist(), token_files.word_encoder(PATH).encode(part), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    path = scratch_path(spark, "tokens")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path)
+    found = token_files.read_token_files(spark, path).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == brute(rows, library)
+
+
+def test_replacement_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(6)
+    phrase = rng.integers(0, 40_000, 3000)
+    ids = np.concatenate([phrase] * 40 + [rng.integers(0, 300, 60_000)]).astype(np.uint32)
+    ends = np.array([3000 * i for i in range(1, 41)] + [len(ids)])
+    grammar = Grammar.build(ids, ends, 49_408)
+    assert np.array_equal(grammar.expand(grammar.symbols), ids)
+    # whole copies shrink to a symbol each, but for what the random part shares with them
+    assert len(grammar.symbols) < 60_000 + 40 * 50
+    upto = np.cumsum(np.r_[np.ones(49_408, np.int64), grammar.lengths][grammar.symbols])
+    pairs = np.stack([grammar.symbols[:-1], grammar.symbols[1:]], 1)[~np.isin(upto[:-1], ends)]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < token_files.LEAST_COUNT
