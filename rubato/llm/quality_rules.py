@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -147,16 +147,20 @@ def select_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA,
 
     ``labels`` has doc_id and quality (1: good); rows that contradict each
     other on a document are left out.  Documents that fail the base rules are
-    no part of the test, as no cutoff decides on them.  Only counts by stratum,
-    rule, cutoff and label meet in one group.
+    no part of the test, as no cutoff decides on them.  The binomial bound needs
+    independent trials, so equal texts (``features`` has their text_hash) of one
+    stratum and label count once, whatever their doc_ids; without a text_hash,
+    rows of one doc_id do.  Only counts by stratum, rule, cutoff and label meet
+    in one group.
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q1")).where("quality = q1").drop("q1")
     values = scores()
     # the number of cutoffs, from the lenient end, that the document passes
     passed = lambda s: F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS]), lambda c: s <= c))
+    trial = "text_hash" if "text_hash" in features.columns else "doc_id"
     rated = features.where(~base_failed()).join(known, "doc_id").select(
-        F.col("lang").alias("stratum"), "quality", *[passed(values[r]).alias(r) for r in RULES]
-    )
+        F.col("lang").alias("stratum"), "quality", F.col(trial).alias("trial"), *[passed(values[r]).alias(r) for r in RULES]
+    ).dropDuplicates(["stratum", "quality", "trial"])
     long = rated.select(
         "stratum", "quality", F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r).alias("passed")) for i, r in enumerate(RULES)])).alias("x")
     )
@@ -194,6 +198,11 @@ def judge(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
     )
 
 
+def hashed_features(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text_hash and the counts of every row of ``docs``, written once."""
+    return materialise(rule_features(docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash")), ("doc_id", "lang", "text_hash")), "rule-features")
+
+
 def apply_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts and verdict of every document.
 
@@ -201,19 +210,20 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     alike, each on its own.  An empty input gives an empty result; columns of
     ``docs`` besides doc_id, text and lang are ignored.
     """
-    features = materialise(rule_features(docs), "rule-features")
+    features = hashed_features(docs)
     return judge(features, materialise(select_cutoffs(features, labels), "rule-cutoffs"))
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the rules keep.
 
-    Cutoffs come from the labelled documents alone, so the first pass counts
-    those and the second judges every row as it streams by; no text is shuffled.
+    The first pass counts every row, and its counts alone are joined to the
+    labels; the second judges every row as it streams by.  So no text is
+    shuffled, however many labels there are.
     """
-    known = labels.select("doc_id").distinct()
-    features = materialise(rule_features(docs.join(known, "doc_id", "left_semi")), "rule-features")
+    features = hashed_features(docs)
     cutoffs = materialise(select_cutoffs(features, labels), "rule-cutoffs")
+    discard(features)
     packed = docs.select(F.struct("*").alias("_doc"), "lang", "text")
     return judge(rule_features(packed, ("_doc", "lang")), cutoffs).where("kept").select("_doc.*")
 

@@ -74,3 +74,17 @@ def test_contradicting_labels_are_left_out(spark):
     features = spark.createDataFrame([(i, "en", 100, 500, 0, 0, 0, 5, 0, 400) for i in range(50)], "doc_id long, lang string, " + q.FEATURES)
     labels = spark.createDataFrame([(i, x) for i in range(50) for x in (0, 1)], "doc_id long, quality int")
     assert q.select_cutoffs(features, labels).count() == 0
+
+
+def test_equal_texts_are_one_trial(spark):
+    """Copies of a good text under many ids, and repeated rows, give no evidence beyond one."""
+    row = lambda i, h, upper: (i, "en", h, 100, 500, 0, 0, 0, 5, upper, 400)
+    schema = "doc_id long, lang string, text_hash long, " + q.FEATURES
+    good, bad = [row(i, 1, 0) for i in range(4000)], [row(i, i, 399) for i in range(5000, 5050)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 5000)) for r in good + bad], "doc_id long, quality int")
+    found = q.select_cutoffs(spark.createDataFrame(good + bad, schema), labels).first()
+    assert all(found[r] == math.inf for r in q.RULES)
+    apart = [row(i, -i, 0) for i in range(4000)]
+    assert q.select_cutoffs(spark.createDataFrame(apart + bad, schema), labels).first()["upper_share"] < 1
+    again = spark.createDataFrame([good[0][:2] + good[0][3:]] * 4000 + [b[:2] + b[3:] for b in bad], "doc_id long, lang string, " + q.FEATURES)
+    assert q.select_cutoffs(again, labels).first()["upper_share"] == math.inf
