@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, join_on_key, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     the lowest hash of that round, and replaces the links by those between the
     images; what has become a loop goes.  The hash order makes long chains
     shrink by a constant factor as well.  A hub's neighbours are combined
-    before the shuffle, and only "are links left" reaches the driver.
+    before the shuffle, its links and the members of a large component are
+    joined apart (``join_on_key``), and only counts reach the driver.  A round's
+    tables are deleted when the next one's are written.
     An empty table of links gives an empty result.
     """
 
@@ -28,21 +30,27 @@ def connected_components(links: DataFrame) -> DataFrame:
     step = 0
     while found is None or not links.isEmpty():
         step += 1
-        both = links.union(links.select("v", "u"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), c.alias("n"))
-        images = both.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), F.min(rank(F.col("u")))).alias("m"))
-        hooks = materialise(images.select(F.col("u").alias("node"), F.col("m.n").alias("image")), "hooks")
+        degrees = [F.count_if(F.col(c)).alias(f"_{c}") for c in ("of_u", "of_v")]  # how often a node is either end
+        sides = links.select("u", "v", F.lit(True).alias("of_u"), F.lit(False).alias("of_v")).union(links.select("v", "u", F.lit(False), F.lit(True)))
+        images = sides.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), F.min(rank(F.col("u")))).alias("m"), *degrees)
+        hooks = materialise(images.select(F.col("u").alias("node"), F.col("m.n").alias("image"), "_of_u", "_of_v"), "hooks")
         if found is None:
             found = hooks.select("node", F.col("image").alias("component"))
+            kept = [hooks]  # the next round still reads it
         else:
             moved = hooks.select(F.col("node").alias("component"), "image")
-            found = materialise(
-                found.join(moved, "component", "left").select("node", F.coalesce("image", "component").alias("component")),
-                "components",
-            )
-        of_u = hooks.select(F.col("node").alias("u"), F.col("image").alias("iu"))
-        of_v = hooks.select(F.col("node").alias("v"), F.col("image").alias("iv"))
-        links = materialise(
-            distinct(links.join(of_u, "u").join(of_v, "v").select(F.col("iu").alias("u"), F.col("iv").alias("v"))), "links"
-        )
+            sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+            names = materialise(sizes.join(moved, "component", "left").select("component", F.coalesce("image", "component").alias("image"), "_n"), "names")
+            renamed = materialise(join_on_key(found, names, "component").select("node", F.col("image").alias("component")), "components")
+            discard(names, *kept)
+            found, kept = renamed, [renamed]
+        of_u = hooks.where("_of_u > 0").select(F.col("node").alias("u"), F.col("image").alias("iu"), F.col("_of_u").alias("_n"))
+        of_v = hooks.where("_of_v > 0").select(F.col("node").alias("v"), F.col("image").alias("iv"), F.col("_of_v").alias("_n"))
+        moved_links = join_on_key(join_on_key(links, of_u, "u"), of_v, "v").select(F.col("iu").alias("u"), F.col("iv").alias("v"))
+        left = materialise(distinct(moved_links), "links")
+        discard(links, *(() if kept[0] is hooks else (hooks,)))
+        links = left
+    discard(links)
+    found._materialised = kept[0]._materialised
     return found

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, table
+from .common import discard, join_on_key, materialise, shuffle_partitions, table
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -48,6 +48,8 @@ N, K = 23, 12
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Runs of equal keys up to this length are compared pair by pair in numpy, longer ones by search.
 SHORT_RUN = 8
+#: Longer runs are first told apart by the bits in which their members differ.
+LONG_RUN = 512
 #: Shingles hashed at once; bounds memory for very long texts.
 SHINGLE_BLOCK = 1 << 16
 
@@ -186,8 +188,28 @@ def spanning_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(us or [none]), np.concatenate(vs or [none])
 
 
-def links_in_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links between rows of equal key; ``keys`` is sorted."""
+def links_in_long_run(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is connected in a long run, without comparing all of it with all.
+
+    The bits in which its members differ at all are dealt into ``MAX_BITS + 1``
+    groups.  Two members that are near agree in one group wholly, so they meet
+    in the run that shares this group's bits.
+    """
+    differ = np.bitwise_or.reduce(fps ^ fps[0]).view(np.uint64)
+    bits = [b for b in range(64) if int(differ) >> b & 1]
+    us, vs = [], []
+    for group in range(MAX_BITS + 1):
+        own = np.uint64(sum(1 << b for b in bits[group :: MAX_BITS + 1]))
+        part = (fps.view(np.uint64) & own).view(np.int64)
+        order = np.argsort(part, kind="stable")
+        u, v = links_in_runs(part[order], fps[order], split=False)
+        us.append(u)
+        vs.append(v)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def links_in_runs(keys: np.ndarray, fps: np.ndarray, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links between rows of equal key; ``keys`` is sorted, ``split`` tells long runs apart further."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
     us, vs = [], []
@@ -201,7 +223,7 @@ def links_in_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.nda
         us.append(f[at])
         vs.append(f[at + d])
     for s, n in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN], strict=True):
-        u, v = spanning_links(fps[s : s + n])
+        u, v = (links_in_long_run if split and n > LONG_RUN else spanning_links)(fps[s : s + n])
         us.append(u)
         vs.append(v)
     none = np.zeros(0, np.int64)
@@ -246,19 +268,21 @@ def near_duplicate_components(prints: DataFrame, links: DataFrame | None = None)
     there is no other; then ``component_id`` is null.  Repeated rows all stay.
     """
     spark = prints.sparkSession
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
+    counted = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_n"))
+    distinct = materialise(counted, "fingerprints")
     if links is None:
         keyed = distinct.select("fp").mapInArrow(emit_keys, "key long, fp long")
         n = shuffle_partitions(spark)
         links = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(emit_links, "u long, v long")
     classes = connected_components(links)
     of_class = distinct.join(classes, distinct["fp"] == classes["node"])
-    firsts = of_class.groupBy("component").agg(F.min("first_id").alias("class_first"))
-    lowest = of_class.join(firsts, "component").select(F.col("fp").alias("linked_fp"), "class_first")
-    ids = distinct.join(lowest, distinct["fp"] == lowest["linked_fp"], "left").select(
-        F.col("fp").alias("known_fp"), F.coalesce("class_first", "first_id").alias("component_id")
-    )
-    return prints.join(ids, prints["fp"] == ids["known_fp"]).select(*prints.columns, "component_id")
+    firsts = of_class.groupBy("component").agg(F.min("first_id").alias("class_first"), F.count(F.lit(1)).alias("_n"))
+    sized = materialise(firsts, "classes")
+    lowest = join_on_key(of_class.select("component", "fp"), sized, "component").select(F.col("fp").alias("linked_fp"), "class_first")
+    named = distinct.join(lowest, distinct["fp"] == lowest["linked_fp"], "left")
+    ids = materialise(named.select("fp", F.coalesce("class_first", "first_id").alias("component_id"), "_n"), "component-ids")
+    discard(sized, distinct, classes)
+    return join_on_key(prints, ids, "fp").select(*prints.columns, "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -272,7 +296,8 @@ def one_of_each_group(docs: DataFrame, prints_of=None, links_of=None) -> DataFra
     ``prints_of`` and ``links_of`` take the place of the fingerprints and of the
     search by bits, as ``near_copies.set_prints`` and ``set_links`` do.
     First is the smallest doc_id, null last, and among rows that share it the
-    smallest fingerprint and text hash; of wholly equal rows one stays.
+    smallest fingerprint and text hash; of rows equal in doc_id and text the one
+    whose other columns come first as JSON, so that reruns agree.
     """
     packed = F.struct("*").alias("_doc")
     hashed = docs.select(packed, F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
@@ -283,14 +308,19 @@ def one_of_each_group(docs: DataFrame, prints_of=None, links_of=None) -> DataFra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_text")).alias("m")
     # within a component of null ids alone component_id is null; its rows have one fingerprint or are told apart by it
     firsts = reached.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first)
-    chosen = materialise(
-        firsts.select(F.col("m.doc_id").alias("_id"), F.col("m._text").alias("_hash")).distinct().withColumn("_chosen", key("_id", "_hash")), "firsts"
-    )
-    # one key for the join, the rest as a plain condition: so the rows' one shuffle serves the last step as well
+    chosen = firsts.select(key("m.doc_id", "m._text").alias("_key"), F.col("m.doc_id").alias("_id"), F.col("m._text").alias("_hash")).distinct()
+    counts = prints.groupBy(key("doc_id", "_text").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = materialise(chosen.join(counts, "_key"), "firsts")
+    # one key for the join, the rest as a plain condition: so the rows' one shuffle serves the choice as well
     keyed = hashed.withColumn("_key", key("doc_id", "_text"))
-    same_id = F.coalesce(~(keyed["doc_id"] != chosen["_id"]), keyed["doc_id"].isNull() & chosen["_id"].isNull())
-    met = keyed.join(chosen, (keyed["_key"] == chosen["_chosen"]) & same_id & ~(keyed["_text"] != chosen["_hash"]), "left_semi")
-    return met.select("_doc", "_key", "doc_id", "_text").dropDuplicates(["_key", "doc_id", "_text"]).select("_doc.*")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    told = F.to_json(F.struct(*[F.col(f"_doc.`{c}`").alias(f"c{i}") for i, c in enumerate(others)])) if others else F.lit("")
+
+    def one_of(met: DataFrame) -> DataFrame:
+        own = met.where(F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_hash")))
+        return own.groupBy("_key", "doc_id", "_text").agg(F.min_by("_doc", told).alias("_doc"))
+
+    return join_on_key(keyed, kept, "_key", one_of).select("_doc.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,34 @@ def test_sets_and_similarity():
     assert [len(s) for s in sets] == [len(brute_set(t)) for t in texts] and np.array_equal(sets[2], sets[3])
     x, y = np.arange(9, dtype=np.uint64), np.arange(10, dtype=np.uint64)
     assert n.similar(x, y, 0.9) and not n.similar(x, y, 0.91) and n.similar(y[:8], y, 0.8) and not n.similar(y[:8], y[2:], 0.8)
+
+
+def test_a_group_too_large_for_one_task(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(n, "LARGE_GROUP", 30)
+    monkeypatch.setattr(n, "PIVOTS", 2)
+    rng = np.random.default_rng(8)
+    words = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    base, rows = words(150), {}
+    for i in range(120):  # near the base, not always near each other
+        text = list(base)
+        for at in rng.integers(0, 150, 3):
+            text[at] = f"x{i}"
+        rows[i] = " ".join(text)
+    chain = words(300)
+    for i in range(60):  # one group of which each is near its neighbours alone
+        rows[200 + i] = " ".join(chain)
+        chain = chain[20:] + words(20)
+    docs = spark.createDataFrame([(k, t) for k, t in rows.items()], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, small_dir).collect()}
+    assert kept == set(brute_groups(rows).values())
+
+
+def test_hot_rows_and_ties(spark, small_dir, monkeypatch):
+    monkeypatch.setattr("rubato.llm.common.HOT_SHARE", 20)
+    rng = np.random.default_rng(9)
+    other = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(60)]
+    rows = [(7, "one text that is there again and again", f"s{i % 3}") for i in range(40)]
+    rows += [(None, other[0], "s")] * 30 + [(i + 10, t, "s") for i, t in enumerate(other)] + [(i + 100, other[0], "s") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    kept = sorted((r.doc_id, r.text, r.source) for r in corpus_pipeline.near_dedup_stage(spark, docs, small_dir).collect())
+    assert kept == sorted([(7, rows[0][1], "s0")] + [(i + 10, t, "s") for i, t in enumerate(other)])

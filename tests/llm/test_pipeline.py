@@ -11,15 +11,14 @@ import tiktoken
 from rubato.llm import byte_bpe, mixing, quality_classifier, quality_rules
 
 from .test_mixing import brute_targets
-from .test_simhash import brute_components, brute_fingerprint
+from .test_near_copies import brute_groups
 
 
 def test_pipeline_equals_its_parts(spark, small_dir):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
     fine = {r.doc_id for r in quality_rules.op6_quality_rules(spark, small_dir).where("kept").collect()}
     fine &= {r.doc_id for r in quality_classifier.op9_quality_classifier(spark, small_dir).where("predicted = 1").collect()}
-    groups = brute_components([(d, brute_fingerprint(docs[d].text)) for d in fine])
-    left = {d for d, _, c in groups if d == c}
+    left = set(brute_groups({d: docs[d].text for d in fine}).values())
     kept = spark.createDataFrame([docs[d] for d in sorted(left)], spark.read.parquet(f"{small_dir}/documents.parquet").schema)
     times = {r.doc_id: r.repeats for r in mixing.mix_documents(kept).collect()}
     sizes, taken, most = defaultdict(int), defaultdict(int), 0

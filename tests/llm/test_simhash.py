@@ -107,3 +107,34 @@ def test_awkward_rows(spark, awkward, no_rows):
     groups = {c if c is not None else ("none", f) for _, f, c in brute_components(rows)}
     assert kept.count() == len(groups)
     assert s.simhash_components(no_rows).count() == 0 and s.one_of_each_group(no_rows).count() == 0
+
+
+def test_long_runs_are_told_apart_without_loss():
+    rng = np.random.default_rng(5)
+    fixed = np.uint64(0xABCDE12345 << 24)
+    fps = np.unique(fixed | rng.integers(0, 1 << 18, 700, np.uint64))
+    u, v = s.links_in_long_run(fps.view(np.int64))
+    rows = [(i, int(f)) for i, f in enumerate(fps)]
+    want = {frozenset((a, b)) for i, (_, a) in enumerate(rows) for _, b in rows[:i] if (a ^ b).bit_count() <= 3}
+    found = {frozenset((int(a), int(b))) for a, b in zip(u.view(np.uint64), v.view(np.uint64), strict=True)}
+    assert found <= want
+    parent = {int(f): int(f) for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for a, b in map(tuple, found):
+        parent[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in map(tuple, want)) and len(want) > 100
+
+
+def test_a_hot_fingerprint_and_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("rubato.llm.common.HOT_SHARE", 10)
+    rng = random.Random(3)
+    hub = rng.getrandbits(64)
+    rows = [(i, hub) for i in range(200)] + [(200 + i, hub ^ 1 << i) for i in range(64)] + [(300 + i, rng.getrandbits(64)) for i in range(200)]
+    prints = spark.createDataFrame([(d, signed(f)) for d, f in rows], "doc_id long, fp long").repartition(5)
+    found = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in s.near_duplicate_components(prints).collect()), key=repr)
+    assert found == brute_components(rows)
