@@ -29,13 +29,13 @@ from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces kept in a worker's cache; beyond it the cache starts anew.
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 17
 #: Longest piece, in bytes, whose pairs are kept in a plain list.
 SHORT_PIECE = 48
 #: Code points looked at together; bounds memory.  A longer text is a group of its own.
 GROUP_CHARS = 1 << 18
 #: Rows of a batch whose texts are held as Python strings at a time.
-ROWS_AT_A_TIME = 512
+ROWS_AT_A_TIME = 256
 #: Characters per block of the scan.
 BLOCK = 64
 
@@ -281,58 +281,74 @@ def grouped(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches of the columns ``keep``, ids and offsets from batches with a text."""
+    enc = encoder(path)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS_AT_A_TIME):
+            rows = batch.slice(lo, ROWS_AT_A_TIME)
+            at = 0
+            for group in grouped([t or "" for t in rows.column("text").to_pylist()]):
+                found = enc.encode(group)
+                bounds = np.r_[0, np.cumsum([len(i) for i, _ in found])].astype(np.int32)
+                ids = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([i for i, _ in found]).astype(np.int32)))
+                offsets = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([o for _, o in found]).astype(np.int32)))
+                part = rows.slice(at, len(group))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids, offsets], [*keep, "ids", "offsets"])
+
+
+def digest_batches(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches of the columns ``keep``, n_tokens and digests from batches with ids, which are decoded."""
+    enc = encoder(path)
+    for batch in batches:
+        column = batch.column("ids")
+        bounds, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        n, of_ids, of_bytes = [], [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            ids = values[a:b]
+            n.append(b - a)
+            of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            of_bytes.append(hashlib.sha256(enc.decode(ids.tolist())).hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+            [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``ids`` and ``offsets`` of every whole text.
 
     ``offsets`` holds the byte at which each token begins, so a span of tokens
     maps to a span of bytes of the text.  A null text counts as empty and has
-    no ids.  Repeated rows are encoded alike; other columns are ignored.
-    ``path`` names a rank file that every executor has.
+    no ids.  Repeated rows are encoded alike; other columns are ignored, and an
+    empty table gives an empty one.  ``path`` names a rank file that every
+    executor has.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS_AT_A_TIME):
-                rows = batch.slice(lo, ROWS_AT_A_TIME)
-                at = 0
-                for group in grouped([t or "" for t in rows.column("text").to_pylist()]):
-                    found = enc.encode(group)
-                    bounds = np.r_[0, np.cumsum([len(i) for i, _ in found])].astype(np.int32)
-                    ids = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([i for i, _ in found]).astype(np.int32)))
-                    offsets = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([o for _, o in found]).astype(np.int32)))
-                    part = rows.slice(at, len(group))
-                    at += len(group)
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids, offsets], [*keep, "ids", "offsets"])
-
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, ids array<int>, offsets array<int>")
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    return rows.mapInArrow(lambda b: encode_batches(b, path, keep), f"{schema}, ids array<int>, offsets array<int>")
 
 
 def decoded_digests(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """n_tokens, the digest of the ids and, after decoding, that of the bytes."""
+    """n_tokens, the digest of the ids and, after decoding, that of the bytes, from a table with ids."""
     path = path or public_tokenizers.path(VOCABULARY)
+    schema = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep)
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(lambda b: digest_batches(b, path, keep), f"{schema}, {DIGESTS}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            column = batch.column("ids")
-            bounds, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            n, of_ids, of_bytes = [], [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                ids = values[a:b]
-                n.append(b - a)
-                of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                of_bytes.append(hashlib.sha256(enc.decode(ids.tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
 
-    schema = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep)
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encoded_digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """``decoded_digests`` of ``encode_documents``, and the ids if wanted, in one pass and one worker."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    also = (*keep, "ids") if with_ids else keep
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + ", ids array<int>" * with_ids
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    return rows.mapInArrow(lambda b: digest_batches(encode_batches(b, path, keep), path, also), f"{schema}, {DIGESTS}")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoded_digests(encode_documents(table(spark, sf_dir, "documents")))
+    return encoded_digests(table(spark, sf_dir, "documents"))
