@@ -10,7 +10,7 @@ MIN_RATE, MAX_RATE = 1.0, 10.0
 # The labels of an emission frame in order (the first is blank),
 # the labels of each class (any other label is a plosive), and the floors.
 LABELS = list("-aienuotsrmkldghybpwcvjzf'qx*")
-CLASS_LABELS = {"plosive": "tdkgbpc'q*", "fricative": "szfvhx", "nasal": "mn", "liquid_glide": "lrwyj", "vowel": "aeiou"}
+CLASS_LABELS = {"fricative": "szfvhx", "nasal": "mn", "liquid_glide": "lrwyj", "vowel": "aeiou"}
 CLASS_FLOORS = {"plosive": 0.50, "fricative": 0.42, "nasal": 0.35, "liquid_glide": 0.25, "vowel": 0.10, "silence": 0.02}
 
 
@@ -55,11 +55,16 @@ def from_decibels(db: Column) -> Column:
     return F.pow(F.lit(10.0), db / 20)
 
 
+def from_polar(log_magnitude: Column, phase: Column) -> tuple[Column, Column]:
+    """Real and imaginary part from the log of a magnitude, 100 at most, and a phase."""
+    magnitude = F.least(F.exp(log_magnitude), F.lit(100.0))
+    return magnitude * F.cos(phase), magnitude * F.sin(phase)
+
+
 def label_class(label: Column) -> Column:
     out = F.lit("plosive")
     for name, labels in CLASS_LABELS.items():
-        if name != "plosive":
-            out = F.when(label.isin(list(labels)), F.lit(name)).otherwise(out)
+        out = F.when(label.isin(list(labels)), F.lit(name)).otherwise(out)
     return out
 
 

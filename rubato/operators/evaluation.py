@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,26 +12,52 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(reference, hypothesis) / F.length(reference)
 
 
-def word_distance(a: list[str], b: list[str]) -> int:
-    """Edit distance of two word sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def as_symbols(parts: Column, alphabet: Column) -> Column:
+    """A string with a character for each part, that of its place in ``alphabet``, from U+10000 on."""
+    code = lambda p: F.lpad(F.hex(F.array_position(alphabet, p) + 0xFFFF), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(parts, code), "")), "UTF-32")
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
+
+
+def word_distance(reference: Column, hypothesis: Column) -> Column:
+    """Edit distance of two arrays of words: their distinct words, of which a million fit, become characters."""
+    alphabet = F.array_distinct(F.concat(reference, hypothesis))
+    return F.levenshtein(as_symbols(reference, alphabet), as_symbols(hypothesis, alphabet))
 
 
 def word_error_rates(pairs: DataFrame) -> DataFrame:
-    """(pair_id, wer) from (pair_id, reference, hypothesis); null without reference words."""
+    """(pair_id, wer) from (pair_id, reference, hypothesis); a null text has no words, and without reference words wer is null."""
+    split = pairs.select("pair_id", words_of(F.col("reference")).alias("_r"), words_of(F.col("hypothesis")).alias("_h"))
+    return split.select("pair_id", F.when(F.size("_r") > 0, word_distance(F.col("_r"), F.col("_h")) / F.size("_r")).alias("wer"))
+
+
+def evaluation_report(results: DataFrame) -> DataFrame:
+    """(recording_id, label, wer, cer, best): whether a setting has the recording's least error, null ones last; ties are all best."""
+    least = F.min("wer").over(Window.partitionBy("recording_id"))
+    return results.select("recording_id", "label", "wer", "cer", F.coalesce(F.col("wer") == least, F.lit(False)).alias("best"))
+
+
+def validation_means(batches: DataFrame) -> DataFrame:
+    """Mean of every measure (epoch, measure, value) over an epoch's batches; nulls don't count."""
+    return batches.groupBy("epoch", "measure").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+
+
+def first_items(items: DataFrame, n: int, *order: str) -> DataFrame:
+    return items.orderBy(*order).limit(n)
+
+
+def drawn_trials(items: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` items in a shuffled order that the seed fixes: those of the lowest hash, found as a top-k."""
+    return items.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))).orderBy("_h").limit(n).drop("_h")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            split = [((r or "").split(), (h or "").split()) for r, h in zip(pdf["reference"], pdf["hypothesis"], strict=True)]
-            yield pd.DataFrame({"pair_id": pdf["pair_id"], "wer": [word_distance(r, h) / len(r) if r else None for r, h in split]})
 
-    kind = pairs.schema["pair_id"].dataType.simpleString()
-    return pairs.select("pair_id", "reference", "hypothesis").mapInPandas(run, f"pair_id {kind}, wer double")
+def merged_options(defaults: Column, given: Column) -> Column:
+    """One map of both; what is given wins."""
+    rest = F.map_filter(defaults, lambda k, _: ~F.map_contains_key(given, k))
+    return F.map_concat(rest, given)
 
 
 def listening_verdicts(trials: DataFrame) -> DataFrame:

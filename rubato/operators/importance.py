@@ -9,25 +9,31 @@ from ..functions.scalars import LABELS, class_floor, clip, grid_time, label_clas
 from .windows import max_filter, normalised, ordered, peak_normalised, voice_activity, whole
 
 
-def spectral_flux(mel: Column) -> Column:
-    """Distance to the previous frame, the upper half of the bins weighing 2.5 times."""
-    weighted = F.transform(mel, lambda v, i: F.when(i >= F.floor(F.size(mel) / 2), v * 2.5).otherwise(v * 1.0))
+def spectral_flux(mel: Column, hf_boost: float = 2.5) -> Column:
+    """Distance to the previous frame, the upper half of the bins weighing ``hf_boost`` times."""
+    weighted = F.transform(mel, lambda v, i: F.when(i >= F.floor(F.size(mel) / 2), v * hf_boost).otherwise(v * 1.0))
     before = F.lag(weighted).over(ordered())
     square = F.zip_with(weighted, before, lambda a, b: (a - b) * (a - b))
     return F.when(before.isNull(), F.lit(0.0)).otherwise(F.sqrt(total(square)))
 
 
 def mel_importance(
-    mel: DataFrame, flux_weight: float = 0.50, energy_weight: float = 0.25, hf_weight: float = 0.15, silence_weight: float = 0.10
-) -> DataFrame:
-    """Scores in [0, 1] from (recording_id, frame_idx, mel)."""
+    mel: DataFrame, flux_weight: float = 0.50, energy_weight: float = 0.25, hf_weight: float = 0.15, silence_weight: float = 0.10,
+    hf_boost: float = 2.5, peak_spread: int = 7, hf_start: float = 0.6, silence_threshold: float = 0.05, closure_threshold: float = 0.3,
+) -> DataFrame:
+    """Scores in [0, 1] from (recording_id, frame_idx, mel).
+
+    ``peak_spread`` is the odd width of the flux's max filter, ``hf_start`` the
+    share of the bins below the high ones; quieter frames than
+    ``silence_threshold`` are protected near a flux above ``closure_threshold``.
+    """
     m = F.transform("mel", lambda v: v.cast("double"))
-    rows = mel.withColumn("mel", m).withColumn("flux", spectral_flux(F.col("mel")))
-    start = (F.floor(F.size("mel") * 0.6) + 1).cast("int")
+    rows = mel.withColumn("mel", m).withColumn("flux", spectral_flux(F.col("mel"), hf_boost))
+    start = (F.floor(F.size("mel") * hf_start) + 1).cast("int")
     rows = rows.withColumn("flux", peak_normalised(F.col("flux"))).withColumn("energy", total(F.col("mel")))
     rows = rows.withColumn("hf", total(F.slice("mel", start, F.size("mel")))).drop("mel")
-    rows = rows.withColumn("flux", max_filter(F.col("flux"))).withColumn("energy", normalised(F.col("energy"))).withColumn("hf", normalised(F.col("hf")))
-    protected = ((F.col("energy") < 0.05) & (max_filter(F.col("flux")) > 0.3)).cast("double")
+    rows = rows.withColumn("flux", max_filter(F.col("flux"), peak_spread)).withColumn("energy", normalised(F.col("energy"))).withColumn("hf", normalised(F.col("hf")))
+    protected = ((F.col("energy") < silence_threshold) & (max_filter(F.col("flux"), peak_spread) > closure_threshold)).cast("double")
     rows = rows.withColumn("protected", protected)
     blend = flux_weight * F.col("flux") + energy_weight * F.col("energy") + hf_weight * F.col("hf") + silence_weight * F.col("protected")
     rows = rows.withColumn("score", blend)

@@ -22,10 +22,13 @@ def interpolate_at(knots: DataFrame, queries: DataFrame, value: str = "value") -
     k = knots.select("recording_id", "t", F.col(value).cast("double").alias("k"), F.lit(None).cast("int").alias("frame_idx"), F.lit(0).alias("side"))
     q = queries.select("recording_id", "t", F.lit(None).cast("double").alias("k"), F.col("frame_idx").cast("int").alias("frame_idx"), F.lit(1).alias("side"))
     both = k.unionByName(q)
-    w = Window.partitionBy("recording_id").orderBy("t", "side", "k", "frame_idx")
+    # growing frames from either end, so that each is linear in the rows; a frame that shrinks is computed anew for every row
+    columns = [F.col(c) for c in ("t", "side", "k", "frame_idx")]
+    forwards = Window.partitionBy("recording_id").orderBy(*[c.asc() for c in columns])
+    backwards = Window.partitionBy("recording_id").orderBy(*[c.desc() for c in columns])
     knot = F.when(F.col("side") == 0, F.struct("t", "k"))
-    before = F.last(knot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(knot, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before = F.last(knot, ignorenulls=True).over(forwards.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(knot, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("b", before).withColumn("a", after).where("side = 1")
     b, a = F.col("b"), F.col("a")
     blend = b["k"] + (a["k"] - b["k"]) * ((F.col("t") - b["t"]) / (a["t"] - b["t"]))

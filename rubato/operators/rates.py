@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_weights
-from ..functions.scalars import MAX_RATE, MIN_RATE
+from ..functions.scalars import MAX_RATE, MIN_RATE, grid_time
 
 
 def gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -64,9 +64,24 @@ def rate_schedule(
     return meet_duration(rates, dt, goal, 10, 2e-3)
 
 
+def check_speed(speed: float) -> None:
+    if not speed > 0:
+        raise ValueError("the speed has to be above 0")
+
+
+def uniform_rate_schedule(durations: DataFrame, speed: float, resolution: float = 0.02) -> DataFrame:
+    """A constant rate on a grid of ``max(1, int(duration / resolution))`` points, from (recording_id, duration)."""
+    check_speed(speed)
+    n = F.greatest(F.lit(1), F.floor(F.col("duration") / resolution)).cast("int")
+    points = durations.withColumn("_n", n).withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return points.select("recording_id", "frame_idx", grid_time(F.col("frame_idx"), F.col("_n"), F.col("duration")).alias("t"), F.lit(float(speed)).alias("rate"))
+
+
 def schedule_rates(scores: DataFrame, speed: float, **options: float) -> DataFrame:
     """(recording_id, frame_idx, t, rate) from (recording_id, frame_idx, t, score)."""
 
+    check_speed(speed)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
         return pdf.assign(rate=rate_schedule(pdf["score"].to_numpy(), pdf["t"].to_numpy(), speed, **options))[["recording_id", "frame_idx", "t", "rate"]]

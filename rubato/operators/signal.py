@@ -1,21 +1,30 @@
-"""Signal operators in numpy, a recording per group.
+"""Signal operators in numpy.
 
 FFTs, recursive filters and seeded noise have no DataFrame form.  Each function
-works on one recording's samples; ``per_recording`` applies one to a table
-(recording_id, samples), whose rows Spark spreads over the cluster.
+works on the samples of one recording, or of one block of it; ``per_recording``
+applies one to a table (recording_id, samples), whose rows Spark spreads over
+the cluster, and ``blocks`` has the forms that work block by block.  Empty
+input gives empty output everywhere; samples are taken as they are, so a NaN
+spreads to what depends on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .rates import gaussian
 
+# Analysis sizes of the spectra, and the taps of the room response.
 N_FFT, HOP, N_MELS, SAMPLE_RATE = 1024, 256, 100, 24_000
+ROOM_SEED, REFLECTIONS, FIRST_REFLECTION, REFLECTION_FALL, TAIL_LEVEL, TAIL_DECAY = 42, 6, 0.15, 0.6, 0.02, 6.9
+#: Samples that per_recording sends back at a time.
+SAMPLES_AT_A_TIME = 1 << 20
 
 
 def hann(n: int) -> np.ndarray:
@@ -57,9 +66,9 @@ def istft(spectrum: np.ndarray, n_fft: int, hop: int, length: int | None = None)
     return out if length is None else np.pad(out, (0, max(0, length - len(out))))[:length]
 
 
-def extract_mel(x: np.ndarray, sample_rate: int = SAMPLE_RATE) -> np.ndarray:
+def extract_mel(x: np.ndarray, sample_rate: int = SAMPLE_RATE, n_fft: int = N_FFT, hop: int = HOP, n_mels: int = N_MELS) -> np.ndarray:
     """(frames, mel bins), natural log of the filtered magnitudes, 1e-5 at least."""
-    return np.log(np.maximum(np.abs(stft(x, N_FFT, HOP)) @ mel_filters(sample_rate).T, 1e-5))
+    return np.log(np.maximum(np.abs(stft(x, n_fft, hop)) @ mel_filters(sample_rate, n_fft, n_mels).T, 1e-5))
 
 
 def lowpass_sections(order: int, cutoff: float) -> np.ndarray:
@@ -77,20 +86,49 @@ def lowpass_sections(order: int, cutoff: float) -> np.ndarray:
     return np.array(out)
 
 
+def convolve(x: np.ndarray, response: np.ndarray) -> np.ndarray:
+    """The first ``len(x)`` samples of the convolution, in blocks by overlap-add."""
+    if not len(x):
+        return np.zeros(0)
+    tail = len(response) - 1
+    size = 1 << max(2 * tail + 1, min(1 << 14, len(x) + tail)).bit_length()
+    step = size - tail
+    n = -(-len(x) // step)
+    parts = np.zeros((n, size))
+    parts[:, :step] = np.pad(x, (0, n * step - len(x))).reshape(n, step)
+    wet = np.fft.irfft(np.fft.rfft(parts, axis=1) * np.fft.rfft(response, size), size, axis=1)
+    out = wet[:, :step].copy()
+    out[1:, :tail] += wet[:-1, step:]
+    return out.ravel()[: len(x)]
+
+
+@lru_cache(64)
+def section_responses(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, np.ndarray]:
+    """A section's answer to a single 1, and what it adds if 1 had gone on for ever before, until both have died away."""
+    gain = (b0 + b1 + b2) / (1 + a1 + a2)
+    found = []
+    for v, z1, z2 in ((1.0, 0.0, 0.0), (0.0, gain - b0, b2 - a2 * gain)):
+        out = []
+        while not out or max(abs(z1), abs(z2)) > 1e-19:
+            y = b0 * v + z1
+            z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
+            out.append(y)
+            v = 0.0
+        found.append(np.array(out))
+    return found[0], found[1]
+
+
 def run_sections(x: np.ndarray, sections: np.ndarray, steady: bool = False) -> np.ndarray:
     """Second-order sections one after another; ``steady`` starts as if x[0] had gone on for ever."""
     level = float(x[0]) if steady and len(x) else 0.0
-    for b0, b1, b2, a1, a2 in sections:
-        gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        z1 = level * (gain - b0)
-        z2 = level * (b2 - a2 * gain)
-        out = np.empty(len(x))
-        for i, v in enumerate(x.tolist()):
-            y = b0 * v + z1
-            z1 = b1 * v - a1 * y + z2
-            z2 = b2 * v - a2 * y
-            out[i] = y
-        x, level = out, level * gain
+    for section in sections.tolist():
+        response, before = section_responses(*section)
+        x = convolve(x, response[: max(1, len(x))])
+        if level:
+            k = min(len(x), len(before))
+            x[:k] += level * before[:k]
+        b0, b1, b2, a1, a2 = section
+        level *= (b0 + b1 + b2) / (1 + a1 + a2)
     return x
 
 
@@ -181,58 +219,143 @@ def match_tilt(reference: np.ndarray, x: np.ndarray, n_fft: int = 2048, max_db:
     return istft(stft(x, n_fft, hop, cover=True) * gain, n_fft, hop, len(x))
 
 
-def room(x: np.ndarray, sample_rate: int = SAMPLE_RATE, rt60_ms: float = 80) -> np.ndarray:
-    """A short seeded room response, then the peak as before."""
+def room_response(sample_rate: int = SAMPLE_RATE, rt60_ms: float = 80) -> np.ndarray:
+    """Direct sound, a few early reflections and a fading tail, the highest tap 1; the seeded draws come in this order."""
     n = max(1, int(sample_rate * rt60_ms / 1000))
-    response = np.random.RandomState(42).randn(n) * 0.02 * np.exp(-6.9 * np.arange(n) / sample_rate / (rt60_ms / 1000))
-    response[0] += 1
-    size = 1 << (len(x) + n - 1).bit_length()
-    wet = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(response, size), size)[: len(x)]
-    peak = np.abs(wet).max(initial=0)
-    return wet * (np.abs(x).max() / peak) if peak > 0 else wet
+    draws = np.random.RandomState(ROOM_SEED)
+    taps = np.zeros(n)
+    taps[0] = 1
+    for strength in FIRST_REFLECTION * REFLECTION_FALL ** np.arange(REFLECTIONS):
+        at = int(sample_rate * (1 + draws.uniform(1, 15)) / 1000)
+        if at < n:
+            taps[at] += strength * draws.choice([-1, 1])
+    taps += TAIL_LEVEL * np.exp(-TAIL_DECAY * np.arange(n) / sample_rate / (rt60_ms / 1000)) * draws.randn(n)
+    return taps / np.abs(taps).max()
+
+
+def room(x: np.ndarray, sample_rate: int = SAMPLE_RATE, rt60_ms: float = 80) -> np.ndarray:
+    """A short seeded room, then the peak as before."""
+    wet = convolve(x, room_response(sample_rate, rt60_ms))
+    return wet * ((np.abs(x).max(initial=0) + 1e-10) / (np.abs(wet).max(initial=0) + 1e-10))
+
+
+def warm_noise(n: int, sample_rate: int = SAMPLE_RATE) -> np.ndarray:
+    """Low-passed noise for ``n`` samples, seeded by their number."""
+    return run_sections(np.random.RandomState(n % (1 << 32)).randn(n), lowpass_sections(3, 1500 / (sample_rate / 2)))
 
 
 def warm_dither(x: np.ndarray, sample_rate: int = SAMPLE_RATE, level_db: float = -60) -> np.ndarray:
-    noise = run_sections(np.random.RandomState(len(x) % (1 << 32)).randn(len(x)), lowpass_sections(3, 1500 / (sample_rate / 2)))
+    noise = warm_noise(len(x), sample_rate)
     return x + noise * (10 ** (level_db / 20) / (noise.std() + 1e-10)) if len(x) else x
 
 
-def post_process(x: np.ndarray, sample_rate: int = SAMPLE_RATE, clicks: bool = True, with_room: bool = True, dither: bool = True) -> np.ndarray:
-    for wanted, step in ((clicks, declick), (with_room, room), (dither, warm_dither)):
-        x = step(x, sample_rate) if wanted else x
-    return x
+def post_process(
+    x: np.ndarray, sample_rate: int = SAMPLE_RATE, clicks: bool = True, with_room: bool = True, dither: bool = True,
+    threshold: float = 5, rt60_ms: float = 80, level_db: float = -60,
+) -> np.ndarray:
+    if clicks:
+        x = declick(x, sample_rate, threshold=threshold)
+    if with_room:
+        x = room(x, sample_rate, rt60_ms)
+    return warm_dither(x, sample_rate, level_db) if dither else x
 
 
-def spectral_gate(x: np.ndarray, share: float = 0.12) -> np.ndarray:
-    """Turn down bins near the noise floor of the quietest frames."""
+def spectral_gate(x: np.ndarray, share: float = 0.12, deep: bool = False) -> np.ndarray:
+    """Turn down bins near the noise floor.
+
+    The floor is the mean of the quietest ``share`` of the frames; ``deep``
+    lets it follow the recording, as the mean of the lower half of the bin's
+    values within about two seconds on either side, and takes off more.
+    """
     n_fft, hop = 2048, 512
     spectrum = stft(x, n_fft, hop, cover=True)
     magnitude = np.abs(spectrum)
-    quiet = np.argsort((magnitude**2).mean(axis=1), kind="stable")[: max(1, int(share * len(magnitude)))]
-    snr = magnitude / (magnitude[quiet].mean(axis=0) + 1e-10)
-    gain = np.clip((snr - 1) / (10 ** (6 / 20) - 1), 0, 1) ** 2
+    if deep:
+        half = min(94, max(1, len(magnitude) // 2))
+        wide = np.pad(magnitude, ((half, half), (0, 0)), mode="reflect" if len(magnitude) > half else "edge")
+        floor = np.stack([np.sort(wide[i : i + 2 * half + 1], axis=0)[: half + 1].mean(axis=0) for i in range(len(magnitude))])
+    else:
+        quiet = np.argsort((magnitude**2).mean(axis=1), kind="stable")[: max(1, int(share * len(magnitude)))]
+        floor = magnitude[quiet].mean(axis=0)
+    gain = np.clip((magnitude / (floor + 1e-10) - 1) / (10 ** ((9 if deep else 6) / 20) - 1), 0, 1) ** 2
     padded = np.pad(gain, ((1, 1), (0, 0)), mode="edge")
     gain = (padded[:-2] + padded[1:-1] + padded[2:]) / 3
     return istft(spectrum * gain, n_fft, hop, len(x))
 
 
-def resample_roundtrip(mel: np.ndarray, rate: float) -> np.ndarray:
-    """Down to ``round(T / rate)`` frames and back up, linearly."""
+def denoise(x: np.ndarray, method: str | None = "gate") -> np.ndarray:
+    """``gate``, ``deep`` or none; source separation needs a model that is not here."""
+    if method in (None, "none"):
+        return x
+    if method not in ("gate", "deep"):
+        raise ValueError(f"no such way to take off noise here: {method}")
+    return spectral_gate(x, deep=method == "deep") if len(x) else x
+
+
+def codec_frames(x: np.ndarray, size: int = 1920) -> np.ndarray:
+    """Frames of ``size`` samples, the last one filled up with zeros."""
+    return np.pad(x, (0, -len(x) % size)).reshape(-1, size)
+
+
+def fixed_length(x: np.ndarray, n: int, gain_db: float = -3.0, start: int = 0) -> np.ndarray:
+    """Peak at ``gain_db``, then ``n`` samples: repeated where too short, else those from ``start``."""
+    peak = np.abs(x).max(initial=0)
+    x = x / peak * 10 ** (gain_db / 20) if peak > 0 else x
+    return np.resize(x, n) if 0 < len(x) < n else np.pad(x, (0, max(0, n - len(x))))[start : start + n]
+
+
+def smoothed_frames(mel: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian over time, edges reflected without repeat; the width is the odd number at or after 6 sigma."""
+    half = (int(6 * sigma + 1) | 1) // 2
+    if sigma <= 0 or not half or len(mel) < 2:
+        return mel
+    weights = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    at = np.abs(np.arange(-half, len(mel) + half))
+    at %= 2 * (len(mel) - 1)
+    padded = mel[np.minimum(at, 2 * (len(mel) - 1) - at)]
+    return np.tensordot(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1, axis=0), weights / weights.sum(), ([-1], [0]))
+
+
+def resample_roundtrip(mel: np.ndarray, rate: float, sigma: float = 0.0) -> np.ndarray:
+    """Smooth, then down to ``round(T / rate)`` frames and back up, linearly."""
     n = len(mel)
+    if not n:
+        return mel
     short = max(1, round(n / rate))
     stretch = lambda m, k: np.stack([np.interp(np.linspace(0, len(m) - 1, k), np.arange(len(m)), m[:, j]) for j in range(m.shape[1])], axis=1)
-    return stretch(stretch(mel, short), n)
+    return stretch(stretch(smoothed_frames(mel, sigma), short), n)
+
+
+def random_resample_roundtrip(mel: np.ndarray, seed: int, low: float = 1.5, high: float = 5.0, sigma: float = 2.0) -> np.ndarray:
+    return resample_roundtrip(mel, np.random.default_rng(seed).uniform(low, high), sigma)
+
+
+def array_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of an array column, where each row's begin and the last ends); a null row has none."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float), np.r_[0, np.cumsum(lengths)]
+
+
+def array_column(rows: list[np.ndarray]) -> pa.Array:
+    bounds = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)
+    return pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(rows) if rows else np.zeros(0), pa.float64()))
 
 
 def per_recording(recordings: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Apply ``step`` to the samples of each (recording_id, samples) row."""
+    """Apply ``step`` to the samples of each (recording_id, samples) row; no samples, null included, stay none."""
     kind = recordings.schema["recording_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            values, at = array_values(batch.column("samples"))
+            out, begun, held = [], 0, 0
             for i in range(batch.num_rows):
-                x = np.array(batch.column("samples")[i].as_py() or [], float)
-                out = np.asarray(step(x) if len(x) else x, float)
-                yield pa.RecordBatch.from_arrays([batch.column("recording_id").slice(i, 1), pa.array([out.tolist()], pa.list_(pa.float64()))], ["recording_id", "samples"])
+                x = values[at[i] : at[i + 1]]
+                out.append(np.asarray(step(x) if len(x) else x, float))
+                held += len(out[-1])
+                if held >= SAMPLES_AT_A_TIME or i + 1 == batch.num_rows:
+                    ids = batch.column("recording_id").slice(begun, len(out))
+                    yield pa.RecordBatch.from_arrays([ids, array_column(out)], ["recording_id", "samples"])
+                    out, begun, held = [], i + 1, 0
 
     return recordings.select("recording_id", "samples").mapInArrow(run, f"recording_id {kind}, samples array<double>")

@@ -68,15 +68,16 @@ def gradient(x: Column) -> Column:
 
 
 def running_median(x: Column, width: int = 21) -> Column:
-    """Median of full frames; null at the edges."""
+    """Median of full frames of an odd ``width``, nulls not counted; null at the edges."""
     half = width // 2
-    frame = ordered().rowsBetween(-half, half)
-    return F.when(F.count(x).over(frame) == 2 * half + 1, F.percentile(x, F.lit(0.5)).over(frame))
+    near = F.collect_list(x).over(ordered().rowsBetween(-half, half))
+    return F.when(F.size(near) == 2 * half + 1, F.get(F.sort_array(near), F.lit(half)))
 
 
-def is_click(energy: Column, width: int = 21, threshold: float = 5.0) -> Column:
+def is_click(energy: Column, width: int = 21, threshold: float = 5.0, least: float = 1e-10) -> Column:
+    """Far above a median that is above ``least``; never at the edges."""
     median = running_median(energy, width)
-    return F.coalesce((median > 1e-10) & (energy > threshold * median), F.lit(False))
+    return F.coalesce((median > least) & (energy > threshold * median), F.lit(False))
 
 
 def frame_energy(frames: DataFrame, hop: int) -> DataFrame:
@@ -90,22 +91,6 @@ def frame_energy(frames: DataFrame, hop: int) -> DataFrame:
     )
 
 
-def smoothed_array(values: Column, sigma: float) -> Column:
-    """Gaussian filter of an array, its edges reflected with repeat."""
-    weights = gaussian_weights(sigma)
-    radius = len(weights) // 2
-    n = F.size(values)
-
-    def blend(i: Column) -> Column:
-        kernel = F.array(*[F.lit(w) for w in weights])
-        reach = F.sequence(i - radius, i + radius)
-        m = lambda j: F.pmod(j, 2 * n)
-        inside = F.transform(reach, lambda j: F.get(values, F.when(m(j) < n, m(j)).otherwise(2 * n - 1 - m(j))))
-        return F.aggregate(F.zip_with(kernel, inside, lambda w, v: w * v), F.lit(0.0), lambda s, v: s + v)
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), blend)).otherwise(F.array().cast("array<double>"))
-
-
 def to_arrays(frames: DataFrame, *columns: str) -> DataFrame:
     """A row per recording with each column as an array in frame order."""
     rows = F.sort_array(F.collect_list(F.struct("frame_idx", *columns)))
@@ -113,9 +98,28 @@ def to_arrays(frames: DataFrame, *columns: str) -> DataFrame:
 
 
 def gaussian_smooth(frames: DataFrame, sigma: float) -> DataFrame:
-    """(recording_id, frame_idx, smoothed) of ``value``."""
-    arrays = to_arrays(frames, "value").select("recording_id", smoothed_array(F.col("value"), sigma).alias("s"))
-    return arrays.select("recording_id", F.posexplode("s").alias("frame_idx", "smoothed"))
+    """(recording_id, frame_idx, smoothed) of ``value``, edges reflected with repeat.
+
+    ``frame_idx`` runs from 0 without gaps.  A row reads its ``radius``
+    neighbours on either side; only rows that near an end are reflected, by
+    lists of the first and last ``radius`` values.  A recording shorter than
+    the radius is reflected again and again, as it is one list.
+    """
+    weights = gaussian_weights(sigma)
+    radius = len(weights) // 2
+    if not radius:
+        return frames.select("recording_id", "frame_idx", F.col("value").alias("smoothed"))
+    own = ordered()
+    near = F.collect_list(F.coalesce("value", F.lit(float("nan")))).over(own.rowsBetween(-radius, radius))
+    n, i = F.count(F.lit(1)).over(whole()), F.col("frame_idx")
+    rows = frames.select("recording_id", "frame_idx", near.alias("near"), n.alias("n"), F.greatest(i - radius, F.lit(0)).alias("first"))
+    kernel = F.array(*[F.lit(w) for w in weights])
+    blend = lambda values: F.aggregate(F.zip_with(kernel, values, lambda w, v: w * v), F.lit(0.0), lambda s, v: s + v)
+    # reflected places of a row by the ends, all within its own neighbours while the recording is longer than the radius
+    m = lambda j: F.pmod(j, 2 * F.col("n"))
+    place = lambda j: F.when(m(j) < F.col("n"), m(j)).otherwise(2 * F.col("n") - 1 - m(j))
+    inside = F.transform(F.sequence(i - radius, i + radius), lambda j: F.get("near", (place(j) - F.col("first")).cast("int")))
+    return rows.select("recording_id", "frame_idx", F.when(F.size("near") == 2 * radius + 1, blend(F.col("near"))).otherwise(blend(inside)).alias("smoothed"))
 
 
 def soft_clip(frames: DataFrame, target_rms: float) -> DataFrame:
@@ -132,7 +136,7 @@ def soft_clip(frames: DataFrame, target_rms: float) -> DataFrame:
 
 def click_counts(energy: DataFrame, width: int = 25, threshold: float = 3.0, seconds_a_frame: float = 0.002) -> DataFrame:
     """Clicks and clicks a second of every recording, from (recording_id, frame_idx, energy)."""
-    flagged = energy.withColumn("click", is_click(F.col("energy"), width, threshold))
+    flagged = energy.withColumn("click", is_click(F.col("energy"), width, threshold, least=0.0))
     counted = flagged.groupBy("recording_id").agg(F.count_if("click").alias("n_clicks"), F.count(F.lit(1)).alias("n_frames"))
     duration = F.col("n_frames") * seconds_a_frame
     return counted.select("recording_id", "n_clicks", F.when(duration < 0.01, 0.0).otherwise(F.col("n_clicks") / duration).alias("clicks_per_second"))

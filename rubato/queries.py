@@ -18,6 +18,7 @@ from .functions import scalars as s
 from .operators import chunks, evaluation, importance, joins, rates, signal
 from .operators import windows as w
 from .plans.analysis import analyse, scored_events
+from .sources import audio
 from .sources.audio import analysis_documents
 from .streaming.tumbling import tumbling_energy
 
@@ -69,14 +70,42 @@ def r6(x: Column | str, name: str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 6).alias(name)
 
 
-@query()
+def _smooth_sql(x: str, sigma: float) -> str:
+    """Gaussian filter of a list ``x`` of ``n`` values, edges reflected with repeat."""
+    r = int(4 * sigma + 0.5)
+    w = f"list_transform(range({-r}, {r + 1}), lambda d: exp(-(d * d) / {2 * sigma * sigma}))"
+    at = lambda j: f"CASE WHEN (({j}) % (2 * n) + 2 * n) % (2 * n) < n THEN (({j}) % (2 * n) + 2 * n) % (2 * n) ELSE 2 * n - 1 - (({j}) % (2 * n) + 2 * n) % (2 * n) END"
+    return f"list_transform(range(0, n), lambda i: list_sum(list_transform(range({-r}, {r + 1}), lambda d: exp(-(d * d) / {2 * sigma * sigma}) * {x}[{at('i + d')} + 1])) / list_sum({w}))"
+
+
+def _meet_sql(name: str, source: str, rounds: int, tolerance: float) -> str:
+    """CTEs that scale and clip rates until they meet the goal; ``name`` has the last state."""
+    total = "list_sum(list_transform(range(1, n + 1), lambda i: dt[i] / r[i]))"
+    return f"""{name}_steps AS (SELECT recording_id, n, t, dt, goal, r, 0 AS k, {total} AS got FROM {source}
+    UNION ALL SELECT recording_id, n, t, dt, goal, r, k, {total} FROM (SELECT recording_id, n, t, dt, goal, k + 1 AS k, list_transform(r, lambda x: least(greatest(x * got / goal, 1), 10)) AS r
+      FROM {name}_steps WHERE k < {rounds} AND abs(got - goal) / goal >= {tolerance})),
+  {name} AS (SELECT recording_id, any_value(n) AS n, any_value(t) AS t, any_value(dt) AS dt, any_value(goal) AS goal, arg_max(r, k) AS r FROM {name}_steps GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {SCORED}, lists AS (SELECT recording_id, count(*)::INT AS n, list(score ORDER BY frame_idx) AS s, list(t ORDER BY frame_idx) AS t FROM scored GROUP BY 1),
+  smooth AS (SELECT recording_id, n, t, list_transform({_smooth_sql("s", 15.0)}, lambda v: 1 + 9 * (1 - least(greatest(v, 0), 1))) AS raw, t[n] / 3.0 AS goal,
+    list_transform(range(1, n + 1), lambda i: t[i] - CASE WHEN i = 1 THEN 0 ELSE t[i - 1] END) AS dt FROM lists),
+  scaled AS (SELECT recording_id, n, t, dt, goal, list_transform(raw, lambda x: least(greatest(x * (list_sum(list_transform(range(1, n + 1), lambda i: dt[i] / raw[i])) / goal), 1), 10)) AS r FROM smooth),
+  {_meet_sql("met", "scaled", 20, 0.001)},
+  curved AS (SELECT * REPLACE (list_transform(r, lambda x: least(greatest(1 + pow((x - 1) / 9, 1.5) * 9, 1), 10)) AS r) FROM met),
+  {_meet_sql("bent", "curved", 10, 0.001)},
+  slewed AS (SELECT * REPLACE (list_transform(range(1, n + 1), lambda i: list_min(list_transform(range(1, i + 1), lambda j: r[j] - 0.3 * (j - 1))) + 0.3 * (i - 1)) AS r) FROM bent),
+  eased AS (SELECT * REPLACE (CASE WHEN n > 4 THEN list_transform({_smooth_sql("r", 2.0)}, lambda x: least(greatest(x, 1), 10)) ELSE r END AS r) FROM slewed),
+  {_meet_sql("final", "eased", 10, 0.002)}
+  SELECT recording_id, n::BIGINT AS n_frames, t[n] AS in_duration, round(list_sum(list_transform(range(1, n + 1), lambda i: dt[i] / r[i])), 3) AS out_duration,
+    round(list_avg(r), 6) AS mean_rate, round(list_min(r), 6) AS min_rate, round(list_max(r), 6) AS max_rate FROM final""")
 def rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: scores to rates that meet the target duration, and a summary per recording."""
     out = rates.schedule_rates(scored_events(read(spark, sf_dir, "events")), 3.0)
     steps = out.withColumn("dt", w.step_in(F.col("t")))
     return steps.groupBy("recording_id").agg(
-        F.count(F.lit(1)).alias("n_frames"), F.max("t").alias("in_duration"), F.sum(F.col("dt") / F.col("rate")).alias("out_duration"),
-        F.avg("rate").alias("mean_rate"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"),
+        F.count(F.lit(1)).alias("n_frames"), F.max("t").alias("in_duration"), F.round(F.sum(F.col("dt") / F.col("rate")), 3).alias("out_duration"),
+        r6(F.avg("rate"), "mean_rate"), r6(F.min("rate"), "min_rate"), r6(F.max("rate"), "max_rate"),
     )
 
 
@@ -143,26 +172,29 @@ def asof_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.interpolate_at(knots, grid).select("recording_id", "frame_idx", F.round("t", 4).alias("t"), F.round("value", 4).alias("value"))
 
 
-@query()
+@query(f"""WITH {SCORED}, d AS (SELECT recording_id, max(t) AS d, greatest(1, floor(max(t) / 3600.0))::INT AS n FROM scored GROUP BY 1),
+  q AS (SELECT recording_id, i::INT AS frame_idx, CASE WHEN n > 1 THEN i * d / (n - 1) ELSE 0 END AS t FROM d, LATERAL (SELECT unnest(range(n)) AS i)),
+  b AS (SELECT q.*, f.t AS t0, f.score AS v0 FROM q ASOF JOIN scored f ON q.recording_id = f.recording_id AND q.t >= f.t),
+  a AS (SELECT b.*, f.t AS t1, f.score AS v1 FROM b ASOF LEFT JOIN scored f ON b.recording_id = f.recording_id AND b.t <= f.t)
+  SELECT recording_id, frame_idx, round(t, 4) AS t, round(CASE WHEN t1 IS NULL OR t1 <= t0 THEN v0 ELSE v0 + (v1 - v0) * ((t - t0) / (t1 - t0)) END, 6) AS score FROM a""")
 def resample_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = joins.resample_importance(scored_events(read(spark, sf_dir, "events")).withColumnRenamed("value", "raw").withColumnRenamed("score", "value"), 3600.0)
-    return found.withColumnRenamed("value", "score")
+    return found.select("recording_id", "frame_idx", F.round("t", 4).alias("t"), r6("value", "score"))
 
 
-@query(f"""WITH {MEL}, want AS (SELECT recording_id, i::INT AS frame_idx, i * 1.5 AS src FROM (SELECT recording_id, count(*) AS n FROM mel GROUP BY 1), range(1000) r(i) WHERE i * 1.5 <= n - 1)
-  SELECT w.recording_id, w.frame_idx, round(a.mel[1] + (coalesce(b.mel[1], a.mel[1]) - a.mel[1]) * (src - floor(src)), 6) AS first_bin,
-         round(a.mel[64] + (coalesce(b.mel[64], a.mel[64]) - a.mel[64]) * (src - floor(src)), 6) AS last_bin
-  FROM want w JOIN mel a ON a.recording_id = w.recording_id AND a.frame_idx = floor(src) LEFT JOIN mel b ON b.recording_id = w.recording_id AND b.frame_idx = floor(src) + 1""")
+@query(f"""WITH {MEL}, want AS (SELECT recording_id, i::INT AS frame_idx, i * 1.5 AS src FROM (SELECT recording_id, count(*) AS n FROM mel GROUP BY 1), range(1000000) r(i) WHERE i * 1.5 <= n - 1)
+  SELECT w.recording_id, w.frame_idx, k::INT AS bin, round(a.mel[k + 1] + (coalesce(b.mel[k + 1], a.mel[k + 1]) - a.mel[k + 1]) * (src - floor(src)), 6) AS value
+  FROM want w JOIN mel a ON a.recording_id = w.recording_id AND a.frame_idx = floor(src) LEFT JOIN mel b ON b.recording_id = w.recording_id AND b.frame_idx = floor(src) + 1, range(64) x(k)""")
 def index_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     mel = mel_frames(spark, sf_dir)
     sized = mel.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"))
     want = sized.select("recording_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1.5).cast("int"))).alias("frame_idx"))
     want = want.withColumn("src", F.col("frame_idx") * 1.5)
-    found = joins.index_interpolate(mel, want)
-    return found.select("recording_id", "frame_idx", r6(F.get("mel", F.lit(0)), "first_bin"), r6(F.get("mel", F.lit(63)), "last_bin"))
+    found = joins.index_interpolate(mel, want).select("recording_id", "frame_idx", F.posexplode("mel").alias("bin", "value"))
+    return found.withColumn("value", F.round("value", 6))
 
 
-_CLASS_SQL = "CASE " + " ".join(f"WHEN contains('{labels.replace(chr(39), '')}', label) THEN '{name}'" for name, labels in s.CLASS_LABELS.items() if name != "plosive") + " ELSE 'plosive' END"
+_CLASS_SQL = "CASE " + " ".join(f"WHEN contains('{labels.replace(chr(39), '')}', label) THEN '{name}'" for name, labels in s.CLASS_LABELS.items()) + " ELSE 'plosive' END"
 _FLOOR_SQL = lambda c: f"CASE {c} " + " ".join(f"WHEN '{n}' THEN {f}::DOUBLE" for n, f in s.CLASS_FLOORS.items()) + " END"
 
 
@@ -191,13 +223,17 @@ def phoneme_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.phoneme_floors(emissions, durations).withColumn("t", F.round("t", 6))
 
 
-@query(f"""WITH {MEL}, f AS (SELECT recording_id, frame_idx, mel, lag(mel) OVER {ORDERED} AS prev FROM mel),
+#: The blend of the spectral importance, before it is scaled, as SQL.
+_MEL_SCORES = f"""f AS (SELECT recording_id, frame_idx, mel, lag(mel) OVER {ORDERED} AS prev FROM mel),
   a AS (SELECT recording_id, frame_idx, list_sum(mel) AS e, list_sum(mel[39:64]) AS h,
         CASE WHEN prev IS NULL THEN 0 ELSE sqrt(list_sum(list_transform(range(1, 65), lambda i: pow((mel[i] - prev[i]) * CASE WHEN i > 32 THEN 2.5 ELSE 1 END, 2)))) END AS flux FROM f),
   b AS (SELECT recording_id, frame_idx, flux / max(flux) OVER r AS flux, (e - min(e) OVER r) / (max(e) OVER r - min(e) OVER r) AS e, (h - min(h) OVER r) / (max(h) OVER r - min(h) OVER r) AS h FROM a WINDOW r AS (PARTITION BY recording_id)),
   c AS (SELECT *, max(flux) OVER w AS peak FROM b WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
   d AS (SELECT *, CASE WHEN e < 0.05 AND max(peak) OVER w > 0.3 THEN 1 ELSE 0 END AS closed FROM c WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-  x AS (SELECT *, (0.5 * peak + 0.25 * e + 0.15 * h + 0.1 * closed)::DOUBLE AS blend FROM d)
+  x AS (SELECT *, (0.5 * peak + 0.25 * e + 0.15 * h + 0.1 * closed)::DOUBLE AS blend FROM d)"""
+
+
+@query(f"""WITH {MEL}, {_MEL_SCORES}
   SELECT recording_id, frame_idx::INT AS frame_idx, round((blend - min(blend) OVER r) / (max(blend) OVER r - min(blend) OVER r), 6) AS score FROM x WINDOW r AS (PARTITION BY recording_id)""")
 def mel_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.mel_importance(mel_frames(spark, sf_dir)).select("recording_id", "frame_idx", r6("score", "score"))
@@ -253,14 +289,14 @@ def _chunk_rates(spark: SparkSession, sf_dir: str, within) -> DataFrame:
     return found.groupBy("recording_id", "index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rate"), 4).alias("sum_rate"), F.round(F.min("t"), 4).alias("first_t"))
 
 
-_HANN8 = [0.5 - 0.5 * math.cos(2 * math.pi * i / 8) for i in range(8)]
+_HANN64 = [0.5 - 0.5 * math.cos(2 * math.pi * i / 64) for i in range(64)]
 
 
-@query(f"""WITH {MEL}, p AS (SELECT recording_id, frame_idx * 4 + i AS sample_idx, mel[i + 1] AS v, 0.5 - 0.5 * cos(2 * pi() * i / 8) AS w FROM mel, range(8) r(i))
+@query(f"""WITH {MEL}, p AS (SELECT recording_id, frame_idx * 32 + i AS sample_idx, mel[i + 1] AS v, 0.5 - 0.5 * cos(2 * pi() * i / 64) AS w FROM mel, range(64) r(i))
   SELECT recording_id, sample_idx::INT AS sample_idx, round(sum(v * w) / greatest(sum(w * w), 1e-8), 6) AS value FROM p GROUP BY 1, 2""")
 def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = mel_frames(spark, sf_dir).withColumn("samples", F.slice("mel", 1, 8))
-    return chunks.overlap_add(parts, 4, F.array(*[F.lit(x) for x in _HANN8])).select("recording_id", F.col("sample_idx").cast("int"), r6("value", "value"))
+    parts = mel_frames(spark, sf_dir).withColumnRenamed("mel", "samples")
+    return chunks.overlap_add(parts, 32, F.array(*[F.lit(x) for x in _HANN64])).select("recording_id", F.col("sample_idx").cast("int"), r6("value", "value"))
 
 
 @query(f"""WITH {MEL}, p AS (SELECT recording_id, frame_idx * 56 + i AS sample_idx, mel[i + 1]
@@ -297,19 +333,28 @@ def click_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.click_counts(frames(spark, sf_dir).withColumnRenamed("value", "energy")).withColumn("clicks_per_second", F.round("clicks_per_second", 4))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS h, lag(regexp_replace(text, '[^ -~]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
-  SELECT conv_id, turn, round(levenshtein(r, h) / length(r)::DOUBLE, 6) AS cer FROM p WHERE length(r) > 0""")
+#: Edit distance of two lists with at most 125 values in common: each of these becomes an ASCII character, the others one a side.
+_DISTANCE_SQL = """levenshtein(coalesce(list_aggregate(list_transform(r, lambda x: chr(coalesce(list_position(common, x) + 2, 1)::INT)), 'string_agg', ''), ''),
+    coalesce(list_aggregate(list_transform(h, lambda x: chr(coalesce(list_position(common, x) + 2, 2)::INT)), 'string_agg', ''), ''))"""
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+  w AS (SELECT conv_id, turn, string_split(text, '') AS h, string_split(before, '') AS r FROM p WHERE length(before) > 0), x AS (SELECT *, list_sort(list_intersect(r, h)) AS common FROM w)
+  SELECT conv_id, turn, round({_DISTANCE_SQL} / len(r)::DOUBLE, 6) AS cer FROM x""")
 def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("h"), F.lag(plain).over(Window.partitionBy("conv_id").orderBy("turn")).alias("r"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("h"), before.alias("r"))
     return rows.where("length(r) > 0").select("conv_id", "turn", r6(evaluation.character_error_rate(F.col("r"), F.col("h")), "cer"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+  w AS (SELECT conv_id || '-' || turn AS pair_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS h, regexp_extract_all(before, '[^ \\t\\n\\x0B\\f\\r]+') AS r FROM p WHERE before IS NOT NULL),
+  x AS (SELECT *, list_sort(list_intersect(r, h)) AS common FROM w)
+  SELECT pair_id, CASE WHEN len(r) > 0 THEN round({_DISTANCE_SQL} / len(r)::DOUBLE, 6) END AS wer FROM x""")
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.col("text").alias("hypothesis"), before.alias("reference"))
-    return evaluation.word_error_rates(pairs.where("reference is not null"))
+    return evaluation.word_error_rates(pairs.where("reference is not null")).withColumn("wer", F.round("wer", 6))
 
 
 @query("""SELECT lang AS session, avg((quality = 1 - toxic)::INT::DOUBLE) AS accuracy, count(*) AS n,
@@ -353,15 +398,32 @@ def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT start, user_id AS recording_id, round(sum(value * value), 4) AS power, count(*) AS n
+  FROM events, LATERAL (SELECT unnest([time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' FOR k IN range(4)]) AS start) GROUP BY 1, 2""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("ts", F.col("user_id").alias("recording_id"), "value")
+    return tumbling_energy(rows, "1 hour", slide="15 minutes").select("start", "recording_id", F.round(F.col("energy") * F.col("n"), 4).alias("power"), "n")
+
+
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, user_id AS recording_id, round(sum(value * value), 4) AS power, count(*) AS n FROM events GROUP BY 1, 2""")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("ts", F.col("user_id").alias("recording_id"), "value")
     return tumbling_energy(rows, "1 hour").select("start", "recording_id", F.round(F.col("energy") * F.col("n"), 4).alias("power"), "n")
 
 
-@query()
+@query(f"""WITH {MEL}, {_MEL_SCORES}, s AS (SELECT recording_id, frame_idx, (blend - min(blend) OVER r) / (max(blend) OVER r - min(blend) OVER r) AS v,
+    frame_idx * 10.0 / (count(*) OVER r - 1) AS t FROM x WINDOW r AS (PARTITION BY recording_id)),
+  q AS (SELECT DISTINCT recording_id, i::INT AS i, i * 10.0 / 39 AS t FROM s, range(40) g(i)),
+  l AS (SELECT q.*, s.t AS t0, s.v AS v0 FROM q ASOF JOIN s ON q.recording_id = s.recording_id AND q.t >= s.t - 1e-12),
+  m AS (SELECT l.*, s.t AS t1, s.v AS v1 FROM l ASOF LEFT JOIN s ON l.recording_id = s.recording_id AND l.t <= s.t + 1e-12)
+  SELECT recording_id, 40 AS n_frames, 10.0::DOUBLE AS duration, 4.0::DOUBLE AS frame_rate, i, round(t, 6)::DOUBLE AS t,
+    round(CASE WHEN t1 IS NULL OR t1 <= t0 THEN v0 ELSE v0 + (v1 - v0) * ((t - t0) / (t1 - t0)) END, 5) AS score FROM m""")
 def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis_documents(analyse(mel_frames(spark, sf_dir), 10.0, 0.25), 0.25)
+    """JSON documents of an analysis, read back to rows."""
+    documents = analysis_documents(analyse(mel_frames(spark, sf_dir), 10.0, 0.25), 0.25)
+    kind = "duration double, frame_rate double, n_frames int, scores array<double>, times array<double>"
+    rows = documents.select("recording_id", F.from_json("document", kind).alias("d")).select("recording_id", "d.*", F.posexplode(F.arrays_zip("d.times", "d.scores")).alias("i", "p"))
+    return rows.select("recording_id", "n_frames", "duration", "frame_rate", "i", r6("p.times", "t"), F.round("p.scores", 5).alias("score"))
 
 
 @query()
@@ -373,40 +435,181 @@ def stretched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.hf_deemphasis(out).select("recording_id", "frame_idx", "mel")
 
 
+HELD = 40
+#: Samples of events as SQL: each value, centred, held for 40 samples.
+SAMPLES = FRAMES + """, held AS (SELECT recording_id, (frame_idx * 40 + i)::BIGINT AS sample_idx, value / 500 - 0.5 AS x, value FROM frames, range(40) g(i))"""
+CLICKY = SAMPLES + ", samples AS (SELECT recording_id, sample_idx, pow(value / 500, 6) AS x FROM held)"
+
+
+def _samples(spark: SparkSession, sf_dir: str, shape=lambda v: v / 500 - 0.5) -> DataFrame:
+    """(recording_id, sample_idx, value): each value of a recording held for 40 samples."""
+    held = frames(spark, sf_dir).select("recording_id", "frame_idx", shape(F.col("value")).alias("value"), F.explode(F.sequence(F.lit(0), F.lit(HELD - 1))).alias("i"))
+    return held.select("recording_id", (F.col("frame_idx").cast("long") * HELD + F.col("i")).alias("sample_idx"), "value")
+
+
+def _clicky(v: Column) -> Column:
+    return F.pow(v / 500, F.lit(6))
+
+
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each recording's values, centred, each held for 40 samples."""
+    """The same as one row per recording."""
     arrays = w.to_arrays(frames(spark, sf_dir), "value")
-    held = F.flatten(F.transform("value", lambda v: F.array_repeat(v / 500 - 0.5, 40)))
-    return arrays.select("recording_id", held.alias("samples"))
+    return arrays.select("recording_id", F.flatten(F.transform("value", lambda v: F.array_repeat(v / 500 - 0.5, HELD))).alias("samples"))
 
 
-@query()
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select("recording_id", F.posexplode("samples").alias("sample_idx", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {CLICKY}, e AS (SELECT recording_id, sample_idx // 48 AS f, avg(x * x) AS energy FROM samples GROUP BY 1, 2 HAVING count(*) = 48),
+  m AS (SELECT *, median(energy) OVER w AS med, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY recording_id ORDER BY f ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+  c AS (SELECT *, coalesce(n = 21 AND med > 1e-10 AND energy > 5 * med, false) AS click FROM m),
+  g AS (SELECT *, coalesce(lag(click) OVER o, false) AS after, coalesce(lead(click) OVER o, false) AS before FROM c WINDOW o AS (PARTITION BY recording_id ORDER BY f))
+  SELECT s.recording_id, s.sample_idx, round(x * coalesce(least(CASE WHEN click THEN 0.5 ELSE 1 END, CASE WHEN after THEN 0.5 + 0.5 * (s.sample_idx % 48) / 47 ELSE 1 END,
+    CASE WHEN before THEN 1 - 0.5 * (s.sample_idx % 48) / 47 ELSE 1 END), 1), 6) AS value FROM samples s LEFT JOIN g ON g.recording_id = s.recording_id AND g.f = s.sample_idx // 48""")
+def declick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = chunks.in_blocks(_samples(spark, sf_dir, _clicky), 48 * 22)
+    return chunks.samples_of(chunks.declick_blocks(blocks, 48 * 22)).withColumn("value", F.round("value", 6))
+
+
+#: Flags of frames of 48 samples by amplitude (c1) and by spectrum (c2), as SQL: the power of the bins 0 to 24 follows
+#: from the sum of squares and the bins 0 and 24 alone, and of these only bin 0 lies below 300 Hz.
+_CLICK_FLAGS = CLICKY + """, e AS (SELECT recording_id, sample_idx // 48 AS f, avg(x * x) AS energy, pow(sum(x), 2) AS low,
+    (48 * sum(x * x) + pow(sum(x), 2) + pow(sum(CASE WHEN sample_idx % 2 = 0 THEN x ELSE -x END), 2)) / 50 AS wide FROM samples GROUP BY 1, 2 HAVING count(*) = 48),
+  m AS (SELECT *, median(energy) OVER w AS m1, median(wide) OVER w AS m2, median(low) OVER w AS m3, count(*) OVER w AS n FROM e
+    WINDOW w AS (PARTITION BY recording_id ORDER BY f ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+  c AS (SELECT recording_id, count(*) FILTER (n = 25 AND m1 > 0 AND energy > 3 * m1) AS c1, count(*) FILTER (n = 25 AND (wide > 4 * greatest(m2, 1e-10) OR low > 4 * greatest(m3, 1e-10))) AS c2 FROM m GROUP BY 1)"""
+
+
+def _spectral_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _samples(spark, sf_dir, _clicky).withColumnRenamed("sample_idx", "frame_idx")
+    found = signal.per_recording(w.to_arrays(rows, "value").withColumnRenamed("value", "samples"), lambda x: np.array([float(signal.spectral_clicks(x))]))
+    return found.select("recording_id", F.get("samples", F.lit(0)).cast("long").alias("n_clicks"))
+
+
+@query(f"WITH {_CLICK_FLAGS} SELECT recording_id, c2 AS n_clicks FROM c")
+def spectral_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spectral_clicks(spark, sf_dir)
+
+
+@query(f"""WITH {_CLICK_FLAGS}, d AS (SELECT recording_id, count(*) / 24000.0 AS duration FROM samples GROUP BY 1)
+  SELECT recording_id, greatest(c1, c2) AS n_clicks, round(CASE WHEN duration < 0.01 THEN 0 ELSE greatest(c1, c2) / duration END, 4)::DOUBLE AS clicks_per_second FROM c JOIN d USING (recording_id)""")
 def clicks_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = _signals(spark, sf_dir)
-    samples = signals.select("recording_id", F.posexplode("samples").alias("frame_idx", "value"))
-    found = signal.per_recording(signals, lambda x: np.array([float(signal.spectral_clicks(x))]))
-    spectral = found.select("recording_id", F.get("samples", F.lit(0)).cast("long").alias("n_clicks"))
-    durations = signals.select("recording_id", (F.size("samples") / signal.SAMPLE_RATE).alias("duration"))
-    return w.clicks_per_second(w.frame_energy(samples, 48), spectral, durations)
+    samples = _samples(spark, sf_dir, _clicky).withColumnRenamed("sample_idx", "frame_idx")
+    durations = samples.groupBy("recording_id").agg((F.count(F.lit(1)) / signal.SAMPLE_RATE).alias("duration"))
+    found = w.clicks_per_second(w.frame_energy(samples, 48), _spectral_clicks(spark, sf_dir), durations)
+    return found.withColumn("clicks_per_second", F.round("clicks_per_second", 4))
+
+
+@query(f"""WITH {SAMPLES}, l AS (SELECT recording_id, list(x ORDER BY sample_idx) AS x, count(*)::INT AS n FROM held GROUP BY 1),
+  f AS (SELECT recording_id, n, g::INT AS frame_idx, list_transform(range(64), lambda i: x[CASE WHEN g * 16 + i < 32 THEN 32 - g * 16 - i WHEN g * 16 + i - 32 < n THEN g * 16 + i - 32 ELSE 2 * (n - 1) - (g * 16 + i - 32) END + 1]
+    * (0.5 - 0.5 * cos(2 * pi() * i / 64))) AS y FROM l, LATERAL (SELECT unnest(range(1 + n // 16)) AS g)),
+  d AS (SELECT recording_id, frame_idx, k, sqrt(pow(list_sum(list_transform(range(64), lambda i: y[i + 1] * cos(2 * pi() * k * i / 64))), 2) + pow(list_sum(list_transform(range(64), lambda i: y[i + 1] * sin(2 * pi() * k * i / 64))), 2)) AS mag FROM f, range(33) r(k)),
+  p AS (SELECT j, 700 * (pow(10, j * log10(1 + 12000 / 700.0) / 11) - 1) AS hz FROM range(12) r(j)),
+  b AS (SELECT a.j, k, greatest(0, least((k * 375.0 - a.hz) / (m.hz - a.hz), (z.hz - k * 375.0) / (z.hz - m.hz))) AS weight FROM p a JOIN p m ON m.j = a.j + 1 JOIN p z ON z.j = a.j + 2, range(33) r(k))
+  SELECT recording_id, frame_idx, j::INT AS bin, round(ln(greatest(sum(weight * mag), 1e-5)), 5) AS value FROM d JOIN b USING (k) GROUP BY 1, 2, 3""")
+def mel_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signal.per_recording(_signals(spark, sf_dir), lambda x: signal.extract_mel(x, n_fft=64, hop=16, n_mels=10).ravel())
+    rows = found.select("recording_id", F.posexplode("samples").alias("i", "value"))
+    return rows.select("recording_id", F.floor(F.col("i") / 10).cast("int").alias("frame_idx"), (F.col("i") % 10).alias("bin"), F.round("value", 5).alias("value"))
+
+
+@query(f"""WITH {FRAMES}, z AS (SELECT recording_id, count(*) AS n FROM frames GROUP BY 1),
+  c AS (SELECT recording_id, n, i, greatest(0, i * 40 - 4) AS a, least(i * 40 + 44, n) AS e FROM z, LATERAL (SELECT unnest(range(CASE WHEN n <= 40 THEN 1 ELSE (n + 39) // 40 END)) AS i)),
+  l AS (SELECT *, (CASE WHEN n <= 40 THEN n ELSE e - a END + 1) // 2 AS len, CASE WHEN i > 0 THEN 2 ELSE 0 END AS fade_in, CASE WHEN i * 40 + 40 < n THEN greatest(0, e - i * 40 - 40) // 2 ELSE 0 END AS fade_out FROM c),
+  b AS (SELECT *, least(fade_in, len) AS blend FROM l), k AS (SELECT *, greatest(0, len - fade_out - blend) AS kept FROM b),
+  o AS (SELECT *, coalesce(sum(kept) OVER (PARTITION BY recording_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - blend AS begins, coalesce(lead(blend) OVER (PARTITION BY recording_id ORDER BY i), 0) AS next FROM k),
+  p AS (SELECT o.recording_id, begins + j AS sample_idx, f.value * CASE WHEN j < blend THEN CASE WHEN blend > 1 THEN j / (blend - 1)::DOUBLE ELSE 0 END ELSE 1 END
+      * CASE WHEN j >= blend AND j - (blend + kept - next) >= 0 THEN CASE WHEN next > 1 THEN 1 - (j - (blend + kept - next)) / (next - 1)::DOUBLE ELSE 1 END ELSE 1 END AS v
+    FROM o, LATERAL (SELECT unnest(range(blend + kept)) AS j), frames f WHERE f.recording_id = o.recording_id AND f.frame_idx = a + 2 * j)
+  SELECT recording_id, sample_idx::BIGINT AS sample_idx, round(sum(v), 6) AS value FROM p GROUP BY 1, 2""")
+def chunked_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long recordings in chunks of 40 samples with 4 of overlap, every second sample played, put together again."""
+    blocks = chunks.in_blocks(frames(spark, sf_dir).select("recording_id", F.col("frame_idx").alias("sample_idx"), "value"), 16)
+    out = chunks.process_chunked(blocks, 2.0, 1, 16, lambda x, t, r: x[::2], 40, 4)
+    return chunks.samples_of(out).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {FRAMES} SELECT recording_id, i::INT AS frame_idx, CASE WHEN n > 1 THEN i * d / (n - 1) ELSE 0 END AS t, 3.0::DOUBLE AS rate
+  FROM (SELECT recording_id, max(t) AS d, greatest(1, floor(max(t) / 7200))::INT AS n FROM frames GROUP BY 1), LATERAL (SELECT unnest(range(n)) AS i)""")
+def uniform_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    durations = frames(spark, sf_dir).groupBy("recording_id").agg(F.max("t").alias("duration"))
+    return rates.uniform_rate_schedule(durations, 3.0, 7200.0)
+
+
+@query("""WITH p AS (SELECT doc_id, lang, source, n_chars / 1000.0 AS e FROM documents), r AS (SELECT source AS recording_id, lang AS label, round(avg(e), 6)::DOUBLE AS wer, round(max(e), 6)::DOUBLE AS cer FROM p GROUP BY 1, 2)
+  SELECT *, coalesce(wer = min(wer) OVER (PARTITION BY recording_id), false) AS best FROM r""")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings, here languages, by error, and the best of each recording, here source."""
+    e = F.col("n_chars") / 1000
+    results = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("recording_id"), F.col("lang").alias("label")).agg(r6(F.avg(e), "wer"), r6(F.max(e), "cer"))
+    return evaluation.evaluation_report(results)
+
+
+@query("""SELECT user_id % 7 AS epoch, event_type AS measure, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY 1, 2""")
+def validation_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches = read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("epoch"), F.col("event_type").alias("measure"), "value")
+    return evaluation.validation_means(batches).withColumn("mean", F.round("mean", 6))
+
+
+@query("""SELECT doc_id FROM documents ORDER BY md5('42-' || doc_id) LIMIT 50""")
+def drawn_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.drawn_trials(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
+
+
+@query("""SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 5""")
+def first_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.first_items(read(spark, sf_dir, "documents").select("doc_id", "lang"), 5, "lang", "doc_id")
+
+
+@query("""SELECT label_row.doc_id, coalesce(quality::VARCHAR, '3') AS speed, '0.7' AS smoothing, toxic::VARCHAR AS gamma FROM labels AS label_row""")
+def merged_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    given = F.map_filter(F.create_map(F.lit("speed"), text("quality"), F.lit("gamma"), text("toxic")), lambda k, v: v.isNotNull())
+    defaults = F.create_map(F.lit("speed"), F.lit("3"), F.lit("smoothing"), F.lit("0.7"))
+    merged = read(spark, sf_dir, "labels").select("doc_id", evaluation.merged_options(defaults, given).alias("m"))
+    return merged.select("doc_id", *[F.col("m")[k].alias(k) for k in ("speed", "smoothing", "gamma")])
+
+
+@query(f"""WITH {FRAMES}, z AS (SELECT recording_id, count(*) AS n FROM frames GROUP BY 1)
+  SELECT z.recording_id, (i // 32)::INT AS frame_idx, (i % 32)::INT AS sample_idx, coalesce(f.value, 0) AS value
+  FROM z, LATERAL (SELECT unnest(range((n + 31) // 32 * 32)) AS i) LEFT JOIN frames f ON f.recording_id = z.recording_id AND f.frame_idx = i""")
+def codec_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 32 values, the last one filled up with zeros."""
+    arrays = w.to_arrays(frames(spark, sf_dir), "value").withColumnRenamed("value", "samples")
+    rows = signal.per_recording(arrays, lambda x: signal.codec_frames(x, 32).ravel()).select("recording_id", F.posexplode("samples").alias("i", "value"))
+    return rows.select("recording_id", F.floor(F.col("i") / 32).cast("int").alias("frame_idx"), (F.col("i") % 32).alias("sample_idx"), "value")
+
+
+@query(f"""WITH {MEL}, p AS (SELECT recording_id, frame_idx, i, least(exp(mel[i + 1] * 4), 100) AS m, mel[33 + i] AS a FROM mel, range(32) r(i))
+  SELECT recording_id, frame_idx::INT AS frame_idx, i::INT AS bin, round(m * cos(a), 6) AS re, round(m * sin(a), 6) AS im FROM p""")
+def polar_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = mel_frames(spark, sf_dir).select("recording_id", "frame_idx", F.posexplode(F.arrays_zip(F.slice("mel", 1, 32).alias("m"), F.slice("mel", 33, 32).alias("a"))).alias("bin", "p"))
+    re, im = s.from_polar(F.col("p.m") * 4, F.col("p.a"))
+    return bins.select("recording_id", "frame_idx", "bin", r6(re, "re"), r6(im, "im"))
 
 
-def _summary(df: DataFrame) -> DataFrame:
-    x = F.col("samples")
-    power = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    return df.select("recording_id", F.size(x).alias("n"), F.round(F.sqrt(power / F.size(x)), 6).alias("rms"), F.round(F.array_max(F.transform(x, F.abs)), 6).alias("peak"))
+@query()
+def resample_roundtrips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra down to a third of their frames and back."""
+    arrays = mel_frames(spark, sf_dir).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "mel"))).alias("r"))
+    out = signal.per_recording(arrays.select("recording_id", F.flatten("r.mel").alias("samples")), lambda x: signal.resample_roundtrip(x.reshape(-1, 64), 3.0, 2.0).ravel())
+    return _rows(out)
+
+
+@query()
+def training_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(audio.training_items(_signals(spark, sf_dir), 2400, True, 1))
 
 
 for _name, _step in {
-    "declick": signal.declick,
     "post_process": signal.post_process,
     "spectral_gate": signal.spectral_gate,
     "prosodic_envelope": signal.prosodic_envelope,
     "match_tilt": lambda x: signal.match_tilt(np.cumsum(x) / len(x), x),
-    "mel_spectrum": lambda x: signal.extract_mel(x).ravel(),
-    "spectral_clicks": lambda x: np.array([float(signal.spectral_clicks(x))]),
 }.items():
 
     def _run(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:
-        return _summary(signal.per_recording(_signals(spark, sf_dir), step))
+        return _rows(signal.per_recording(_signals(spark, sf_dir), step))
 
     QUERIES[_name] = _run

@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.signal import array_column, array_values, fixed_length
+
 BLOCK_SAMPLES = 120_000
+#: Kind, scale and zero of a PCM value by its bytes.
+PCM = {1: ("u1", 128, 128), 2: ("<i2", 1 << 15, 0), 4: ("<i4", 1 << 31, 0)}
 BLOCKS = "path string, block_idx int, start_sample long, sample_rate int, samples array<float>"
-# Encoder options of the output formats.
-FORMATS = {".mp3": "-q:a 2", ".m4a": "-b:a 128k", ".wav": "pcm_s16le", ".flac": "flac"}
+#: Suffixes of the output formats, and whether there is an encoder here.
+FORMATS = {".wav": True, ".mp3": False, ".m4a": False, ".flac": False}
+HEAD_BYTES = 1 << 16
 
 
 def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
     """(sample rate, mono samples in [-1, 1]) of 8-, 16- or 32-bit PCM."""
     with wave.open(io.BytesIO(raw)) as w:
         data, width, channels = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()
-        kind, scale, shift = {1: ("u1", 128, 128), 2: ("<i2", 1 << 15, 0), 4: ("<i4", 1 << 31, 0)}[width]
+        kind, scale, shift = PCM[width]
         x = (np.frombuffer(data, kind).astype(np.float64) - shift) / scale
         return w.getframerate(), x.reshape(-1, channels).mean(axis=1).astype(np.float32)
 
@@ -65,6 +72,154 @@ def wav_payloads(recordings: DataFrame, sample_rate: int) -> DataFrame:
     return recordings.select("recording_id", "samples").mapInArrow(run, f"recording_id {kind}, payload binary")
 
 
+def pcm_payloads(recordings: DataFrame) -> DataFrame:
+    """(recording_id, payload) with each recording's samples as raw little-endian 32-bit floats."""
+    kind = recordings.schema["recording_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, at = array_values(batch.column("samples"))
+            raw = [values[a:b].astype("<f4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("recording_id"), pa.array(raw, pa.binary())], ["recording_id", "payload"])
+
+    return recordings.select("recording_id", "samples").mapInArrow(run, f"recording_id {kind}, payload binary")
+
+
+def payloads(recordings: DataFrame, sample_rate: int, suffix: str = ".wav") -> DataFrame:
+    """Encoded recordings in the format of ``suffix``; an unknown one, or one without an encoder here, raises."""
+    if not FORMATS.get(suffix.lower()):
+        raise ValueError(f"unknown format {suffix}" if suffix.lower() not in FORMATS else f"no encoder for {suffix} here")
+    return wav_payloads(recordings, sample_rate)
+
+
+def wav_header(head: bytes) -> tuple[int, int, int, int, int] | None:
+    """(sample rate, channels, bytes of a value, where the samples begin, their bytes) of a PCM WAV file's first bytes."""
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return None
+    at, form = 12, None
+    while at + 8 <= len(head):
+        name, size = struct.unpack_from("<4sI", head, at)
+        if name == b"fmt " and at + 24 <= len(head):
+            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head, at + 8)
+            form = (rate, channels, bits // 8) if tag in (1, 0xFFFE) and channels and rate else None
+        if name == b"data":
+            return (*form, at + 8, size) if form else None
+        at += 8 + size + size % 2
+    return None
+
+
+def wav_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sample_rate, channels, width, begin, n_bytes, duration) of the files under ``path``, null where one is no PCM WAV."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wav_header(h) or (None,) * 5 for h in batch.column("head").to_pylist()]
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), *columns], ["path", "length", "sample_rate", "channels", "width", "begin", "n_bytes"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    heads = files.select("path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"))
+    found = heads.mapInArrow(run, "path string, length long, sample_rate long, channels long, width long, begin long, n_bytes long")
+    size = F.least("n_bytes", F.col("length") - F.col("begin"))
+    return found.select("path", "sample_rate", "channels", "width", "begin", size.alias("n_bytes"), (size / (F.col("channels") * F.col("width")) / F.col("sample_rate")).alias("duration"))
+
+
+def probe_durations(spark: SparkSession, path: str) -> DataFrame:
+    """(path, duration) in seconds from the headers; null on failure."""
+    return wav_headers(spark, path).select("path", "duration")
+
+
+def samples_between(blocks: DataFrame, start: float, duration: float) -> DataFrame:
+    """The blocks' samples from ``start`` seconds on, for ``duration`` seconds; only blocks within are read further."""
+    rate = F.col("sample_rate")
+    lo, hi = F.floor(start * rate), F.floor((start + duration) * rate)
+    own = blocks.where((F.col("start_sample") < hi) & (F.col("start_sample") + F.size("samples") > lo))
+    first = F.greatest(F.lit(0), lo - F.col("start_sample")).cast("int")
+    n = (F.least(F.size("samples"), hi - F.col("start_sample")) - first).cast("int")
+    return own.withColumn("samples", F.slice("samples", first + 1, n)).withColumn("start_sample", F.col("start_sample") + first)
+
+
+def resample(x: np.ndarray, source: int, target: int, zeros: int = 16) -> np.ndarray:
+    """Another sample rate by a windowed sinc, ``zeros`` of its zero crossings on either side, edges as zeros."""
+    if source == target or not len(x):
+        return x
+    n, cutoff = -(-len(x) * target // source), min(1.0, target / source)
+    reach = int(np.ceil(zeros / cutoff))
+    out = np.empty(n)
+    padded = np.pad(x, reach + 1)
+    for lo in range(0, n, 1 << 14):
+        at = np.arange(lo, min(n, lo + (1 << 14))) * (source / target)
+        near = np.floor(at).astype(np.int64)[:, None] + np.arange(-reach, reach + 1)
+        d = near - at[:, None]
+        kernel = cutoff * np.sinc(d * cutoff) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / (reach + 1), -1, 1)))
+        out[lo : lo + len(at)] = (padded[near + reach + 1] * kernel).sum(axis=1)
+    return out
+
+
+def read_wav_parallel(spark: SparkSession, path: str, sample_rate: int = 24_000, seconds: float = 60.0, overlap: float = 0.05) -> DataFrame:
+    """Blocks (recording_id, index, start_sample, samples) at one sample rate, a file's slices in tasks of their own.
+
+    A slice of ``seconds`` reaches ``overlap`` seconds into its neighbours; after
+    decoding and resampling, slices are cross-faded there.  Files that are no
+    PCM WAV have no blocks.
+    """
+    from ..operators.chunks import merge_parts
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    known = files.join(wav_headers(spark, path).where("sample_rate is not null and width in (1, 2, 4)"), "path")
+    frame = F.col("channels") * F.col("width")
+    total = F.floor(F.col("n_bytes") / frame)
+    chunk, reach = F.ceil(F.col("sample_rate") * seconds), F.ceil(F.col("sample_rate") * overlap)
+    cut = known.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), total - 1), chunk))).withColumn("total", total)
+    lo, hi = F.greatest(F.lit(0), F.col("pos") - reach), F.least(F.col("total"), F.col("pos") + chunk + reach)
+    piece = F.substring("content", (F.col("begin") + lo * frame + 1).cast("int"), ((hi - lo) * frame).cast("int"))
+    fade = lambda there: F.when(there, F.floor(F.lit(overlap * sample_rate))).otherwise(F.lit(0))
+    parts = cut.select(
+        F.col("path").alias("recording_id"), (F.col("pos") / chunk).cast("int").alias("index"), "sample_rate", "channels", "width", piece.alias("raw"),
+        fade(F.col("pos") > 0).cast("long").alias("fade_in"), fade(F.col("pos") + chunk < F.col("total")).cast("long").alias("fade_out"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, r in enumerate(batch.drop_columns(["recording_id"]).to_pylist()):
+                kind, scale, shift = PCM[r["width"]]
+                x = (np.frombuffer(r["raw"], kind).astype(float) - shift) / scale
+                out = resample(x[: len(x) // r["channels"] * r["channels"]].reshape(-1, r["channels"]).mean(axis=1), r["sample_rate"], sample_rate)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("recording_id", "index", "fade_in", "fade_out")), array_column([out])], ["recording_id", "index", "fade_in", "fade_out", "samples"])
+
+    dealt = parts.repartition(F.col("recording_id"), F.col("index"))
+    return merge_parts(dealt.mapInArrow(run, "recording_id string, index int, fade_in long, fade_out long, samples array<double>"))
+
+
+def concatenated(blocks: DataFrame, order: DataFrame) -> DataFrame:
+    """One signal (start_sample, samples) of several recordings' blocks, in the order of (recording_id, file_idx)."""
+    sizes = blocks.groupBy("recording_id").agg(F.sum(F.size("samples")).alias("n")).join(order, "recording_id")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
+    return blocks.join(sizes.select("recording_id", before.alias("_before")), "recording_id").select((F.col("_before") + F.col("start_sample")).alias("start_sample"), "samples")
+
+
+def read_file_list(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the lines of text files that are not blank."""
+    return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+
+
+def training_items(recordings: DataFrame, n_samples: int = 24_000, train: bool = True, seed: int = 0) -> DataFrame:
+    """(recording_id, samples) of ``n_samples`` each: peak at -3 dB, or from -6 to -1 drawn by id; repeated, or cut at a drawn place, to fit."""
+    kind = recordings.schema["recording_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, at = array_values(batch.column("samples"))
+            out = []
+            for i, key in enumerate(batch.column("recording_id").to_pylist()):
+                x, draws = values[at[i] : at[i + 1]], np.random.default_rng([seed, zlib.crc32(str(key).encode())])
+                gain, start = (draws.uniform(-6, -1), int(draws.integers(0, max(1, len(x) - n_samples + 1)))) if train else (-3.0, 0)
+                out.append(fixed_length(x, n_samples, gain, start))
+            yield pa.RecordBatch.from_arrays([batch.column("recording_id"), array_column(out)], ["recording_id", "samples"])
+
+    return recordings.select("recording_id", "samples").mapInArrow(run, f"recording_id {kind}, samples array<double>")
+
+
 def analysis_documents(scores: DataFrame, resolution: float) -> DataFrame:
     """(recording_id, document): a JSON object per recording from (recording_id, frame_idx, t, score)."""
     rows = F.sort_array(F.collect_list(F.struct("frame_idx", "t", "score")))

@@ -171,9 +171,24 @@ def test_adaptive_smoothing_and_roundtrip():
     assert near < far and signal.resample_roundtrip(mel, 3.0).shape == mel.shape
 
 
-def test_word_errors():
-    assert evaluation.word_distance("a b c".split(), "a x c d".split()) == 2
-    assert evaluation.word_distance([], ["a"]) == 1
+def brute_distance(a: list[str], b: list[str]) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_word_errors(spark):
+    rng = np.random.default_rng(1)
+    text = lambda k: " ".join(rng.choice(["a", "bb", "ccc", "é", "中", "\U0001f600", "d"], k))
+    pairs = [("a b c", "a x c d"), ("", "a"), (None, None), ("a", None), ("a  b\tc", "a b c")] + [(text(k), text(k + 2)) for k in range(12)]
+    pairs.append((" ".join(f"w{i}" for i in range(900)), " ".join(f"w{i}" for i in range(0, 900, 2))))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pair_id int, reference string, hypothesis string")
+    for r in evaluation.word_error_rates(rows).collect():
+        ref, hyp = ((x or "").split() for x in pairs[r.pair_id])
+        assert r.wer == (pytest.approx(brute_distance(ref, hyp) / len(ref)) if ref else None)
 
 
 def test_expected_phase_advance_has_no_deviation(spark):
@@ -211,6 +226,241 @@ def test_stream_gives_the_batch_result(spark, small_dir):
     assert sorted(map(tuple, spark.table("energies").collect())) == sorted(map(tuple, tumbling_energy(rows, "1 hour").collect()))
 
 
+def by_loop(x, sections, steady=False):
+    """Second-order sections, sample by sample."""
+    level = float(x[0]) if steady else 0.0
+    for b0, b1, b2, a1, a2 in sections:
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        z1, z2, out = level * (gain - b0), level * (b2 - a2 * gain), []
+        for v in x:
+            out.append(b0 * v + z1)
+            z1, z2 = b1 * v - a1 * out[-1] + z2, b2 * v - a2 * out[-1]
+        x, level = np.array(out), level * gain
+    return x
+
+
+@pytest.mark.parametrize("n", [1, 9, 700, 40_000])
+def test_filters_and_convolution_equal_plain_ones(n):
+    x = RNG.normal(size=n)
+    for response in (RNG.normal(size=1), RNG.normal(size=1920)):
+        assert np.allclose(signal.convolve(x, response), np.convolve(x, response)[:n])
+    for order, cutoff in ((2, 0.16), (3, 0.125), (2, 0.01)):
+        sections = signal.lowpass_sections(order, cutoff)
+        for steady in (False, True):
+            assert np.allclose(signal.run_sections(x, sections, steady), by_loop(x, sections, steady), atol=1e-12)
+
+
+def test_post_processing_equals_its_formulas():
+    x = RNG.normal(size=30_000) * 0.1
+    draws = np.random.RandomState(42)
+    taps = np.zeros(1920)
+    taps[0] = 1
+    for i in range(6):
+        at = int(24_000 * (1 + draws.uniform(1, 15)) / 1000)
+        taps[at] += 0.15 * 0.6**i * draws.choice([-1, 1])
+    taps += draws.randn(1920) * 0.02 * np.exp(-6.9 * np.arange(1920) / 24_000 / 0.08)
+    taps /= np.abs(taps).max()
+    assert np.sort(np.abs(taps))[-2] > 0.1  # an early reflection
+    wet = np.convolve(x, taps)[:30_000]
+    wet *= np.abs(x).max() / np.abs(wet).max()
+    assert np.allclose(signal.room(x), wet)
+    noise = by_loop(np.random.RandomState(30_000).randn(30_000), signal.lowpass_sections(3, 1500 / 12_000))
+    assert np.allclose(signal.warm_dither(x), x + noise * 1e-3 / noise.std())
+    assert np.allclose(signal.post_process(x), signal.warm_dither(signal.room(signal.declick(x))))
+    assert np.array_equal(signal.post_process(x, clicks=False, with_room=False, dither=False), x)
+    assert not len(signal.post_process(np.zeros(0))) and not signal.room(np.zeros(10)).any()
+
+
+def test_clicks_of_known_signals(spark):
+    t = np.arange(48_000) / 24_000
+    spikes = np.sin(2 * np.pi * 440 * t) * 0.01
+    spikes[[10_000, 30_000, 40_000]] = 0.9
+    impulse = np.zeros(24_000)
+    impulse[12_000] = 1.0
+    assert signal.spectral_clicks(np.sin(2 * np.pi * 440 * t) * 0.3) == 0 and signal.spectral_clicks(spikes) >= 3
+    assert signal.spectral_clicks(impulse) >= 1 and signal.spectral_clicks(np.zeros(100)) == 0
+    quiet = [(1, i, 1e-13 * (9 if i == 30 else 1)) for i in range(60)]  # a median of any size above 0 counts here
+    found = w.click_counts(spark.createDataFrame(quiet, "recording_id int, frame_idx int, energy double")).first()
+    assert found.n_clicks == 1
+
+
+BLOCK_TYPE = "recording_id int, block_idx int, start_sample long, samples array<double>"
+
+
+def as_blocks(spark, recordings, block):
+    rows = [(k, i // block, i, x[i : i + block].tolist()) for k, x in recordings.items() for i in range(0, len(x), block)]
+    return spark.createDataFrame(rows, BLOCK_TYPE)
+
+
+def whole(blocks):
+    out = {}
+    for r in sorted(blocks.collect(), key=lambda r: (r.recording_id, r.start_sample)):
+        assert r.start_sample == len(out.get(r.recording_id, ()))
+        out[r.recording_id] = np.r_[out.get(r.recording_id, np.zeros(0)), r.samples]
+    return out
+
+
+def test_blocks_give_what_the_whole_gives(spark):
+    recordings = {k: RNG.normal(size=n) * 0.01 for k, n in enumerate((1, 100, 1056, 20_000, 300_007))}
+    for x in recordings.values():
+        for at in range(500, len(x), 3100):
+            x[at : at + 7] = 1.0
+    for block in (1056, 48_000):
+        found = whole(chunks.declick_blocks(as_blocks(spark, recordings, block), block))
+        assert all(np.allclose(found[k], signal.declick(x)) for k, x in recordings.items())
+    found = whole(chunks.room_blocks(as_blocks(spark, recordings, 48_000), 48_000))
+    assert all(np.allclose(found[k], signal.room(x)) for k, x in recordings.items())
+    with pytest.raises(ValueError):
+        chunks.declick_blocks(as_blocks(spark, recordings, 1000), 1000)
+
+
+def test_a_long_recording_in_blocks(spark):
+    n, block = 5_000_000, 240_000
+    blocks = spark.range(n // block + 1).select(
+        F.lit(1).alias("recording_id"), F.col("id").cast("int").alias("block_idx"), (F.col("id") * block).alias("start_sample"),
+        F.transform(F.sequence(F.lit(0), F.least(F.lit(block), n - F.col("id") * block).cast("int") - 1), lambda i: F.sin((i + F.col("id") * block) / 50.0) / 100 + F.when((i + F.col("id") * block) % 1_000_003 < 6, 1.0).otherwise(0.0)).alias("samples"),
+    )
+    at = np.arange(n)
+    want = signal.room(signal.declick(np.sin(at / 50) / 100 + (at % 1_000_003 < 6)))
+    declicked = chunks.declick_blocks(blocks, block)
+    out = chunks.room_blocks(declicked, block)
+    got = out.select(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, v: a + F.abs(v))).alias("s"), F.sum(F.size("samples")).alias("n"), F.count("*").alias("k")).first()
+    assert (got.n, got.k) == (n, 21) and got.s == pytest.approx(np.abs(want).sum())
+
+
+def brute_merge(parts):
+    """Parts (samples, fade in, fade out) one after another onto what there is."""
+    done = []
+    for i, (x, a, z) in enumerate(parts):
+        k = min(a, len(done[-1]), len(x)) if i and a else 0
+        if k:
+            rise = np.linspace(0, 1, k)
+            blended = done[-1][len(done[-1]) - k :] * (1 - rise) + x[:k] * rise
+            done[-1] = done[-1][: len(done[-1]) - k]
+            done.append(blended)
+        done.append(x[k : max(k, len(x) - z)])
+    return np.concatenate(done) if done else np.zeros(0)
+
+
+def test_merging_equals_appending_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    recordings = {k: [(rng.normal(size=rng.integers(0, 12)), int(rng.integers(0, 5)), int(rng.integers(0, 5))) for _ in range(rng.integers(1, 6))] for k in range(60)}
+    rows = [(k, i, x.tolist(), a if i else 0, z if i + 1 < len(p) else 0) for k, p in recordings.items() for i, (x, a, z) in enumerate(p)]
+    merged = chunks.merge_parts(spark.createDataFrame(rows, "recording_id int, index int, samples array<double>, fade_in int, fade_out int"))
+    got = {(r.recording_id, r.sample_idx): r.value for r in chunks.samples_of(merged).collect()}
+    for k in recordings:
+        want = brute_merge([(np.array(x), a, z) for key, _, x, a, z in rows if key == k])
+        assert [got.get((k, i)) for i in range(len(want))] == pytest.approx(want.tolist()) and (k, len(want)) not in got
+
+
+def test_chunked_equals_unchunked(spark):
+    recordings = {k: np.sin(np.arange(n) / 9) for k, n in enumerate((1, 40, 700, 2011))}
+    blocks = as_blocks(spark, recordings, 64)
+    same = whole(chunks.process_chunked(blocks, 1.0, 10, 64, lambda x, t, r: x, 20.0, 2.0))
+    assert all(np.allclose(same[k], x) for k, x in recordings.items())
+    slow = whole(chunks.process_chunked(blocks, 2.0, 10, 64, lambda x, t, r: chunks.play_at_rates(x, t, r, 10), 20.0, 2.0))
+    for k, x in recordings.items():
+        alone = chunks.play_at_rates(x, np.array([0.0, len(x) / 10]), np.array([2.0, 2.0]), 10)
+        assert abs(len(slow[k]) - len(alone)) <= 3 and np.abs(slow[k][: len(alone)][:95] - alone[: len(slow[k])][:95]).max() < 0.25  # a sample's step apart at most
+    curve = spark.createDataFrame([(k, float(t), 1.0 + t % 2) for k in range(4) for t in range(0, 200, 50)], "recording_id int, t double, rate double")
+    assert set(whole(chunks.process_chunked(blocks, 1.5, 10, 64, lambda x, t, r: x[: len(t)] * 0 + r[: len(x[: len(t)])], 20.0, 2.0, curve))) == set(recordings)
+    with pytest.raises(ValueError):
+        chunks.process_chunked(blocks, 0.0, 10, 64, lambda x, t, r: x)
+
+
+def test_mel_importance_takes_its_parameters(spark):
+    rows = [(1, i, [3.0 * (i == 5)] * 50 + [1.0 * (i == 15)] * 50) for i in range(30)]
+    mel = spark.createDataFrame(rows, "recording_id int, frame_idx int, mel array<double>")
+    score = lambda **o: {r.frame_idx: r.score for r in importance.mel_importance(mel, **o).collect()}
+    assert score(hf_boost=2.5)[15] > score(hf_boost=2.0)[15]
+    above = lambda k: sum(s > 0.5 for s in score(peak_spread=k).values())
+    assert above(7) > above(1)
+    assert score(hf_start=0.0) != score() and score(silence_threshold=0.0) == score(closure_threshold=2.0)
+
+
+def test_roundtrip_smooths_and_draws_its_rate():
+    mel = RNG.normal(size=(94, 5))
+    padded = np.pad(mel, ((6, 6), (0, 0)), mode="reflect")
+    weights = np.exp(-0.5 * (np.arange(-6, 7) / 2.0) ** 2)
+    want = np.stack([np.convolve(padded[:, j], weights / weights.sum(), "valid") for j in range(5)], axis=1)
+    assert np.allclose(signal.smoothed_frames(mel, 2.0), want)
+    assert signal.random_resample_roundtrip(mel, 1).shape == mel.shape and np.allclose(signal.random_resample_roundtrip(mel, 1), signal.random_resample_roundtrip(mel, 1))
+    assert np.allclose(signal.resample_roundtrip(mel, 1.0), mel) and not len(signal.resample_roundtrip(mel[:0], 2.0))
+
+
+def test_noise_can_be_taken_off_in_ways_that_are_there():
+    x = RNG.normal(size=24_000) * 0.03
+    assert signal.denoise(x, "none") is x and np.std(signal.denoise(x, "deep")) < np.std(x) > np.std(signal.denoise(x))
+    with pytest.raises(ValueError):
+        signal.denoise(x, "demucs")
+
+
+def test_small_operators(spark):
+    durations = spark.createDataFrame([(1, 1.0), (2, 0.0)], "recording_id int, duration double")
+    rows = rates.uniform_rate_schedule(durations, 2.0).collect()
+    assert np.allclose([r.t for r in rows if r.recording_id == 1], np.linspace(0, 1, 50)) and len(rows) == 51 and {r.rate for r in rows} == {2.0}
+    with pytest.raises(ValueError):
+        rates.uniform_rate_schedule(durations, 0)
+    results = spark.createDataFrame([(1, "a", 0.2, 0.1), (1, "b", 0.1, 0.3), (1, "c", None, None), (2, "a", None, None)], "recording_id int, label string, wer double, cer double")
+    assert sorted((r.recording_id, r.label) for r in evaluation.evaluation_report(results).where("best").collect()) == [(1, "b")]
+    assert signal.codec_frames(np.ones(2000)).sum(axis=1).tolist() == [1920, 80] and signal.codec_frames(np.zeros(0)).shape == (0, 1920)
+    items = spark.range(100).withColumnRenamed("id", "k")
+    draw = [[r.k for r in evaluation.drawn_trials(items, "k", 10, s).collect()] for s in (1, 1, 2)]
+    assert draw[0] == draw[1] != draw[2] and len(set(draw[0])) == 10
+    assert signal.fixed_length(np.array([0.5, -1.0]), 5, 0.0).tolist() == [0.5, -1, 0.5, -1, 0.5] and np.abs(signal.fixed_length(RNG.normal(size=900), 100)).max() <= 10 ** (-3 / 20)
+
+
+def test_wav_files_in_slices(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    x = np.sin(np.arange(100_000) / 40) * 0.5
+    for name, rate in (("a", 24_000), ("b", 48_000)):
+        with open(f"{folder}/{name}.wav", "wb") as f:
+            f.write(audio.encode_wav(x, rate))
+    with open(f"{folder}/bad.wav", "wb") as f:
+        f.write(b"RIFF no audio")
+    durations = {os.path.basename(r.path): r.duration for r in audio.probe_durations(spark, folder).collect()}
+    assert durations == {"a.wav": pytest.approx(100_000 / 24_000), "b.wav": pytest.approx(100_000 / 48_000), "bad.wav": None}
+    for seconds in (0.7, 60.0):
+        found = {os.path.basename(k): v for k, v in whole(audio.read_wav_parallel(spark, folder, 24_000, seconds)).items()}
+        assert set(found) == {"a.wav", "b.wav"} and abs(len(found["b.wav"]) - 50_000) <= 4
+        assert np.allclose(found["a.wav"], x, atol=1e-4)
+        assert np.allclose(found["b.wav"][100:49_000], x[200:98_000:2], atol=2e-3)
+    part = audio.samples_between(audio.read_wav(spark, f"{folder}/a.wav"), 1.0, 2.0).collect()
+    assert [(r.start_sample, len(r.samples)) for r in part] == [(24_000, 48_000)] and np.allclose(part[0].samples, x[24_000:72_000], atol=1e-4)
+    raw = audio.pcm_payloads(spark.createDataFrame([(1, x.tolist()), (2, None)], "recording_id int, samples array<double>")).orderBy("recording_id").collect()
+    assert np.allclose(np.frombuffer(raw[0].payload, "<f4"), x, atol=1e-7) and raw[1].payload == b""
+    for suffix in (".mp3", ".xyz"):
+        with pytest.raises(ValueError):
+            audio.payloads(None, 24_000, suffix)
+    two = as_blocks(spark, {1: x[:10], 2: x[10:25]}, 8)
+    order = spark.createDataFrame([(2, 0), (1, 1)], "recording_id int, file_idx int")
+    joined = np.concatenate([r.samples for r in audio.concatenated(two, order).orderBy("start_sample").collect()])
+    assert np.allclose(joined, np.r_[x[10:25], x[:10]])
+
+
+def test_training_items_and_file_lists(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    with open(f"{folder}/list.txt", "w") as f:
+        f.write("a.wav\n\n  b.wav \n   \n")
+    assert [r.path for r in audio.read_file_list(spark, folder).collect()] == ["a.wav", "b.wav"]
+    recordings = spark.createDataFrame([(1, RNG.normal(size=6000).tolist()), (2, RNG.normal(size=48_000).tolist()), (3, [])], "recording_id int, samples array<double>")
+    for train in (True, False):
+        rows = audio.training_items(recordings, 24_000, train).collect()
+        assert [len(r.samples) for r in rows] == [24_000] * 3
+        assert all(10 ** (-6.01 / 20) <= np.abs(r.samples).max() <= 10 ** (-0.99 / 20) for r in rows if r.recording_id == 1)
+
+
+def test_sliding_stream_gives_the_batch_result(spark, small_dir):
+    rows = spark.read.parquet(f"{small_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("recording_id"), "value")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows.write.mode("overwrite").parquet(folder)
+    stream = tumbling_energy(spark.readStream.schema(rows.schema).parquet(folder), "1 hour", slide="30 minutes")
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("sliding").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(map(tuple, spark.table("sliding").collect())) == sorted(map(tuple, tumbling_energy(rows, "1 hour", slide="30 minutes").collect()))
+
+
 def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'rate_schedule' in q"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=False).returncode == 0
