@@ -15,6 +15,7 @@ keep all that are smallest in one.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,10 +25,12 @@ from .common import WORD_PATTERN, shuffle_partitions, table
 
 GRAM_WORDS = 5
 WINDOW = 8
-#: A fingerprint entry is a 40-bit hash above 23 bits that fall as the position rises.
-POSITION_BITS = 23
+#: A fingerprint entry is a 33-bit hash above 30 bits that fall as the position rises; no string holds 2**30 words.
+POSITION_BITS = 30
 POSITION_MASK = (1 << POSITION_BITS) - 1
 LOWEST = -(1 << 63)
+#: Bytes of text that a range of rows holds on average, and most ranges; beyond it ranges grow, and are sorted by spilling.
+RANGE_BYTES, MOST_RANGES = 1 << 23, 1 << 13
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,8 +53,8 @@ def entries(text: Column) -> Column:
             rolled = F.get(h, i + (GRAM_WORDS - 1))
             for j in range(GRAM_WORDS - 1):
                 rolled = rolled.bitwiseXOR(rotate(F.get(h, i + j), GRAM_WORDS - 1 - j))
-            place = F.lit(POSITION_MASK) - i.bitwiseAND(F.lit(POSITION_MASK))
-            return F.shiftleft(F.shiftrightunsigned(rolled, 24), POSITION_BITS).bitwiseOR(place.cast("long"))
+            place = F.lit(POSITION_MASK) - i
+            return F.shiftleft(F.shiftrightunsigned(rolled, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(place.cast("long"))
 
         n = F.size(h) - (GRAM_WORDS - 1)
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), gram)).otherwise(F.array().cast("array<bigint>"))
@@ -72,7 +75,7 @@ def entry_hashes(found: Column) -> Column:
 
 
 def entry_positions(found: Column) -> Column:
-    """Word positions of a fingerprint's entries (modulo 2**23)."""
+    """Word positions of a fingerprint's entries."""
     return F.transform(found, lambda x: F.lit(POSITION_MASK) - x.bitwiseAND(F.lit(POSITION_MASK)))
 
 
@@ -86,53 +89,75 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """Number of ``bounds`` (ascending) not above ``key``, in two steps of about sqrt(n)."""
+def range_bounds(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Bounds (key, text hash) of the ranges, ascending.
+
+    A key that is several quantiles holds that many ranges' rows, which the
+    hashes of their texts, even over all longs, tell apart.
+    """
+    often = Counter(quantiles)
+    return [(key, LOWEST + ((i << 64) // often[key])) for key in sorted(often) for i in range(often[key])]
+
+
+def range_of(key: Column, text_hash: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of ``bounds`` not above (key, text_hash), in two steps of about sqrt(n)."""
     width = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)] or [[]]
-    count = lambda values: F.size(F.filter(values, lambda b: b <= key))
-    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values]).cast("array<bigint>")
-    coarse = count(longs([g[0] for g in groups[1:]]))
-    return (coarse * width + count(F.get(F.array(*[longs(g) for g in groups]), coarse))).cast("int")
+    kind = "array<struct<k:bigint,h:bigint>>"
+    pairs = lambda values: F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in values]).cast(kind)
+    count = lambda values: F.size(F.filter(values, lambda b: (b["k"] < key) | ((b["k"] == key) & (b["h"] <= text_hash))))
+    coarse = count(pairs([g[0] for g in groups[1:]]))
+    return (coarse * width + count(F.get(F.array(*[pairs(g) for g in groups]), coarse))).cast("int")
 
 
 def with_next(docs: DataFrame, extra: Callable[[Column], Column]) -> DataFrame:
     """(doc_id, text, x, next_text, next_x) with x = ``extra(text)``.
 
     The next row is the one with the next lower doc_id; after the lowest comes
-    the highest; of equal ids, the lower text first; a null id is lowest.
-    Rows are dealt into ranges of ids, and each range also gets the first row
-    of the range below, so that one shuffle of the texts serves and no task
-    sees more than its range.
+    the highest; of equal ids, the higher text hash first; a null id is lowest.
+    Rows are dealt into ranges of (doc_id, text hash), and each range also gets
+    the first row of the range below, so that one shuffle of the texts serves
+    and no task sees more than its range.  Repeated rows of an id that holds
+    much of the table are counted before and told apart after.
     """
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_key"))
-    ids = keyed.select("_key")
-    parts = [i / (2 * n) for i in range(1, 2 * n)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("_key", parts, 100 * n).alias("b")).first()["b"] or []))
-    dealt = keyed.withColumn("_bucket", bucket_of(F.col("_key"), bounds))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_key"))
+    n = max(2 * shuffle_partitions(spark), min(MOST_RANGES, math.ceil((keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / RANGE_BYTES)))
+    quantiles = keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 20 * n).alias("b")).first()["b"] or []
+    hot = [key for key, times in Counter(quantiles).items() if times > 1]
+    one = keyed.withColumn("_n", F.lit(1).cast("long"))
+    if hot:  # fewer than half of the ranges
+        is_hot = F.col("_key").isin(hot)
+        counted = keyed.where(is_hot).groupBy("doc_id", "text", "_key").agg(F.count(F.lit(1)).alias("_n"))
+        one = one.where(~is_hot).unionByName(counted)
+    hashed = one.withColumn("_hash", F.xxhash64("text"))
+    dealt = hashed.withColumn("_bucket", range_of(F.col("_key"), F.col("_hash"), range_bounds(quantiles)))
     # one row per range reaches the driver
-    tops = sorted(tuple(r) for r in dealt.select("_bucket", "_key").groupBy("_bucket").agg(F.max("_key")).collect())
-    above = [b for b, _ in tops[1:]] + [b for b, _ in tops[:1]]
+    top = F.max(F.struct("_key", "_hash")).alias("top")
+    tops = sorted((r["_bucket"], *r["top"]) for r in dealt.select("_bucket", "_key", "_hash").groupBy("_bucket").agg(top).collect())
+    above = [t[0] for t in tops[1:]] + [t[0] for t in tops[:1]]
     halo = spark.createDataFrame(
-        [(b, top, to, i == len(tops) - 1) for i, ((b, top), to) in enumerate(zip(tops, above, strict=True))],
-        "_of int, _top long, _to int, _last boolean",
+        [(*t, to, i == len(tops) - 1) for i, (t, to) in enumerate(zip(tops, above, strict=True))],
+        "_of int, _top long, _top_hash long, _to int, _last boolean",
     )
-    met = dealt.join(F.broadcast(halo), (F.col("_bucket") == F.col("_of")) & (F.col("_key") == F.col("_top")), "left")
+    is_top = (F.col("_bucket") == F.col("_of")) & (F.col("_key") == F.col("_top")) & (F.col("_hash") == F.col("_top_hash"))
+    met = dealt.join(F.broadcast(halo), is_top, "left")
     place = lambda bucket, last, lent: F.struct(bucket.alias("bucket"), last.alias("last"), lent.alias("lent"))
     own = F.array(place(F.col("_bucket"), F.lit(False), F.lit(False)))
     both = F.concat(own, F.array(place(F.col("_to"), F.col("_last"), F.lit(True))))
     rows = met.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), own).otherwise(both)))
-    rows = rows.select("doc_id", "text", "_key", F.col("_at.bucket").alias("_bucket"), F.col("_at.last").alias("_last"), F.col("_at.lent").alias("_lent"))
-    rows = rows.repartition(n, "_bucket").withColumn("x", extra(F.col("text")))
-    order = Window.partitionBy("_bucket").orderBy("_last", F.col("_key").desc(), "text", "_lent")
-    return (
-        rows.withColumn("next_text", F.lead("text").over(order))
-        .withColumn("next_x", F.lead("x").over(order))
-        .where(~F.col("_lent"))
-        .select("doc_id", "text", "x", "next_text", "next_x")
-    )
+    rows = rows.select("doc_id", "text", "_key", "_hash", "_n", F.col("_at.bucket").alias("_bucket"), F.col("_at.last").alias("_last"), F.col("_at.lent").alias("_lent"))
+    rows = rows.repartitionById(n, F.col("_bucket")).withColumn("x", extra(F.col("text")))
+    order = Window.partitionBy("_bucket").orderBy("_last", F.col("_key").desc(), F.col("_hash").desc(), "text", "_lent")
+    found = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_x", F.lead("x").over(order)).where(~F.col("_lent"))
+    if hot:  # of equal rows, all but the last have their own text next
+        pair = lambda n, text, x: F.struct(n.alias("n"), text.alias("text"), x.alias("x"))
+        nexts = F.array(pair(F.lit(1).cast("long"), F.col("next_text"), F.col("next_x")), pair(F.col("_n") - 1, F.col("text"), F.col("x")))
+        found = found.withColumn("_next", F.explode(F.filter(nexts, lambda p: p["n"] > 0)))
+        found = found.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_next.n"))))
+        found = found.withColumn("next_text", F.col("_next.text")).withColumn("next_x", F.col("_next.x"))
+    return found.select("doc_id", "text", "x", "next_text", "next_x")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -141,8 +166,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     Columns: doc_id, n_chars, edited_sha256, entries, positions,
     edited_entries, near_edited, near_next.  A null text counts as empty; an
     empty text has no entries, and two such are alike to degree 1.  Rows with
-    one doc_id follow each other in the order of their texts; a single row is
-    its own next.  Columns besides doc_id and text are ignored.
+    one doc_id follow each other in descending order of their texts' XXH64; a
+    single row is its own next.  Columns besides doc_id and text are ignored.
     """
     rows = with_next(docs, entries)
     n_chars = F.length("text").cast("long")

@@ -20,7 +20,7 @@ def brute_entries(text: str) -> list[int]:
         rolled = 0
         for j in range(w.GRAM_WORDS):
             rolled ^= rotate(h[i + j], w.GRAM_WORDS - 1 - j)
-        grams.append(((rolled >> 24) << w.POSITION_BITS) | (w.POSITION_MASK - i))
+        grams.append(((rolled >> w.POSITION_BITS + 1) << w.POSITION_BITS) | (w.POSITION_MASK - i))
     if len(grams) >= w.WINDOW:
         windows = [grams[i : i + w.WINDOW] for i in range(len(grams) - w.WINDOW + 1)]
     else:
@@ -29,7 +29,8 @@ def brute_entries(text: str) -> list[int]:
 
 
 def brute_rows(rows):
-    ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
     out = []
     for i, (doc_id, text) in enumerate(ordered):
         text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
@@ -79,3 +80,19 @@ def test_rightmost_of_equal_hashes_is_kept(spark):
     text = " ".join(["same"] * 30)
     row = spark.createDataFrame([(text,)], "t string").select(w.entry_positions(w.entries(F.col("t"))).alias("p")).first()
     assert row.p == sorted(row.p) and 29 in row.p
+
+
+def test_hot_ids_and_repeated_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(n))
+    rows = [(7, text(20)) for _ in range(150)] + [(7, "one and the same text of a hot id")] * 60 + [(None, text(12)) for _ in range(60)] + [(None, None)] * 40 + [(i, text(15)) for i in range(100, 190)]
+    rng.shuffle(rows)
+    check(w.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), rows)
+    check(w.fingerprint_documents(spark.createDataFrame([(1, "all rows are equal to each other")] * 30, "doc_id long, text string")), [(1, "all rows are equal to each other")] * 30)
+    monkeypatch.setattr(w, "RANGE_BYTES", 200)  # many ranges
+    check(w.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), rows)
+
+
+def test_ranges_split_a_hot_key():
+    bounds = w.range_bounds([1, 5, 5, 5, 9])
+    assert bounds == sorted(bounds) and [k for k, _ in bounds] == [1, 5, 5, 5, 9] and len({h for k, h in bounds if k == 5}) == 3
