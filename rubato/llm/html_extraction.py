@@ -29,22 +29,32 @@ from .page_templates import training_pages
 PATH_BUCKETS, WORD_BUCKETS = 1 << 11, 1 << 12
 PATH_VECTOR, WORD_VECTOR, HIDDEN, N_STATS = 12, 8, 16, 9
 TRAINING_PAGES, EPOCHS, BATCH, RATE, SEED = 800, 7, 32, 0.01, 11
-#: Open elements that make a path; deeper ones have the path of the deepest of these.
+#: Outermost open elements whose names describe a block; deeper ones are followed as well, and their text is read like any other.
 DEPTH = 200
+#: Longest attributes whose hashes are remembered; longer ones are hashed anew.
+REMEMBERED_CHARS = 1 << 10
 #: Pages read together, and padded blocks that the network sees at once; bounds of memory.
 GROUP_PAGES, GROUP_BLOCKS = 128, 1 << 15
 
-#: Text and the markup after it: a comment, a tag, a tag with odd quotes, a declaration, or a lone "<" or the end.
+#: Text and the markup after it: a tag whose quoted values, of any length, may hold ">", a comment, a tag cut at the
+#: first ">" for want of another, a declaration, or a lone "<" or the end.  A quote opens a value only after "=".
 TOKEN = re.compile(
-    r"""([^<]*)(?:<(/?)([a-zA-Z][^\s/>]*)(?:>|((?:"[^"]{0,4096}"|'[^']{0,4096}'|[^"'>])*)>)|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(<)|\Z)""",
+    r"""([^<]*)(?:<(/?)([a-zA-Z][^\s/>]*)((?>[^>"'=]+|=\s*+(?>"[^"]*"|'[^']*'|)|["'])*+)>|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(<)|\Z)""",
     re.S,
 )
+#: The same without regard to quotes, for the rest of a page whose quotes leave no ">" open.
+UNQUOTED_TOKEN = re.compile(r"""([^<]*)(?:<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)\Z|<[!?/][^>]*(?:>|\Z)|(<)|\Z)""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME_WORD = re.compile(r"[A-Za-z]+")
-#: Their content is never text of the page.
-HIDDEN_TAGS = frozenset("script style noscript template title textarea iframe object svg math select".split())
-#: Of these, the ones that a slash before the ">" ends, unless it is the end of an unquoted value.
+#: Scripts, styles, form fields and what stands for another page: their content is never text of the page.
+HIDDEN_TAGS = frozenset("script style template title textarea iframe select".split())
+#: Elements of other languages: what they hold is inline.  A slash before the ">" ends them, unless it is the end of an unquoted value.
 FOREIGN = frozenset(("svg", "math"))
+# The tags that end such an element, from the HTML standard's rules for foreign content, and the sectioning ones.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var"
+    " article aside footer form header html main nav section td th tr".split()
+)
 UNQUOTED_END = re.compile(r"""=\s*[^\s"'][^\s]*\Z""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -86,6 +96,7 @@ def blocks_of(page: str) -> list[Block]:
     opened: dict[str, int] = {}
     parts: list[str] = []
     links = link_chars = 0
+    root = -1  # place of the outermost open element of another language
 
     def flush() -> None:
         nonlocal link_chars
@@ -98,6 +109,9 @@ def blocks_of(page: str) -> list[Block]:
         link_chars = 0
 
     def cut(start: int, stop: int) -> None:
+        nonlocal root
+        if root >= start:
+            root = -1 if root < stop else root - (stop - start)
         for name, _, _ in stack[start:stop]:
             opened[name] -= 1
         del stack[start:stop]
@@ -135,8 +149,17 @@ def blocks_of(page: str) -> list[Block]:
             if odd_tag is None:
                 continue
             shut, tag, attrs = odd_shut, odd_tag, odd_attrs
+            match = UNQUOTED_TOKEN.match
         tag = tag.lower()
-        inline = tag in INLINE
+        if root >= 0 and tag not in HIDDEN_TAGS:
+            if shut:
+                own = next((i for i in range(len(stack) - 1, root - 1, -1) if stack[i][0] == tag), -1)
+                cut(max(own, root), len(stack))
+                if own >= 0:
+                    continue
+            elif tag in BREAKOUT:
+                cut(root, len(stack))
+        inline = root >= 0 or tag in INLINE
         if shut:
             if inline:
                 if tag == "a" and links:
@@ -149,13 +172,12 @@ def blocks_of(page: str) -> list[Block]:
                 links = 0
             continue
         if tag in HIDDEN_TAGS:
-            if tag in FOREIGN and attrs and attrs[-1] == "/" and not UNQUOTED_END.search(attrs):
-                continue
             found = CLOSERS[tag].search(page, at)
             close_at = page.find(">", found.end()) if found else -1
             at = close_at + 1 if close_at >= 0 else end
             continue
-        if inline:
+        foreign = tag in FOREIGN
+        if inline or foreign:
             if tag in VOID:
                 if tag != "wbr":
                     parts.append(" ")
@@ -167,13 +189,18 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             links = 0
             close(FAMILY.get(tag, ("p",)))
-        if tag not in VOID and not (attrs and attrs[-1] == "/"):
+        if tag not in VOID and not (attrs and attrs[-1] == "/" and not (foreign and UNQUOTED_END.search(attrs))):
             if len(stack) < DEPTH:
-                own = element_buckets(tag, attrs) if attrs and "=" in attrs else tag_buckets(tag[:16])
+                if attrs and "=" in attrs:
+                    own = (element_buckets if len(attrs) <= REMEMBERED_CHARS else element_buckets.__wrapped__)(tag, attrs)
+                else:
+                    own = tag_buckets(tag[:16])
                 path = stack[-1][1] + own if stack else own
             else:
                 path = stack[-1][1]
-            stack.append((tag, path, len(stack) if not inline else stack[-1][2] if stack else -1))
+            if foreign and root < 0:
+                root = len(stack)
+            stack.append((tag, path, stack[-1][2] if stack else -1) if inline or foreign else (tag, path, len(stack)))
             opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out

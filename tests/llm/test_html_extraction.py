@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from rubato.llm import html_extraction as h
 from rubato.llm.page_templates import training_pages
@@ -25,7 +27,7 @@ def test_blocks_and_references():
 
 
 def test_empty_foreign_elements_and_deep_markup():
-    assert [b.text for b in h.blocks_of('<p>a<svg width="1"/>b<p>c<math/>d<svg>x</svg>e<p>f<svg class=y/>x</svg>g')] == ["ab", "cde", "fg"]
+    assert [b.text for b in h.blocks_of('<p>a<svg width="1"/>b<p>c<math/>d<svg>x</svg>e<p>f<svg class=y/>x</svg>g')] == ["ab", "cdxe", "fxg"]
     deep = h.blocks_of("<div>" * 250 + "in" + "</div>" * 249 + "<p>out</p></div><p>after</p>")
     flat = h.blocks_of("<div><p>out</p></div><p>after</p>")
     assert [b.text for b in deep] == ["in", "out", "after"]
@@ -92,3 +94,53 @@ def test_odd_tables(spark):
     found = h.extract_main_text(spark.createDataFrame(rows, schema)).collect()
     assert len(found) == len(rows) and all(r.text is not None for r in found)
     assert h.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_nothing_is_capped_or_dropped_by_name():
+    for n in (10, 5000, 200_000):
+        assert [b.text for b in h.blocks_of(f'<p data-a="{"y" * n}>z">hello</p><p title=\'{">" * n}\' class=b>there</p>')] == ["hello", "there"]
+    assert [b.text for b in h.blocks_of("<p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> be y</p>")] == ["Let x=12 be y"]
+    assert [b.text for b in h.blocks_of("<p>An <svg viewBox='0 0 1 1'><g><path d='M0'/><text>icon</text></g></svg> here</p><p>next</p>")] == ["An icon here", "next"]
+    assert [b.text for b in h.blocks_of("<p>see <object data=x>the figure</object><noscript>, or not</noscript></p>")] == ["see", "the figure", ", or not"]
+    # an element that is never closed ends where a paragraph begins, or with the element around it
+    assert [b.text for b in h.blocks_of("<div><svg><g>a<p>b</p></div><section><math>c</section><p>d")] == ["a", "b", "c", "d"]
+    assert [b.text for b in h.blocks_of("<p>a <math><mi>x</mi></p><p>b</p>")] == ["a x", "b"]
+
+
+def test_blocks_equal_a_plain_parser():
+    """Block texts of small random pages, against a parser that keeps its open elements in a plain list."""
+    rng = np.random.default_rng(3)
+    names, words = ["div", "p", "b", "span", "li", "ul", "section", "td"], ["one", "two &amp; three", "x", " "]
+    for _ in range(300):
+        page, want, line, opened = "", [], "", []
+
+        def end():
+            nonlocal line
+            want.extend([" ".join(line.split())] if line.strip() else [])
+            line = ""
+
+        for _ in range(rng.integers(1, 25)):
+            kind = rng.integers(0, 3)
+            if kind == 0:
+                word = words[rng.integers(0, len(words))]
+                page, line = page + word, line + word.replace("&amp;", "&")
+            elif kind == 1:
+                name, quote = names[rng.integers(0, len(names))], "'\""[rng.integers(0, 2)]
+                page += f"<{name} a={quote}{'<>'[rng.integers(0, 2)] * rng.integers(0, 6000)}{quote}>"
+                opened.append(name)
+                if name not in ("b", "span"):
+                    end()
+            elif opened:
+                name = opened.pop()
+                page += f"</{name}>"
+                if name not in ("b", "span"):
+                    end()
+        end()
+        assert [b.text for b in h.blocks_of(page)] == want
+
+
+def test_odd_quotes_cost_no_more_than_the_page():
+    for page in ("<a x=\">\" " * 50_000, '<a x="' * 50_000, "<a x='\"> " * 50_000, '<p class="' + "y" * 300_000 + ">text"):
+        began = time.time()
+        h.blocks_of(page)
+        assert time.time() - began < 5
