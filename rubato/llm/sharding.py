@@ -1,6 +1,6 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-Every shard owns ``vnodes`` points on a ring of ``RING_POINTS`` positions.  A
+Every shard owns ``vnodes`` points on a ring of ``2**RING_BITS`` positions.  A
 key's home is the first virtual node clockwise of its hash.  A shard that is
 full sends the keys beyond its capacity on to the next virtual node clockwise,
 until one has room, so no shard ever exceeds its capacity and only overflow
@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import hashlib
 from collections import deque
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: Resolution of the ring; bounds the size of the broadcast lookup table.
-RING_POINTS = 1 << 16
+#: Positions of the ring, and the cells of the broadcast lookup table.
+RING_BITS, CELL_BITS = 32, 12
 
 
 def ring_arcs(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -37,7 +38,7 @@ def ring_arcs(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
     for shard in range(n_shards):
         for v in range(vnodes):
             digest = hashlib.md5(f"shard-{shard}-vnode-{v}".encode()).digest()
-            at.setdefault(int.from_bytes(digest[:8], "big") % RING_POINTS, shard)
+            at.setdefault(int.from_bytes(digest[:8], "big") >> (64 - RING_BITS), shard)
     return sorted(at.items())
 
 
@@ -103,18 +104,19 @@ def bounded_ring_shards(
     spark = df.sparkSession
     arcs = ring_arcs(n_shards, vnodes)
     owners = [shard for _, shard in arcs]
-    lookup, a = [], 0
-    for point in range(RING_POINTS):
-        while a < len(arcs) and arcs[a][0] < point:
-            a += 1
-        lookup.append((point, a % len(arcs)))
-    ring = spark.createDataFrame(lookup, "_ring_point int, _ring_arc int")
-
-    hashed = df.withColumn("_ring_hash", F.xxhash64(key)).withColumn(
-        "_ring_point", F.shiftrightunsigned("_ring_hash", 48).cast("int")
-    )
+    # a cell's arcs: those before it, and the points within it
+    within: list[list[int]] = [[] for _ in range(1 << CELL_BITS)]
+    for point, _ in arcs:
+        within[point >> (RING_BITS - CELL_BITS)].append(point)
+    before = [0, *accumulate(map(len, within))]
+    ring = spark.createDataFrame(list(zip(range(len(within)), before, within, strict=False)), "_ring_cell int, _ring_before int, _ring_within array<long>")
+
+    hashed = df.withColumn("_ring_hash", F.xxhash64(key)).withColumn("_ring_point", F.shiftrightunsigned("_ring_hash", 64 - RING_BITS))
+    hashed = hashed.withColumn("_ring_cell", F.shiftright("_ring_point", RING_BITS - CELL_BITS).cast("int"))
+    passed = F.size(F.filter("_ring_within", lambda p: p < F.col("_ring_point")))
+    arc = ((F.col("_ring_before") + passed) % len(arcs)).alias("_ring_arc")
     placed = materialise(
-        hashed.join(F.broadcast(ring), "_ring_point").withColumn("_ring_part", F.spark_partition_id()),
+        hashed.join(F.broadcast(ring), "_ring_cell").select(*[hashed[c] for c in df.columns], "_ring_hash", arc, F.spark_partition_id().alias("_ring_part")),
         "ring",
     )
     cells = placed.groupBy("_ring_arc", "_ring_part").agg(F.count(F.lit(1)).alias("_ring_n"))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
 from rubato.llm import sharding
 
 
@@ -52,3 +54,28 @@ def test_overflow_goes_clockwise_and_little_else_moves():
 def test_a_further_shard_keeps_the_ring_points():
     before, after = dict(sharding.ring_arcs(5, 32)), dict(sharding.ring_arcs(6, 32))
     assert all(after[p] == s for p, s in before.items())
+
+
+def test_every_virtual_node_has_its_arc():
+    assert len(sharding.ring_arcs(40, 64)) == 40 * 64
+
+
+def test_keys_walk_the_ring_one_by_one(spark):
+    """Homes and overflow against a walk key by key: each round, every waiting key tries the next virtual node."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    arcs = sharding.ring_arcs(5, 16)
+    points, owners = [p for p, _ in arcs], [s for _, s in arcs]
+    found = sharding.bounded_ring_shards(rows, F.col("doc_id"), 5, 16).collect()
+    home = {r.doc_id: bisect.bisect_left(points, r.h % (1 << 64) >> 32) % len(arcs) for r in found}
+    room = sharding.even_capacity(3000, 5)
+    waiting, loads = [(home[r.doc_id], home[r.doc_id]) for r in found], Counter()
+    while waiting:
+        left = []
+        for arc, at in sorted(waiting):
+            if room[owners[at]]:
+                room[owners[at]] -= 1
+                loads[arc, owners[at]] += 1
+            else:
+                left.append((arc, (at + 1) % len(arcs)))
+        waiting = left
+    assert Counter((home[r.doc_id], r.shard) for r in found) == loads
