@@ -29,6 +29,8 @@ FIT_DOCUMENTS = 1500
 #: Passages of one document that a fit step looks at: a long document is cut
 #: into several bags with its label.  Scoring always weighs the whole document.
 FIT_PASSAGES = 64
+#: Bags of one document that the fit uses, evenly spaced over it; with FIT_DOCUMENTS this bounds what reaches the driver.
+FIT_BAGS = 16
 EPOCHS = 6
 BATCH = 32
 RATE = 0.01
@@ -230,6 +232,16 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
+def spaced(words: np.ndarray, starts: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and statistics of at most ``FIT_BAGS`` bags' passages, spaced evenly over a document."""
+    n_bags = -(-len(starts) // FIT_PASSAGES)
+    if n_bags <= FIT_BAGS:
+        return words, stats
+    bags = np.linspace(0, n_bags - 2, FIT_BAGS).astype(np.int64)  # whole bags; the last one may be short
+    passage = (bags[:, None] * FIT_PASSAGES + np.arange(FIT_PASSAGES)).ravel()
+    return words[(passage[:, None] * PASSAGE_WORDS + np.arange(PASSAGE_WORDS)).ravel()], stats[passage]
+
+
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most ``FIT_DOCUMENTS`` labelled rows outside the held-out third.
 
@@ -241,11 +253,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [passages(t.as_py()) for t in batch.column("text")]
+            rows = [spaced(*passages(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("label"), pa.array([r[0].tobytes() for r in rows], pa.binary()),
-                    pa.array([r[2].tobytes() for r in rows], pa.binary()),
+                    batch.column("doc_id"), batch.column("label"), pa.array([words.tobytes() for words, _ in rows], pa.binary()),
+                    pa.array([stats.tobytes() for _, stats in rows], pa.binary()),
                 ],
                 ["doc_id", "label", "words", "stats"],
             )

@@ -62,3 +62,11 @@ def test_awkward_rows(spark, awkward, no_rows, no_labels):
     kept = c.accepted_documents(awkward, model, 0.0)
     assert kept.columns == awkward.columns and kept.count() == awkward.count()
     assert c.score_documents(no_rows, model).count() == 0
+
+
+def test_what_the_fit_gathers_of_a_document_is_bounded():
+    words = " ".join(f"w{i}" for i in range(64 * 64 * 40 + 5))
+    full, starts, stats = c.passages(words)
+    own, kept = c.spaced(full, starts, stats)
+    assert len(own) == 16 * 64 * 64 and len(kept) == 16 * 64 and np.array_equal(own[:64], full[:64])
+    assert np.array_equal(c.spaced(full[:9000], starts[:141], stats[:141])[0], full[:9000])
