@@ -41,6 +41,8 @@ BLOCK_IDS = 1 << 20
 SHARDS_PER_PARTITION = 4
 #: Words kept in a worker's cache; beyond it the cache starts anew.
 CACHE_WORDS = 1 << 20
+#: Bytes of text whose words are looked up together; bounds memory.  A longer text is a slice of its own.
+SLICE_BYTES = 1 << 22
 #: Pairs replaced in a round, the most frequent first, and the least count that pays.
 PAIRS_A_ROUND, LEAST_COUNT = 2048, 16
 HEAD = struct.Struct("<4s4Q2I")
@@ -120,6 +122,17 @@ class WordEncoder:
         return [ids[lo:hi] for lo, hi in zip([0, *ends], ends)]  # noqa: B905
 
 
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of slices of about ``SLICE_BYTES``; more texts at a time have fewer distinct words each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(upto):
+        before = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + SLICE_BYTES)))
+        yield lo, hi - lo
+        lo = hi
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -220,18 +233,19 @@ class Grammar:
         return cls(vocabulary, left, right, lengths, s.astype(np.uint32), ends)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        s = symbols
+        """The ids that ``symbols`` stand for: lengths tell where each begins, and rules are opened level by level."""
+        sizes = np.r_[np.ones(self.vocabulary, np.int64), self.lengths]
+        s = symbols.astype(np.int64)
+        ends = np.cumsum(sizes[s])
+        at = ends - sizes[s]
+        out = np.empty(int(ends[-1]) if len(s) else 0, np.uint32)
         while len(s):
             rule = s >= self.vocabulary
-            if not rule.any():
-                break
-            slot = np.cumsum(rule + 1) - (rule + 1)
-            out = np.empty(len(s) + int(rule.sum()), np.uint32)
-            out[slot] = np.where(rule, 0, s)
-            r = s[rule] - self.vocabulary
-            out[slot[rule]], out[slot[rule] + 1] = self.left[r], self.right[r]
-            s = out
-        return s
+            out[at[~rule]] = s[~rule]
+            at, r = at[rule], s[rule] - self.vocabulary
+            left = self.left[r].astype(np.int64)
+            s, at = np.concatenate([left, self.right[r]]), np.concatenate([at, at + sizes[left]])
+        return out
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop``: only the symbols that cover them are expanded."""
@@ -285,8 +299,8 @@ def write_token_files(docs: DataFrame, to: str, path: str | None = None) -> None
 
         end = np.array([END_ID], "<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo, rows in text_slices(batch.column("text")):
+                part = batch.slice(lo, rows)
                 found = enc.encode(part.column("text"))
                 for doc, own in zip(part.column("doc_id").to_pylist(), found, strict=True):
                     ids.append(np.concatenate([own, end]))
