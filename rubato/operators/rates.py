@@ -6,13 +6,17 @@ the target, so a recording is one group; groups run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_weights
 from ..functions.scalars import MAX_RATE, MIN_RATE, grid_time
+from .windows import to_arrays
 
 
 def gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -82,16 +86,21 @@ def schedule_rates(scores: DataFrame, speed: float, **options: float) -> DataFra
 
     check_speed(speed)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        return pdf.assign(rate=rate_schedule(pdf["score"].to_numpy(), pdf["t"].to_numpy(), speed, **options))[["recording_id", "frame_idx", "t", "rate"]]
+    from .signal import array_column, array_values
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (score, at), (t, _) = (array_values(batch.column(c)) for c in ("score", "t"))
+            out = [rate_schedule(score[a:b], t[a:b], speed, **options) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("recording_id", "frame_idx", "t")), array_column(out)], ["recording_id", "frame_idx", "t", "rate"])
 
     kind = scores.schema["recording_id"].dataType.simpleString()
-    return (
-        scores.select("recording_id", F.col("frame_idx").cast("int"), F.col("t").cast("double"), F.col("score").cast("double"))
-        .groupBy("recording_id")
-        .applyInPandas(run, f"recording_id {kind}, frame_idx int, t double, rate double")
-    )
+    rows = scores.select("recording_id", F.col("frame_idx").cast("int"), F.col("t").cast("double"), F.coalesce(F.col("score").cast("double"), F.lit(float("nan"))).alias("score"))
+    arrays = to_arrays(rows.withColumn("i", F.col("frame_idx")), "i", "t", "score").withColumnRenamed("i", "frame_idx")
+    # dealt out anew, as few bytes of groups that take long would be put into one task
+    dealt = arrays.repartition(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), "recording_id")
+    done = dealt.mapInArrow(run, f"recording_id {kind}, frame_idx array<int>, t array<double>, rate array<double>")
+    return done.select("recording_id", F.explode(F.arrays_zip("frame_idx", "t", "rate")).alias("r")).select("recording_id", "r.*")
 
 
 def time_map(rates: np.ndarray, times: np.ndarray, n_frames: int, duration: float) -> tuple[np.ndarray, np.ndarray]:
