@@ -88,6 +88,60 @@ def test_a_group_too_large_for_one_task(spark, small_dir, monkeypatch):
     assert kept == set(brute_groups(rows).values())
 
 
+def test_a_large_group_of_filled_in_templates(spark, small_dir, monkeypatch):
+    """Most texts share bands and are below 0.8; what is left open is compared in smaller groups."""
+    monkeypatch.setattr(n, "LARGE_GROUP", 40)
+    monkeypatch.setattr(n, "PIVOTS", 2)
+    monkeypatch.setattr("rubato.llm.common.HOT_SHARE", 50)
+    left_open, large = [], n.links_of_large_groups
+
+    def observed(texts, width, least):
+        links, still_open = large(texts, width, least)
+        left_open.append((texts.count(), max((r["count"] for r in still_open.groupBy("component").count().collect()), default=0)))
+        return links, still_open
+
+    monkeypatch.setattr(n, "links_of_large_groups", observed)
+    rng = np.random.default_rng(12)
+    words = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    base, rows = words(140), {}
+    for i in range(260):  # from near copies of the base to texts near none but a partner
+        text = base[: 140 - int(rng.integers(0, 12))]
+        for at in rng.integers(0, len(text), int(rng.integers(0, 9))):
+            text[at] = f"x{i}" if i % 3 else f"y{at}"
+        rows[2 * i] = " ".join(text)
+        if i % 10 == 0:
+            rows[2 * i + 1] = " ".join([*text, "and", "more"])
+    docs = spark.createDataFrame([(k, t) for k, t in rows.items()], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, small_dir).collect()}
+    assert kept == set(brute_groups(rows).values())
+    assert 200 < left_open[0][0] and left_open[0][1] < left_open[0][0]  # every one was in one group
+
+
+def test_reach_admits_every_near_pair(spark):
+    """Any two near sets have a token in common by which both sizes are within reach."""
+    rng = np.random.default_rng(13)
+    base = [f"w{x}" for x in rng.integers(0, 400, 60)]
+    texts = []
+    for i in range(60):
+        text = base[: 60 - i % 9]
+        for at in rng.integers(0, len(text), i % 4):
+            text[at] = f"x{i % 7}"
+        texts.append(" ".join(text))
+    rows = [(1, i, t) for i, t in enumerate(texts)]
+    found = n.prefixes(spark.createDataFrame(rows, "component long, fp long, text string"), 5, 0.8).collect()
+    tokens = {}
+    for r in found:
+        tokens.setdefault(r.fp, {})[r.token] = (r.size, r.reach)
+    sets, near = [n.shingle_set(t) for t in texts], 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if n.similar(x, sets[j], 0.8):
+                near += 1
+                both = tokens[i].keys() & tokens[j].keys()
+                assert any(tokens[i][k][0] <= tokens[j][k][1] and tokens[j][k][0] <= tokens[i][k][1] for k in both)
+    assert near > 20
+
+
 def test_hot_rows_and_ties(spark, small_dir, monkeypatch):
     monkeypatch.setattr("rubato.llm.common.HOT_SHARE", 20)
     rng = np.random.default_rng(9)
