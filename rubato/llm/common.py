@@ -78,11 +78,11 @@ def join_on_key(rows: DataFrame, known: DataFrame, key: str, fold: Callable[[Dat
     the others apart, so that the latter are dealt out once.  ``known`` has to
     be materialised; its keys are not null.
     """
-    total = known.agg(F.sum("_n")).first()[0] or 0
-    hot = known.where(F.col("_n") * HOT_SHARE > total)
+    total, most = known.agg(F.sum("_n"), F.max("_n")).first()
     rest = known.drop("_n")
-    if total < HOT_SHARE or hot.isEmpty():
+    if (total or 0) < HOT_SHARE or most * HOT_SHARE <= total:
         return fold(rows.join(rest, key))
+    hot = known.where(F.col("_n") * HOT_SHARE > total)
     by_value = rows.join(F.broadcast(hot.drop("_n")), key)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return fold(by_value).unionByName(fold(cold))

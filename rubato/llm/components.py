@@ -12,9 +12,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (u, v), both long, not null.
 
     ``component`` is one node of the component, the same for all its members.
-    Each round maps every node to whichever of itself and its neighbours has
-    the lowest hash of that round, and replaces the links by those between the
-    images; what has become a loop goes.  The hash order makes long chains
+    Each round maps every node to whichever of itself and its neighbours comes
+    first in that round, and replaces the links by those between the images;
+    what has become a loop goes.  Nodes come by their value in odd rounds: where
+    links lead from the least node of a group to the others, a group is done at
+    once.  In even rounds they come by a hash of the round, so that long chains
     shrink by a constant factor as well.  A hub's neighbours are combined
     before the shuffle, its links and the members of a large component are
     joined apart (``join_on_key``), and only counts reach the driver.  A round's
@@ -30,7 +32,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     step = 0
     while found is None or not links.isEmpty():
         step += 1
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), c.alias("n"))
+        order = lambda c: c if step % 2 else F.xxhash64(c, F.lit(step))
+        rank = lambda c: F.struct(order(c).alias("h"), c.alias("n"))
         degrees = [F.count_if(F.col(c)).alias(f"_{c}") for c in ("of_u", "of_v")]  # how often a node is either end
         sides = links.select("u", "v", F.lit(True).alias("of_u"), F.lit(False).alias("of_v")).union(links.select("v", "u", F.lit(False), F.lit(True)))
         images = sides.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), F.min(rank(F.col("u")))).alias("m"), *degrees)
