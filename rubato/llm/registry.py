@@ -7,11 +7,13 @@ from . import (
     chat_format,
     html_extraction,
     mixing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     sharding,
     simhash,
     token_files,
+    whitening,
     winnowing,
 )
 
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_html_extraction": html_extraction.op8_html_extraction,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {**chat_format.ORACLE_SQL, **mixing.ORACLE_SQL}
