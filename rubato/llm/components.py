@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import discard, join_on_key, materialise
+from .common import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,43 +17,47 @@ def connected_components(links: DataFrame) -> DataFrame:
     what has become a loop goes.  Nodes come by their value in odd rounds: where
     links lead from the least node of a group to the others, a group is done at
     once.  In even rounds they come by a hash of the round, so that long chains
-    shrink by a constant factor as well.  A hub's neighbours are combined
-    before the shuffle, its links and the members of a large component are
-    joined apart (``join_on_key``), and only counts reach the driver.  A round's
-    tables are deleted when the next one's are written.
+    shrink by a constant factor as well.  A round writes two tables, the images
+    and the links that are left, and counts the latter as it writes them; the
+    images of all rounds are chained at the end.  A hub's neighbours are
+    combined before the shuffle, and every join has a table of one row a node
+    on its other side, so a hub's partition can be split.
     An empty table of links gives an empty result.
     """
 
-    def distinct(pairs: DataFrame) -> DataFrame:
-        return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    def written(pairs: DataFrame) -> tuple[DataFrame, int]:
+        counted = Observation()
+        one_way = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = materialise(one_way.observe(counted, F.count(F.lit(1)).alias("n")), "links")
+        return found, counted.get["n"]
 
-    links = materialise(distinct(links), "links")
-    found = None
-    step = 0
-    while found is None or not links.isEmpty():
-        step += 1
+    links, n = written(links)
+    rounds: list[DataFrame] = []
+    while n or not rounds:
+        step = len(rounds) + 1
         order = lambda c: c if step % 2 else F.xxhash64(c, F.lit(step))
-        rank = lambda c: F.struct(order(c).alias("h"), c.alias("n"))
-        degrees = [F.count_if(F.col(c)).alias(f"_{c}") for c in ("of_u", "of_v")]  # how often a node is either end
-        sides = links.select("u", "v", F.lit(True).alias("of_u"), F.lit(False).alias("of_v")).union(links.select("v", "u", F.lit(False), F.lit(True)))
-        images = sides.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), F.min(rank(F.col("u")))).alias("m"), *degrees)
-        hooks = materialise(images.select(F.col("u").alias("node"), F.col("m.n").alias("image"), "_of_u", "_of_v"), "hooks")
-        if found is None:
-            found = hooks.select("node", F.col("image").alias("component"))
-            kept = [hooks]  # the next round still reads it
-        else:
-            moved = hooks.select(F.col("node").alias("component"), "image")
-            sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-            names = materialise(sizes.join(moved, "component", "left").select("component", F.coalesce("image", "component").alias("image"), "_n"), "names")
-            renamed = materialise(join_on_key(found, names, "component").select("node", F.col("image").alias("component")), "components")
-            discard(names, *kept)
-            found, kept = renamed, [renamed]
-        of_u = hooks.where("_of_u > 0").select(F.col("node").alias("u"), F.col("image").alias("iu"), F.col("_of_u").alias("_n"))
-        of_v = hooks.where("_of_v > 0").select(F.col("node").alias("v"), F.col("image").alias("iv"), F.col("_of_v").alias("_n"))
-        moved_links = join_on_key(join_on_key(links, of_u, "u"), of_v, "v").select(F.col("iu").alias("u"), F.col("iv").alias("v"))
-        left = materialise(distinct(moved_links), "links")
-        discard(links, *(() if kept[0] is hooks else (hooks,)))
-        links = left
+        rank = lambda c: F.struct(order(F.col(c)).alias("h"), F.col(c).alias("n"))
+        sides = links.select("u", "v").union(links.select("v", "u"))
+        images = sides.groupBy("u").agg(F.least(F.min(rank("v")), F.min(rank("u"))).alias("m"))
+        images = materialise(images.select(F.col("u").alias("node"), F.col("m.n").alias("image")), "images")
+        rounds.append(images)
+        of = lambda end: images.select(F.col("node").alias(end), F.col("image").alias(f"i{end}"))  # noqa: B023, E731
+        moved = links.join(of("u"), "u").join(of("v"), "v").select(F.col("iu").alias("u"), F.col("iv").alias("v"))
+        before, (links, n) = links, written(moved)
+        discard(before)
     discard(links)
-    found._materialised = kept[0]._materialised
+    if len(rounds) == 1:
+        return _named(rounds[0])
+    found = rounds[0]
+    for later in rounds[1:]:
+        known = later.select(F.col("node").alias("image"), F.col("image").alias("_to"))
+        found = found.join(known, "image", "left").select("node", F.coalesce("_to", "image").alias("image"))
+    whole = materialise(found, "components")
+    discard(*rounds)
+    return _named(whole)
+
+
+def _named(images: DataFrame) -> DataFrame:
+    found = images.select("node", F.col("image").alias("component"))
+    found._materialised = images._materialised
     return found

@@ -7,6 +7,7 @@ from . import (
     chat_format,
     html_extraction,
     mixing,
+    ngram_join,
     periodic_runs,
     quality_classifier,
     quality_rules,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_whitening": whitening.op13_whitening,
 }
 

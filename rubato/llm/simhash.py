@@ -268,21 +268,16 @@ def near_duplicate_components(prints: DataFrame, links: DataFrame | None = None)
     there is no other; then ``component_id`` is null.  Repeated rows all stay.
     """
     spark = prints.sparkSession
-    counted = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_n"))
-    distinct = materialise(counted, "fingerprints")
     if links is None:
-        keyed = distinct.select("fp").mapInArrow(emit_keys, "key long, fp long")
+        keyed = prints.select("fp").distinct().mapInArrow(emit_keys, "key long, fp long")
         n = shuffle_partitions(spark)
         links = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(emit_links, "u long, v long")
     classes = connected_components(links)
-    of_class = distinct.join(classes, distinct["fp"] == classes["node"])
-    firsts = of_class.groupBy("component").agg(F.min("first_id").alias("class_first"), F.count(F.lit(1)).alias("_n"))
-    sized = materialise(firsts, "classes")
-    lowest = join_on_key(of_class.select("component", "fp"), sized, "component").select(F.col("fp").alias("linked_fp"), "class_first")
-    named = distinct.join(lowest, distinct["fp"] == lowest["linked_fp"], "left")
-    ids = materialise(named.select("fp", F.coalesce("class_first", "first_id").alias("component_id"), "_n"), "component-ids")
-    discard(sized, distinct, classes)
-    return join_on_key(prints, ids, "fp").select(*prints.columns, "component_id")
+    found = prints.join(classes, prints["fp"] == classes["node"], "left")
+    found = materialise(found.select(*prints.columns, F.coalesce("component", "fp").alias("_class")), "classes")
+    ids = materialise(found.groupBy("_class").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    discard(classes)
+    return found.join(ids, "_class").select(*prints.columns, "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
