@@ -6,7 +6,9 @@ whose hash lies below a threshold.  The threshold is found without sorting:
 sizes are summed by source and by the hash's leading bits, the running sum
 tells in which bucket the rest runs out, and only that bucket is split by the
 next bits.  Each level is a map-side combined sum of a fixed number of buckets
-per source, so a hot source costs no more than any other.
+per source, so a hot source costs no more than any other.  Rows of equal doc_id
+and text share a hash; where it is the last one, as many of them are taken as
+come nearest to the target.
 """
 
 from __future__ import annotations
@@ -55,11 +57,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def mixing_plan(sized: DataFrame) -> DataFrame:
-    """Per source: source_size, target, full repeats and hash threshold.
+    """Per source: source_size, target, full repeats, hash threshold and how many rows of just that hash are taken once more.
 
-    ``sized`` has source, size and hash (``mix_hash``).  Documents with equal
-    hashes, that is equal doc_id and text, are taken together.  Of the two
-    ends of the last bucket, the one nearer the target becomes the threshold.
+    ``sized`` has source, size and hash (``mix_hash``).  Rows below the
+    threshold are taken once more.  Of the rows at the threshold, which are
+    equal in doc_id and text, ``of_last`` are, the number nearest to the target.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     plan = source_targets(sizes).withColumn(
@@ -74,7 +76,7 @@ def mixing_plan(sized: DataFrame) -> DataFrame:
     for level in range(HASH_BITS // LEVEL_BITS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
         keyed = rows.withColumn("bucket", F.shiftright("mix_hash", shift))
-        sums = keyed.groupBy("source", "bucket").agg(F.sum("size").cast("long").alias("words"))
+        sums = keyed.groupBy("source", "bucket").agg(F.sum("size").cast("long").alias("words"), F.count(F.lit(1)).alias("rows"))
         run = Window.partitionBy("source").orderBy("bucket")
         known = edge.select("source", F.col("rest").alias("rest0"), F.col("prefix").alias("prefix0"))
         totals = sums.withColumn("upto", F.sum("words").over(run)).withColumn("below", F.col("upto") - F.col("words"))
@@ -82,7 +84,7 @@ def mixing_plan(sized: DataFrame) -> DataFrame:
             (F.col("upto") > F.col("rest0")) & (F.col("words") > 0)
         )
         found = crossed.groupBy(totals["source"].alias("source")).agg(
-            F.min_by(F.struct("bucket", "below", "words", "rest0"), "bucket").alias("b")
+            F.min_by(F.struct("bucket", "below", "words", "rest0", "rows"), "bucket").alias("b")
         )
         edge = materialise(
             found.select(
@@ -90,6 +92,7 @@ def mixing_plan(sized: DataFrame) -> DataFrame:
                 (F.col("b.rest0") - F.col("b.below")).alias("rest"),
                 F.col("b.bucket").alias("prefix"),
                 F.col("b.words").alias("words"),
+                F.col("b.rows").alias("rows"),
             ),
             f"mix-edge{level}",
         )
@@ -98,13 +101,15 @@ def mixing_plan(sized: DataFrame) -> DataFrame:
             rows = keyed.join(
                 only, keyed["source"].eqNullSafe(only["edge_source"]) & (keyed["bucket"] == only["prefix"]), "left_semi"
             ).drop("bucket")
-    # prefix is now a single hash value; it is in if that is nearer the target
+    # prefix is now a single hash value; its rows are of one size, but for what hashes may share by chance
     cut = edge.select(
         F.col("source").alias("cut_source"),
-        F.when(F.col("rest") * 2 >= F.col("words"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("threshold"),
+        F.col("prefix").alias("threshold"),
+        F.floor(F.col("rest") * F.col("rows") / F.col("words") + 0.5).cast("long").alias("of_last"),
     )
+    none = F.lit(0).cast("long")
     return plan.join(cut, plan["source"].eqNullSafe(cut["cut_source"]), "left").select(
-        "source", "source_size", "target", "repeats", F.coalesce("threshold", F.lit(0)).cast("long").alias("threshold")
+        "source", "source_size", "target", "repeats", F.coalesce("threshold", none).alias("threshold"), F.coalesce("of_last", none).alias("of_last")
     )
 
 
@@ -120,19 +125,16 @@ def word_count():
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and mix_hash of every row, written once."""
-    return materialise(docs.select("doc_id", "source", word_count().alias("size"), mix_hash(docs).alias("mix_hash")), "mix")
-
-
-def repeats_of(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Add source_size, target and repeats to ``rows`` (source, mix_hash, ...)."""
-    known = plan.select(F.col("source").alias("plan_source"), "source_size", "target", F.col("repeats").alias("whole"), "threshold")
-    taken = F.col("whole") + (F.col("mix_hash") < F.col("threshold")).cast("long")
-    return (
-        rows.join(known, rows["source"].eqNullSafe(known["plan_source"]))
-        .withColumn("repeats", taken)
-        .drop("plan_source", "whole", "threshold")
-    )
+    """doc_id, source, size, mix_hash and a number of every row, written once."""
+    number = F.monotonically_increasing_id().alias("row_id")
+    return materialise(docs.select("doc_id", "source", word_count().alias("size"), mix_hash(docs).alias("mix_hash"), number), "mix")
+
+
+def planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, mix_hash, ...) with source_size, target, ``whole``, ``below`` the threshold or ``last``, at it, and ``of_last``."""
+    at = [(F.col("threshold") > F.col("mix_hash")).alias("below"), (F.col("threshold") == F.col("mix_hash")).alias("last")]
+    known = plan.select(F.col("source").alias("_source"), "source_size", "target", F.col("repeats").alias("whole"), "threshold", "of_last")
+    return rows.join(known, rows["source"].eqNullSafe(known["_source"])).select(*rows.columns, "source_size", "target", "whole", "of_last", *at)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -141,23 +143,53 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     ``repeats`` (0 to 3) is how often the mix takes the row.  A null text has
     size 0; such rows, and all rows of a source of size 0, are taken as their
     hash says and add nothing.  A null source is a source, in the last place.
-    Repeated rows are taken alike.  An empty input gives an empty result, and
-    columns besides doc_id, text and source are ignored.
+    Rows of equal doc_id and text are taken alike, but for those at the
+    threshold of their source, of which some are taken once more, the first by
+    partition and row.  An empty input gives an empty result, and columns
+    besides doc_id, text and source are ignored.
     """
     sized = sized_documents(docs)
-    return repeats_of(sized, mixing_plan(sized))
+    plan = materialise(mixing_plan(sized), "mix-plan")
+    rows = planned(sized, plan)
+    # only the rows at a threshold are numbered: within their partition of the input, then by the counts of those before it
+    last = rows.where("last and of_last > 0").select("source", "row_id", "of_last", F.shiftright("row_id", 33).alias("part"))
+    counts = last.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = materialise(counts.select(F.col("source").alias("_source"), F.col("part").alias("_part"), earlier.alias("before")), "mix-last")
+    met = last.join(counts, last["source"].eqNullSafe(counts["_source"]) & (last["part"] == counts["_part"]))
+    place = F.row_number().over(Window.partitionBy("source", "part").orderBy("row_id")) + F.col("before")
+    chosen = met.withColumn("place", place).where("place <= of_last").select(F.col("row_id").alias("_row"), F.lit(1).cast("long").alias("_more"))
+    more = F.col("below").cast("long") + F.coalesce("_more", F.lit(0))
+    taken = rows.join(chosen, rows["row_id"] == chosen["_row"], "left").withColumn("repeats", F.col("whole") + more)
+    return taken.select("doc_id", "source", "size", "mix_hash", "source_size", "target", "repeats")
+
+
+#: Copies of a row at the threshold that are made in one place.
+COPIES = 1000
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, columns as they are.
 
     The plan, a row per source, is written first: so its size is known and
-    Spark broadcasts it only while it is small.
+    Spark broadcasts it only while it is small.  Rows at a threshold, equal in
+    doc_id and text, are told apart by their other columns, the first by JSON
+    first; equal ones come as copies of one of them.
     """
     plan = materialise(mixing_plan(sized_documents(docs)), "mix-plan")
     packed = docs.select(F.struct("*").alias("_doc"), "source", mix_hash(docs).alias("mix_hash"))
-    taken = repeats_of(packed, plan).where("repeats > 0")
-    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_doc.*")
+    rows = planned(packed, plan)
+    often = F.col("whole") + F.col("below").cast("long")
+    taken = rows.where(often > 0).select("_doc", F.explode(F.sequence(F.lit(1), often.cast("int"))))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    told = F.to_json(F.struct(*[F.col(f"_doc.`{c}`").alias(f"c{i}") for i, c in enumerate(others)])) if others else F.lit("")
+    last = rows.where("last and of_last > 0").withColumn("told", told)
+    kinds = last.groupBy("source", "told").agg(F.any_value("_doc").alias("_doc"), F.any_value("of_last").alias("of_last"), F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("told"))
+    copies = kinds.withColumn("k", F.least("n", F.col("of_last") - (upto - F.col("n")))).where("k > 0")
+    dealt = copies.select("_doc", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1, F.lit(COPIES).cast("long"))).alias("at"))
+    few = F.explode(F.sequence(F.col("at"), F.least(F.col("at") + COPIES, F.col("k")) - 1))
+    return taken.select("_doc.*").unionByName(dealt.repartition(F.col("at")).select("_doc", few).select("_doc.*"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +224,12 @@ WITH sized AS (
 ), running AS (
   SELECT s.*, p.source_size, p.target, p.whole, p.target - (p.whole * p.source_size)::DOUBLE AS rest,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(s.size) OVER (PARTITION BY s.source, h) AS tied
+         sum(s.size) OVER (PARTITION BY s.source, h) AS tied, count(*) OVER (PARTITION BY s.source, h) AS equal_rows,
+         row_number() OVER (PARTITION BY s.source, h ORDER BY doc_id) AS place
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target,
-       size * (whole + CASE WHEN upto <= rest THEN 1 WHEN upto - tied < rest AND (rest - (upto - tied)) * 2 >= tied THEN 1 ELSE 0 END) AS taken
+       size * (whole + CASE WHEN upto <= rest THEN 1 WHEN tied > 0 AND place <= floor((rest - (upto - tied)) * equal_rows / tied + 0.5) THEN 1 ELSE 0 END) AS taken
 FROM running
 """
 
