@@ -92,8 +92,11 @@ def element_buckets(tag: str, attrs: str) -> tuple[int, ...]:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, white space made single, references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...], int]] = []  # name, path, place of the innermost block-level element
-    opened: dict[str, int] = {}
+    # name, path, places of the innermost block-level element and of the innermost one that isn't inline; None once closed
+    # below others.  The last one is open; the places of the open ones by name let an end tag find its own at once.
+    stack: list[tuple[str, tuple[int, ...], int, int] | None] = []
+    places: dict[str, list[int]] = {}
+    n_open = 0
     parts: list[str] = []
     links = link_chars = 0
     root = -1  # place of the outermost open element of another language
@@ -105,33 +108,38 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join((html.unescape(joined) if "&" in joined else joined).split())
         if text:
             block_tag = stack[stack[-1][2]][0] if stack and stack[-1][2] >= 0 else ""
-            out.append(Block(text, (stack[-1][1] if stack else ()) + tag_buckets("leaf " + block_tag[:16]), link_chars, min(len(stack), DEPTH)))
+            out.append(Block(text, (stack[-1][1] if stack else ()) + tag_buckets("leaf " + block_tag[:16]), link_chars, min(n_open, DEPTH)))
         link_chars = 0
 
-    def cut(start: int, stop: int) -> None:
-        nonlocal root
+    def cut(start: int) -> None:
+        """Close all elements from ``start`` on, and drop what was closed before at the end."""
+        nonlocal root, n_open
         if root >= start:
-            root = -1 if root < stop else root - (stop - start)
-        for name, _, _ in stack[start:stop]:
-            opened[name] -= 1
-        del stack[start:stop]
+            root = -1
+        while stack and (len(stack) > start or stack[-1] is None):
+            gone = stack.pop()
+            if gone:
+                places[gone[0]].pop()
+                n_open -= 1
 
     def close(tags: tuple[str, ...]) -> None:
         """End the innermost block-level element if it is one of ``tags``."""
         i = stack[-1][2] if stack else -1
         if i >= 0 and stack[i][0] in tags:
-            cut(i, len(stack))
+            cut(i)
 
     def end_tag(tag: str, within: bool) -> None:
         """Close ``tag``; an inline element only within its block, and alone."""
-        if not opened.get(tag):
+        nonlocal n_open
+        own = places.get(tag)
+        if not own:
             return
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                cut(i, i + 1 if within else len(stack))
-                return
-            if within and stack[i][0] not in INLINE:
-                return
+        if not within:
+            cut(own[-1])
+        elif own[-1] > stack[-1][3]:
+            stack[own.pop()] = None
+            n_open -= 1
+            cut(len(stack))
 
     at, end = 0, len(page)
     match = TOKEN.match
@@ -153,12 +161,13 @@ def blocks_of(page: str) -> list[Block]:
         tag = tag.lower()
         if root >= 0 and tag not in HIDDEN_TAGS:
             if shut:
-                own = next((i for i in range(len(stack) - 1, root - 1, -1) if stack[i][0] == tag), -1)
-                cut(max(own, root), len(stack))
-                if own >= 0:
+                own = places[tag][-1] if places.get(tag) else -1
+                inner = own >= root
+                cut(max(own, root))
+                if inner:
                     continue
             elif tag in BREAKOUT:
-                cut(root, len(stack))
+                cut(root)
         inline = root >= 0 or tag in INLINE
         if shut:
             if inline:
@@ -190,7 +199,7 @@ def blocks_of(page: str) -> list[Block]:
             links = 0
             close(FAMILY.get(tag, ("p",)))
         if tag not in VOID and not (attrs and attrs[-1] == "/" and not (foreign and UNQUOTED_END.search(attrs))):
-            if len(stack) < DEPTH:
+            if n_open < DEPTH:
                 if attrs and "=" in attrs:
                     own = (element_buckets if len(attrs) <= REMEMBERED_CHARS else element_buckets.__wrapped__)(tag, attrs)
                 else:
@@ -200,8 +209,10 @@ def blocks_of(page: str) -> list[Block]:
                 path = stack[-1][1]
             if foreign and root < 0:
                 root = len(stack)
-            stack.append((tag, path, stack[-1][2] if stack else -1) if inline or foreign else (tag, path, len(stack)))
-            opened[tag] = opened.get(tag, 0) + 1
+            place, block, wall = len(stack), *(stack[-1][2:] if stack else (-1, -1))
+            stack.append((tag, path, block if inline or foreign else place, wall if tag in INLINE else place))
+            places.setdefault(tag, []).append(place)
+            n_open += 1
     flush()
     return out
 

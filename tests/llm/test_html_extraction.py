@@ -144,3 +144,11 @@ def test_odd_quotes_cost_no_more_than_the_page():
         began = time.time()
         h.blocks_of(page)
         assert time.time() - began < 5
+
+
+def test_open_inline_elements_cost_no_more_than_the_page():
+    """Each end tag finds its element at once, however many are open above it."""
+    n = 100_000
+    began = time.time()
+    found = h.blocks_of("<p>" + "<i>" * n + "<b>" * n + "</i>" * n + "text</p><p>next")
+    assert [b.text for b in found] == ["text", "next"] and time.time() - began < 4
