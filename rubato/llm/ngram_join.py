@@ -88,8 +88,8 @@ def part_keys(tokens: np.ndarray, least: Fraction) -> np.ndarray:
     return np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
 
 
-def set_prints(docs: DataFrame, keep: tuple[str, ...], width: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, fp, n, keys) of every row and the columns ``keep``; fp is the hash of the whole set of n shingles, 0 of an empty one."""
+def set_prints(docs: DataFrame, keep: tuple[str, ...], width: int, least: Fraction, keys_of: Callable[[np.ndarray, Fraction], np.ndarray]) -> DataFrame:
+    """(doc_id, fp, n, k, keys) of every row and the columns ``keep``; fp is the hash of the whole set of n shingles, 0 of an empty one, k its class of sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,13 +98,13 @@ def set_prints(docs: DataFrame, keep: tuple[str, ...], width: int, keys_of: Call
                 found = shingle_set(text.as_py(), width)
                 fps.append(xxhash.xxh64_intdigest(found.tobytes()) if len(found) else 0)
                 sizes.append(len(found))
-                keys.append(keys_of(found))
+                keys.append(keys_of(found, least))
             ids, kept = batch.column("doc_id").cast(pa.int64()), [batch.column(k) for k in keep]
-            columns = [ids, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *kept]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "keys", *keep])
+            columns = [ids, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array([size_class(n, least) for n in sizes], pa.int32()), pa.array(keys, pa.list_(pa.int64())), *kept]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "k", "keys", *keep])
 
     schema = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, fp long, n long, keys array<long>{schema}")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, fp long, n long, k int, keys array<long>{schema}")
 
 
 def combine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +139,18 @@ def lead_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v): each fp of a key linked to the key's first; rows come by key and fp, a key may go on in the next batch."""
     key, leader = None, 0
     for batch in batches:
-        told = batch.filter(pc.is_valid(batch.column("other")))
-        us, vs = [told.column("fp").to_numpy(zero_copy_only=False)], [told.column("other").to_numpy(zero_copy_only=False)]
-        own = batch.filter(pc.is_null(batch.column("other")))
+        told = pc.is_valid(batch.column("other"))
+        us, vs = ([batch.column(c).filter(told).to_numpy(zero_copy_only=False)] for c in ("fp", "other"))
+        own = batch.filter(pc.invert(told))
         keys, fps = (own.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
         if len(keys):
             first = np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]]
             at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
             leaders = np.where(at < 0, leader, fps[np.maximum(at, 0)])
-            us.append(leaders)
-            vs.append(fps)
+            us.append(leaders[leaders != fps])
+            vs.append(fps[leaders != fps])
             key, leader = keys[-1], leaders[-1]
-        pairs = np.stack([np.concatenate(us), np.concatenate(vs)], 1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
 def candidate_groups(prints: DataFrame) -> DataFrame:
@@ -166,51 +164,53 @@ def candidate_groups(prints: DataFrame) -> DataFrame:
     return connected_components(dealt.mapInArrow(lead_links, "u long, v long"))
 
 
-def grouped_sets(prints: DataFrame, docs: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """(group, fp, size, k, tokens) of the sets that may be linked to others.
+def sets_read_again(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(group, fp, tokens) of ``members`` (group, fp, _key), from the text of one row of each in ``docs`` (_key, text).
 
-    ``prints`` has fp, n, keys and _key, ``docs`` _key and text of the same
-    rows; only one row of each set is read again.
+    Members grow with the documents, so both are dealt out by key at any size.
     """
-    groups = candidate_groups(prints)
-    one = prints.where("n > 0").groupBy("fp").agg(F.min("_key").alias("_key"))
-    members = materialise(one.join(groups, one["fp"] == groups["node"]).select("_key", "fp", F.col("component").alias("group")), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of repeated rows one a task goes on
 
         def rows(groups: list, fps: list, sets: list) -> pa.RecordBatch:
-            sizes = [len(s) for s in sets]
-            tokens = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
-            columns = [pa.array(groups, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array([size_class(n, least) for n in sizes], pa.int32()), tokens]
-            return pa.RecordBatch.from_arrays(columns, ["group", "fp", "size", "k", "tokens"])
+            ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+            tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(fps, pa.int64()), tokens], ["group", "fp", "tokens"])
 
         for batch in batches:
-            held: tuple[list, list, list] = ([], [], [])
-            n = 0
+            groups, fps, sets, n = [], [], [], 0
             for group, fp, text in zip(*(batch.column(c) for c in ("group", "fp", "text")), strict=True):
-                fp = fp.as_py()
-                if fp in seen:
+                if fp.as_py() in seen:
                     continue
-                seen.add(fp)
-                for x, y in zip(held, (group.as_py(), fp, shingle_set(text.as_py(), width)), strict=True):
-                    x.append(y)
-                n += len(held[2][-1])
+                seen.add(fp.as_py())
+                groups.append(group.as_py())
+                fps.append(fp.as_py())
+                sets.append(shingle_set(text.as_py(), width))
+                n += len(sets[-1])
                 if n >= TOKENS_AT_ONCE:
-                    yield rows(*held)
-                    held, n = ([], [], []), 0
+                    yield rows(groups, fps, sets)
+                    groups, fps, sets, n = [], [], [], 0
             if n:
-                yield rows(*held)
+                yield rows(groups, fps, sets)
 
-    texts = docs.select("_key", "text").join(members, "_key").select("group", "fp", "text")
-    found = materialise(texts.mapInArrow(run, "group long, fp long, size long, k int, tokens array<long>"), "grouped-sets")
-    discard(groups, members)
-    return found
+    texts = docs.select("_key", "text").join(members.select("_key", "group", "fp").hint("merge"), "_key").select("group", "fp", "text")
+    return texts.mapInArrow(run, "group long, fp long, tokens array<long>")
 
 
 def jaccard_links(prints: DataFrame, docs: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """(u, v): hashes of sets that are connected by pairs of similarity ``least`` or more, enough to connect all such."""
-    return links_in_groups(grouped_sets(prints, docs, width, least), least)
+    """(u, v): hashes of sets that are connected by pairs of similarity ``least`` or more, enough to connect all such.
+
+    ``prints`` has fp, n, k, keys and _key, ``docs`` _key and text of the same
+    rows; only one row of each set that shares keys with others is read again.
+    """
+    groups = candidate_groups(prints)
+    one = prints.where("n > 0").groupBy("fp", "n", "k").agg(F.min("_key").alias("_key"))
+    members = one.join(groups, one["fp"] == groups["node"]).select("_key", "fp", F.col("component").alias("group"), F.col("n").alias("size"), "k")
+    members = materialise(members, "members")
+    sets = materialise(sets_read_again(docs, members, width), "candidate-sets")
+    discard(groups)
+    return links_in_groups(members, sets, least)
 
 
 def ngram_components(docs: DataFrame, width: int = WORDS, least: Fraction = SIMILARITY) -> DataFrame:
@@ -226,7 +226,7 @@ def ngram_components(docs: DataFrame, width: int = WORDS, least: Fraction = SIMI
     Shingles are compared by 64-bit hashes.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_key", F.xxhash64("doc_id", "text"))
-    prints = materialise(set_prints(keyed, ("_key",), width, lambda tokens: part_keys(tokens, least)), "ngram-prints")
+    prints = materialise(set_prints(keyed, ("_key",), width, least, part_keys), "ngram-prints")
     links = jaccard_links(prints, keyed, width, least)
     found = near_duplicate_components(prints.select("doc_id", "fp", "n"), links)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

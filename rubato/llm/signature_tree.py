@@ -137,7 +137,7 @@ def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
 
 
 def links_among(sets: list[np.ndarray], classes: np.ndarray, sides: np.ndarray, least: Fraction) -> list[tuple[int, int]]:
-    """Similar pairs that connect what similar pairs connect, members of one class being connected beforehand.
+    """Pairs that connect what similar pairs connect, members of one class being connected beforehand.
 
     Where both sides occur, only pairs across them are looked for.  A pair of
     members that are connected by then is not compared, so a dense group costs
@@ -200,58 +200,70 @@ def parts_of(n: Column, tokens: Column) -> Column:
     return F.ceil(F.greatest(n / BLOCK_SETS, tokens / BLOCK_TOKENS)).cast("int")
 
 
-def links_in_groups(sets: DataFrame, least: Fraction) -> DataFrame:
-    """(u, v): verified links that connect all that pairs of similarity ``least`` connect within each group.
+def name(*parts: Column | str) -> Column:
+    return F.xxhash64(*parts)
 
-    ``sets`` has group, fp, size, k (its ``size_class``) and tokens (sorted,
-    distinct), materialised; fp tells sets apart.  No task holds more than two blocks and the pivots.
+
+def with_tokens(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of (task, side, fp, class) with the tokens of ``sets`` (group, fp, tokens); all planning is done before, without them."""
+    return rows.join(sets.drop("group"), "fp").select(*TASK)
+
+
+def group_tasks(sets: DataFrame) -> DataFrame:
+    """A task for each group."""
+    return sets.select(F.col("group").alias("task"), F.lit(0).alias("side"), "fp", F.col("fp").alias("class"), "tokens")
+
+
+def links_in_groups(members: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): links that connect all that pairs of similarity ``least`` connect within each group.
+
+    ``members`` has group, fp, size and k, the set's ``size_class``; ``sets``
+    has group, fp and tokens (sorted, distinct).  Both are materialised; fp
+    tells sets apart.  No task holds more than two blocks and the pivots.
     """
-    sizes = sets.groupBy("group", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
+    sizes = members.groupBy("group", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
     own = Window.partitionBy("group")
-    parts = parts_of(F.sum("n").over(own), F.sum("tokens").over(own))
-    sizes = materialise(sizes.withColumn("whole", parts <= 1).withColumn("parts", parts_of(F.col("n"), F.col("tokens"))), "group-sizes")
-    placed = sets.join(sizes.select("group", "k", "whole", "parts"), ["group", "k"])
-    small = placed.where("whole").select(F.col("group").alias("task"), F.lit(0).alias("side"), "fp", F.col("fp").alias("class"), "tokens")
-    found = search_tasks(small, least)
-    if sizes.where("not whole").isEmpty():
-        return found
-    large = materialise(placed.where("not whole").drop("whole").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")), "large-groups")
-    verified = links_of_blocks(large, least)
-    return found.unionByName(verified)
+    large = parts_of(F.sum("n").over(own), F.sum("tokens").over(own)) > 1
+    sizes = materialise(sizes.withColumn("large", large).where("large").select("group", "k", parts_of(F.col("n"), F.col("tokens")).alias("parts")), "large-groups")
+    if sizes.isEmpty():
+        return search_tasks(group_tasks(sets), least)
+    small = sets.join(sizes.select("group").distinct(), "group", "left_anti")
+    placed = members.join(sizes, ["group", "k"]).select("group", "k", "fp", "size", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
+    return search_tasks(group_tasks(small), least).unionByName(links_of_blocks(materialise(placed, "placed"), sets, least))
 
 
-def links_of_blocks(large: DataFrame, least: Fraction) -> DataFrame:
-    """Links of groups of several blocks, from (group, k, parts, part, fp, size, tokens)."""
-    name = lambda *c: F.xxhash64(*c)
+def links_of_blocks(large: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """Links of groups of several blocks, from (group, k, fp, size, part)."""
     bucket = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(PIVOTS))
-    chosen = large.groupBy("group", "k", bucket.alias("bucket")).agg(F.min("fp").alias("fp")).select("fp")
-    pivots = large.join(chosen, "fp").select("group", "k", "fp", "tokens")
+    pivots = large.groupBy("group", "k", bucket.alias("bucket")).agg(F.min("fp").alias("fp")).drop("bucket")
     blocks = large.select("group", F.col("k").alias("_k"), "part").distinct()
     lent = pivots.join(blocks, "group").where(F.col("_k").between(F.col("k"), F.col("k") + 1))
-    columns = lambda k: (name("group", k, "part").alias("task"), F.lit(0).alias("side"), "fp", F.col("fp").alias("class"), "tokens")
-    inner = materialise(search_tasks(large.select(*columns("k")).unionByName(lent.select(*columns("_k"))), least), "block-links")
-    classes = connected_components(inner)
-    known = large.drop("part", "parts").join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp")).drop("component")
+    inner = large.select(name("group", "k", "part").alias("task"), "fp").union(lent.select(name("group", "_k", "part"), "fp"))
+    inner = inner.select("task", F.lit(0).alias("side"), "fp", F.col("fp").alias("class"))
+    found = materialise(search_tasks(with_tokens(inner, sets), least), "block-links")
+    classes = connected_components(found)
+    known = large.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("group", "k", "fp", "size", F.coalesce("component", "fp").alias("class"))
     # large classes have blocks of their own, the others share some
     counts = known.groupBy("group", "k", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
-    own = F.when(parts_of(F.col("n"), F.col("tokens")) > 1, F.col("class"))
-    counts = materialise(counts.withColumn("alone", own), "class-sizes")
-    pools = counts.groupBy("group", "k", "alone").agg(parts_of(F.sum("n"), F.sum("tokens")).alias("parts"))
-    pools = materialise(pools.withColumn("pool", name("group", "k", F.coalesce("alone", F.lit(0)), F.col("alone").isNull())), "pools")
+    counts = materialise(counts.withColumn("alone", F.when(parts_of(F.col("n"), F.col("tokens")) > 1, F.col("class"))), "class-sizes")
+    pool = name("group", "k", F.coalesce("alone", F.lit(0)), F.col("alone").isNull()).alias("pool")
+    pools = materialise(counts.groupBy("group", "k", "alone", pool).agg(parts_of(F.sum("n"), F.sum("tokens")).alias("parts")), "pools")
+    own = counts.select("group", "k", "class", pool).join(pools.select("pool", "parts"), "pool")
+    pooled = known.join(own, ["group", "k", "class"]).select("fp", "class", "pool", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
+    rows = pooled.join(block_pairs(pools), ["pool", "part"]).select("task", "side", "fp", "class")
+    across = materialise(search_tasks(with_tokens(rows, sets), least), "links-across")
+    discard(counts, pools, classes)
+    return found.unionByName(across)
+
+
+def block_pairs(pools: DataFrame) -> DataFrame:
+    """(task, side, pool, part): the pairs of blocks that may hold links between classes, from (group, k, alone, pool, parts)."""
     a, b = pools.alias("a"), pools.alias("b")
     one_class = F.col("a.alone").isNotNull() & F.col("a.alone").eqNullSafe(F.col("b.alone"))
-    met = a.join(b, F.col("a.group") == F.col("b.group")).where(
-        ~one_class & ((F.col("b.k") == F.col("a.k") + 1) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.pool") <= F.col("b.pool"))))
-    )
+    later = (F.col("b.k") == F.col("a.k") + 1) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.pool") <= F.col("b.pool")))
+    met = a.join(b, F.col("a.group") == F.col("b.group")).where(~one_class & later)
     pairs = met.select(F.col("a.pool").alias("pa"), F.col("b.pool").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("a.parts") - 1)).alias("x"), F.col("b.parts").alias("n"))
     pairs = pairs.select("pa", "pb", "x", F.explode(F.sequence(F.when(F.col("pa") == F.col("pb"), F.col("x")).otherwise(0), F.col("n") - 1)).alias("y"))
-    task = name("pa", "pb", "x", "y").alias("task")
-    end = lambda side, pool, part: F.struct(F.lit(side).alias("side"), F.col(pool).alias("pool"), F.col(part).alias("part"))
-    sides = pairs.select(task, F.explode(F.array(end(0, "pa", "x"), end(1, "pb", "y"))).alias("s"))
-    sides = sides.select("task", "s.*").groupBy("task", "pool", "part").agg(F.min("side").alias("side"))  # a block paired with itself is one side
-    pooled = known.join(counts.select("group", "k", "class", "alone"), ["group", "k", "class"]).join(pools.select("group", "k", F.col("alone").alias("_alone"), "pool", "parts"), ["group", "k"])
-    pooled = pooled.where(F.col("alone").eqNullSafe(F.col("_alone"))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    rows = pooled.join(sides, ["pool", "part"]).select(*TASK)
-    across = materialise(search_tasks(rows, least), "links-across")
-    discard(counts, pools, classes)
-    return inner.unionByName(across)
+    side = lambda at, pool, part: (name("pa", "pb", "x", "y").alias("task"), F.lit(at).alias("side"), F.col(pool).alias("pool"), F.col(part).alias("part"))
+    # a block paired with itself is one side
+    return pairs.select(*side(0, "pa", "x")).union(pairs.where("pa <> pb or x <> y").select(*side(1, "pb", "y")))

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from rubato.llm import ngram_join as nj
 from rubato.llm import signature_tree as tree
 from rubato.llm.common import materialise, table
+from rubato.llm.components import stars
 from rubato.llm.simhash import LOWER
 
 
@@ -78,6 +79,16 @@ def test_unrelated_sets_share_hardly_a_key():
     assert len(keys) - len(set(keys)) < 10
 
 
+def test_stars_connect_what_links_connect():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        u, v = rng.integers(0, n, (2, int(rng.integers(0, 60))))
+        a, b = stars(u + 100, v + 100)
+        assert components(n, list(zip(u.tolist(), v.tolist(), strict=True))) == components(n, list(zip((a - 100).tolist(), (b - 100).tolist(), strict=True)))
+        assert (a < b).all() and len(set(b.tolist())) == len(b)
+
+
 def test_neighbouring_classes_hold_all_sizes_in_reach():
     for least in (Fraction(9, 10), Fraction(8, 10), Fraction(1, 2)):
         for small in range(1, 3000):
@@ -149,7 +160,7 @@ def test_groups_of_several_blocks(spark, monkeypatch):
     rows += [(1000 + i, rows[i][1]) for i in range(0, 60, 3)] + [rows[5]] * 10
     seen = []
     blocks = tree.links_of_blocks
-    monkeypatch.setattr(tree, "links_of_blocks", lambda large, least: seen.append(large.count()) or blocks(large, least))
+    monkeypatch.setattr(tree, "links_of_blocks", lambda placed, sets, least: seen.append(placed.count()) or blocks(placed, sets, least))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert found_rows(nj.ngram_components(docs)) == brute_rows(rows)
     assert seen and seen[0] > 100
@@ -161,10 +172,11 @@ def test_no_task_holds_more_than_two_blocks(spark, monkeypatch):
     most, search = [], tree.search_tasks
     monkeypatch.setattr(tree, "search_tasks", lambda rows, least: most.append(max((r["count"] for r in rows.groupBy("task").count().collect()), default=0)) or search(rows, least))
     rng = np.random.default_rng(4)
-    sets = [(7, i, len(s), tree.size_class(len(s), nj.SIMILARITY), s.view(np.int64).tolist()) for i, s in enumerate(near_sets(rng, 300, 120, 9))]
-    frame = materialise(spark.createDataFrame(sets, "group long, fp long, size long, k int, tokens array<long>"), "sets")
-    links = [(r["u"], r["v"]) for r in tree.links_in_groups(frame, nj.SIMILARITY).collect()]
-    arrays = [np.array(s[4], np.int64).view(np.uint64) for s in sets]
+    arrays = near_sets(rng, 300, 120, 9)
+    members = [(7, i, len(s), tree.size_class(len(s), nj.SIMILARITY)) for i, s in enumerate(arrays)]
+    members = materialise(spark.createDataFrame(members, "group long, fp long, size long, k int"), "members")
+    sets = materialise(spark.createDataFrame([(7, i, s.view(np.int64).tolist()) for i, s in enumerate(arrays)], "group long, fp long, tokens array<long>"), "sets")
+    links = [(r["u"], r["v"]) for r in tree.links_in_groups(members, sets, nj.SIMILARITY).collect()]
     pairs = [(i, j) for i in range(300) for j in range(i) if tree.similar(arrays[i], arrays[j], nj.SIMILARITY)]
     assert components(300, links) == components(300, pairs)
     assert max(most) <= 120 and len(most) == 3
