@@ -1,10 +1,7 @@
-"""WAV files and analysis documents."""
+"""Recordings from and to WAV files, training items and analysis documents."""
 
 from __future__ import annotations
 
-import io
-import struct
-import wave
 import zlib
 from collections.abc import Iterator
 
@@ -14,50 +11,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.signal import array_column, array_values, fixed_length
+from . import wav_source
+from .wav_format import encode_values, mono, parse_header, written_header
 
-BLOCK_SAMPLES = 120_000
-#: Kind, scale and zero of a PCM value by its bytes.
-PCM = {1: ("u1", 128, 128), 2: ("<i2", 1 << 15, 0), 4: ("<i4", 1 << 31, 0)}
-BLOCKS = "path string, block_idx int, start_sample long, sample_rate int, samples array<float>"
 #: Suffixes of the output formats, and whether there is an encoder here.
 FORMATS = {".wav": True, ".mp3": False, ".m4a": False, ".flac": False}
-HEAD_BYTES = 1 << 16
 
 
 def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
-    """(sample rate, mono samples in [-1, 1]) of 8-, 16- or 32-bit PCM."""
-    with wave.open(io.BytesIO(raw)) as w:
-        data, width, channels = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()
-        kind, scale, shift = PCM[width]
-        x = (np.frombuffer(data, kind).astype(np.float64) - shift) / scale
-        return w.getframerate(), x.reshape(-1, channels).mean(axis=1).astype(np.float32)
+    """(sample rate, mono samples in [-1, 1]) of a whole WAV file's bytes."""
+    header = parse_header(lambda at, n: raw[at : at + n], len(raw))
+    if header is None:
+        raise ValueError("no PCM or float WAV")
+    return header.sample_rate, mono(raw[header.begin : header.begin + header.n_bytes], header).astype(np.float32)
 
 
 def encode_wav(samples: np.ndarray, sample_rate: int) -> bytes:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(sample_rate)
-        w.writeframes(np.clip(np.round(np.asarray(samples) * 32767), -32768, 32767).astype("<i2").tobytes())
-    return out.getvalue()
+    """A WAV file's bytes, 16 bits mono."""
+    raw = encode_values(samples)
+    return written_header(len(samples), sample_rate) + raw
+
+
+def wav_blocks(spark: SparkSession, path: str, **options: float | str) -> DataFrame:
+    """The data source of ``wav_source`` with its options."""
+    wav_source.register(spark)
+    return spark.read.format("wav").options(path=path, **options).load()
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of the WAV files under ``path``; a file that is no PCM WAV gives one row without samples."""
+    """Blocks (path, block_idx, start_sample, sample_rate, samples) of the WAV files under ``path``.
+
+    Partitions are byte ranges of the files.  A file that is no WAV gives one
+    row without samples; filters on path and place are pushed to the reader.
+    """
+    return wav_blocks(spark, path).select("path", "block_idx", "start_sample", "sample_rate", "samples")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                try:
-                    rate, x = decode_wav(raw.as_py())
-                except (wave.Error, EOFError, KeyError):
-                    rate, x = None, np.zeros(0, np.float32)
-                for lo in range(0, max(1, len(x)), BLOCK_SAMPLES):
-                    yield pa.RecordBatch.from_pylist([{"path": name, "block_idx": lo // BLOCK_SAMPLES, "start_sample": lo, "sample_rate": rate, "samples": x[lo : lo + BLOCK_SAMPLES].tolist()}], pa.schema([("path", pa.string()), ("block_idx", pa.int32()), ("start_sample", pa.int64()), ("sample_rate", pa.int32()), ("samples", pa.list_(pa.float32()))]))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, BLOCKS)
+def read_wav_range(spark: SparkSession, path: str, start: float, duration: float) -> DataFrame:
+    """The same for ``duration`` seconds from ``start`` on; only their bytes are read."""
+    found = wav_blocks(spark, path, start=start, duration=duration)
+    return found.where(F.size("samples") > 0).select("path", "block_idx", "start_sample", "sample_rate", "samples")
 
 
 def wav_payloads(recordings: DataFrame, sample_rate: int) -> DataFrame:
@@ -92,36 +85,12 @@ def payloads(recordings: DataFrame, sample_rate: int, suffix: str = ".wav") -> D
     return wav_payloads(recordings, sample_rate)
 
 
-def wav_header(head: bytes) -> tuple[int, int, int, int, int] | None:
-    """(sample rate, channels, bytes of a value, where the samples begin, their bytes) of a PCM WAV file's first bytes."""
-    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
-        return None
-    at, form = 12, None
-    while at + 8 <= len(head):
-        name, size = struct.unpack_from("<4sI", head, at)
-        if name == b"fmt " and at + 24 <= len(head):
-            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head, at + 8)
-            form = (rate, channels, bits // 8) if tag in (1, 0xFFFE) and channels and rate else None
-        if name == b"data":
-            return (*form, at + 8, size) if form else None
-        at += 8 + size + size % 2
-    return None
-
-
 def wav_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sample_rate, channels, width, begin, n_bytes, duration) of the files under ``path``, null where one is no PCM WAV."""
+    """(path, length, sample_rate, channels, width, is_float, n_samples, duration) of the files under ``path``, null where one is no WAV.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [wav_header(h) or (None,) * 5 for h in batch.column("head").to_pylist()]
-            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), *columns], ["path", "length", "sample_rate", "channels", "width", "begin", "n_bytes"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    heads = files.select("path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"))
-    found = heads.mapInArrow(run, "path string, length long, sample_rate long, channels long, width long, begin long, n_bytes long")
-    size = F.least("n_bytes", F.col("length") - F.col("begin"))
-    return found.select("path", "sample_rate", "channels", "width", "begin", size.alias("n_bytes"), (size / (F.col("channels") * F.col("width")) / F.col("sample_rate")).alias("duration"))
+    A few KB of each file are read, never its samples.
+    """
+    return wav_blocks(spark, path, content="headers")
 
 
 def probe_durations(spark: SparkSession, path: str) -> DataFrame:
@@ -161,34 +130,31 @@ def read_wav_parallel(spark: SparkSession, path: str, sample_rate: int = 24_000,
 
     A slice of ``seconds`` reaches ``overlap`` seconds into its neighbours; after
     decoding and resampling, slices are cross-faded there.  Files that are no
-    PCM WAV have no blocks.
+    WAV have no blocks.
     """
     from ..operators.chunks import merge_parts
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    known = files.join(wav_headers(spark, path).where("sample_rate is not null and width in (1, 2, 4)"), "path")
-    frame = F.col("channels") * F.col("width")
-    total = F.floor(F.col("n_bytes") / frame)
-    chunk, reach = F.ceil(F.col("sample_rate") * seconds), F.ceil(F.col("sample_rate") * overlap)
-    cut = known.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), total - 1), chunk))).withColumn("total", total)
-    lo, hi = F.greatest(F.lit(0), F.col("pos") - reach), F.least(F.col("total"), F.col("pos") + chunk + reach)
-    piece = F.substring("content", (F.col("begin") + lo * frame + 1).cast("int"), ((hi - lo) * frame).cast("int"))
-    fade = lambda there: F.when(there, F.floor(F.lit(overlap * sample_rate))).otherwise(F.lit(0))
-    parts = cut.select(
-        F.col("path").alias("recording_id"), (F.col("pos") / chunk).cast("int").alias("index"), "sample_rate", "channels", "width", piece.alias("raw"),
-        fade(F.col("pos") > 0).cast("long").alias("fade_in"), fade(F.col("pos") + chunk < F.col("total")).cast("long").alias("fade_out"),
-    )
+    slices = wav_blocks(spark, path, blockSeconds=seconds, overlapSeconds=overlap).where(F.size("samples") > 0)
+    tail = F.col("start_sample") + F.size("samples") - F.col("lead") < F.col("n_samples")
+    fade = lambda there: F.when(there, F.floor(F.lit(overlap * sample_rate))).otherwise(F.lit(0)).cast("long")
+    parts = slices.select(F.col("path").alias("recording_id"), F.col("block_idx").alias("index"), "sample_rate", "samples", fade(F.col("lead") > 0).alias("fade_in"), fade(tail).alias("fade_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, r in enumerate(batch.drop_columns(["recording_id"]).to_pylist()):
-                kind, scale, shift = PCM[r["width"]]
-                x = (np.frombuffer(r["raw"], kind).astype(float) - shift) / scale
-                out = resample(x[: len(x) // r["channels"] * r["channels"]].reshape(-1, r["channels"]).mean(axis=1), r["sample_rate"], sample_rate)
+            values, at = array_values(batch.column("samples"))
+            rates = batch.column("sample_rate").to_pylist()
+            for i, rate in enumerate(rates):
+                out = resample(values[at[i] : at[i + 1]], rate, sample_rate)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("recording_id", "index", "fade_in", "fade_out")), array_column([out])], ["recording_id", "index", "fade_in", "fade_out", "samples"])
 
-    dealt = parts.repartition(F.col("recording_id"), F.col("index"))
-    return merge_parts(dealt.mapInArrow(run, "recording_id string, index int, fade_in long, fade_out long, samples array<double>"))
+    return merge_parts(parts.mapInArrow(run, "recording_id string, index int, fade_in long, fade_out long, samples array<double>"))
+
+
+def write_wav(blocks: DataFrame, folder: str, sample_rate: int = 24_000, overwrite: bool = False, **options: str) -> None:
+    """A file of each recording in ``folder``, from blocks (recording_id, start_sample, samples); see ``wav_sink``."""
+    wav_source.register(blocks.sparkSession)
+    rows = blocks.select("recording_id", F.col("start_sample").cast("long").alias("start_sample"), F.transform("samples", lambda v: v.cast("double")).alias("samples"))
+    rows.write.format("wav").mode("overwrite" if overwrite else "append").options(path=folder, sampleRate=sample_rate, **options).save()
 
 
 def concatenated(blocks: DataFrame, order: DataFrame) -> DataFrame:
