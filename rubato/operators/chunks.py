@@ -201,6 +201,20 @@ def process_chunked(
     return merge_parts(done)
 
 
+def codec_frames(samples: DataFrame, size: int = 1920) -> DataFrame:
+    """(recording_id, frame_idx, sample_idx, value): frames of ``size`` samples, the last one filled up with zeros.
+
+    ``samples`` has recording_id, frame_idx (the sample's place from 0) and
+    value, with a row for every place; a null is a zero.
+    """
+    at = F.col("frame_idx")
+    known = samples.select("recording_id", F.floor(at / size).cast("int").alias("frame_idx"), (at % size).cast("int").alias("sample_idx"), "value")
+    # only the last frame lacks samples, so only its places are made anew
+    last = known.groupBy("recording_id").agg(F.max(F.struct("frame_idx", "sample_idx")).alias("m"))
+    spare = last.where(F.col("m.sample_idx") < size - 1).select("recording_id", F.col("m.frame_idx").alias("frame_idx"), F.explode(F.sequence(F.col("m.sample_idx") + 1, F.lit(size - 1))).alias("sample_idx"), F.lit(0.0).alias("value"))
+    return known.withColumn("value", F.coalesce("value", F.lit(0.0))).unionByName(spare)
+
+
 def in_blocks(samples: DataFrame, block: int) -> DataFrame:
     """Blocks of (recording_id, sample_idx, value) rows whose sample_idx runs from 0 without gaps."""
     at = F.floor(F.col("sample_idx") / block).cast("int")

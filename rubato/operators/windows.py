@@ -2,7 +2,10 @@
 
 All windows share ``partitionBy(recording_id).orderBy(frame_idx)``, so a chain
 of these operators shuffles and sorts once.  One recording is one partition of
-a window, as every operator here reads neighbours or all of a recording.
+such a window; ``frame_blocks`` has the forms that spread it over many tasks,
+and takes the functions here that have ``own``, the window of a block.  Two
+rows of one frame_idx come in any order; a null value is no frame's neighbour's
+value, so what is computed from it is null unless stated otherwise.
 """
 
 from __future__ import annotations
@@ -41,14 +44,15 @@ def peak_normalised(x: Column) -> Column:
     return F.when(high > 0, x / high).otherwise(x)
 
 
-def step_in(t: Column) -> Column:
+def step_in(t: Column, own: WindowSpec | None = None) -> Column:
     """Seconds since the previous frame; the first frame's own time."""
-    return t - F.coalesce(F.lag(t).over(ordered()), F.lit(0.0))
+    return t - F.coalesce(F.lag(t).over(own or ordered()), F.lit(0.0))
 
 
-def max_filter(x: Column, width: int = 7) -> Column:
+def max_filter(x: Column, width: int = 7, own: WindowSpec | None = None) -> Column:
+    """Greatest of ``width`` frames around each, fewer at the ends; nulls don't count."""
     half = width // 2
-    return F.max(x).over(ordered().rowsBetween(-half, half))
+    return F.max(x).over((own or ordered()).rowsBetween(-half, half))
 
 
 def slew_limited(x: Column, rise: float = 0.3) -> Column:
@@ -61,9 +65,9 @@ def running_total(x: Column) -> Column:
     return F.sum(x).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def gradient(x: Column) -> Column:
-    """Centred differences, one-sided at the ends."""
-    before, after = F.lag(x).over(ordered()), F.lead(x).over(ordered())
+def gradient(x: Column, own: WindowSpec | None = None) -> Column:
+    """Centred differences, one-sided at the ends and next to a null; null for a single frame."""
+    before, after = F.lag(x).over(own or ordered()), F.lead(x).over(own or ordered())
     return F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as s
-from .operators import chunks, evaluation, importance, joins, rates, signal
+from .operators import chunks, evaluation, frame_blocks, importance, joins, rates, schedules, signal
 from .operators import windows as w
 from .plans.analysis import analyse, scored_events
 from .sources import audio
@@ -97,16 +97,11 @@ def _meet_sql(name: str, source: str, rounds: int, tolerance: float) -> str:
   slewed AS (SELECT * REPLACE (list_transform(range(1, n + 1), lambda i: list_min(list_transform(range(1, i + 1), lambda j: r[j] - 0.3 * (j - 1))) + 0.3 * (i - 1)) AS r) FROM bent),
   eased AS (SELECT * REPLACE (CASE WHEN n > 4 THEN list_transform({_smooth_sql("r", 2.0)}, lambda x: least(greatest(x, 1), 10)) ELSE r END AS r) FROM slewed),
   {_meet_sql("final", "eased", 10, 0.002)}
-  SELECT recording_id, n::BIGINT AS n_frames, t[n] AS in_duration, round(list_sum(list_transform(range(1, n + 1), lambda i: dt[i] / r[i])), 3) AS out_duration,
-    round(list_avg(r), 6) AS mean_rate, round(list_min(r), 6) AS min_rate, round(list_max(r), 6) AS max_rate FROM final""")
+  SELECT recording_id, (i - 1)::INT AS frame_idx, t[i] AS t, round(r[i], 5) AS rate FROM final, LATERAL (SELECT unnest(range(1, n + 1)) AS i)""")
 def rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: scores to rates that meet the target duration, and a summary per recording."""
-    out = rates.schedule_rates(scored_events(read(spark, sf_dir, "events")), 3.0)
-    steps = out.withColumn("dt", w.step_in(F.col("t")))
-    return steps.groupBy("recording_id").agg(
-        F.count(F.lit(1)).alias("n_frames"), F.max("t").alias("in_duration"), F.round(F.sum(F.col("dt") / F.col("rate")), 3).alias("out_duration"),
-        r6(F.avg("rate"), "mean_rate"), r6(F.min("rate"), "min_rate"), r6(F.max("rate"), "max_rate"),
-    )
+    """The flagship: scores to the rate of every frame, such that recordings meet their target durations."""
+    out = schedules.schedule_long(scored_events(read(spark, sf_dir, "events")), 3.0)
+    return out.select("recording_id", "frame_idx", "t", F.round("rate", 5).alias("rate"))
 
 
 @query(f"""WITH {SCORED} SELECT recording_id, frame_idx::INT AS frame_idx, t, round(score, 6) AS score,
@@ -126,7 +121,8 @@ def importance_to_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM frames WINDOW o AS {ORDERED}""")
 def frame_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
-    return frames(spark, sf_dir).select("recording_id", "frame_idx", w.max_filter(v).alias("highest"), r6(w.slew_limited(v), "limited"), r6(w.gradient(v), "slope"))
+    near = frame_blocks.near_windows(frames(spark, sf_dir), 3, {"highest": lambda o: w.max_filter(v, own=o), "slope": lambda o: w.gradient(v, own=o)})
+    return frame_blocks.slew_limited(near, "value").select("recording_id", "frame_idx", "highest", r6("limited", "limited"), r6("slope", "slope"))
 
 
 @query(f"""WITH {FRAMES}, m AS (
@@ -158,8 +154,10 @@ def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, (t - coalesce(lag(t) OVER {ORDERED}, 0)) / (1 + (1 - score) * 9) AS step FROM scored)
   SELECT recording_id, frame_idx::INT AS frame_idx, round(sum(step) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS out_time FROM stepped""")
 def output_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_events(read(spark, sf_dir, "events")).withColumn("step", w.step_in(F.col("t")) / s.importance_to_rate(F.col("score")))
-    return rows.select("recording_id", "frame_idx", F.round(w.running_total(F.col("step")), 4).alias("out_time"))
+    step = lambda o: w.step_in(F.col("t"), own=o) / s.importance_to_rate(F.col("score"))
+    rows = frame_blocks.near_windows(scored_events(read(spark, sf_dir, "events")), 1, {"step": step})
+    found = frame_blocks.scanned(rows, {"out_time": frame_blocks.Scan("sum", F.col("step"))})
+    return found.select("recording_id", "frame_idx", F.round("out_time", 4).alias("out_time"))
 
 
 @query(f"""WITH {FRAMES}, q AS (SELECT recording_id, i::INT AS frame_idx, i * d / 63 AS t FROM (SELECT recording_id, max(t) AS d FROM frames GROUP BY 1), range(64) r(i)),
@@ -169,7 +167,8 @@ def output_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     knots = frames(spark, sf_dir)
     grid = joins.time_grid(knots.groupBy("recording_id").agg(F.max("t").alias("duration")), F.lit(64))
-    return joins.interpolate_at(knots, grid).select("recording_id", "frame_idx", F.round("t", 4).alias("t"), F.round("value", 4).alias("value"))
+    found = frame_blocks.interpolated(knots, grid, 86_400.0)
+    return found.select("recording_id", "frame_idx", F.round("t", 4).alias("t"), F.round("value", 4).alias("value"))
 
 
 @query(f"""WITH {SCORED}, d AS (SELECT recording_id, max(t) AS d, greatest(1, floor(max(t) / 3600.0))::INT AS n FROM scored GROUP BY 1),
@@ -263,7 +262,7 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SCORED}, c AS (SELECT recording_id, i AS index, greatest(0, i * 86400 - 7200) AS a, least(i * 86400 + 93600, ceil(d)) AS b
     FROM (SELECT recording_id, max(t) AS d FROM frames GROUP BY 1), LATERAL (SELECT unnest(range(greatest(1, ceil(ceil(d) / 86400)::INT))) AS i))
-  SELECT c.recording_id, index::INT AS index, count(*) AS n, round(sum(1 + (1 - score) * 9), 4) AS sum_rate, round(min(t - a), 4) AS first_t FROM c JOIN scored s ON s.recording_id = c.recording_id AND t BETWEEN a AND b GROUP BY 1, 2""")
+  SELECT c.recording_id, index::INT AS index, round(t - a, 4) AS t, round(1 + (1 - score) * 9, 6) AS rate FROM c JOIN scored s ON s.recording_id = c.recording_id AND t BETWEEN a AND b""")
 def chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rates(spark, sf_dir, chunks.points_in_chunks)
 
@@ -275,9 +274,9 @@ def chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
       max(t) FILTER (t <= (a + b) / 2) AS t0, max_by(rate, {{'t': t, 'r': rate}}) FILTER (t <= (a + b) / 2) AS r0,
       min(t) FILTER (t > (a + b) / 2) AS t1, min_by(rate, {{'t': t, 'r': rate}}) FILTER (t > (a + b) / 2) AS r1
     FROM c JOIN r ON r.recording_id = c.recording_id GROUP BY ALL)
-  SELECT recording_id, index::INT AS index, CASE WHEN n = 0 THEN 2 ELSE n END AS n,
-      round(CASE WHEN n = 0 THEN 2 * CASE WHEN t0 IS NULL THEN r1 WHEN t1 IS NULL THEN r0 ELSE r0 + (r1 - r0) * (m - t0) / (t1 - t0) END ELSE s END, 4) AS sum_rate,
-      round(CASE WHEN n = 0 THEN 0 ELSE f END, 4) AS first_t FROM k""")
+  SELECT k.recording_id, index::INT AS index, round(t - a, 4) AS t, round(rate, 6) AS rate FROM k JOIN r ON r.recording_id = k.recording_id AND t BETWEEN a AND b
+  UNION ALL SELECT recording_id, index::INT, round(t, 4), round(CASE WHEN t0 IS NULL THEN r1 WHEN t1 IS NULL THEN r0 ELSE r0 + (r1 - r0) * (m - t0) / (t1 - t0) END, 6)
+    FROM k, LATERAL (SELECT unnest([0, b - a]) AS t) WHERE n = 0""")
 def chunk_rates_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rates(spark, sf_dir, chunks.rates_in_chunks)
 
@@ -286,7 +285,7 @@ def _chunk_rates(spark: SparkSession, sf_dir: str, within) -> DataFrame:
     scored = scored_events(read(spark, sf_dir, "events"))
     sizes = scored.groupBy("recording_id").agg(F.ceil(F.max("t")).alias("n_samples"))
     found = within(chunks.plan_chunks(sizes, 86_400, 7_200), scored.withColumn("rate", s.importance_to_rate(F.col("score"))), 1.0, 86_400)
-    return found.groupBy("recording_id", "index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rate"), 4).alias("sum_rate"), F.round(F.min("t"), 4).alias("first_t"))
+    return found.select("recording_id", "index", F.round("t", 4).alias("t"), r6("rate", "rate"))
 
 
 _HANN64 = [0.5 - 0.5 * math.cos(2 * math.pi * i / 64) for i in range(64)]
@@ -310,11 +309,11 @@ def crossfade_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MEL}, q AS (SELECT *, frame_idx % 7 AS ratio FROM mel), x AS (SELECT *, (ratio - min(ratio) OVER r) / (max(ratio) OVER r - min(ratio) OVER r)::DOUBLE AS k FROM q WINDOW r AS (PARTITION BY recording_id)),
   e AS (SELECT recording_id, frame_idx, i, mel[i + 1] - CASE WHEN i >= 25 THEN (1 + 5 * k) * pow((i - 25) / 38.0, 1.5) ELSE 0 END AS v FROM x, range(64) b(i))
-  SELECT recording_id, frame_idx::INT AS frame_idx, round(sum(v), 5) AS total, round(max(CASE WHEN i = 63 THEN v END), 6) AS last_bin FROM e GROUP BY 1, 2""")
+  SELECT recording_id, frame_idx::INT AS frame_idx, i::INT AS bin, round(v, 6) AS value FROM e""")
 def hf_deemphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mel_frames(spark, sf_dir).withColumn("ratio", (F.col("frame_idx") % 7).cast("double"))
     out = importance.hf_deemphasis(rows)
-    return out.select("recording_id", "frame_idx", F.round(s.total(F.col("mel")), 5).alias("total"), r6(F.get("mel", F.lit(63)), "last_bin"))
+    return out.select("recording_id", "frame_idx", F.posexplode("mel").alias("bin", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(f"""WITH {FRAMES}, a AS (SELECT recording_id, frame_idx, value / 400 - 0.6 AS x FROM frames), p AS (SELECT *, max(abs(x)) OVER r AS peak FROM a WINDOW r AS (PARTITION BY recording_id)),
@@ -576,9 +575,8 @@ def merged_options(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM z, LATERAL (SELECT unnest(range((n + 31) // 32 * 32)) AS i) LEFT JOIN frames f ON f.recording_id = z.recording_id AND f.frame_idx = i""")
 def codec_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of 32 values, the last one filled up with zeros."""
-    arrays = w.to_arrays(frames(spark, sf_dir), "value").withColumnRenamed("value", "samples")
-    rows = signal.per_recording(arrays, lambda x: signal.codec_frames(x, 32).ravel()).select("recording_id", F.posexplode("samples").alias("i", "value"))
-    return rows.select("recording_id", F.floor(F.col("i") / 32).cast("int").alias("frame_idx"), (F.col("i") % 32).alias("sample_idx"), "value")
+    rows = frames(spark, sf_dir).select("recording_id", "frame_idx", "value")
+    return chunks.codec_frames(rows, 32).select("recording_id", "frame_idx", "sample_idx", "value")
 
 
 @query(f"""WITH {MEL}, p AS (SELECT recording_id, frame_idx, i, least(exp(mel[i + 1] * 4), 100) AS m, mel[33 + i] AS a FROM mel, range(32) r(i))
