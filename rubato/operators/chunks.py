@@ -189,12 +189,17 @@ def process_chunked(
     kind = blocks.schema["recording_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = ["recording_id", "index", "fade_in", "fade_out"]
         for batch in batches:
             (x, at), (t, t_at), (r, _) = (array_values(batch.column(c)) for c in ("samples", "times", "rates"))
+            found, begun, held = [], 0, 0
             for i in range(batch.num_rows):
                 own, curve = slice(at[i], at[i + 1]), slice(t_at[i], t_at[i + 1])
-                out = np.asarray(step(x[own], t[curve], r[curve]), float)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("recording_id", "index", "fade_in", "fade_out")), array_column([out])], ["recording_id", "index", "fade_in", "fade_out", "samples"])
+                found.append(np.asarray(step(x[own], t[curve], r[curve]), float))
+                held += len(found[-1])
+                if held >= SAMPLES_AT_A_TIME or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begun, len(found)) for c in ids), array_column(found)], [*ids, "samples"])
+                    found, begun, held = [], i + 1, 0
 
     fades = [F.floor(F.col(f"overlap_{side}") / speed).cast("long").alias(name) for side, name in (("before", "fade_in"), ("after", "fade_out"))]
     done = rows.select("recording_id", "index", *fades, "samples", "times", "rates").mapInArrow(run, f"recording_id {kind}, index int, fade_in long, fade_out long, samples array<double>")
@@ -228,38 +233,69 @@ def samples_of(blocks: DataFrame) -> DataFrame:
     return blocks.select("recording_id", "start_sample", F.posexplode("samples").alias("p", "value")).select("recording_id", (F.col("start_sample") + F.col("p")).alias("sample_idx"), "value")
 
 
-def with_halo(blocks: DataFrame, before: int, after: int) -> DataFrame:
+def with_halo(blocks: DataFrame, before: int, after: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """``blocks`` with ``left`` and ``right``, the neighbouring blocks' last and first samples, null at the ends.
 
     A block lends its edges to its neighbours, so the shuffle is by block and
     a long recording is spread like many short ones.  ``before`` and ``after``
-    are at most a block.
+    are at most a block; ``keep`` are further columns of the blocks.
     """
-    tail = F.slice("samples", F.greatest(F.lit(1), F.size("samples") - before + 1), F.lit(before)) if before else F.lit(None).cast("array<double>")
-    head = F.slice("samples", F.lit(1), F.lit(after)) if after else F.lit(None).cast("array<double>")
     none = F.lit(None).cast("array<double>")
-    piece = lambda at, own, left, right, start: F.struct(at.alias("block_idx"), start.alias("start_sample"), own.alias("samples"), left.alias("left"), right.alias("right"))
+    tail = F.slice("samples", F.greatest(F.lit(1), F.size("samples") - before + 1), F.lit(before)) if before else none
+    head = F.slice("samples", F.lit(1), F.lit(after)) if after else none
+    names = ("start_sample", "samples", "left", "right", *keep)
+    i = F.col("block_idx")
+
+    def piece(at: Column, **values: Column) -> Column:
+        empty = {c: F.lit(None).cast(blocks.schema[c].dataType) for c in ("start_sample", *keep)} | {c: none for c in ("samples", "left", "right")}
+        return F.struct(at.alias("block_idx"), *[(values.get(c, empty[c])).alias(c) for c in names])
+
     doubles = blocks.withColumn("samples", F.transform("samples", lambda v: v.cast("double")))
-    i, no_start = F.col("block_idx"), F.lit(None).cast("long")
-    pieces = F.array(piece(i, F.col("samples"), none, none, F.col("start_sample")), piece(i + 1, none, tail, none, no_start), piece(i - 1, none, none, head, no_start))
-    lent = doubles.select("recording_id", F.explode(pieces).alias("p")).select("recording_id", "p.*")
-    one = [F.first(c, ignorenulls=True).alias(c) for c in ("start_sample", "samples", "left", "right")]
+    own = piece(i, **{c: F.col(c) for c in ("start_sample", "samples", *keep)})
+    lent = doubles.select("recording_id", F.explode(F.array(own, piece(i + 1, left=tail), piece(i - 1, right=head))).alias("p")).select("recording_id", "p.*")
+    one = [F.first(c, ignorenulls=True).alias(c) for c in names]
     return lent.groupBy("recording_id", "block_idx").agg(*one).where("samples is not null")
 
 
-def map_blocks(blocks: DataFrame, before: int, after: int, step: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
-    """Blocks of ``step(samples with halo, size of the left halo, size of the right one)``, which gives the block's own samples."""
+#: Samples that a task works through before it sends a record batch on.
+SAMPLES_AT_A_TIME = 1 << 20
+
+
+def over_blocks(blocks: DataFrame, before: int, after: int, step: Callable[..., tuple], out: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(recording_id, block_idx, start_sample, ``out``): a row of ``step`` for every block.
+
+    ``step`` takes the block's samples with its halo, the sizes of the left and
+    the right halo, the first own sample's place and the values of ``keep``, and
+    gives a value for each column of ``out``: numbers for ``long`` and
+    ``double``, arrays for ``array<double>``.
+    """
     kind = blocks.schema["recording_id"].dataType.simpleString()
+    names, kinds = zip(*(c.split() for c in out.split(", ")), strict=True)
+    makers = [array_column if k == "array<double>" else (lambda v, t=pa.int64() if k == "long" else pa.float64(): pa.array(v, t)) for k in kinds]
+    ids = ["recording_id", "block_idx", "start_sample"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [array_values(batch.column(c)) for c in ("left", "samples", "right")]
+            starts, kept = batch.column("start_sample").to_pylist(), [batch.column(c).to_pylist() for c in keep]
+            found, begun, held = [], 0, 0
             for i in range(batch.num_rows):
                 left, own, right = (x[at[i] : at[i + 1]] for x, at in parts)
-                out = np.asarray(step(np.concatenate([left, own, right]), len(left), len(right)), float)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("recording_id", "block_idx", "start_sample")), array_column([out])], ["recording_id", "block_idx", "start_sample", "samples"])
+                found.append(step(np.concatenate([left, own, right]), len(left), len(right), starts[i], *(v[i] for v in kept)))
+                held += len(own)
+                if held >= SAMPLES_AT_A_TIME or i + 1 == batch.num_rows:
+                    columns = [make(list(v)) for make, v in zip(makers, zip(*found, strict=True), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begun, len(found)) for c in ids), *columns], [*ids, *names])
+                    found, begun, held = [], i + 1, 0
+
+    rows = with_halo(blocks, before, after, keep) if before or after else blocks.select("*", F.array().cast("array<double>").alias("left"), F.array().cast("array<double>").alias("right"))
+    own = rows.select("recording_id", F.col("block_idx").cast("int").alias("block_idx"), F.col("start_sample").cast("long").alias("start_sample"), "left", F.transform("samples", lambda v: v.cast("double")).alias("samples"), "right", *keep)
+    return own.mapInArrow(run, f"recording_id {kind}, block_idx int, start_sample long, {out}")
 
-    return with_halo(blocks, before, after).select("recording_id", "block_idx", "start_sample", "left", "samples", "right").mapInArrow(run, f"recording_id {kind}, block_idx int, start_sample long, samples array<double>")
+
+def map_blocks(blocks: DataFrame, before: int, after: int, step: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
+    """Blocks of ``step(samples with halo, size of the left halo, size of the right one)``, which gives the block's own samples."""
+    return over_blocks(blocks, before, after, lambda x, a, z, _: (np.asarray(step(x, a, z), float),), "samples array<double>")
 
 
 def declick_blocks(blocks: DataFrame, block: int, sample_rate: int = 24_000, threshold: float = 5, attenuation: float = 0.5) -> DataFrame:

@@ -194,7 +194,7 @@ def declick(
 
 def spectral_clicks(x: np.ndarray, sample_rate: int = SAMPLE_RATE, frame_ms: float = 2, median_ms: float = 50, threshold: float = 4, low_hz: float = 300) -> int:
     """Frames whose broadband or low-band spectral energy stands out."""
-    size = int(sample_rate * frame_ms / 1000)
+    size = max(1, int(sample_rate * frame_ms / 1000))
     n = len(x) // size
     if n < 5:
         return 0

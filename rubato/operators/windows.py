@@ -71,17 +71,18 @@ def gradient(x: Column, own: WindowSpec | None = None) -> Column:
     return F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2)
 
 
-def running_median(x: Column, width: int = 21) -> Column:
+def running_median(x: Column, width: int = 21, own: WindowSpec | None = None) -> Column:
     """Median of full frames of an odd ``width``, nulls not counted; null at the edges."""
     half = width // 2
-    near = F.collect_list(x).over(ordered().rowsBetween(-half, half))
+    near = F.collect_list(x).over((own or ordered()).rowsBetween(-half, half))
     return F.when(F.size(near) == 2 * half + 1, F.get(F.sort_array(near), F.lit(half)))
 
 
-def is_click(energy: Column, width: int = 21, threshold: float = 5.0, least: float = 1e-10) -> Column:
-    """Far above a median that is above ``least``; never at the edges."""
-    median = running_median(energy, width)
-    return F.coalesce((median > least) & (energy > threshold * median), F.lit(False))
+def is_click(energy: Column, width: int = 21, threshold: float = 5.0, least: float = 1e-10, floor: float | None = None, own: WindowSpec | None = None) -> Column:
+    """Far above a median that is above ``least``, or one that counts as ``floor`` at least; never at the edges."""
+    median = running_median(energy, width, own)
+    found = (median > least) & (energy > threshold * median) if floor is None else energy > threshold * F.greatest(median, F.when(median.isNotNull(), F.lit(floor)))
+    return F.coalesce(found, F.lit(False))
 
 
 def frame_energy(frames: DataFrame, hop: int) -> DataFrame:
