@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as s
-from .operators import chunks, evaluation, frame_blocks, importance, joins, rates, schedules, signal
+from .operators import chunks, evaluation, frame_blocks, importance, joins, rates, recurrences, schedules, signal, signal_blocks
 from .operators import windows as w
 from .plans.analysis import analyse, scored_events
 from .sources import audio
@@ -450,6 +450,23 @@ def _clicky(v: Column) -> Column:
     return F.pow(v / 500, F.lit(6))
 
 
+#: Samples of a block of the recordings made of events, a whole number of frames of any query here.
+HELD_BLOCK = 24_000
+
+
+def _blocks(spark: SparkSession, sf_dir: str, shape=lambda v: v / 500 - 0.5) -> DataFrame:
+    """The same in blocks: a block's values are put together before they are held."""
+    rows = frames(spark, sf_dir).select("recording_id", "frame_idx", shape(F.col("value")).alias("value"))
+    at = F.floor(F.col("frame_idx") * HELD / HELD_BLOCK).cast("int").alias("block_idx")
+    held = F.flatten(F.transform("r.value", lambda v: F.array_repeat(v, HELD)))
+    grouped = rows.groupBy("recording_id", at).agg(F.sort_array(F.collect_list(F.struct("frame_idx", "value"))).alias("r"))
+    return grouped.select("recording_id", "block_idx", (F.col("block_idx").cast("long") * HELD_BLOCK).alias("start_sample"), held.alias("samples"))
+
+
+def _samples_of(blocks: DataFrame) -> DataFrame:
+    return chunks.samples_of(blocks).withColumn("value", F.round("value", 6))
+
+
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as one row per recording."""
     arrays = w.to_arrays(frames(spark, sf_dir), "value")
@@ -467,8 +484,7 @@ def _rows(df: DataFrame) -> DataFrame:
   SELECT s.recording_id, s.sample_idx, round(x * coalesce(least(CASE WHEN click THEN 0.5 ELSE 1 END, CASE WHEN after THEN 0.5 + 0.5 * (s.sample_idx % 48) / 47 ELSE 1 END,
     CASE WHEN before THEN 1 - 0.5 * (s.sample_idx % 48) / 47 ELSE 1 END), 1), 6) AS value FROM samples s LEFT JOIN g ON g.recording_id = s.recording_id AND g.f = s.sample_idx // 48""")
 def declick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = chunks.in_blocks(_samples(spark, sf_dir, _clicky), 48 * 22)
-    return chunks.samples_of(chunks.declick_blocks(blocks, 48 * 22)).withColumn("value", F.round("value", 6))
+    return _samples_of(chunks.declick_blocks(_blocks(spark, sf_dir, _clicky), HELD_BLOCK))
 
 
 #: Flags of frames of 48 samples by amplitude (c1) and by spectrum (c2), as SQL: the power of the bins 0 to 24 follows
@@ -481,9 +497,7 @@ _CLICK_FLAGS = CLICKY + """, e AS (SELECT recording_id, sample_idx // 48 AS f, a
 
 
 def _spectral_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _samples(spark, sf_dir, _clicky).withColumnRenamed("sample_idx", "frame_idx")
-    found = signal.per_recording(w.to_arrays(rows, "value").withColumnRenamed("value", "samples"), lambda x: np.array([float(signal.spectral_clicks(x))]))
-    return found.select("recording_id", F.get("samples", F.lit(0)).cast("long").alias("n_clicks"))
+    return signal_blocks.spectral_click_counts(_blocks(spark, sf_dir, _clicky), HELD_BLOCK)
 
 
 @query(f"WITH {_CLICK_FLAGS} SELECT recording_id, c2 AS n_clicks FROM c")
@@ -508,9 +522,8 @@ def clicks_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
   b AS (SELECT a.j, k, greatest(0, least((k * 375.0 - a.hz) / (m.hz - a.hz), (z.hz - k * 375.0) / (z.hz - m.hz))) AS weight FROM p a JOIN p m ON m.j = a.j + 1 JOIN p z ON z.j = a.j + 2, range(33) r(k))
   SELECT recording_id, frame_idx, j::INT AS bin, round(ln(greatest(sum(weight * mag), 1e-5)), 5) AS value FROM d JOIN b USING (k) GROUP BY 1, 2, 3""")
 def mel_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = signal.per_recording(_signals(spark, sf_dir), lambda x: signal.extract_mel(x, n_fft=64, hop=16, n_mels=10).ravel())
-    rows = found.select("recording_id", F.posexplode("samples").alias("i", "value"))
-    return rows.select("recording_id", F.floor(F.col("i") / 10).cast("int").alias("frame_idx"), (F.col("i") % 10).alias("bin"), F.round("value", 5).alias("value"))
+    found = signal_blocks.mel_frames(_blocks(spark, sf_dir), HELD_BLOCK, n_fft=64, hop=16, n_mels=10)
+    return found.select("recording_id", "frame_idx", F.posexplode("mel").alias("bin", "value")).withColumn("value", F.round("value", 5))
 
 
 @query(f"""WITH {FRAMES}, z AS (SELECT recording_id, count(*) AS n FROM frames GROUP BY 1),
@@ -600,14 +613,47 @@ def training_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(audio.training_items(_signals(spark, sf_dir), 2400, True, 1))
 
 
-for _name, _step in {
-    "post_process": signal.post_process,
-    "spectral_gate": signal.spectral_gate,
-    "prosodic_envelope": signal.prosodic_envelope,
-    "match_tilt": lambda x: signal.match_tilt(np.cumsum(x) / len(x), x),
-}.items():
+@query()
+def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _samples_of(signal_blocks.post_process(_blocks(spark, sf_dir), HELD_BLOCK))
+
+
+@query()
+def spectral_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(signal.per_recording(_signals(spark, sf_dir), signal.spectral_gate))
 
-    def _run(spark: SparkSession, sf_dir: str, step=_step) -> DataFrame:
-        return _rows(signal.per_recording(_signals(spark, sf_dir), step))
 
-    QUERIES[_name] = _run
+@query()
+def prosodic_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signal_blocks.prosodic_envelope(_blocks(spark, sf_dir), HELD_BLOCK)
+    return found.select("recording_id", "frame_idx", r6("t", "t"), r6("value", "value"))
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, run AS (SELECT recording_id, frame_idx, 0.2 * value AS y FROM frames WHERE frame_idx = 0
+    UNION ALL SELECT f.recording_id, f.frame_idx, 0.8 * y + 0.2 * f.value FROM run JOIN frames f ON f.recording_id = run.recording_id AND f.frame_idx = run.frame_idx + 1)
+  SELECT recording_id, frame_idx::INT AS frame_idx, round(y, 6) AS value FROM run""")
+def recursive_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recurrence of the first order, from rest."""
+    rows = frames(spark, sf_dir).select("recording_id", "frame_idx", "value")
+    return recurrences.filtered(rows, "value", np.array([0.2, 0.0, 0.0, -0.8, 0.0])).select("recording_id", "frame_idx", r6("value", "value"))
+
+
+#: The mean magnitude of each bin of frames of 64 samples, half a window apart, of a list ``x`` of n samples, as SQL.
+_MEAN_SPECTRUM = """list_transform(range(33), lambda b: greatest(1e-10, list_avg(list_transform(range(greatest(1, (greatest(n, 64) - 64) // 32)), lambda k: sqrt(
+    pow(list_sum(list_transform(range(64), lambda i: coalesce({x}[k * 32 + i + 1], 0) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) * cos(2 * pi() * b * i / 64))), 2)
+    + pow(list_sum(list_transform(range(64), lambda i: coalesce({x}[k * 32 + i + 1], 0) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) * sin(2 * pi() * b * i / 64))), 2))))))"""
+
+
+@query(f"""WITH {SAMPLES}, l AS (SELECT recording_id, count(*)::INT AS n, list(x ORDER BY sample_idx) AS x, list(pow(value / 500, 6) ORDER BY sample_idx) AS ref FROM held GROUP BY 1),
+  sp AS (SELECT *, {_MEAN_SPECTRUM.format(x="x")} AS have, {_MEAN_SPECTRUM.format(x="ref")} AS want FROM l),
+  r AS (SELECT *, list_transform(range(1, 34), lambda b: pow(10, least(greatest(20 * log10(want[b] / (have[b] + 1e-10) + 1e-10), -4.5), 4.5) / 20)) AS raw FROM sp),
+  g AS (SELECT recording_id, n AS total, x, 33 AS n, raw FROM r), h AS (SELECT recording_id, total AS n, x, {_smooth_sql("raw", 5.0)} AS gain FROM g),
+  k AS (SELECT recording_id, n, x, list_transform(range(64), lambda m: list_sum(list_transform(range(33), lambda b: CASE WHEN b IN (0, 32) THEN 1 ELSE 2 END * gain[b + 1] * cos(2 * pi() * b * m / 64))) / 64) AS kernel FROM h),
+  f AS (SELECT recording_id, n, kernel, f, list_transform(range(64), lambda i: (0.5 - 0.5 * cos(2 * pi() * i / 64)) * coalesce(CASE WHEN f * 32 + i - 32 < 0 THEN x[32 - f * 32 - i + 1] WHEN f * 32 + i - 32 < n THEN x[f * 32 + i - 32 + 1]
+      WHEN f * 32 + i - 32 < n + 32 THEN x[2 * (n - 1) - (f * 32 + i - 32) + 1] ELSE 0 END, 0)) AS y FROM k, LATERAL (SELECT unnest(range((n + 31) // 32 + 1)) AS f)),
+  o AS (SELECT recording_id, n, f, list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: y[j + 1] * kernel[(i - j + 64) % 64 + 1]))) AS z FROM f),
+  p AS (SELECT recording_id, n, f * 32 + i - 32 AS sample_idx, z[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v, pow(0.5 - 0.5 * cos(2 * pi() * i / 64), 2) AS q FROM o, range(64) t(i))
+  SELECT recording_id, sample_idx::BIGINT AS sample_idx, round(sum(v) / greatest(sum(q), 1e-8), 6) AS value FROM p WHERE sample_idx BETWEEN 0 AND n - 1 GROUP BY 1, 2""")
+def match_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean spectrum of held values brought towards that of their sixth powers, in windows of 64."""
+    return _samples_of(signal_blocks.match_tilt(_blocks(spark, sf_dir, _clicky), _blocks(spark, sf_dir), HELD_BLOCK, 64))
