@@ -260,6 +260,54 @@ def post_process(
     return warm_dither(x, sample_rate, level_db) if dither else x
 
 
+#: Windows whose common frames are sorted once.
+SHARED_WINDOWS = 16
+
+
+def lower_half_means(wide: np.ndarray, half: int) -> np.ndarray:
+    """Mean of the ``half + 1`` smallest values of each column in every window of ``2 * half + 1`` rows.
+
+    Windows that follow each other have most rows in common.  Of a number of
+    them the common rows are sorted once; the least sum of k values of two
+    sorted lists is the least of the sums of j of one and k - j of the other.
+    """
+    k, n = half + 1, len(wide) - 2 * half
+    share = min(SHARED_WINDOWS, half)
+    out = np.empty((n, wide.shape[1]))
+    for lo in range(0, n, share):
+        m = min(share, n - lo)
+        core = np.sort(wide[lo + m - 1 : lo + 2 * half + 1], axis=0)[:k]
+        sums = np.concatenate([np.zeros((1, wide.shape[1])), np.cumsum(core, axis=0)])
+        for i in range(lo, lo + m):
+            rest = np.sort(np.concatenate([wide[i : lo + m - 1], wide[lo + 2 * half + 1 : i + 2 * half + 1]]), axis=0)
+            least = sums[k].copy() if len(sums) > k else np.full(wide.shape[1], np.inf)
+            for j, taken in enumerate(np.cumsum(rest, axis=0)[:k], 1):
+                if k - j < len(sums):
+                    np.minimum(least, taken + sums[k - j], out=least)
+            out[i] = least
+    return out / k
+
+
+def gate_gains(magnitude: np.ndarray, floor: np.ndarray, deep: bool) -> np.ndarray:
+    """How much of each bin is kept, averaged over three frames; at either end the frame itself stands in for what is beyond."""
+    gain = np.clip((magnitude / (floor + 1e-10) - 1) / (10 ** ((9 if deep else 6) / 20) - 1), 0, 1) ** 2
+    padded = np.pad(gain, ((1, 1), (0, 0)), mode="edge")
+    return (padded[:-2] + padded[1:-1] + padded[2:]) / 3
+
+
+# Sizes of the gate's spectra, and how many frames its floor follows on either side.
+GATE_FFT, GATE_HOP, GATE_REACH = 2048, 512, 94
+
+
+def floor_reach(n_frames: int) -> int:
+    return min(GATE_REACH, max(1, n_frames // 2))
+
+
+def following_floor(magnitude: np.ndarray, half: int) -> np.ndarray:
+    wide = np.pad(magnitude, ((half, half), (0, 0)), mode="reflect" if len(magnitude) > half else "edge")
+    return lower_half_means(wide, half)
+
+
 def spectral_gate(x: np.ndarray, share: float = 0.12, deep: bool = False) -> np.ndarray:
     """Turn down bins near the noise floor.
 
@@ -267,20 +315,14 @@ def spectral_gate(x: np.ndarray, share: float = 0.12, deep: bool = False) -> np.
     lets it follow the recording, as the mean of the lower half of the bin's
     values within about two seconds on either side, and takes off more.
     """
-    n_fft, hop = 2048, 512
-    spectrum = stft(x, n_fft, hop, cover=True)
+    spectrum = stft(x, GATE_FFT, GATE_HOP, cover=True)
     magnitude = np.abs(spectrum)
     if deep:
-        half = min(94, max(1, len(magnitude) // 2))
-        wide = np.pad(magnitude, ((half, half), (0, 0)), mode="reflect" if len(magnitude) > half else "edge")
-        floor = np.stack([np.sort(wide[i : i + 2 * half + 1], axis=0)[: half + 1].mean(axis=0) for i in range(len(magnitude))])
+        floor = following_floor(magnitude, floor_reach(len(magnitude)))
     else:
         quiet = np.argsort((magnitude**2).mean(axis=1), kind="stable")[: max(1, int(share * len(magnitude)))]
         floor = magnitude[quiet].mean(axis=0)
-    gain = np.clip((magnitude / (floor + 1e-10) - 1) / (10 ** ((9 if deep else 6) / 20) - 1), 0, 1) ** 2
-    padded = np.pad(gain, ((1, 1), (0, 0)), mode="edge")
-    gain = (padded[:-2] + padded[1:-1] + padded[2:]) / 3
-    return istft(spectrum * gain, n_fft, hop, len(x))
+    return istft(spectrum * gate_gains(magnitude, floor, deep), GATE_FFT, GATE_HOP, len(x))
 
 
 def denoise(x: np.ndarray, method: str | None = "gate") -> np.ndarray:

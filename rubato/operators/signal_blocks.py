@@ -21,7 +21,23 @@ from pyspark.sql import functions as F
 from .chunks import declick_blocks, over_blocks, room_blocks
 from .frame_blocks import near_windows
 from .rates import gaussian
-from .signal import HOP, N_FFT, N_MELS, SAMPLE_RATE, array_column, array_values, hann, lowpass_sections, mel_filters
+from .signal import (
+    GATE_FFT,
+    GATE_HOP,
+    GATE_REACH,
+    HOP,
+    N_FFT,
+    N_MELS,
+    SAMPLE_RATE,
+    array_column,
+    array_values,
+    floor_reach,
+    following_floor,
+    gate_gains,
+    hann,
+    lowpass_sections,
+    mel_filters,
+)
 from .windows import is_click
 
 
@@ -112,18 +128,20 @@ def tilt_gains(reference: DataFrame, spectra: DataFrame, max_db: float = 4.5) ->
     return both.mapInArrow(run, f"recording_id {kind}, gain array<double>")
 
 
-def resynthesised(x: np.ndarray, a: int, z: int, start: int, n_fft: int, hop: int, change) -> np.ndarray:
+def resynthesised(x: np.ndarray, a: int, z: int, start: int, n_fft: int, hop: int, change, margin: int = 0) -> np.ndarray:
     """A block's own samples after ``change`` (spectra, index of the first frame) of the frames that reach into it, overlapped and added.
 
-    The halo is a window on either side.  Frames go on until one is centred at
-    or past the recording's end; what they reach beyond its reflection is zero.
+    ``change`` gets ``margin`` more frames on either side, as far as there are
+    any.  The halo is a window and ``margin`` hops on either side.  Frames go on
+    until one is centred at or past the recording's end; what they reach beyond
+    its reflection is zero.
     """
     half, n = n_fft // 2, len(x) - a - z
-    at_start, at_end = a == 0, z < n_fft
+    at_start, at_end = a == 0, z < n_fft + margin * hop
     wide = reflected(x, half, at_start, at_end)
     base = start - a - (half if at_start else 0)
-    first = max(0, -(-(start - half + 1) // hop))
-    last = (start + n - 1 + half) // hop
+    first = max(0, -(-(start - half + 1) // hop) - margin)
+    last = (start + n - 1 + half) // hop + margin
     if at_end:
         last = min(last, -(-(start + n + z) // hop))
     lo = first * hop - half - base
@@ -159,6 +177,105 @@ def match_tilt(reference: DataFrame, blocks: DataFrame, block: int, n_fft: int =
     return over_blocks(blocks.join(gains, "recording_id", "left"), n_fft, n_fft, step, "samples array<double>", ("gain",))
 
 
+def covering_frames(x: np.ndarray, a: int, z: int, start: int) -> tuple[int, np.ndarray]:
+    """(index of the first, magnitudes) of the gate's frames that are centred in a block, and past the last sample in the last one."""
+    n_fft, hop = GATE_FFT, GATE_HOP
+    half, n = n_fft // 2, len(x) - a - z
+    at_start, at_end = a == 0, z < half
+    wide = reflected(x, half, at_start, at_end)
+    base = start - a - (half if at_start else 0)
+    first = -(-start // hop)
+    last = -(-(start + n) // hop) if at_end and z == 0 else (start + n - 1) // hop
+    if last < first:
+        return first, np.zeros((0, half + 1))
+    lo = first * hop - half - base
+    wide = np.pad(wide, (0, max(0, lo + (last - first) * hop + n_fft - len(wide))))
+    frames = np.lib.stride_tricks.sliding_window_view(wide, n_fft)[lo : lo + (last - first) * hop + 1 : hop]
+    return first, np.abs(np.fft.rfft(frames * hann(n_fft), axis=1))
+
+
+def quietest(powers: DataFrame, share: float) -> DataFrame:
+    """(recording_id, k, power, frame_idx): the k-th quietest frame, ties by place, of max(1, int(share * frames)).
+
+    Found without sorting a recording: frames are counted by narrow ranges of
+    their power, the running count tells in which range the k-th lies, and only
+    that one is numbered.
+    """
+    placed = powers.withColumn("_range", F.coalesce(F.floor(F.log2("power") * 64), F.lit(-(1 << 40))))
+    counts = placed.groupBy("recording_id", "_range").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("recording_id")
+    upto = F.sum("n").over(whole.orderBy("_range"))
+    k = F.greatest(F.lit(1), F.floor(F.sum("n").over(whole) * share)).cast("long")
+    edge = counts.select("recording_id", "_range", k.alias("k"), upto.alias("upto"), (upto - F.col("n")).alias("before")).where("before < k and k <= upto")
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("power", "frame_idx")) + F.col("before")
+    met = placed.join(edge.drop("upto"), ["recording_id", "_range"]).withColumn("place", place)
+    return met.where("place = k").select("recording_id", "k", "power", "frame_idx")
+
+
+def spectral_gate(blocks: DataFrame, block: int, share: float = 0.12, deep: bool = False) -> DataFrame:
+    """``signal.spectral_gate``: bins near the noise floor are turned down.
+
+    Three passes over the blocks: the powers of all frames, the mean spectrum of
+    the quietest ``share`` of them, and the gate.  The deep floor follows the
+    recording, so it takes one pass with a longer halo.  ``block`` is at least
+    the halo, ``gate_halo(deep)``.
+    """
+    check_block(block, gate_halo(deep))
+    half = GATE_FFT // 2
+    if deep:
+        sizes = blocks.groupBy("recording_id").agg(F.sum(F.size("samples")).alias("total"))
+
+        def follow(x: np.ndarray, a: int, z: int, start: int, total: int) -> tuple[np.ndarray]:
+            n_frames = -(-total // GATE_HOP) + 1
+            reach = floor_reach(n_frames)
+
+            def change(spectrum: np.ndarray, first: int) -> np.ndarray:
+                magnitude = np.abs(spectrum)
+                return spectrum * gate_gains(magnitude, following_floor(magnitude, reach), True)
+
+            return (resynthesised(x, a, z, start, GATE_FFT, GATE_HOP, change, GATE_REACH + 1),)
+
+        return over_blocks(blocks.join(sizes, "recording_id"), gate_halo(True), gate_halo(True), follow, "samples array<double>", ("total",))
+
+    def powers(x: np.ndarray, a: int, z: int, start: int) -> tuple[int, np.ndarray]:
+        first, magnitude = covering_frames(x, a, z, start)
+        return first, (magnitude**2).mean(axis=1)
+
+    rows = over_blocks(blocks, half, half, powers, "first long, power array<double>").select("recording_id", "first", F.posexplode("power").alias("p", "power"))
+    edges = quietest(rows.select("recording_id", (F.col("first") + F.col("p")).alias("frame_idx"), "power"), share)
+
+    def quiet(x: np.ndarray, a: int, z: int, start: int, power: float, frame_idx: int) -> tuple[np.ndarray]:
+        first, magnitude = covering_frames(x, a, z, start)
+        own = (magnitude**2).mean(axis=1)
+        chosen = (own < power) | ((own == power) & (first + np.arange(len(own)) <= frame_idx))
+        return (magnitude[chosen].sum(axis=0),)
+
+    sums = over_blocks(blocks.join(edges, "recording_id"), half, half, quiet, "s array<double>", ("power", "frame_idx"))
+    bins = sums.select("recording_id", F.posexplode("s").alias("bin", "s")).groupBy("recording_id", "bin").agg(F.sum("s").alias("s"))
+    ordered = F.sort_array(F.collect_list(F.struct("bin", "s")))  # a recording's bins, as many as half a window
+    floors = bins.groupBy("recording_id").agg(ordered.alias("r")).join(edges.select("recording_id", "k"), "recording_id").select("recording_id", F.transform("r.s", lambda v: v / F.col("k")).alias("floor"))
+
+    def gate(x: np.ndarray, a: int, z: int, start: int, floor: list) -> tuple[np.ndarray]:
+        level = np.array(floor)
+        return (resynthesised(x, a, z, start, GATE_FFT, GATE_HOP, lambda s, _: s * gate_gains(np.abs(s), level, False), 1),)
+
+    return over_blocks(blocks.join(floors, "recording_id"), gate_halo(False), gate_halo(False), gate, "samples array<double>", ("floor",))
+
+
+def gate_halo(deep: bool) -> int:
+    """Samples that the gate reads on either side of a block."""
+    return GATE_FFT + (GATE_REACH + 1 if deep else 1) * GATE_HOP
+
+
+def denoise(blocks: DataFrame, block: int, method: str | None = "gate") -> DataFrame:
+    """``gate``, ``deep`` or none; source separation needs a model that is not here."""
+    if method in (None, "none"):
+        return blocks
+    if method not in ("gate", "deep"):
+        raise ValueError(f"no such way to take off noise here: {method}")
+    return spectral_gate(blocks, block, deep=method == "deep")
+
+
 def spectral_click_counts(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_RATE, frame_ms: float = 2, median_ms: float = 50, threshold: float = 4, low_hz: float = 300) -> DataFrame:
     """(recording_id, n_clicks): ``signal.spectral_clicks``; ``block`` is a whole number of frames of ``frame_ms``."""
     size = max(1, int(sample_rate * frame_ms / 1000))

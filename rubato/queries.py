@@ -620,7 +620,7 @@ def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spectral_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(signal.per_recording(_signals(spark, sf_dir), signal.spectral_gate))
+    return _samples_of(signal_blocks.spectral_gate(_blocks(spark, sf_dir), HELD_BLOCK))
 
 
 @query()

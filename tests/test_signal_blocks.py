@@ -47,6 +47,36 @@ def test_match_tilt(spark):
         assert np.allclose(found[k], signal.match_tilt(references[k], x, 64) if k in references else x), k
 
 
+def test_lower_halves_of_sliding_windows():
+    for half, n in ((1, 5), (3, 40), (17, 100), (94, 70)):
+        wide = RNG.random((n + 2 * half, 3))
+        want = [np.sort(wide[i : i + 2 * half + 1], axis=0)[: half + 1].mean(axis=0) for i in range(n)]
+        assert np.allclose(signal.lower_half_means(wide, half), want)
+
+
+def test_quietest_frames(spark):
+    values = {1: RNG.random(500), 2: np.zeros(100), 3: np.r_[np.zeros(50), RNG.random(50)], 4: RNG.integers(0, 3, 70).astype(float), 5: np.ones(1)}
+    rows = [(k, i, float(v)) for k, x in values.items() for i, v in enumerate(x)]
+    found = {r.recording_id: r for r in sb.quietest(spark.createDataFrame(rows, "recording_id long, frame_idx long, power double"), 0.12).collect()}
+    for k, x in values.items():
+        n = max(1, int(0.12 * len(x)))
+        at = int(np.argsort(x, kind="stable")[n - 1])
+        assert (found[k].k, found[k].frame_idx, found[k].power) == (n, at, x[at])
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_spectral_gate(spark, deep):
+    block = 51_200 if deep else 4096
+    recordings = some((100, 1024, 5000, 4096, 8192, 20_000, 8193, block + 100, 4 * block) if not deep else (100, 5000, block, block + 1, 130_000))
+    for x in recordings.values():
+        x[len(x) // 3 : len(x) // 2] *= 0.05
+    found = whole(sb.denoise(blocks_of(spark, recordings, block), block, "deep" if deep else "gate"))
+    for k, x in recordings.items():
+        assert np.allclose(found[k], signal.spectral_gate(x, deep=deep), atol=1e-9), k
+    with pytest.raises(ValueError):
+        sb.denoise(blocks_of(spark, {1: x}, 100), 100, "demix")
+
+
 def test_clicks_of_the_spectrum(spark):
     recordings = some((10, 200, 5000, 4800))
     for x in recordings.values():
