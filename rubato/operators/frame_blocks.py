@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.kernels import gaussian_weights
 from .signal import array_column, array_values
@@ -144,6 +145,7 @@ class Block:
     own: slice
     at_start: bool
     at_end: bool
+    held: int = 0  # frames here, lent ones included
 
     def smoothed(self, x: np.ndarray, sigma: float) -> tuple[np.ndarray, int]:
         """(Gaussian filter of ``x`` wherever the block holds all that it reaches, place of the first value); ends are reflected with repeat."""
@@ -151,17 +153,25 @@ class Block:
         r, n = len(weights) // 2, len(x)
         if self.at_start and self.at_end:
             m = np.arange(-r, n + r) % (2 * n)
-            return np.convolve(x[np.where(m < n, m, 2 * n - 1 - m)], weights, "valid"), 0
-        padded = np.concatenate([x[:r][::-1] if self.at_start else x[:0], x, x[n - r :][::-1] if self.at_end else x[:0]])
-        return np.convolve(padded, weights, "valid"), 0 if self.at_start else r
+            padded = x[np.where(m < n, m, 2 * n - 1 - m)]
+        else:
+            padded = np.concatenate([x[:r][::-1] if self.at_start else x[:0], x, x[n - r :][::-1] if self.at_end else x[:0]])
+        at = 0 if self.at_start else r
+        if x.ndim == 1:
+            return np.convolve(padded, weights, "valid"), at
+        return np.stack([np.convolve(padded[:, k], weights, "valid") for k in range(x.shape[1])], axis=1), at
 
 
 def blocks_of_frames(frames: DataFrame, columns: list[str], before: int, after: int, block: int = BLOCK_FRAMES) -> DataFrame:
-    """(recording_id, block_idx, first, n, and arrays of ``columns``): a row a block, with ``before`` and ``after`` frames lent to it."""
+    """(recording_id, block_idx, first, n, held, and arrays of ``columns``): a row a block, with ``before`` and ``after`` frames lent to it.
+
+    A column of arrays becomes one array, a frame's after another's.
+    """
     rows = lent(frames.select("recording_id", "frame_idx", *columns), before, after, block)
     order = F.sort_array(F.collect_list(F.struct("frame_idx", *columns)))
+    values = lambda c: F.transform(F.flatten(f"r.{c}") if isinstance(frames.schema[c].dataType, ArrayType) else f"r.{c}", lambda v: v.cast("double"))
     grouped = rows.groupBy("recording_id", "block_idx").agg(order.alias("r"), F.count_if("_own").alias("n")).where("n > 0")
-    return grouped.select("recording_id", "block_idx", F.get("r.frame_idx", F.lit(0)).cast("long").alias("first"), F.col("n").cast("long").alias("n"), *[F.transform(f"r.{c}", lambda v: v.cast("double")).alias(c) for c in columns])
+    return grouped.select("recording_id", "block_idx", F.get("r.frame_idx", F.lit(0)).cast("long").alias("first"), F.col("n").cast("long").alias("n"), F.size("r").alias("held"), *[values(c).alias(c) for c in columns])
 
 
 def map_frame_blocks(blocks: DataFrame, columns: list[str], after: int, block: int, step: Callable[[Block, dict], dict[str, np.ndarray]], out: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -178,14 +188,15 @@ def map_frame_blocks(blocks: DataFrame, columns: list[str], after: int, block: i
             kept = [dict(zip(keep, row, strict=True)) for row in zip(*(batch.column(c).to_pylist() for c in keep), strict=True)] if keep else [{}] * batch.num_rows
             found: dict[str, list] = {c: [] for c in names}
             places = (batch.column(c).to_pylist() for c in ("block_idx", "first", "n"))
+            lengths = batch.column("held").to_pylist()
             for i, (index, first, n) in enumerate(zip(*places, strict=True)):
                 own = {c: values[at[i] : at[i + 1]] for c, (values, at) in arrays.items()}
                 lo = index * block - first
-                held = len(next(iter(own.values())))
-                result = step(Block(index, first, own, slice(lo, lo + n), index == 0, held - lo - n < after or n < block), kept[i])
+                held = lengths[i]
+                result = step(Block(index, first, own, slice(lo, lo + n), index == 0, held - lo - n < after or n < block, held), kept[i])
                 for c in names:
                     found[c].append(np.asarray(result[c], float))
             yield pa.RecordBatch.from_arrays([batch.column("recording_id"), batch.column("block_idx"), *(array_column(found[c]) for c in names)], ["recording_id", "block_idx", *names])
 
     schema = ", ".join([f"recording_id {kind}", "block_idx long", *(f"{c} array<double>" for c in names)])
-    return blocks.select("recording_id", "block_idx", "first", "n", *columns, *keep).mapInArrow(run, schema)
+    return blocks.select("recording_id", "block_idx", "first", "n", "held", *columns, *keep).mapInArrow(run, schema)

@@ -114,6 +114,10 @@ def time_map(rates: np.ndarray, times: np.ndarray, n_frames: int, duration: floa
     return source, np.maximum(ratio, 0.1)
 
 
+#: Ratios that differ by no more than this share are rounding, not a change of pace.
+EQUAL_RATIOS = 1e-9
+
+
 def adaptive_smooth(mel: np.ndarray, ratios: np.ndarray, low: float = 0.3, high: float = 2.5, buckets: int = 4, fade: int = 4) -> np.ndarray:
     """Smooth (frames, bins) over time, more where the ratio is high, with cross-faded changes."""
     n = len(mel)
@@ -121,7 +125,7 @@ def adaptive_smooth(mel: np.ndarray, ratios: np.ndarray, low: float = 0.3, high:
     if n < 2 or high <= 0:
         return mel.copy()
     least, most = ratios.min(), ratios.max()
-    if most == least:
+    if most - least <= EQUAL_RATIOS * most:
         return gaussian(mel, max(low, 0.01))
     levels = np.linspace(low, high, buckets)
     sigma = low + (ratios - least) / (most - least) * (high - low)

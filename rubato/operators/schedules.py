@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAX_RATE, MIN_RATE
+from ..scratch import written
 from .frame_blocks import BLOCK_FRAMES, Block, blocks_of_frames, map_frame_blocks
 from .rates import check_speed
 from .signal import array_values
@@ -127,9 +128,9 @@ def schedule_long(scores: DataFrame, speed: float, sigma: float = 15.0, rise: fl
         ends = np.array([b.first + lo, b.own.start - lo, b.own.stop - b.own.start, b.at_start, b.at_end])
         return {"near": x, "x": x[b.own.start - lo : b.own.stop - lo], "dt": dt[b.own.start - lo : b.own.stop - lo], "t": t[b.own], "ends": ends}
 
-    raw = map_frame_blocks(base, ["t", "score"], reach, block, raw_rates, "near x dt t ends")
+    raw = written(map_frame_blocks(base, ["t", "score"], reach, block, raw_rates, "near x dt t ends"), "schedule-raw")
     first = clamps(bucketed(raw), speed, lambda x, dt, goal: first_clamps(x, dt, goal, gamma), STATE)
-    known = raw.join(first, "recording_id")
+    known = raw.join(written(first, "schedule-clamps"), "recording_id")
     names = [c.split()[0] for c in STATE.split(", ")]
 
     def lowest(x: np.ndarray, state: dict, start: int, own: slice) -> tuple[float, float]:
@@ -154,6 +155,7 @@ def schedule_long(scores: DataFrame, speed: float, sigma: float = 15.0, rise: fl
         return np.clip(smooth[lead - at : lead - at + n], MIN_RATE, MAX_RATE)
 
     last = _per_block(known.join(carried, ["recording_id", "block_idx"]), [*names, "carry"], eased, "x", ("dt", "t", "block_idx"))
+    last = written(last, "schedule-eased")
     end = clamps(bucketed(last), speed, lambda x, dt, goal: clamp_to_duration(1.0, MIN_RATE, MAX_RATE, x, dt, goal, 10, 2e-3), "a double, lo double, hi double")
     # the blocks may hold constant recordings too, whose clamp is null
     done = last.join(end, "recording_id").select("recording_id", (F.col("block_idx") * block).alias("_at"), F.posexplode(F.arrays_zip("t", "x")).alias("p", "r"), "a", "lo", "hi")

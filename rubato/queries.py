@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as s
-from .operators import chunks, evaluation, frame_blocks, importance, joins, rates, recurrences, schedules, signal, signal_blocks
+from .operators import chunks, evaluation, frame_blocks, importance, joins, rates, recurrences, schedules, signal, signal_blocks, stretch
 from .operators import windows as w
 from .plans.analysis import analyse, scored_events
 from .sources import audio
@@ -425,13 +425,42 @@ def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("recording_id", "n_frames", "duration", "frame_rate", "i", r6("p.times", "t"), F.round("p.scores", 5).alias("score"))
 
 
-@query()
+def _layer_sql(sigma: float) -> str:
+    """A bin's values ``m`` of n frames, smoothed."""
+    return _smooth_sql("m", sigma)
+
+
+@query(f"""WITH {MEL}, z AS (SELECT recording_id, count(*)::INT AS n FROM mel GROUP BY 1),
+  k AS (SELECT m.recording_id, frame_idx * 10.0 / (n - 1) AS t, 1 + 3 * abs(mel[1]) AS rate FROM mel m JOIN z USING (recording_id) WHERE frame_idx % 3 = 0),
+  q AS (SELECT m.recording_id, frame_idx, n, frame_idx * 10.0 / (n - 1) AS t FROM mel m JOIN z USING (recording_id)),
+  lo AS (SELECT q.*, k.t AS t0, k.rate AS v0 FROM q ASOF JOIN k ON q.recording_id = k.recording_id AND q.t >= k.t - 1e-12),
+  rt AS (SELECT lo.*, CASE WHEN k.t IS NULL OR k.t <= t0 THEN v0 ELSE v0 + (k.rate - v0) * ((lo.t - t0) / (k.t - t0)) END AS rate FROM lo ASOF LEFT JOIN k ON lo.recording_id = k.recording_id AND lo.t <= k.t + 1e-12),
+  o AS (SELECT recording_id, n, frame_idx, sum(CASE WHEN frame_idx = 0 THEN 0 ELSE 10.0 / (n - 1) / greatest(rate, 0.5) END) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS out FROM rt),
+  e AS (SELECT recording_id, n, max(out) AS last, greatest(1, floor(max(out) / (10.0 / n)))::INT AS m FROM o GROUP BY 1, 2),
+  g AS (SELECT recording_id, i::INT AS frame_idx, m, n, CASE WHEN m > 1 THEN i * last / (m - 1) ELSE 0 END AS t FROM e, LATERAL (SELECT unnest(range(m)) AS i)),
+  f AS (SELECT g.*, o.out AS t0, o.frame_idx AS s0 FROM g ASOF JOIN o ON g.recording_id = o.recording_id AND g.t >= o.out - 1e-12),
+  s AS (SELECT f.recording_id, f.frame_idx, f.m, f.n, CASE WHEN o.out IS NULL OR o.out <= t0 THEN s0 ELSE s0 + (o.frame_idx - s0) * ((f.t - t0) / (o.out - t0)) END AS src FROM f ASOF LEFT JOIN o ON f.recording_id = o.recording_id AND f.t <= o.out + 1e-12),
+  r AS (SELECT *, greatest(0.1, coalesce(CASE WHEN lag(src) OVER w IS NULL THEN lead(src) OVER w - src WHEN lead(src) OVER w IS NULL THEN src - lag(src) OVER w ELSE (lead(src) OVER w - lag(src) OVER w) / 2 END, 1)) AS ratio FROM s WINDOW w AS {ORDERED}),
+  b AS (SELECT recording_id, k AS bin, z.n, list(mel[k + 1] ORDER BY frame_idx) AS m FROM mel JOIN z USING (recording_id), range(64) x(k) GROUP BY 1, 2, 3),
+  sm AS (SELECT recording_id, bin, {_smooth_sql("m", 2.0)} AS x FROM b),
+  mv AS (SELECT r.recording_id, bin, r.m AS n, list(x[floor(src)::INT + 1] + (coalesce(x[floor(src)::INT + 2], x[floor(src)::INT + 1]) - x[floor(src)::INT + 1]) * (src - floor(src)) ORDER BY frame_idx) AS m FROM r JOIN sm USING (recording_id) GROUP BY 1, 2, 3),
+  ly AS (SELECT recording_id, bin, n, [{_layer_sql(0.3)}, {_layer_sql(0.3 + 2.2 / 3)}, {_layer_sql(0.3 + 4.4 / 3)}, {_layer_sql(2.5)}] AS layers FROM mv),
+  w AS (SELECT recording_id, list(frame_idx ORDER BY frame_idx) AS i, list(src ORDER BY frame_idx) AS src, list(ratio ORDER BY frame_idx) AS ratio, min(ratio) AS lo, max(ratio) AS hi FROM r GROUP BY 1),
+  c AS (SELECT *, list_transform(ratio, lambda v: round(least(greatest((v - lo) / (hi - lo) * 3 + 0.5 - 1e-12, 0), 3.4) - 0.5)::INT) AS ch FROM w),
+  d AS (SELECT c.recording_id, bin, n, layers, ch, src, ratio FROM c JOIN ly USING (recording_id)),
+  u AS (SELECT d.*, j, list_max(list_filter(range(greatest(0, j - 2), least(n - 1, j + 2)), lambda x: ch[x + 1] <> ch[x + 2])) AS cut FROM d, LATERAL (SELECT unnest(range(n)) AS j)),
+  y AS (SELECT *, greatest(0, cut - 1) AS a, least(n, cut + 3) AS z FROM u)
+  SELECT recording_id, j::INT AS frame_idx, bin::INT AS bin, round(src[j + 1], 5) AS src, round(ratio[j + 1], 5) AS ratio,
+    round(CASE WHEN cut IS NULL OR n <= 8 THEN layers[ch[j + 1] + 1][j + 1] ELSE layers[ch[cut + 1] + 1][j + 1] * (1 - (j - a) / (z - a - 1)::DOUBLE) + layers[ch[cut + 2] + 1][j + 1] * ((j - a) / (z - a - 1)::DOUBLE) END, 5) + 0.0::DOUBLE AS value FROM y""")
 def stretched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra over ten seconds, played at rates known for every third frame."""
     mel = mel_frames(spark, sf_dir)
-    schedule = rates.schedule_rates(analyse(mel, 10.0, 0.1), 2.0)
-    durations = mel.select("recording_id", F.lit(10.0).alias("duration")).distinct()
-    out = rates.stretch_frames(mel, schedule, durations)
-    return importance.hf_deemphasis(out).select("recording_id", "frame_idx", "mel")
+    sized = mel.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"))
+    knots = mel.where("frame_idx % 3 = 0").join(sized, "recording_id")
+    curve = knots.select("recording_id", s.grid_time(F.col("frame_idx"), F.col("n"), F.lit(10.0)).alias("t"), (1 + 3 * F.abs(F.get("mel", F.lit(0)))).alias("rate"))
+    out = stretch.stretch_frames(mel, curve, sized.select("recording_id", F.lit(10.0).alias("duration")))
+    rows = out.select("recording_id", "frame_idx", F.round("src", 5).alias("src"), F.round("ratio", 5).alias("ratio"), F.posexplode("mel").alias("bin", "value"))
+    return rows.withColumn("value", F.round("value", 5) + 0.0)
 
 
 HELD = 40
@@ -464,7 +493,7 @@ def _blocks(spark: SparkSession, sf_dir: str, shape=lambda v: v / 500 - 0.5) ->
 
 
 def _samples_of(blocks: DataFrame) -> DataFrame:
-    return chunks.samples_of(blocks).withColumn("value", F.round("value", 6))
+    return chunks.samples_of(blocks).withColumn("value", F.round("value", 6) + 0.0)  # no negative zeros
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,7 +511,7 @@ def _rows(df: DataFrame) -> DataFrame:
   c AS (SELECT *, coalesce(n = 21 AND med > 1e-10 AND energy > 5 * med, false) AS click FROM m),
   g AS (SELECT *, coalesce(lag(click) OVER o, false) AS after, coalesce(lead(click) OVER o, false) AS before FROM c WINDOW o AS (PARTITION BY recording_id ORDER BY f))
   SELECT s.recording_id, s.sample_idx, round(x * coalesce(least(CASE WHEN click THEN 0.5 ELSE 1 END, CASE WHEN after THEN 0.5 + 0.5 * (s.sample_idx % 48) / 47 ELSE 1 END,
-    CASE WHEN before THEN 1 - 0.5 * (s.sample_idx % 48) / 47 ELSE 1 END), 1), 6) AS value FROM samples s LEFT JOIN g ON g.recording_id = s.recording_id AND g.f = s.sample_idx // 48""")
+    CASE WHEN before THEN 1 - 0.5 * (s.sample_idx % 48) / 47 ELSE 1 END), 1), 6) + 0.0::DOUBLE AS value FROM samples s LEFT JOIN g ON g.recording_id = s.recording_id AND g.f = s.sample_idx // 48""")
 def declick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples_of(chunks.declick_blocks(_blocks(spark, sf_dir, _clicky), HELD_BLOCK))
 
@@ -653,7 +682,7 @@ _MEAN_SPECTRUM = """list_transform(range(33), lambda b: greatest(1e-10, list_avg
       WHEN f * 32 + i - 32 < n + 32 THEN x[2 * (n - 1) - (f * 32 + i - 32) + 1] ELSE 0 END, 0)) AS y FROM k, LATERAL (SELECT unnest(range((n + 31) // 32 + 1)) AS f)),
   o AS (SELECT recording_id, n, f, list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: y[j + 1] * kernel[(i - j + 64) % 64 + 1]))) AS z FROM f),
   p AS (SELECT recording_id, n, f * 32 + i - 32 AS sample_idx, z[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v, pow(0.5 - 0.5 * cos(2 * pi() * i / 64), 2) AS q FROM o, range(64) t(i))
-  SELECT recording_id, sample_idx::BIGINT AS sample_idx, round(sum(v) / greatest(sum(q), 1e-8), 6) AS value FROM p WHERE sample_idx BETWEEN 0 AND n - 1 GROUP BY 1, 2""")
+  SELECT recording_id, sample_idx::BIGINT AS sample_idx, round(sum(v) / greatest(sum(q), 1e-8), 6) + 0.0::DOUBLE AS value FROM p WHERE sample_idx BETWEEN 0 AND n - 1 GROUP BY 1, 2""")
 def match_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean spectrum of held values brought towards that of their sixth powers, in windows of 64."""
     return _samples_of(signal_blocks.match_tilt(_blocks(spark, sf_dir, _clicky), _blocks(spark, sf_dir), HELD_BLOCK, 64))
