@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.signal import array_column, array_values, fixed_length
+from ..operators.signal import array_column, array_values
 from . import wav_source
 from .wav_format import encode_values, mono, parse_header, written_header
 
@@ -169,21 +168,74 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
 
 
-def training_items(recordings: DataFrame, n_samples: int = 24_000, train: bool = True, seed: int = 0) -> DataFrame:
-    """(recording_id, samples) of ``n_samples`` each: peak at -3 dB, or from -6 to -1 drawn by id; repeated, or cut at a drawn place, to fit."""
-    kind = recordings.schema["recording_id"].dataType.simpleString()
+def drawn(seed: int, what: str) -> Column:
+    """A number in [0, 1) of each recording_id, from 52 bits of a digest, the same in every run."""
+    digest = F.md5(F.concat(F.lit(f"{seed}-{what}-"), F.col("recording_id").cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def crop_plan(sizes: DataFrame, n_samples: int, train: bool, seed: int) -> DataFrame:
+    """``sizes`` (recording_id, total, ...) with where each crop begins and the gain of its peak; recordings without samples are left out.
+
+    Gains are from -6 to -1 dB and places anywhere, both drawn by id, or -3 dB
+    and the beginning if not to ``train``.
+    """
+    known = sizes.where("recording_id is not null and total > 0")
+    spare = F.greatest(F.lit(1), F.col("total") - n_samples + 1)
+    start, db = (F.floor(drawn(seed, "place") * spare), -6 + 5 * drawn(seed, "gain")) if train else (F.lit(0), F.lit(-3.0))
+    return known.withColumn("start", start.cast("long")).withColumn("level", F.pow(F.lit(10.0), db / 20))
+
+
+def training_items(blocks: DataFrame, block: int, n_samples: int = 24_000, train: bool = True, seed: int = 0) -> DataFrame:
+    """(recording_id, samples) of ``n_samples`` each, from blocks: the recording's peak at the crop's gain; a short recording is repeated.
+
+    The place is drawn before any samples are put together, so only the blocks
+    that a crop reaches are joined.  A recording that is null, or has no
+    samples, gives no item.
+    """
+    from ..operators.chunks import chunk_samples
+
+    peak = F.max(F.array_max(F.transform("samples", F.abs)))
+    sizes = blocks.groupBy("recording_id").agg(F.sum(F.size("samples")).cast("long").alias("total"), peak.cast("double").alias("peak"))
+    plan = crop_plan(sizes, n_samples, train, seed)
+    end = F.least(F.col("start") + n_samples, F.col("total"))
+    scale = F.when(F.col("peak") > 0, F.col("level") / F.col("peak")).otherwise(F.lit(1.0))
+    crops = plan.select("recording_id", F.col("start").alias("start_sample"), end.alias("end_sample"), scale.alias("scale"))
+    found = chunk_samples(crops, blocks, block)
+    repeats = F.ceil(n_samples / F.size("samples")).cast("int")
+    filled = F.slice(F.flatten(F.array_repeat("samples", repeats)), 1, n_samples)
+    return found.select("recording_id", F.transform(filled, lambda v: v * F.col("scale")).alias("samples"))
+
+
+def read_training_items(spark: SparkSession, path: str, n_samples: int = 24_000, train: bool = True, seed: int = 0, peaks: DataFrame | None = None) -> DataFrame:
+    """The same from the WAV files under ``path``, at their own rates; of each file, its header and the crop's bytes are read.
+
+    ``peaks`` (path, peak) are the files' peaks, made once; without them a
+    crop's own peak counts.
+    """
+    heads = wav_headers(spark, path).select(F.col("path").alias("recording_id"), F.col("n_samples").alias("total"), "length")
+    plan = crop_plan(heads, n_samples, train, seed)
+    plan = plan.join(peaks.select(F.col("path").alias("recording_id"), F.col("peak").cast("double").alias("peak")), "recording_id", "left") if peaks is not None else plan.withColumn("peak", F.lit(None).cast("double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, at = array_values(batch.column("samples"))
-            out = []
-            for i, key in enumerate(batch.column("recording_id").to_pylist()):
-                x, draws = values[at[i] : at[i + 1]], np.random.default_rng([seed, zlib.crc32(str(key).encode())])
-                gain, start = (draws.uniform(-6, -1), int(draws.integers(0, max(1, len(x) - n_samples + 1)))) if train else (-3.0, 0)
-                out.append(fixed_length(x, n_samples, gain, start))
-            yield pa.RecordBatch.from_arrays([batch.column("recording_id"), array_column(out)], ["recording_id", "samples"])
-
-    return recordings.select("recording_id", "samples").mapInArrow(run, f"recording_id {kind}, samples array<double>")
+            for row in batch.to_pylist():
+                x = read_samples(row["recording_id"], row["length"], row["start"], n_samples)
+                peak = np.abs(x).max(initial=0) if row["peak"] is None else row["peak"]
+                out = np.resize(x, n_samples) * (row["level"] / peak if peak > 0 else 1.0)
+                yield pa.RecordBatch.from_arrays([pa.array([row["recording_id"]]), array_column([out])], ["recording_id", "samples"])
+
+    dealt = plan.select("recording_id", "length", "start", "level", "peak").repartition("recording_id")
+    return dealt.mapInArrow(run, "recording_id string, samples array<double>")
+
+
+def read_samples(path: str, length: int, start: int, n: int) -> np.ndarray:
+    """Up to ``n`` samples of a file from ``start`` on; nothing else of it is read but its header."""
+    system, inner = wav_source.file_system(path)
+    with system.open_input_file(inner) as f:
+        header = parse_header(lambda at, k: f.read_at(min(k, max(0, length - at)), at), length)
+        k = max(0, min(n, header.n_samples - start)) if header else 0
+        return mono(f.read_at(k * header.frame, header.begin + start * header.frame), header) if k else np.zeros(0)
 
 
 def analysis_documents(scores: DataFrame, resolution: float) -> DataFrame:

@@ -443,11 +443,50 @@ def test_training_items_and_file_lists(spark):
     with open(f"{folder}/list.txt", "w") as f:
         f.write("a.wav\n\n  b.wav \n   \n")
     assert [r.path for r in audio.read_file_list(spark, folder).collect()] == ["a.wav", "b.wav"]
-    recordings = spark.createDataFrame([(1, RNG.normal(size=6000).tolist()), (2, RNG.normal(size=48_000).tolist()), (3, [])], "recording_id int, samples array<double>")
+    values = {1: RNG.normal(size=6000), 2: RNG.normal(size=48_000), 4: np.zeros(100)}
+    recordings = as_blocks(spark, values, 1000).union(spark.createDataFrame([(3, 0, 0, []), (5, 0, 0, None), (None, 0, 0, [1.0])], "recording_id long, block_idx int, start_sample long, samples array<double>"))
     for train in (True, False):
-        rows = audio.training_items(recordings, 24_000, train).collect()
-        assert [len(r.samples) for r in rows] == [24_000] * 3
-        assert all(10 ** (-6.01 / 20) <= np.abs(r.samples).max() <= 10 ** (-0.99 / 20) for r in rows if r.recording_id == 1)
+        rows = {r.recording_id: np.array(r.samples) for r in audio.training_items(recordings, 1000, 24_000, train).collect()}
+        assert set(rows) == {1, 2, 4} and all(len(x) == 24_000 for x in rows.values()) and not rows[4].any()
+        assert 10 ** (-6.01 / 20) <= np.abs(rows[1]).max() <= 10 ** (-0.99 / 20) and np.array_equal(rows[1][:6000], rows[1][6000:12_000])
+        scale = rows[2][0] / values[2]
+        at = int(np.argmin(np.abs(np.abs(scale * np.abs(values[2]).max()) - 10 ** (-3 / 20)))) if not train else next(i for i in range(24_001) if np.allclose(values[2][i : i + 50] * (rows[2][0] / values[2][i]), rows[2][:50]))
+        assert np.allclose(rows[2], values[2][at : at + 24_000] * (rows[2][0] / values[2][at]))
+
+
+def test_training_items_of_files_read_their_bytes_alone(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    x = RNG.uniform(-1, 1, 2_000_000)
+    for name, n in (("long", len(x)), ("short", 500), ("empty", 0)):
+        with open(f"{folder}/{name}.wav", "wb") as f:
+            f.write(audio.encode_wav(x[:n], 24_000))
+    with open(f"{folder}/bad.wav", "wb") as f:
+        f.write(b"nothing")
+    found = {os.path.basename(r.recording_id): np.array(r.samples) for r in audio.read_training_items(spark, folder, 1000).collect()}
+    assert set(found) == {"long.wav", "short.wav"} and np.allclose(found["short.wav"][:500], found["short.wav"][500:])
+    read = []
+
+    class System:
+        def open_input_file(self, path):
+            f = audio.wav_source.fs.LocalFileSystem().open_input_file(path)
+
+            class File:
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *_):
+                    f.close()
+
+                def read_at(self, n, at):
+                    read.append(n)
+                    return f.read_at(n, at)
+
+            return File()
+
+    monkeypatch.setattr(audio.wav_source, "file_system", lambda path: (System(), path))
+    path = f"{folder}/long.wav"
+    assert np.allclose(audio.read_samples(path, os.path.getsize(path), 1_234_567, 1000), x[1_234_567:1_235_567], atol=1e-4)
+    assert sum(read) < 2 * 1000 + 3 * 4096
 
 
 def test_sliding_stream_gives_the_batch_result(spark, small_dir):
