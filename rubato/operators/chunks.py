@@ -228,6 +228,17 @@ def in_blocks(samples: DataFrame, block: int) -> DataFrame:
     return grouped.select("recording_id", "block_idx", (F.col("block_idx").cast("long") * block).alias("start_sample"), F.col("r.value").alias("samples"))
 
 
+def even_blocks(pieces: DataFrame, block: int) -> DataFrame:
+    """Blocks of ``block`` samples each but the last, from pieces (recording_id, start_sample, samples) of any length that cover a recording once."""
+    first, last = F.floor(F.col("start_sample") / block), F.floor((F.col("start_sample") + F.size("samples") - 1) / block)
+    cut = pieces.where(F.size("samples") > 0).select("recording_id", F.col("start_sample").cast("long").alias("at"), "samples", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("block_idx"))
+    lo = F.greatest(F.lit(0), F.col("block_idx").cast("long") * block - F.col("at"))
+    hi = F.least(F.size("samples").cast("long"), (F.col("block_idx").cast("long") + 1) * block - F.col("at"))
+    piece = F.struct((F.col("at") + lo).alias("at"), F.slice("samples", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("x"))
+    rows = cut.select("recording_id", "block_idx", piece.alias("p")).groupBy("recording_id", "block_idx").agg(F.sort_array(F.collect_list("p")).alias("r"))
+    return rows.select("recording_id", "block_idx", (F.col("block_idx").cast("long") * block).alias("start_sample"), F.flatten("r.x").alias("samples"))
+
+
 def samples_of(blocks: DataFrame) -> DataFrame:
     """(recording_id, sample_idx, value) rows of blocks."""
     return blocks.select("recording_id", "start_sample", F.posexplode("samples").alias("p", "value")).select("recording_id", (F.col("start_sample") + F.col("p")).alias("sample_idx"), "value")

@@ -377,6 +377,27 @@ def post_process(
     return dithered(blocks, block, sample_rate, level_db) if dither else blocks
 
 
+def soft_clip(blocks: DataFrame, targets: DataFrame) -> DataFrame:
+    """``windows.soft_clip`` of blocks, with a target RMS of each recording from (recording_id, target).
+
+    Three sums of a recording are joined back: its peak, and after the clipping
+    its mean square and peak.
+    """
+    of = lambda f: F.transform("samples", f)
+    peaks = blocks.groupBy("recording_id").agg(F.max(F.array_max(of(F.abs))).alias("_peak"))
+
+    def clip(x):
+        over = F.signum(x) * (0.8 + F.tanh((F.abs(x) - 0.8) / (F.col("_peak") - 0.8 + 1e-10)) * 0.2)
+        return F.when((F.col("_peak") > 0.8) & (F.abs(x) > 0.8), over).otherwise(x)
+
+    clipped = blocks.join(peaks, "recording_id").withColumn("samples", of(clip)).drop("_peak")
+    square = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)
+    sums = clipped.groupBy("recording_id").agg(F.sqrt(F.sum(square) / F.sum(F.size("samples"))).alias("rms"), F.max(F.array_max(of(F.abs))).alias("high")).join(targets, "recording_id")
+    scale = F.when((F.col("rms") > 0) & (F.col("target") > 0), F.col("target") / F.col("rms")).otherwise(F.lit(1.0))
+    held = F.when(F.col("high") * scale > 0.99, 0.99 / F.col("high")).otherwise(scale)
+    return clipped.join(sums.select("recording_id", held.alias("_scale")), "recording_id").withColumn("samples", of(lambda v: v * F.col("_scale"))).drop("_scale")
+
+
 def prosodic_frames(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_RATE, window_ms: float = 20.0) -> DataFrame:
     """(recording_id, frame_idx, rms) of every full window; ``block`` is a whole number of them."""
     hop = int(sample_rate * window_ms / 1000)

@@ -57,6 +57,44 @@ def smoothed_frames(mel: DataFrame, sigma: float, block: int = BLOCK_FRAMES) ->
     return as_frames(map_frame_blocks(blocks_of_frames(mel, ["mel"], reach, reach, block), ["mel"], reach, block, step, "mel"), mel, block)
 
 
+def mirrored_frames(mel: DataFrame, sigma: float, block: int = BLOCK_FRAMES) -> DataFrame:
+    """(recording_id, frame_idx, mel) as of ``signal.smoothed_frames``: a Gaussian of the odd width at or after 6 sigma, ends reflected without repeat."""
+    half = (int(6 * sigma + 1) | 1) // 2
+    if sigma <= 0 or not half:
+        return mel.select("recording_id", "frame_idx", "mel")
+    weights = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    weights /= weights.sum()
+
+    def step(b: Block, _: dict) -> dict[str, np.ndarray]:
+        x, n = rows_of(b), b.held
+        if b.at_start and b.at_end:
+            if n < 2:
+                return {"mel": x.ravel()}
+            at = np.abs(np.arange(-half, n + half)) % (2 * (n - 1))
+            padded, lo = x[np.minimum(at, 2 * (n - 1) - at)], 0
+        else:
+            padded = np.concatenate([x[half:0:-1] if b.at_start else x[:0], x, x[-2 : -half - 2 : -1] if b.at_end else x[:0]])
+            lo = 0 if b.at_start else half
+        smooth = np.tensordot(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1, axis=0), weights, ([-1], [0]))
+        return {"mel": smooth[b.own.start - lo : b.own.stop - lo].ravel()}
+
+    # one frame more is lent, as a reflection leaves out the last
+    return as_frames(map_frame_blocks(blocks_of_frames(mel, ["mel"], half + 1, half + 1, block), ["mel"], half + 1, block, step, "mel"), mel, block)
+
+
+def resample_roundtrip(mel: DataFrame, rate: float, sigma: float = 0.0, block: int = BLOCK_FRAMES) -> DataFrame:
+    """(recording_id, frame_idx, mel): smoothed, then down to ``round(n / rate)`` frames and back up, linearly."""
+    sizes = mel.groupBy("recording_id").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("short", F.greatest(F.lit(1), F.rint(F.col("n") / rate)).cast("int"))
+
+    def grid(have: str, want: str) -> DataFrame:
+        i = sizes.withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.col(want) - 1)))
+        src = F.when(F.col(want) > 1, F.col("frame_idx") * (F.col(have) - 1) / (F.col(want) - 1)).otherwise(F.lit(0.0))
+        return i.select("recording_id", "frame_idx", src.alias("src"))
+
+    down = index_interpolate(mirrored_frames(mel, sigma, block), grid("n", "short")).drop("src")
+    return index_interpolate(written(down, "roundtrip"), grid("short", "n")).drop("src")
+
+
 def rows_of(b: Block) -> np.ndarray:
     return b.columns["mel"].reshape(b.held, -1)
 

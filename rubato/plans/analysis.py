@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import grid_time
-from ..operators.importance import mel_importance
+from ..operators import chunks, signal_blocks
+from ..operators.importance import codec_importance, mel_importance
 from ..operators.joins import interpolate_at, resample_importance
+from ..operators.rates import check_speed
+from ..operators.schedules import schedule_long
+from ..operators.signal import SAMPLE_RATE
 from ..operators.windows import frames_from_events, normalised
+from ..scratch import written
 
 
 def scored_events(events: DataFrame) -> DataFrame:
@@ -16,15 +21,64 @@ def scored_events(events: DataFrame) -> DataFrame:
     return frames_from_events(events).withColumn("score", normalised(F.col("value")))
 
 
-def analyse(mel: DataFrame, duration: float, resolution: float, floors: DataFrame | None = None) -> DataFrame:
+def held_up(scores: DataFrame, floors: DataFrame) -> DataFrame:
+    """``scores`` (recording_id, frame_idx, t, score), no lower than ``floors`` (recording_id, t, floor) between their knots."""
+    held = interpolate_at(floors, scores, "floor").select("recording_id", "frame_idx", "floor")
+    return scores.join(held, ["recording_id", "frame_idx"], "left").withColumn("score", F.greatest("score", "floor")).drop("floor")
+
+
+def on_grid(scores: DataFrame, resolution: float) -> DataFrame:
+    return resample_importance(scores.withColumnRenamed("score", "value"), resolution).withColumnRenamed("value", "score")
+
+
+def analyse(mel: DataFrame, duration: float | DataFrame, resolution: float, floors: DataFrame | None = None) -> DataFrame:
     """Mel importance on a grid of ``resolution`` seconds: (recording_id, frame_idx, t, score).
 
-    ``floors`` (recording_id, t, floor), if given, are interpolated and hold
-    the scores up, before they are put on the grid.
+    ``duration`` is that of all recordings, or a table (recording_id,
+    duration).  ``floors`` (recording_id, t, floor), if given, are interpolated
+    and hold the scores up, before they are put on the grid.
     """
-    whole = Window.partitionBy("recording_id")
-    scores = mel_importance(mel).withColumn("t", grid_time(F.col("frame_idx"), F.count(F.lit(1)).over(whole), F.lit(duration)))
-    if floors is not None:
-        held = interpolate_at(floors, scores, "floor").select("recording_id", "frame_idx", "floor")
-        scores = scores.join(held, ["recording_id", "frame_idx"], "left").withColumn("score", F.greatest("score", "floor")).drop("floor")
-    return resample_importance(scores.withColumnRenamed("score", "value"), resolution).withColumnRenamed("value", "score")
+    return on_grid(_scored(mel_importance(mel), duration, floors), resolution)
+
+
+def _scored(scores: DataFrame, duration: float | DataFrame, floors: DataFrame | None) -> DataFrame:
+    n = F.count(F.lit(1)).over(Window.partitionBy("recording_id"))
+    known = scores.withColumn("_d", F.lit(duration)) if isinstance(duration, float) else scores.join(duration.withColumnRenamed("duration", "_d"), "recording_id")
+    timed = known.withColumn("t", grid_time(F.col("frame_idx"), n, F.col("_d"))).select("recording_id", "frame_idx", "t", "score")
+    return timed if floors is None else held_up(timed, floors)
+
+
+def analyse_codes(codes: DataFrame, resolution: float, frame_rate: float = 12.5, floors: DataFrame | None = None) -> DataFrame:
+    """Codec importance on a grid, from (recording_id, frame_idx, cb, rms) at ``frame_rate``; the end of the last frame's time is left out."""
+    scores = codec_importance(codes).withColumn("t", F.col("frame_idx") / frame_rate).select("recording_id", "frame_idx", "t", "score")
+    return on_grid(scores if floors is None else held_up(scores, floors), resolution)
+
+
+def accelerate(
+    blocks: DataFrame, speed: float, block: int, sample_rate: int = SAMPLE_RATE, step=chunks.play_at_rates, noise: str | None = "gate", resolution: float = 0.02, uniform: bool = False,
+    prosody: bool = True, gamma: float = 1.5, floors: DataFrame | None = None, tilt_fft: int = 2048, chunk_seconds: float = 300.0, overlap_seconds: float = 1.0, declick: bool = True, with_room: bool = True, dither: bool = True,
+) -> DataFrame:
+    """Recordings played ``speed`` times as fast, less where they matter: blocks in, blocks out.
+
+    Noise is taken off; the mel spectra's importance, held up by ``floors`` and
+    lowered by the loudness contour, becomes rates that meet the duration;
+    chunks are played at them by ``step`` (samples, times, rates, sample rate),
+    and put together; the mean spectrum is brought back to the clean one's, the
+    loudness to the input's; then the finish.  With ``uniform`` the rate is
+    constant and nothing is analysed.
+    """
+    check_speed(speed)
+    rms = F.sqrt(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)) / F.sum(F.size("samples")))
+    targets = blocks.groupBy("recording_id").agg(rms.alias("target"))
+    clean = written(signal_blocks.denoise(blocks, block, noise), "clean")
+    rates = None
+    if not uniform:
+        durations = clean.groupBy("recording_id").agg((F.sum(F.size("samples")) / sample_rate).alias("duration"))
+        scores = analyse(signal_blocks.mel_frames(clean, block, sample_rate), durations, resolution, floors)
+        if prosody:
+            scores = signal_blocks.prosodic_modulation(scores, signal_blocks.prosodic_envelope(clean, block, sample_rate))
+        rates = schedule_long(written(scores, "scores"), speed, gamma=gamma).select("recording_id", "t", "rate")
+    played = chunks.process_chunked(clean, speed, sample_rate, block, lambda x, t, r: step(x, t, r, sample_rate), chunk_seconds, overlap_seconds, rates)
+    even = written(chunks.even_blocks(played, block), "played")
+    tilted = signal_blocks.match_tilt(clean, even, block, tilt_fft)
+    return signal_blocks.post_process(signal_blocks.soft_clip(tilted, targets), block, sample_rate, declick, with_room, dither)

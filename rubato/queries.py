@@ -496,12 +496,6 @@ def _samples_of(blocks: DataFrame) -> DataFrame:
     return chunks.samples_of(blocks).withColumn("value", F.round("value", 6) + 0.0)  # no negative zeros
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as one row per recording."""
-    arrays = w.to_arrays(frames(spark, sf_dir), "value")
-    return arrays.select("recording_id", F.flatten(F.transform("value", lambda v: F.array_repeat(v / 500 - 0.5, HELD))).alias("samples"))
-
-
 def _rows(df: DataFrame) -> DataFrame:
     return df.select("recording_id", F.posexplode("samples").alias("sample_idx", "value")).withColumn("value", F.round("value", 6))
 
@@ -629,12 +623,18 @@ def polar_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.select("recording_id", "frame_idx", "bin", r6(re, "re"), r6(im, "im"))
 
 
-@query()
+_MIRRORED_SQL = "list_transform(range(0, n), lambda i: list_sum(list_transform(range(-6, 7), lambda d: exp(-(d * d) / 8.0) * m[1 + least(abs(i + d) % (2 * (n - 1)), 2 * (n - 1) - abs(i + d) % (2 * (n - 1)))])) / list_sum(list_transform(range(-6, 7), lambda d: exp(-(d * d) / 8.0))))"
+_AT_SQL = "{x}[floor({src})::INT + 1] + (coalesce({x}[floor({src})::INT + 2], {x}[floor({src})::INT + 1]) - {x}[floor({src})::INT + 1]) * ({src} - floor({src}))"
+
+
+@query(f"""WITH {MEL}, b AS (SELECT recording_id, k AS bin, count(*)::INT AS n, list(mel[k + 1] ORDER BY frame_idx) AS m FROM mel, range(64) x(k) GROUP BY 1, 2),
+  s AS (SELECT recording_id, bin, n, greatest(1, round_even(n / 3.0, 0))::INT AS short, {_MIRRORED_SQL} AS x FROM b),
+  d AS (SELECT *, list_transform(range(short), lambda i: {_AT_SQL.format(x="x", src="(CASE WHEN short > 1 THEN i * (n - 1) / (short - 1)::DOUBLE ELSE 0 END)")}) AS y FROM s)
+  SELECT recording_id, j::INT AS frame_idx, bin::INT AS bin, round({_AT_SQL.format(x="y", src="(j * (short - 1) / (n - 1)::DOUBLE)")}, 5) + 0.0::DOUBLE AS value FROM d, LATERAL (SELECT unnest(range(n)) AS j)""")
 def resample_roundtrips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra down to a third of their frames and back."""
-    arrays = mel_frames(spark, sf_dir).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "mel"))).alias("r"))
-    out = signal.per_recording(arrays.select("recording_id", F.flatten("r.mel").alias("samples")), lambda x: signal.resample_roundtrip(x.reshape(-1, 64), 3.0, 2.0).ravel())
-    return _rows(out)
+    out = stretch.resample_roundtrip(mel_frames(spark, sf_dir), 3.0, 2.0)
+    return out.select("recording_id", "frame_idx", F.posexplode("mel").alias("bin", "value")).withColumn("value", F.round("value", 5) + 0.0)
 
 
 _DRAWN = "(('0x' || substr(md5('1-{what}-' || recording_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from rubato.operators import rates, stretch
+from rubato.operators import rates, signal, stretch
 
 RNG = np.random.default_rng(31)
 
@@ -37,3 +37,17 @@ def test_recordings_without_rates_have_no_frames(recordings):
     mel, curve, durations = recordings
     found = rows(stretch.stretch_frames(mel, curve.where("recording_id = 3"), durations, block=32))
     assert {k for k, _ in found} == {3}
+
+
+@pytest.mark.parametrize(("rate", "sigma"), [(3.0, 2.0), (1.7, 0.0)])
+def test_round_trips_equal_whole_ones(recordings, spark, rate, sigma):
+    mel = recordings[0].union(spark.createDataFrame([(99, 0, [1.0] * 5)], recordings[0].schema))
+    found: dict = {}
+    for r in stretch.resample_roundtrip(mel, rate, sigma, block=32).collect():
+        found.setdefault(r.recording_id, {})[r.frame_idx] = r.mel
+    whole: dict = {}
+    for r in mel.collect():
+        whole.setdefault(r.recording_id, {})[r.frame_idx] = r.mel
+    for k, rows_ in whole.items():
+        want = signal.resample_roundtrip(np.array([rows_[i] for i in range(len(rows_))]), rate, sigma)
+        assert np.allclose([found[k][i] for i in range(len(want))], want), k
