@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import dealt, written
 from .joins import interpolate_at
 from .signal import array_column, array_values, convolve, declick, room_response
 
@@ -265,7 +266,7 @@ def with_halo(blocks: DataFrame, before: int, after: int, keep: tuple[str, ...]
     own = piece(i, **{c: F.col(c) for c in ("start_sample", "samples", *keep)})
     lent = doubles.select("recording_id", F.explode(F.array(own, piece(i + 1, left=tail), piece(i - 1, right=head))).alias("p")).select("recording_id", "p.*")
     one = [F.first(c, ignorenulls=True).alias(c) for c in names]
-    return lent.groupBy("recording_id", "block_idx").agg(*one).where("samples is not null")
+    return dealt(lent, "recording_id", "block_idx").groupBy("recording_id", "block_idx").agg(*one).where("samples is not null")
 
 
 #: Samples that a task works through before it sends a record batch on.
@@ -328,7 +329,11 @@ def room_blocks(blocks: DataFrame, block: int, sample_rate: int = 24_000, rt60_m
     response = room_response(sample_rate, rt60_ms)
     if len(response) - 1 > block:
         raise ValueError("a block has to be as long as the room's response")
-    wet = map_blocks(blocks, len(response) - 1, 0, lambda x, a, z: convolve(x, response)[a:])
-    peak = lambda df, name: df.groupBy("recording_id").agg(F.max(F.array_max(F.transform("samples", F.abs))).alias(name))
-    gains = peak(blocks, "dry").join(peak(wet, "wet"), "recording_id").select("recording_id", ((F.col("dry") + 1e-10) / (F.col("wet") + 1e-10)).alias("gain"))
+
+    def step(x: np.ndarray, a: int, z: int, start: int) -> tuple[np.ndarray, float, float]:
+        wet = convolve(x, response)[a:]
+        return wet, float(np.abs(x[a:]).max(initial=0)), float(np.abs(wet).max(initial=0))
+
+    wet = written(over_blocks(blocks, len(response) - 1, 0, step, "samples array<double>, dry double, wet double"), "room")
+    gains = wet.groupBy("recording_id").agg(((F.max("dry") + 1e-10) / (F.max("wet") + 1e-10)).alias("gain"))
     return wet.join(gains, "recording_id").select("recording_id", "block_idx", "start_sample", F.transform("samples", lambda v: v * F.col("gain")).alias("samples"))

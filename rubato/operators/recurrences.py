@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .frame_blocks import BLOCK_FRAMES, blocks_of_frames
 from .signal import array_column, array_values
 from .signal_blocks import run_section
@@ -140,7 +141,7 @@ def zero_phase(frames: DataFrame, column: str, sections: np.ndarray, block: int
             begin = run_section(after, section, steady_state(section, after[0]))[1]
         return y, run_section(y[::-1], section, np.zeros(2))[1], begin
 
-    there = _over(forwards, (column, "state"), ("block_idx", "first", "n", "last"), ahead, ("y", "v", "begin"), (*ids, "n", "total", column, "first"))
+    there = written(_over(forwards, (column, "state"), ("block_idx", "first", "n", "last"), ahead, ("y", "v", "begin"), (*ids, "n", "total", column, "first")), "forwards")
     back = there.join(carried_states(there.select(*ids, "n", "v", "begin"), section, True), [*ids])
 
     def home(y: np.ndarray, state: np.ndarray, x: np.ndarray, index: int, first: int, n: int, total: int) -> tuple[np.ndarray]:

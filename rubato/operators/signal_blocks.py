@@ -12,12 +12,14 @@ depends on them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import dealt, written
 from .chunks import declick_blocks, over_blocks, room_blocks
 from .frame_blocks import near_windows
 from .rates import gaussian
@@ -242,7 +244,8 @@ def spectral_gate(blocks: DataFrame, block: int, share: float = 0.12, deep: bool
         return first, (magnitude**2).mean(axis=1)
 
     rows = over_blocks(blocks, half, half, powers, "first long, power array<double>").select("recording_id", "first", F.posexplode("power").alias("p", "power"))
-    edges = quietest(rows.select("recording_id", (F.col("first") + F.col("p")).alias("frame_idx"), "power"), share)
+    powers_of_frames = written(rows.select("recording_id", (F.col("first") + F.col("p")).alias("frame_idx"), "power"), "frame-powers")
+    edges = written(quietest(powers_of_frames, share), "quiet-frames")
 
     def quiet(x: np.ndarray, a: int, z: int, start: int, power: float, frame_idx: int) -> tuple[np.ndarray]:
         first, magnitude = covering_frames(x, a, z, start)
@@ -318,8 +321,8 @@ def noise_blocks(sizes: DataFrame, block: int, sample_rate: int = SAMPLE_RATE) -
                     sums = [pa.array([v], t) for v, t in ((len(x), pa.int64()), (x.sum(), pa.float64()), ((x * x).sum(), pa.float64()))]
                     yield pa.RecordBatch.from_arrays([batch.column("recording_id").slice(i, 1), pa.array([k], pa.int32()), array_column([x]), *sums], ["recording_id", "block_idx", "noise", "n", "total", "square"])
 
-    dealt = sizes.select("recording_id", F.col("n_samples").cast("long").alias("n_samples")).repartition("recording_id")
-    return dealt.mapInArrow(run, f"recording_id {kind}, block_idx int, noise array<double>, n long, total double, square double")
+    own = dealt(sizes.select("recording_id", F.col("n_samples").cast("long").alias("n_samples")), "recording_id")
+    return own.mapInArrow(run, f"recording_id {kind}, block_idx int, noise array<double>, n long, total double, square double")
 
 
 def run_section(x: np.ndarray, section: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,7 +338,7 @@ def run_section(x: np.ndarray, section: np.ndarray, state: np.ndarray) -> tuple[
     b0, b1, b2, a1, a2 = section
     response, _ = section_responses(*section.tolist())
     y = convolve(x, response[: len(x)])
-    ring = ringing(section, len(x))
+    ring = ringing(float(a1), float(a2))[: len(x)]
     y[: len(ring)] += ring @ state
     # in transposed form: z2 = b2 x - a2 y, z1 = b1 x - a1 y + the z2 before
     z2 = b2 * x[-1] - a2 * y[-1]
@@ -343,14 +346,13 @@ def run_section(x: np.ndarray, section: np.ndarray, state: np.ndarray) -> tuple[
     return y, np.array([b1 * x[-1] - a1 * y[-1] + before, z2])
 
 
-def ringing(section: np.ndarray, most: int) -> np.ndarray:
+@lru_cache(64)
+def ringing(a1: float, a2: float) -> np.ndarray:
     """(values, 2): what each number of a state adds to the outputs that follow, until it has died away."""
-    _, _, _, a1, a2 = section
     state, out = np.eye(2), []
-    while len(out) < most and np.abs(state).max() > 1e-19:
-        y = state[0]
-        out.append(y)
-        state = np.stack([state[1] - a1 * y, -a2 * y])
+    while np.abs(state).max() > 1e-19:
+        out.append(state[0])
+        state = np.stack([state[1] - a1 * state[0], -a2 * state[0]])
     return np.array(out).reshape(-1, 2)
 
 
@@ -374,6 +376,8 @@ def post_process(
         blocks = declick_blocks(blocks, block, sample_rate, threshold)
     if with_room:
         blocks = room_blocks(blocks, block, sample_rate, rt60_ms)
+    elif clicks and dither:
+        blocks = written(blocks, "declicked")
     return dithered(blocks, block, sample_rate, level_db) if dither else blocks
 
 
@@ -415,10 +419,10 @@ def prosodic_envelope(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_R
     """(recording_id, frame_idx, t, value): ``signal.prosodic_envelope``, a slow loudness contour in [0, 1]."""
     from .recurrences import zero_phase
 
-    frames = prosodic_frames(blocks, block, sample_rate, window_ms)
+    frames = written(prosodic_frames(blocks, block, sample_rate, window_ms), "loudness")
     hop = int(sample_rate * window_ms / 1000)
     slow = zero_phase(frames, "rms", lowpass_sections(2, cutoff_hz / (sample_rate / hop / 2)))
-    held = slow.withColumn("rms", F.greatest("rms", F.lit(0.0)))
+    held = written(slow.withColumn("rms", F.greatest("rms", F.lit(0.0))), "contour")
     most = held.groupBy("recording_id").agg(F.max("rms").alias("most"))
     share = F.when(F.col("most") > 0, F.col("rms") / F.col("most")).otherwise(F.col("rms"))
     return held.join(most, "recording_id").select("recording_id", "frame_idx", (F.col("frame_idx") * (window_ms / 1000)).alias("t"), share.alias("value"))

@@ -80,5 +80,5 @@ def accelerate(
         rates = schedule_long(written(scores, "scores"), speed, gamma=gamma).select("recording_id", "t", "rate")
     played = chunks.process_chunked(clean, speed, sample_rate, block, lambda x, t, r: step(x, t, r, sample_rate), chunk_seconds, overlap_seconds, rates)
     even = written(chunks.even_blocks(played, block), "played")
-    tilted = signal_blocks.match_tilt(clean, even, block, tilt_fft)
+    tilted = written(signal_blocks.match_tilt(clean, even, block, tilt_fft), "tilted")
     return signal_blocks.post_process(signal_blocks.soft_clip(tilted, targets), block, sample_rate, declick, with_room, dither)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .functions import scalars as s
 from .operators import chunks, evaluation, frame_blocks, importance, joins, rates, recurrences, schedules, signal, signal_blocks, stretch
 from .operators import windows as w
-from .plans.analysis import analyse, scored_events
+from .plans.analysis import accelerate, analyse, held_up, scored_events
+from .scratch import dealt
 from .sources import audio
 from .sources.audio import analysis_documents
 from .streaming.tumbling import tumbling_energy
@@ -262,7 +263,7 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SCORED}, c AS (SELECT recording_id, i AS index, greatest(0, i * 86400 - 7200) AS a, least(i * 86400 + 93600, ceil(d)) AS b
     FROM (SELECT recording_id, max(t) AS d FROM frames GROUP BY 1), LATERAL (SELECT unnest(range(greatest(1, ceil(ceil(d) / 86400)::INT))) AS i))
-  SELECT c.recording_id, index::INT AS index, round(t - a, 4) AS t, round(1 + (1 - score) * 9, 6) AS rate FROM c JOIN scored s ON s.recording_id = c.recording_id AND t BETWEEN a AND b""")
+  SELECT c.recording_id, index::INT AS index, round(t - a, 6) AS t, round(1 + (1 - score) * 9, 6) AS rate FROM c JOIN scored s ON s.recording_id = c.recording_id AND t BETWEEN a AND b""")
 def chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rates(spark, sf_dir, chunks.points_in_chunks)
 
@@ -274,8 +275,8 @@ def chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
       max(t) FILTER (t <= (a + b) / 2) AS t0, max_by(rate, {{'t': t, 'r': rate}}) FILTER (t <= (a + b) / 2) AS r0,
       min(t) FILTER (t > (a + b) / 2) AS t1, min_by(rate, {{'t': t, 'r': rate}}) FILTER (t > (a + b) / 2) AS r1
     FROM c JOIN r ON r.recording_id = c.recording_id GROUP BY ALL)
-  SELECT k.recording_id, index::INT AS index, round(t - a, 4) AS t, round(rate, 6) AS rate FROM k JOIN r ON r.recording_id = k.recording_id AND t BETWEEN a AND b
-  UNION ALL SELECT recording_id, index::INT, round(t, 4), round(CASE WHEN t0 IS NULL THEN r1 WHEN t1 IS NULL THEN r0 ELSE r0 + (r1 - r0) * (m - t0) / (t1 - t0) END, 6)
+  SELECT k.recording_id, index::INT AS index, round(t - a, 6) AS t, round(rate, 6) AS rate FROM k JOIN r ON r.recording_id = k.recording_id AND t BETWEEN a AND b
+  UNION ALL SELECT recording_id, index::INT, round(t, 6), round(CASE WHEN t0 IS NULL THEN r1 WHEN t1 IS NULL THEN r0 ELSE r0 + (r1 - r0) * (m - t0) / (t1 - t0) END, 6)
     FROM k, LATERAL (SELECT unnest([0, b - a]) AS t) WHERE n = 0""")
 def chunk_rates_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rates(spark, sf_dir, chunks.rates_in_chunks)
@@ -285,7 +286,7 @@ def _chunk_rates(spark: SparkSession, sf_dir: str, within) -> DataFrame:
     scored = scored_events(read(spark, sf_dir, "events"))
     sizes = scored.groupBy("recording_id").agg(F.ceil(F.max("t")).alias("n_samples"))
     found = within(chunks.plan_chunks(sizes, 86_400, 7_200), scored.withColumn("rate", s.importance_to_rate(F.col("score"))), 1.0, 86_400)
-    return found.select("recording_id", "index", F.round("t", 4).alias("t"), r6("rate", "rate"))
+    return found.select("recording_id", "index", r6("t", "t"), r6("rate", "rate"))
 
 
 _HANN64 = [0.5 - 0.5 * math.cos(2 * math.pi * i / 64) for i in range(64)]
@@ -386,15 +387,19 @@ def matching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.first_matches(stems.where("doc_id % 3 = 0"), stems.where("doc_id % 3 = 1"))
 
 
-@query("""SELECT speed, gamma, speed || 'x-' || gamma AS name, CASE WHEN step < 1000 THEN 0.15 WHEN step < 3000 THEN 0.15 + (step - 1000) / 2000.0 * 0.10 ELSE 0.25 END::DOUBLE AS ratio,
-  res, CASE res WHEN '20ms' THEN 0.02 WHEN '1s' THEN 1.0 ELSE 0.05 END::DOUBLE AS seconds
-  FROM (VALUES ('2.0'), ('3.0'), ('4.0')) a(speed), (VALUES ('1.0'), ('1.5')) b(gamma), (VALUES (0), (2000), (5000)) c(step), (VALUES ('20ms'), ('1s'), (' 50 ')) d(res)""")
+@query("""WITH a AS (SELECT DISTINCT (2 + quality)::VARCHAR || '.0' AS speed FROM labels WHERE quality IS NOT NULL), b AS (SELECT DISTINCT CASE WHEN toxic = 1 THEN '1.5' ELSE '1.0' END AS gamma FROM labels),
+  c AS (SELECT DISTINCT (turn * 700)::INT AS step FROM conversations), d AS (SELECT DISTINCT CASE label % 3 WHEN 0 THEN '20ms' WHEN 1 THEN '1s' ELSE ' 50 ' END AS res FROM embeddings)
+  SELECT speed, gamma, speed || 'x-' || gamma AS name, step, CASE WHEN step < 1000 THEN 0.15 WHEN step < 3000 THEN 0.15 + (step - 1000) / 2000.0 * 0.10 ELSE 0.25 END::DOUBLE AS ratio,
+  res, CASE res WHEN '20ms' THEN 0.02 WHEN '1s' THEN 1.0 ELSE 0.05 END::DOUBLE AS seconds FROM a, b, c, d""")
 def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = lambda values, name: spark.createDataFrame([(v,) for v in values], name)
-    grid = joins.config_grid(axis(["2.0", "3.0", "4.0"], "speed string"), axis(["1.0", "1.5"], "gamma string"), axis([0, 2000, 5000], "step int"), axis(["20ms", "1s", " 50 "], "res string"))
-    return grid.select(
-        "speed", "gamma", F.concat("speed", F.lit("x-"), "gamma").alias("name"), s.augmentation_ratio(F.col("step")).alias("ratio"), "res", s.parse_resolution(F.col("res")).alias("seconds")
-    )
+    """All combinations of the settings that occur in the tables, a few of each kind."""
+    labels, label = read(spark, sf_dir, "labels"), F.col("label") % 3
+    speed = labels.where("quality is not null").select(F.concat((F.col("quality") + 2).cast("int").cast("string"), F.lit(".0")).alias("speed")).distinct()
+    gamma = labels.select(F.when(F.col("toxic") == 1, "1.5").otherwise("1.0").alias("gamma")).distinct()
+    step = read(spark, sf_dir, "conversations").select((F.col("turn") * 700).cast("int").alias("step")).distinct()
+    res = read(spark, sf_dir, "embeddings").select(F.when(label == 0, "20ms").when(label == 1, "1s").otherwise(" 50 ").alias("res")).distinct()
+    grid = joins.config_grid(speed, gamma, step, res)
+    return grid.select("speed", "gamma", F.concat("speed", F.lit("x-"), "gamma").alias("name"), "step", s.augmentation_ratio(F.col("step")).alias("ratio"), "res", s.parse_resolution(F.col("res")).alias("seconds"))
 
 
 @query("""SELECT start, user_id AS recording_id, round(sum(value * value), 4) AS power, count(*) AS n
@@ -463,6 +468,22 @@ def stretched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", F.round("value", 5) + 0.0)
 
 
+@query(f"""WITH {MEL}, {_MEL_SCORES}, s AS (SELECT recording_id, frame_idx, (blend - min(blend) OVER r) / (max(blend) OVER r - min(blend) OVER r) AS v, count(*) OVER r AS n FROM x WINDOW r AS (PARTITION BY recording_id)),
+  fl AS (SELECT label AS recording_id, vec_id % 8 AS i, max(abs(embedding[2]::DOUBLE)) AS floor FROM embeddings GROUP BY 1, 2), k AS (SELECT recording_id, i * 10.0 / 7 AS t, floor FROM fl),
+  q AS (SELECT recording_id, frame_idx, v, frame_idx * 10.0 / (n - 1) AS t FROM s),
+  l AS (SELECT q.*, k.t AS t0, k.floor AS f0 FROM q ASOF JOIN k ON q.recording_id = k.recording_id AND q.t >= k.t - 1e-12),
+  m AS (SELECT l.*, CASE WHEN k.t IS NULL OR k.t <= t0 THEN f0 ELSE f0 + (k.floor - f0) * ((l.t - t0) / (k.t - t0)) END AS floor FROM l ASOF LEFT JOIN k ON l.recording_id = k.recording_id AND l.t <= k.t + 1e-12)
+  SELECT recording_id, frame_idx::INT AS frame_idx, round(t, 6)::DOUBLE AS t, round(greatest(v, floor), 6)::DOUBLE AS score FROM m""")
+def scores_above_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectral importance, held up by floors at eight times of each recording."""
+    at = (F.col("vec_id") % 8).alias("i")
+    knots = read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("recording_id"), at).agg(F.max(F.abs(F.get("embedding", F.lit(1)).cast("double"))).alias("floor"))
+    floors = knots.select("recording_id", (F.col("i") * 10.0 / 7).alias("t"), "floor")
+    n = F.count(F.lit(1)).over(Window.partitionBy("recording_id"))
+    scores = importance.mel_importance(mel_frames(spark, sf_dir)).withColumn("t", s.grid_time(F.col("frame_idx"), n, F.lit(10.0)))
+    return held_up(scores, floors).select("recording_id", "frame_idx", r6("t", "t"), r6("score", "score"))
+
+
 HELD = 40
 #: Samples of events as SQL: each value, centred, held for 40 samples.
 SAMPLES = FRAMES + """, held AS (SELECT recording_id, (frame_idx * 40 + i)::BIGINT AS sample_idx, value / 500 - 0.5 AS x, value FROM frames, range(40) g(i))"""
@@ -488,7 +509,7 @@ def _blocks(spark: SparkSession, sf_dir: str, shape=lambda v: v / 500 - 0.5) ->
     rows = frames(spark, sf_dir).select("recording_id", "frame_idx", shape(F.col("value")).alias("value"))
     at = F.floor(F.col("frame_idx") * HELD / HELD_BLOCK).cast("int").alias("block_idx")
     held = F.flatten(F.transform("r.value", lambda v: F.array_repeat(v, HELD)))
-    grouped = rows.groupBy("recording_id", at).agg(F.sort_array(F.collect_list(F.struct("frame_idx", "value"))).alias("r"))
+    grouped = dealt(rows.select("*", at), "recording_id", "block_idx").groupBy("recording_id", "block_idx").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "value"))).alias("r"))
     return grouped.select("recording_id", "block_idx", (F.col("block_idx").cast("long") * HELD_BLOCK).alias("start_sample"), held.alias("samples"))
 
 
@@ -653,6 +674,13 @@ def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples_of(signal_blocks.post_process(_blocks(spark, sf_dir), HELD_BLOCK))
 
 
+@query()
+def accelerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan on held values, twice as fast."""
+    out = accelerate(_blocks(spark, sf_dir), 2.0, HELD_BLOCK)
+    return _samples_of(out)
+
+
 @query()
 def spectral_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples_of(signal_blocks.spectral_gate(_blocks(spark, sf_dir), HELD_BLOCK))
