@@ -52,13 +52,19 @@ def resample_importance(scores: DataFrame, resolution: float) -> DataFrame:
     return interpolate_at(scores, grid)
 
 
-def index_interpolate(frames: DataFrame, sources: DataFrame, vector: str = "mel") -> DataFrame:
+def index_interpolate(frames: DataFrame, sources: DataFrame, vector: str = "mel", extrapolate: bool = False) -> DataFrame:
     """Vectors at fractional frame indices.
 
     ``sources`` has recording_id, frame_idx and src; the two equi-joins fetch
-    the frames at floor(src) and the one after (the last frame at the end).
+    the frames at floor(src) and the one after (the last frame at the end).  A
+    source before the first frame or after the last has no vector, or with
+    ``extrapolate`` one on the line through the two frames nearest to it.
     """
     low = F.floor("src").cast("int")
+    if extrapolate:
+        sizes = frames.groupBy("recording_id").agg(F.max("frame_idx").alias("_last"))
+        sources = sources.join(sizes, "recording_id")
+        low = F.greatest(F.lit(0), F.least(low, F.col("_last") - 1)).cast("int")
     own = frames.select("recording_id", F.col("frame_idx").alias("_i"), F.col(vector).alias("_x"))
     want = sources.withColumn("_low", low).withColumn("_part", F.col("src") - low)
     got = want.join(own.withColumnRenamed("_i", "_low").withColumnRenamed("_x", "_a"), ["recording_id", "_low"])

@@ -60,6 +60,17 @@ def test_interpolation_equals_numpy(spark):
     assert np.allclose([found[1, i] for i in range(100)], np.interp(q, t, v)) and found[2, 0] is None
 
 
+def test_index_interpolation_goes_on_beyond_the_ends(spark):
+    frames = spark.createDataFrame([(1, i, [float(i * i), -2.0 * i]) for i in range(4)] + [(2, 0, [5.0, 1.0])], "recording_id int, frame_idx int, mel array<double>")
+    at = [-1.0, -0.5, 0.0, 1.5, 3.0, 3.5, 5.0]
+    sources = spark.createDataFrame([(k, i, s) for k in (1, 2) for i, s in enumerate(at)], "recording_id int, frame_idx int, src double")
+    found = {(r.recording_id, r.src): r.mel for r in joins.index_interpolate(frames, sources, extrapolate=True).collect()}
+    assert [found[1, s] for s in at] == [[-1, 2], [-0.5, 1], [0, 0], [2.5, -3], [9, -6], [11.5, -7], [19, -10]]
+    assert all(found[2, s] == [5, 1] for s in at)
+    inside = {(r.recording_id, r.src) for r in joins.index_interpolate(frames, sources).collect()}
+    assert inside == {(1, 0.0), (1, 1.5), (1, 3.0), (1, 3.5), (2, 0.0)}
+
+
 def test_intervals_later_wins_and_empty_is_silence(spark):
     segments = spark.createDataFrame([(1, 0, "t", 0.0, 0.1), (1, 1, "a", 0.1, 1.0), (1, 2, "?", 0.5, 0.5)], "recording_id int, seq int, label string, start double, end double")
     durations = spark.createDataFrame([(1, 1.0), (2, 0.1)], "recording_id int, duration double")
