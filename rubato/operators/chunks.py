@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import dealt, written
+from ..scratch import dealt
 from .joins import interpolate_at
 from .signal import array_column, array_values, convolve, declick, room_response
 
@@ -334,6 +334,7 @@ def room_blocks(blocks: DataFrame, block: int, sample_rate: int = 24_000, rt60_m
         wet = convolve(x, response)[a:]
         return wet, float(np.abs(x[a:]).max(initial=0)), float(np.abs(wet).max(initial=0))
 
-    wet = written(over_blocks(blocks, len(response) - 1, 0, step, "samples array<double>, dry double, wet double"), "room")
+    # twice in a plan, but after one shuffle that both share
+    wet = over_blocks(blocks, len(response) - 1, 0, step, "samples array<double>, dry double, wet double")
     gains = wet.groupBy("recording_id").agg(((F.max("dry") + 1e-10) / (F.max("wet") + 1e-10)).alias("gain"))
     return wet.join(gains, "recording_id").select("recording_id", "block_idx", "start_sample", F.transform("samples", lambda v: v * F.col("gain")).alias("samples"))

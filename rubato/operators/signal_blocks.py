@@ -356,9 +356,12 @@ def ringing(a1: float, a2: float) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
-def dithered(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_RATE, level_db: float = -60) -> DataFrame:
-    """``signal.warm_dither``: low-passed noise, seeded by the number of samples, at ``level_db``."""
-    sizes = blocks.groupBy("recording_id").agg(F.sum(F.size("samples")).alias("n_samples"))
+def dithered(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_RATE, level_db: float = -60, like: DataFrame | None = None) -> DataFrame:
+    """``signal.warm_dither``: low-passed noise, seeded by the number of samples, at ``level_db``.
+
+    ``like`` are blocks of the same sizes that are cheaper to have.
+    """
+    sizes = (blocks if like is None else like).groupBy("recording_id").agg(F.sum(F.size("samples")).alias("n_samples"))
     noise = noise_blocks(sizes, block, sample_rate)
     own = noise.groupBy("recording_id").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("square").alias("q"))
     mean = F.col("t") / F.col("n")
@@ -372,13 +375,12 @@ def post_process(
     threshold: float = 5, rt60_ms: float = 80, level_db: float = -60,
 ) -> DataFrame:
     """``signal.post_process``: clicks turned down, a short room, and warm noise, each if wanted."""
+    raw = blocks
     if clicks:
         blocks = declick_blocks(blocks, block, sample_rate, threshold)
     if with_room:
         blocks = room_blocks(blocks, block, sample_rate, rt60_ms)
-    elif clicks and dither:
-        blocks = written(blocks, "declicked")
-    return dithered(blocks, block, sample_rate, level_db) if dither else blocks
+    return dithered(blocks, block, sample_rate, level_db, raw) if dither else blocks
 
 
 def soft_clip(blocks: DataFrame, targets: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from .functions import scalars as s
 from .operators import chunks, evaluation, frame_blocks, importance, joins, rates, recurrences, schedules, signal, signal_blocks, stretch
 from .operators import windows as w
 from .plans.analysis import accelerate, analyse, held_up, scored_events
-from .scratch import dealt
+from .scratch import dealt, written
 from .sources import audio
 from .sources.audio import analysis_documents
 from .streaming.tumbling import tumbling_energy
@@ -513,6 +513,11 @@ def _blocks(spark: SparkSession, sf_dir: str, shape=lambda v: v / 500 - 0.5) ->
     return grouped.select("recording_id", "block_idx", (F.col("block_idx").cast("long") * HELD_BLOCK).alias("start_sample"), held.alias("samples"))
 
 
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table of recordings, for queries that read them in several passes."""
+    return written(_blocks(spark, sf_dir), "recordings")
+
+
 def _samples_of(blocks: DataFrame) -> DataFrame:
     return chunks.samples_of(blocks).withColumn("value", F.round("value", 6) + 0.0)  # no negative zeros
 
@@ -671,19 +676,19 @@ def training_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples_of(signal_blocks.post_process(_blocks(spark, sf_dir), HELD_BLOCK))
+    return _samples_of(signal_blocks.post_process(_recordings(spark, sf_dir), HELD_BLOCK))
 
 
 @query()
 def accelerated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan on held values, twice as fast."""
-    out = accelerate(_blocks(spark, sf_dir), 2.0, HELD_BLOCK)
+    out = accelerate(_recordings(spark, sf_dir), 2.0, HELD_BLOCK)
     return _samples_of(out)
 
 
 @query()
 def spectral_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples_of(signal_blocks.spectral_gate(_blocks(spark, sf_dir), HELD_BLOCK))
+    return _samples_of(signal_blocks.spectral_gate(_recordings(spark, sf_dir), HELD_BLOCK))
 
 
 @query()

@@ -57,7 +57,7 @@ def write(spark, source: str, rows: list[tuple], at: int) -> None:
 
 def test_one_recording_part_by_part(spark):
     rng = np.random.default_rng(2)
-    for _ in range(20):
+    for _ in range(6):
         rows = some_parts(rng, 1, int(rng.integers(1, 12)))
         merger, found = Merger(6), {}
         for _, _, samples, a, z, _ in rows:
