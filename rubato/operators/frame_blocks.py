@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.kernels import gaussian_weights
+from ..scratch import dealt
 from .signal import array_column, array_values
 
 BLOCK_FRAMES = 4096
@@ -167,7 +168,7 @@ def blocks_of_frames(frames: DataFrame, columns: list[str], before: int, after:
 
     A column of arrays becomes one array, a frame's after another's.
     """
-    rows = lent(frames.select("recording_id", "frame_idx", *columns), before, after, block)
+    rows = dealt(lent(frames.select("recording_id", "frame_idx", *columns), before, after, block), "recording_id", "block_idx")
     order = F.sort_array(F.collect_list(F.struct("frame_idx", *columns)))
     values = lambda c: F.transform(F.flatten(f"r.{c}") if isinstance(frames.schema[c].dataType, ArrayType) else f"r.{c}", lambda v: v.cast("double"))
     grouped = rows.groupBy("recording_id", "block_idx").agg(order.alias("r"), F.count_if("_own").alias("n")).where("n > 0")

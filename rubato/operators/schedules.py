@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAX_RATE, MIN_RATE
-from ..scratch import written
+from ..scratch import dealt, written
 from .frame_blocks import BLOCK_FRAMES, Block, blocks_of_frames, map_frame_blocks
 from .rates import check_speed
 from .signal import array_values
@@ -79,7 +79,7 @@ def bucketed(blocks: DataFrame) -> DataFrame:
     parts = blocks.select("recording_id", "x", "dt", "t").mapInArrow(run, f"recording_id {kind}, bucket long, d double, g double, last double")
     sums = parts.groupBy("recording_id", "bucket").agg(F.sum("d").alias("d"), F.sum("g").alias("g"), F.max("last").alias("last"))
     rows = F.sort_array(F.collect_list(F.struct("bucket", "d", "g")))
-    return sums.groupBy("recording_id").agg(rows.alias("r"), F.max("last").alias("last")).select("recording_id", F.col("r.d").alias("d"), F.col("r.g").alias("g"), "last")
+    return dealt(sums, "recording_id").groupBy("recording_id").agg(rows.alias("r"), F.max("last").alias("last")).select("recording_id", F.col("r.d").alias("d"), F.col("r.g").alias("g"), "last")
 
 
 def clamps(sums: DataFrame, speed: float, find, schema: str) -> DataFrame:
