@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import dealt
+from ..scratch import by_key, dealt
 from .joins import interpolate_at
 from .signal import array_column, array_values, convolve, declick, room_response
 
@@ -48,7 +48,7 @@ def points_in_chunks(chunks: DataFrame, rates: DataFrame, sample_rate: float, ch
     near = chunks.withColumn("_cell", F.explode(F.sequence(cell(F.col("start_sample")) - 1, cell(F.col("end_sample")) + 1)))
     points = rates.select("recording_id", "t", "rate", cell(F.col("t") * sample_rate).alias("_cell"))
     start, end = F.col("start_sample") / sample_rate, F.col("end_sample") / sample_rate
-    met = near.join(points, ["recording_id", "_cell"]).where((F.col("t") >= start) & (F.col("t") <= end))
+    met = by_key(near).join(points, ["recording_id", "_cell"]).where((F.col("t") >= start) & (F.col("t") <= end))
     return met.select("recording_id", "index", (F.col("t") - start).alias("t"), "rate")
 
 

@@ -29,6 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df``, dealt out by key in the join that it goes into, whatever Spark takes its size for.
+
+    Rows that an explode or a Python stage makes of a small table count as
+    little as that table in Spark's estimate; it would send them whole through
+    the driver.
+    """
+    return df.hint("merge")
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` by ``keys`` over as many partitions as the session shuffles to.
 

@@ -514,3 +514,18 @@ def test_sliding_stream_gives_the_batch_result(spark, small_dir):
 def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'rate_schedule' in q"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=False).returncode == 0
+
+
+def broadcasts(df) -> list[str]:
+    """Nodes of the plan as executed that send a table through the driver."""
+    df.collect()
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "BroadcastExchange" in line]
+
+
+def test_exploded_chunks_are_not_sent_through_the_driver(spark):
+    """Chunks, their cells and the ends of empty ones grow with the recordings' lengths, however few the recordings are."""
+    recordings = spark.createDataFrame([(r, 1000) for r in range(20)], "recording_id long, n_samples long")
+    sizes = recordings.groupBy("recording_id").agg(F.max("n_samples").alias("n_samples"))
+    points = spark.createDataFrame([(r, i * 0.7, 1.0 + i % 3) for r in range(20) for i in range(60)], "recording_id long, t double, rate double")
+    plan = chunks.plan_chunks(sizes, 10, 2)
+    assert not broadcasts(chunks.points_in_chunks(plan, points, 10.0, 10))
