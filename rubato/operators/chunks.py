@@ -55,12 +55,12 @@ def points_in_chunks(chunks: DataFrame, rates: DataFrame, sample_rate: float, ch
 def rates_in_chunks(chunks: DataFrame, rates: DataFrame, sample_rate: float, chunk: int) -> DataFrame:
     """Rate curve of every chunk: its points, or where it has none the rate at its middle, at 0 and at its length."""
     met = points_in_chunks(chunks, rates, sample_rate, chunk)
-    empty = chunks.join(met.select("recording_id", "index").distinct(), ["recording_id", "index"], "left_anti")
+    empty = chunks.join(by_key(met.select("recording_id", "index").distinct()), ["recording_id", "index"], "left_anti")
     start, end = F.col("start_sample") / sample_rate, F.col("end_sample") / sample_rate
     middles = empty.select("recording_id", F.col("index").alias("frame_idx"), ((start + end) / 2).alias("t"))
     found = interpolate_at(rates, middles, "rate").select("recording_id", F.col("frame_idx").alias("index"), "rate")
     ends = empty.select("recording_id", "index", F.explode(F.array(F.lit(0.0), end - start)).alias("t"))
-    return met.unionByName(ends.join(found, ["recording_id", "index"]))
+    return met.unionByName(by_key(ends).join(by_key(found), ["recording_id", "index"]))
 
 
 def overlap_add(frames: DataFrame, hop: int, window: Column | None = None) -> DataFrame:

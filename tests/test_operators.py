@@ -529,3 +529,6 @@ def test_exploded_chunks_are_not_sent_through_the_driver(spark):
     points = spark.createDataFrame([(r, i * 0.7, 1.0 + i % 3) for r in range(20) for i in range(60)], "recording_id long, t double, rate double")
     plan = chunks.plan_chunks(sizes, 10, 2)
     assert not broadcasts(chunks.points_in_chunks(plan, points, 10.0, 10))
+    found = chunks.rates_in_chunks(plan, points, 10.0, 10)
+    assert not broadcasts(found)
+    assert found.select("recording_id", "index").distinct().count() == plan.count() == 2000
