@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -301,28 +302,59 @@ def spectral_click_counts(blocks: DataFrame, block: int, sample_rate: int = SAMP
     return ids.join(counted, "recording_id", "left").select("recording_id", F.when(F.col("n") >= 5, F.col("c")).otherwise(0).cast("long").alias("n_clicks"))
 
 
-def noise_blocks(sizes: DataFrame, block: int, sample_rate: int = SAMPLE_RATE) -> DataFrame:
-    """(recording_id, block_idx, noise, n, total, square): ``signal.warm_noise`` of (recording_id, n_samples), a row a block.
+def noise_states(lengths: DataFrame, block: int, sample_rate: int = SAMPLE_RATE) -> DataFrame:
+    """(n_samples, block_idx, state, n, total, square) of (n_samples): where the draws and filters of ``signal.warm_noise`` stand when a block begins, and its sums.
 
-    The draws of a recording come one after another, so a task makes all its
-    blocks, but holds one at a time.
+    Recordings of one length have the same noise, so its draws, which come one
+    after another, are made once a length.  A state takes 3 KB, null for the
+    first block; the block's own task draws its noise again from there.
     """
-    kind = sizes.schema["recording_id"].dataType.simpleString()
     sections = lowpass_sections(3, 1500 / (sample_rate / 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, n in enumerate(batch.column("n_samples").to_pylist()):
-                draws, states = np.random.RandomState(n % (1 << 32)), [np.zeros(2) for _ in sections]
-                for k, lo in enumerate(range(0, n, block)):
-                    x = draws.randn(min(block, n - lo))
-                    for s, section in enumerate(sections):
-                        x, states[s] = run_section(x, section, states[s])
-                    sums = [pa.array([v], t) for v, t in ((len(x), pa.int64()), (x.sum(), pa.float64()), ((x * x).sum(), pa.float64()))]
-                    yield pa.RecordBatch.from_arrays([batch.column("recording_id").slice(i, 1), pa.array([k], pa.int32()), array_column([x]), *sums], ["recording_id", "block_idx", "noise", "n", "total", "square"])
+            for n in batch.column("n_samples").to_pylist():
+                for rows in _some_at_a_time(states_of(n)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["n_samples", "block_idx", "state", "n", "total", "square"])
 
-    own = dealt(sizes.select("recording_id", F.col("n_samples").cast("long").alias("n_samples")), "recording_id")
-    return own.mapInArrow(run, f"recording_id {kind}, block_idx int, noise array<double>, n long, total double, square double")
+    def states_of(n: int) -> Iterator[tuple]:
+        draws, states = first_noise(n, len(sections))
+        for k, lo in enumerate(range(0, n, block)):
+            begun = packed_noise(draws, states) if k else None
+            x = noise_from(draws, states, sections, min(block, n - lo))
+            yield n, k, begun, len(x), x.sum(), (x * x).sum()
+
+    # lengths come from a grouping; one more key keeps the deal, which would pass for that grouping's and be put together
+    own = dealt(lengths.select(F.col("n_samples").cast("long").alias("n_samples")).withColumn("_deal", F.hash("n_samples")), "_deal", "n_samples").select("n_samples")
+    return own.mapInArrow(run, "n_samples long, block_idx int, state binary, n long, total double, square double")
+
+
+def _some_at_a_time(rows: Iterator[tuple], n: int = 256) -> Iterator[list[tuple]]:
+    while found := list(islice(rows, n)):
+        yield found
+
+
+def first_noise(n: int, sections: int) -> tuple[np.random.RandomState, list[np.ndarray]]:
+    return np.random.RandomState(n % (1 << 32)), [np.zeros(2) for _ in range(sections)]
+
+
+def noise_from(draws: np.random.RandomState, states: list[np.ndarray], sections: np.ndarray, n: int) -> np.ndarray:
+    """The next ``n`` values; ``draws`` and ``states`` go on."""
+    x = draws.randn(n)
+    for s, section in enumerate(sections):
+        x, states[s] = run_section(x, section, states[s])
+    return x
+
+
+def packed_noise(draws: np.random.RandomState, states: list[np.ndarray]) -> bytes:
+    _, keys, *rest = draws.get_state()
+    return keys.astype("<u4").tobytes() + np.array([*rest, *np.concatenate(states)], "<f8").tobytes()
+
+
+def unpacked_noise(state: bytes) -> tuple[np.random.RandomState, list[np.ndarray]]:
+    draws, rest = np.random.RandomState(0), np.frombuffer(state, "<f8", offset=624 * 4)
+    draws.set_state(("MT19937", np.frombuffer(state, "<u4", 624), int(rest[0]), int(rest[1]), float(rest[2])))
+    return draws, list(rest[3:].reshape(-1, 2))
 
 
 def run_section(x: np.ndarray, section: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,15 +391,23 @@ def ringing(a1: float, a2: float) -> np.ndarray:
 def dithered(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_RATE, level_db: float = -60, like: DataFrame | None = None) -> DataFrame:
     """``signal.warm_dither``: low-passed noise, seeded by the number of samples, at ``level_db``.
 
-    ``like`` are blocks of the same sizes that are cheaper to have.
+    ``like`` are blocks of the same sizes that are cheaper to have.  Noise is
+    made where it is added; what is joined is where it stands.
     """
-    sizes = (blocks if like is None else like).groupBy("recording_id").agg(F.sum(F.size("samples")).alias("n_samples"))
-    noise = noise_blocks(sizes, block, sample_rate)
-    own = noise.groupBy("recording_id").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("square").alias("q"))
+    sizes = written((blocks if like is None else like).groupBy("recording_id").agg(F.sum(F.size("samples")).alias("n_samples")), "sizes")
+    states = written(noise_states(sizes.select("n_samples").distinct(), block, sample_rate), "noise-states")
+    own = states.groupBy("n_samples").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("square").alias("q"))
     mean = F.col("t") / F.col("n")
     level = (F.lit(10 ** (level_db / 20)) / (F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)) + 1e-10)).alias("level")
-    met = blocks.withColumn("block_idx", F.col("block_idx").cast("int")).join(noise.select("recording_id", "block_idx", "noise"), ["recording_id", "block_idx"]).join(own.select("recording_id", level), "recording_id")
-    return met.select("recording_id", "block_idx", "start_sample", F.zip_with("samples", "noise", lambda x, v: x + v * F.col("level")).alias("samples"))
+    known = states.select("n_samples", "block_idx", "state").join(own.select("n_samples", level), "n_samples")
+    met = blocks.withColumn("block_idx", F.col("block_idx").cast("int")).join(sizes, "recording_id").join(known, ["n_samples", "block_idx"])
+    sections = lowpass_sections(3, 1500 / (sample_rate / 2))
+
+    def step(x: np.ndarray, a: int, z: int, start: int, n: int, state: bytes | None, level: float) -> tuple[np.ndarray]:
+        draws, states = first_noise(n, len(sections)) if state is None else unpacked_noise(state)
+        return (x + noise_from(draws, states, sections, len(x)) * level,)
+
+    return over_blocks(met, 0, 0, step, "samples array<double>", ("n_samples", "state", "level"))
 
 
 def post_process(

@@ -178,3 +178,18 @@ def test_a_recording_of_five_million_samples(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_noise_is_not_sent_through_the_driver(spark):
+    """Noise is as long as the recordings, however few they are; lengths that occur twice have it once."""
+    recordings = some((2400 * 3 + 5, 2400 * 3 + 5, 700, 700, 1))
+    blocks = blocks_of(spark, recordings, 2400)
+    found = sb.dithered(blocks, 2400)
+    assert {"noise", "state"}.isdisjoint(found.columns)
+    got = whole(found)
+    for k, x in recordings.items():
+        assert np.allclose(got[k], signal.warm_dither(x), atol=1e-12), k
+    lengths = spark.createDataFrame([(2400 * 3 + 5,), (700,)], "n_samples long")
+    states = sb.noise_states(lengths, 2400).collect()
+    assert sorted((r.n_samples, r.block_idx, r.state is None) for r in states) == [(700, 0, True), (7205, 0, True), (7205, 1, False), (7205, 2, False), (7205, 3, False)]
+    assert all(len(r.state) < 3000 for r in states if r.state)
