@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ from .common import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces kept in a worker's cache; beyond it the cache starts anew.
 CACHE_PIECES = 1 << 17
-#: Longest piece, in bytes, whose pairs are kept in a plain list.
+#: Longest piece, in bytes, that is merged side by side with others.
 SHORT_PIECE = 48
+ID = struct.Struct("<I")
 #: Code points looked at together; bounds memory.  A longer text is a group of its own.
 GROUP_CHARS = 1 << 18
 #: Rows of a batch whose texts are held as Python strings at a time.
@@ -156,20 +158,18 @@ class Encoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merge the pair of lowest rank, leftmost first, until none is left.
 
-        Short pieces keep their pairs in a list; longer ones in a heap over a
-        linked list, so that they cost n log n.
+        Pairs are kept in a heap over a linked list, so that a piece costs
+        n log n.
         """
         ranks = self.ranks
         if piece in ranks:
             return (ranks[piece],)
         n = len(piece)
-        if n <= SHORT_PIECE:
-            return self.merge_short(piece)
         ends = list(range(1, n + 1))  # end of the part that begins here
         prev = list(range(-1, n - 1))
         alive = [True] * n
@@ -197,33 +197,87 @@ class Encoder:
                     heapq.heappush(heap, (r, p, i, end))
         return tuple(ranks[piece[i : ends[i]]] for i in range(n) if alive[i])
 
-    def merge_short(self, piece: bytes) -> tuple[int, ...]:
-        get, none = self.ranks.get, 1 << 62
-        bounds = list(range(len(piece) + 1))
-        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-        while pairs:
-            best = min(pairs)
-            if best == none:
-                break
-            i = pairs.index(best)
-            del pairs[i], bounds[i + 1]
-            if i < len(pairs):
-                pairs[i] = get(piece[bounds[i] : bounds[i + 2]], none)
-            if i:
-                pairs[i - 1] = get(piece[bounds[i - 1] : bounds[i + 1]], none)
-        return tuple(self.ranks[piece[a:b]] for a, b in zip(bounds, bounds[1:], strict=False))
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def pair_ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs of tokens that make a token, as one number each and ascending, the ranks of what they make)."""
+        if not hasattr(self, "_pairs"):
+            get = self.ranks.get
+            found = [(get(t[:i]), get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
+            known = np.array([(a << 32 | b, r) for a, b, r in found if a is not None and b is not None], np.int64).reshape(-1, 2)
+            self._pairs = tuple(np.ascontiguousarray(c) for c in known[np.argsort(known[:, 0])].T)
+        return self._pairs
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """``merge`` of many short pieces side by side, as packed ids: a round merges one pair of each piece that has one."""
+        codes, ranks = self.pair_ranks()
+        none = np.int64(1 << 62)
+
+        def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            wanted = left << 32 | right
+            at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+            return np.where(codes[at] == wanted, ranks[at], none)
+
+        of_byte = np.array([self.ranks[bytes([c])] for c in range(256)], np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        s, owner = of_byte[np.frombuffer(b"".join(pieces), np.uint8)], np.repeat(np.arange(len(pieces)), sizes)
+        pairs = np.full(len(s), none)  # rank of what a symbol and the next one of its piece make
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs[inner] = rank(s[inner], s[inner + 1])
+        done = []
+        while len(s):
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best, lengths = np.minimum.reduceat(pairs, starts), np.diff(np.r_[starts, len(s)])
+            over = best == none
+            if over.any():
+                ended = np.repeat(over, lengths)
+                done.append((owner[ended], s[ended]))
+                s, owner, pairs, best, lengths = s[~ended], owner[~ended], pairs[~ended], best[~over], lengths[~over]
+                if not len(s):
+                    break
+            hit = np.flatnonzero(pairs == np.repeat(best, lengths))
+            hit = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]  # the leftmost of each piece
+            s[hit] = best
+            stays = np.ones(len(s), bool)
+            stays[hit + 1] = False
+            s, owner, pairs = s[stays], owner[stays], pairs[stays]
+            at = hit - np.arange(len(hit))
+            pairs[at] = none
+            followed = at[(at + 1 < len(s)) & (owner[np.minimum(at + 1, len(s) - 1)] == owner[at])]
+            pairs[followed] = rank(s[followed], s[followed + 1])
+            led = at[(at > 0) & (owner[at - 1] == owner[at])]
+            pairs[led - 1] = rank(s[led - 1], s[led])
+        if not done:
+            return []
+        owner, s = (np.concatenate(x) for x in zip(*done, strict=True))
+        packed = s[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(owner, minlength=len(pieces))) * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Put new pieces into the cache."""
+        cache, get, pack = self.cache, self.ranks.get, ID.pack
+        short = []
+        for p in pieces:
+            whole = get(p)
+            if whole is not None:
+                cache[p] = pack(whole)
+            elif len(p) <= SHORT_PIECE:
+                short.append(p)
+            else:
+                cache[p] = np.array(self.merge(p), "<u4").tobytes()
+        cache.update(zip(short, self.merge_many(short), strict=True))
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, where each piece's begin and the last ends); the cache is asked once for each distinct piece."""
         cache = self.cache
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        out = []
-        for p in pieces:
-            ids = cache.get(p)
-            if ids is None:
-                ids = cache[p] = self.merge(p)
-            out.append(ids)
-        return out
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn([p for p in distinct if p not in cache])
+        found = pa.array(map(cache.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+        _, offsets, values = found.buffers()
+        at = np.frombuffer(offsets, np.int64, len(found) + 1) // 4
+        return np.frombuffer(values, "<u4", int(at[-1])), at
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, byte offset at which each token begins) of every text."""
@@ -236,13 +290,14 @@ class Encoder:
         starts = piece_starts(points, first)
         raw = "".join(texts).encode()
         cuts = at_byte[starts]
-        ends = np.r_[cuts[1:], len(raw)] if len(cuts) else cuts
-        encoded = self.encode_pieces([raw[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)])
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(counts.sum()))
+        if not len(cuts):
+            return [(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * len(texts)
+        bounds = np.append(cuts, len(raw)).astype(np.int64)  # a piece ends where the next begins
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+        ids, at_piece = self.encode_pieces(pieces)
         sizes = self.sizes()[ids] if len(ids) else np.zeros(0, np.int64)
         offsets = np.cumsum(sizes) - sizes
-        upto = np.r_[0, np.cumsum(counts)][np.r_[np.searchsorted(starts, first), len(starts)]]
+        upto = at_piece[np.r_[np.searchsorted(starts, first), len(starts)]]
         bytes_before = at_byte[first]
         return [(ids[a:b], offsets[a:b] - o) for a, b, o in zip(upto[:-1].tolist(), upto[1:].tolist(), bytes_before.tolist(), strict=True)]
 
@@ -256,6 +311,18 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_all(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """(bytes of all ``ids`` in a row, where each one's begin and the last ends)."""
+        if not len(ids):
+            return memoryview(b""), np.zeros(1, np.int64)
+        if not hasattr(self, "_table"):
+            self._table = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_binary())
+        found = self._table.take(pa.array(ids))
+        if found.null_count:
+            raise KeyError("an id without a token")
+        _, offsets, values = found.buffers()
+        return memoryview(values), np.frombuffer(offsets, np.int64, len(found) + 1)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -304,12 +371,14 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str
     for batch in batches:
         column = batch.column("ids")
         bounds, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        base = int(bounds[0])
+        text, at = enc.decode_all(values[base : bounds[-1]])
         n, of_ids, of_bytes = [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             ids = values[a:b]
             n.append(b - a)
             of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            of_bytes.append(hashlib.sha256(enc.decode(ids.tolist())).hexdigest())
+            of_bytes.append(hashlib.sha256(text[at[a - base] : at[b - base]]).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
             [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -62,3 +62,15 @@ def test_query_and_awkward_rows(spark, small_dir, awkward, no_rows, library):
     assert len(rows) == awkward.count()
     check(rows, [r.text for r in rows], library)
     assert byte_bpe.decoded_digests(byte_bpe.encode_documents(no_rows)).count() == 0
+
+
+def test_short_pieces_are_merged_side_by_side():
+    """Many pieces at once give what each gives alone, and no piece is merged by a Python loop of its own."""
+    enc = byte_bpe.encoder(public_tokenizers.path(byte_bpe.VOCABULARY))
+    rng = np.random.default_rng(4)
+    pieces = [bytes(rng.integers(97, 103, n).astype(np.uint8)) for n in rng.integers(1, 49, 500)] + [b"\xff\xfe", b"a", " größe".encode(), b"aaaaaaaaaaaaaaaa"]
+    found = [tuple(np.frombuffer(x, "<u4").tolist()) for x in enc.merge_many(pieces)]
+    assert [(enc.ranks[p],) if p in enc.ranks else ids for p, ids in zip(pieces, found, strict=True)] == [enc.merge(p) for p in pieces]
+    assert enc.merge_many([]) == []
+    text, at = enc.decode_all(np.array([i for ids in found for i in ids], np.uint32))
+    assert bytes(text[: at[-1]]) == b"".join(pieces)
