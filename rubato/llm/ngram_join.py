@@ -88,23 +88,29 @@ def part_keys(tokens: np.ndarray, least: Fraction) -> np.ndarray:
     return np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
 
 
-def set_prints(docs: DataFrame, keep: tuple[str, ...], width: int, least: Fraction, keys_of: Callable[[np.ndarray, Fraction], np.ndarray]) -> DataFrame:
-    """(doc_id, fp, n, k, keys) of every row and the columns ``keep``; fp is the hash of the whole set of n shingles, 0 of an empty one, k its class of sizes."""
+def set_prints(docs: DataFrame, keep: tuple[str, ...], width: int, least: Fraction, keys_of: Callable[[np.ndarray, Fraction], np.ndarray], sim_of: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """(doc_id, fp, n, k, keys) of every row and the columns ``keep``; fp is the hash of the whole set of n shingles, 0 of an empty one, k its class of sizes.
+
+    With ``sim_of`` there is a column sim, what it makes of the set.
+    """
+    named = ["doc_id", "fp", "n", "k", "keys", *(["sim"] if sim_of else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, sims = [], [], [], []
             for text in batch.column("text"):
                 found = shingle_set(text.as_py(), width)
                 fps.append(xxhash.xxh64_intdigest(found.tobytes()) if len(found) else 0)
                 sizes.append(len(found))
                 keys.append(keys_of(found, least))
+                if sim_of:
+                    sims.append(sim_of(found))
             ids, kept = batch.column("doc_id").cast(pa.int64()), [batch.column(k) for k in keep]
-            columns = [ids, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array([size_class(n, least) for n in sizes], pa.int32()), pa.array(keys, pa.list_(pa.int64())), *kept]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "k", "keys", *keep])
+            columns = [ids, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array([size_class(n, least) for n in sizes], pa.int32()), pa.array(keys, pa.list_(pa.int64())), *([pa.array(sims, pa.int64())] if sim_of else []), *kept]
+            yield pa.RecordBatch.from_arrays(columns, [*named, *keep])
 
     schema = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, fp long, n long, k int, keys array<long>{schema}")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, fp long, n long, k int, keys array<long>{', sim long' if sim_of else ''}{schema}")
 
 
 def combine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +159,16 @@ def lead_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
-def candidate_groups(prints: DataFrame) -> DataFrame:
-    """(node, component): the sets that share keys with others, and their group; from (fp, keys).
+def candidate_groups(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(node, component): the sets that share keys with others or are linked by ``more`` (u, v), and their group; from (fp, keys).
 
     A key that many rows have is combined before the shuffle, to a row for
     ``KEYS_AT_ONCE`` keys.
     """
     keys = prints.select("fp", "keys").mapInArrow(combine_keys, "key long, fp long, other long")
     dealt = keys.repartition(shuffle_partitions(prints.sparkSession), "key").sortWithinPartitions("key", "fp")
-    return connected_components(dealt.mapInArrow(lead_links, "u long, v long"))
+    links = dealt.mapInArrow(lead_links, "u long, v long")
+    return connected_components(links if more is None else links.unionByName(more))
 
 
 def sets_read_again(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -198,13 +205,14 @@ def sets_read_again(docs: DataFrame, members: DataFrame, width: int) -> DataFram
     return texts.mapInArrow(run, "group long, fp long, tokens array<long>")
 
 
-def jaccard_links(prints: DataFrame, docs: DataFrame, width: int, least: Fraction) -> DataFrame:
+def jaccard_links(prints: DataFrame, docs: DataFrame, width: int, least: Fraction, more: DataFrame | None = None) -> DataFrame:
     """(u, v): hashes of sets that are connected by pairs of similarity ``least`` or more, enough to connect all such.
 
     ``prints`` has fp, n, k, keys and _key, ``docs`` _key and text of the same
     rows; only one row of each set that shares keys with others is read again.
+    ``more`` (u, v) are further candidates.
     """
-    groups = candidate_groups(prints)
+    groups = candidate_groups(prints, more)
     one = prints.where("n > 0").groupBy("fp", "n", "k").agg(F.min("_key").alias("_key"))
     members = one.join(groups, one["fp"] == groups["node"]).select("_key", "fp", F.col("component").alias("group"), F.col("n").alias("size"), "k")
     members = materialise(members, "members")

@@ -133,9 +133,18 @@ def text_fingerprint(text: str | None) -> int:
         part = words[lo : min(n, lo + SHINGLE_BLOCK) + width - 1]
         shingles = zip(*(part[i:] for i in range(width)), strict=False)
         hashes = np.fromiter((digest(join(s), HASH_SEED) for s in shingles), np.uint64, len(part) - width + 1)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > n, bitorder="little")
-    return int(bits.view(np.int64)[0])
+        counts += bit_counts(hashes)
+    return majority(counts, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit ``hashes`` have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of ``n`` hashes have, as a signed 64-bit number."""
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -257,6 +266,13 @@ def emit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(keys, fps)
 
 
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """(u, v): links between fingerprints (fp) at most ``MAX_BITS`` apart, enough to connect all such."""
+    keyed = prints.select("fp").distinct().mapInArrow(emit_keys, "key long, fp long")
+    n = shuffle_partitions(prints.sparkSession)
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(emit_links, "u long, v long")
+
+
 def near_duplicate_components(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Add ``component_id`` to (doc_id, fp).
 
@@ -267,12 +283,7 @@ def near_duplicate_components(prints: DataFrame, links: DataFrame | None = None)
     doc_id is in its component like any other and never its smallest id, unless
     there is no other; then ``component_id`` is null.  Repeated rows all stay.
     """
-    spark = prints.sparkSession
-    if links is None:
-        keyed = prints.select("fp").distinct().mapInArrow(emit_keys, "key long, fp long")
-        n = shuffle_partitions(spark)
-        links = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(emit_links, "u long, v long")
-    classes = connected_components(links)
+    classes = connected_components(fingerprint_links(prints) if links is None else links)
     found = prints.join(classes, prints["fp"] == classes["node"], "left")
     found = materialise(found.select(*prints.columns, F.coalesce("component", "fp").alias("_class")), "classes")
     ids = materialise(found.groupBy("_class").agg(F.min("doc_id").alias("component_id")), "component-ids")

@@ -134,3 +134,19 @@ def test_hot_rows_and_ties(spark, small_dir, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     kept = sorted((r.doc_id, r.text, r.source) for r in corpus_pipeline.near_dedup_stage(spark, docs, small_dir).collect())
     assert kept == sorted([(7, rows[0][1], "s0")] + [(i + 10, t, "s") for i, t in enumerate(other)])
+
+
+def test_candidates_come_from_fingerprints(spark, small_dir, monkeypatch):
+    """Without bands, copies within 3 bits are still found, by Golay-code keys, and checked on the sets."""
+    monkeypatch.setattr(n, "band_keys", lambda shingles, least: np.zeros(0, np.int64))
+    rng = np.random.default_rng(5)
+    words = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    rows = {}
+    for i in range(30):
+        base = words(1500)
+        rows[2 * i], rows[2 * i + 1] = " ".join(base), " ".join([*base[:700], "changed", *base[701:]])
+    docs = spark.createDataFrame([(k, t) for k, t in rows.items()], "doc_id long, text string").repartition(3)
+    sims = {k: n.set_fingerprint(shingle_set(t, n.WORDS)) for k, t in rows.items()}
+    near = [i for i in range(30) if ((sims[2 * i] ^ sims[2 * i + 1]) & (1 << 64) - 1).bit_count() <= 3]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, small_dir).collect()}
+    assert len(near) > 20 and kept == set(rows) - {2 * i + 1 for i in near}
