@@ -23,9 +23,13 @@ def words_of(text: Column) -> Column:
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two arrays of words: their distinct words, of which a million fit, become characters."""
-    alphabet = F.array_distinct(F.concat(reference, hypothesis))
-    return F.levenshtein(as_symbols(reference, alphabet), as_symbols(hypothesis, alphabet))
+    """Edit distance of two arrays of words: their distinct words, of which a million fit, become characters.
+
+    The alphabet is bound as an element of an array; named in the inner lambdas
+    themselves, it would be made anew for every word.
+    """
+    alphabets = F.array(F.array_distinct(F.concat(reference, hypothesis)))
+    return F.get(F.transform(alphabets, lambda a: F.levenshtein(as_symbols(reference, a), as_symbols(hypothesis, a))), F.lit(0))
 
 
 def word_error_rates(pairs: DataFrame) -> DataFrame:

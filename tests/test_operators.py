@@ -202,6 +202,12 @@ def test_word_errors(spark):
         assert r.wer == (pytest.approx(brute_distance(ref, hyp) / len(ref)) if ref else None)
 
 
+def test_the_alphabet_of_a_pair_is_made_once_not_for_every_word(spark):
+    rows = spark.createDataFrame([(0, "a b", "a c")], "pair_id int, reference string, hypothesis string")
+    plan = evaluation.word_error_rates(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
+
+
 def test_expected_phase_advance_has_no_deviation(spark):
     step = 2 * np.pi * 256 / 1024
     rows = [(0, b, f, float(b * step * f), 1.0) for b in range(8) for f in range(5)]
