@@ -69,11 +69,14 @@ class WordEncoder:
         self.is_end = np.zeros(self.vocabulary, bool)
         self.is_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def learn(self, words: set[bytes]) -> None:
-        """Put new words and their parts into the cache."""
+    def learn(self, words: list[bytes]) -> None:
+        """Put new words, each given once, and their parts into the cache."""
         cache, cut_at = self.cache, self.WORD_AND_TAIL.fullmatch
         plain, others, cut = [], set(), []
         for w in words:
+            if w.isalpha() and w.islower():  # ASCII letters, which need no expression
+                plain.append(w)
+                continue
             m = cut_at(w)
             if m is None or b"<|" in m[2]:
                 others.add(w)
@@ -111,10 +114,14 @@ class WordEncoder:
         if not len(coded):
             return [np.zeros(0, "<u4")] * len(texts)
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        new = set(distinct).difference(self.cache)
-        if new:
+        known = list(map(self.cache.get, distinct))
+        missing = [i for i, ids in enumerate(known) if ids is None]
+        if missing:
+            new = [distinct[i] for i in missing]
             self.learn(new)
-        found = pa.array(map(self.cache.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+            for i, w in zip(missing, new, strict=True):
+                known[i] = self.cache[w]
+        found = pa.array(known, pa.large_binary()).take(coded.indices)
         _, offsets, values = found.buffers()
         at = np.frombuffer(offsets, np.int64, len(found) + 1) // 4
         ids = np.frombuffer(values, "<u4", int(at[-1]))
@@ -190,18 +197,21 @@ class Grammar:
                 break
             older = len(lengths) if whole else older
             a, b = (chosen >> kind(half)).astype(np.uint32), (chosen & kind((1 << half) - 1)).astype(np.uint32)
-            begins, goes_on = np.zeros(len(lengths), bool), np.zeros(len(lengths), bool)
-            begins[a], goes_on[b] = True, True
-            maybe = np.flatnonzero(begins[s[at]] & goes_on[s[at + 1]])
-            which = np.minimum(np.searchsorted(chosen, codes[maybe]), len(chosen) - 1)
-            same = chosen[which] == codes[maybe]
-            hit, which = at[maybe[same]], which[same]
+            # the chosen pairs' symbols are numbered on either side from 1, so that a small table tells a pair's number
+            (of_a, rows), (of_b, columns) = (np.unique(x, return_inverse=True) for x in (a, b))
+            row, column = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
+            row[of_a], column[of_b] = np.arange(1, len(of_a) + 1), np.arange(1, len(of_b) + 1)
+            number = np.full((len(of_a) + 1) * (len(of_b) + 1), -1, np.int16)
+            number[(rows + 1) * (len(of_b) + 1) + columns + 1] = np.arange(len(chosen))
+            which = number[row[s[at]] * np.int32(len(of_b) + 1) + column[s[at + 1]]]
+            same = np.flatnonzero(which >= 0)
+            hit, which = at[same], which[same].astype(np.uint32)
             # of overlapping pairs in a row, every second one is replaced
             starts = np.r_[True, np.diff(hit) > 1]
             first = hit[np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))]
             take = (hit - first) % 2 == 0
             hit, which = hit[take], which[take]
-            s[hit] = len(lengths) + which
+            s[hit] = np.uint32(len(lengths)) + which
             last[hit] = last[hit + 1]
             keep = np.ones(len(s), bool)
             keep[hit + 1] = False

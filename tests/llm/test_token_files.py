@@ -94,3 +94,28 @@ def test_replacement_goes_on_until_no_pair_pays():
     upto = np.cumsum(np.r_[np.ones(49_408, np.int64), grammar.lengths][grammar.symbols])
     pairs = np.stack([grammar.symbols[:-1], grammar.symbols[1:]], 1)[~np.isin(upto[:-1], ends)]
     assert np.unique(pairs, axis=0, return_counts=True)[1].max() < token_files.LEAST_COUNT
+
+
+def test_words_of_ascii_letters_are_learnt_without_the_expression(library):
+    class Counted:
+        asked = 0
+
+        def fullmatch(self, word: bytes):
+            self.asked += 1
+            return token_files.WordEncoder.WORD_AND_TAIL.fullmatch(word)
+
+    encoder = token_files.WordEncoder(PATH)
+    encoder.WORD_AND_TAIL = Counted()
+    text = "plain Words of letters, été plain"
+    assert encoder.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert encoder.WORD_AND_TAIL.asked == 2  # "letters," and "été"
+
+
+def test_pairs_are_found_without_a_search(monkeypatch):
+    def search(*_):
+        raise AssertionError("a search for each pair")
+
+    monkeypatch.setattr(np, "searchsorted", search)
+    ids = np.tile(np.arange(50, dtype=np.uint32), 100)
+    grammar = Grammar.build(ids, np.array([len(ids)]), 49_408)
+    assert np.array_equal(grammar.expand(grammar.symbols), ids) and len(grammar.symbols) < 500
