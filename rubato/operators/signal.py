@@ -249,6 +249,16 @@ def warm_dither(x: np.ndarray, sample_rate: int = SAMPLE_RATE, level_db: float =
     return x + noise * (10 ** (level_db / 20) / (noise.std() + 1e-10)) if len(x) else x
 
 
+def soft_clip(x: np.ndarray, target: float) -> np.ndarray:
+    """Peaks above 0.8 tamed, the RMS brought to ``target``, the peak held at 0.99."""
+    size = np.abs(x)
+    peak = size.max(initial=0)
+    y = np.where(size > 0.8, np.sign(x) * (0.8 + np.tanh((size - 0.8) / (peak - 0.8 + 1e-10)) * 0.2), x) if peak > 0.8 else x
+    rms, high = float(np.sqrt((y * y).mean())) if len(y) else 0.0, np.abs(y).max(initial=0)
+    scale = target / rms if rms > 0 and target > 0 else 1.0
+    return y * (0.99 / high if high * scale > 0.99 else scale)
+
+
 def post_process(
     x: np.ndarray, sample_rate: int = SAMPLE_RATE, clicks: bool = True, with_room: bool = True, dither: bool = True,
     threshold: float = 5, rt60_ms: float = 80, level_db: float = -60,

@@ -70,8 +70,11 @@ def frames_within(x: np.ndarray, a: int, z: int, start: int, n_fft: int, hop: in
     return first, views[first * hop - half - base : last * hop - half - base + 1 : hop]
 
 
-def mel_frames(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_RATE, n_fft: int = N_FFT, hop: int = HOP, n_mels: int = N_MELS) -> DataFrame:
-    """(recording_id, frame_idx, mel): ``signal.extract_mel`` as a row a frame; ``block`` is at least half a window."""
+def mel_frames(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_RATE, n_fft: int = N_FFT, hop: int = HOP, n_mels: int = N_MELS, alone: bool = False) -> DataFrame:
+    """(recording_id, frame_idx, mel): ``signal.extract_mel`` as a row a frame; ``block`` is at least half a window.
+
+    ``alone``: every recording is one block, so none has neighbours to read from.
+    """
     check_block(block, n_fft // 2 + 1)
     filters, window = mel_filters(sample_rate, n_fft, n_mels).T, hann(n_fft)
 
@@ -80,7 +83,8 @@ def mel_frames(blocks: DataFrame, block: int, sample_rate: int = SAMPLE_RATE, n_
         mel = np.log(np.maximum(np.abs(np.fft.rfft(frames * window, axis=1)) @ filters, 1e-5))
         return first, len(frames), mel.ravel()
 
-    rows = over_blocks(blocks, n_fft // 2, n_fft // 2, step, "first long, n long, mel array<double>").where("n > 0")
+    halo = 0 if alone else n_fft // 2
+    rows = over_blocks(blocks, halo, halo, step, "first long, n long, mel array<double>").where("n > 0")
     i = F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i")
     return rows.select("recording_id", "first", "mel", i).select("recording_id", (F.col("first") + F.col("i")).cast("int").alias("frame_idx"), F.slice("mel", F.col("i") * n_mels + 1, n_mels).alias("mel"))
 
@@ -271,12 +275,16 @@ def gate_halo(deep: bool) -> int:
     return GATE_FFT + (GATE_REACH + 1 if deep else 1) * GATE_HOP
 
 
+def check_method(method: str | None) -> None:
+    if method not in (None, "none", "gate", "deep"):
+        raise ValueError(f"no such way to take off noise here: {method}")
+
+
 def denoise(blocks: DataFrame, block: int, method: str | None = "gate") -> DataFrame:
     """``gate``, ``deep`` or none; source separation needs a model that is not here."""
+    check_method(method)
     if method in (None, "none"):
         return blocks
-    if method not in ("gate", "deep"):
-        raise ValueError(f"no such way to take off noise here: {method}")
     return spectral_gate(blocks, block, deep=method == "deep")
 
 

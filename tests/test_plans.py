@@ -82,3 +82,32 @@ def test_soft_clip_and_even_blocks(spark):
     assert all(len(r.samples) == 1000 or r.start_sample + len(r.samples) == len(recordings[r.recording_id]) for r in even)
     joined = whole(chunks.even_blocks(pieces, 1000))
     assert all(np.array_equal(joined[k], x) for k, x in recordings.items())
+
+
+def test_recordings_of_one_block_need_no_halo(spark):
+    recordings = {k: np.sin(np.arange(n) / (9 + k)) * np.repeat(RNG.random(-(-n // 600)), 600)[:n] + RNG.normal(size=n) * 0.02 for k, n in enumerate((4000, 2667, 4799, 4800, 9001))}
+    found = whole(analysis.accelerate(blocks_of(spark, recordings), 2.0, BLOCK))
+    for k, x in recordings.items():
+        clean, duration = signal.spectral_gate(x), len(x) / 24_000
+        scores = mel_scores(spark, clean)
+        grid = np.linspace(0, duration, max(1, int(duration / 0.02)))
+        scores = signal.prosodic_modulation(np.interp(grid, np.linspace(0, duration, len(scores)), scores), grid, clean)
+        tilted = signal.match_tilt(clean, chunks.play_at_rates(clean, grid, rates.rate_schedule(scores, grid, 2.0), 24_000))
+        want = signal.post_process(signal.soft_clip(tilted, float(np.sqrt((x**2).mean()))))
+        assert len(found[k]) == len(want) and np.allclose(found[k], want, atol=1e-6), k
+    out = analysis.accelerate(blocks_of(spark, {k: recordings[k] for k in range(3)}), 2.0, BLOCK)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "first(samples" not in plan  # the edges that blocks lend
+
+
+def test_a_step_may_make_more_than_a_block(spark):
+    x = RNG.normal(size=3000)
+    out = analysis.accelerate(blocks_of(spark, {1: x}), 2.0, BLOCK, step=lambda x, t, r, sr: np.tile(x, 4), noise="none", uniform=True, declick=False, with_room=False, dither=False)
+    assert sorted((r.block_idx, r.start_sample, len(r.samples)) for r in out.collect()) == [(0, 0, 4800), (1, 4800, 4800), (2, 9600, 2400)]
+
+
+def test_soft_clip_of_a_recording_equals_that_of_its_block(spark):
+    recordings = {1: RNG.normal(size=900), 2: RNG.normal(size=500) * 0.1, 3: np.zeros(10)}
+    targets = spark.createDataFrame([(k, 0.2) for k in recordings], "recording_id long, target double")
+    found = whole(signal_blocks.soft_clip(blocks_of(spark, recordings), targets))
+    assert all(np.allclose(signal.soft_clip(x, 0.2), found[k]) for k, x in recordings.items())
