@@ -13,8 +13,19 @@ from rubato.llm import byte_bpe, mixing, near_copies, quality_classifier, qualit
 from rubato.llm.common import materialise, table
 
 
+#: Bytes of rows that go to a Python worker at a time.  By Spark's default of 64 MB, each of an executor's tasks holds such
+#: a batch in the JVM, doubled as it grows, and again in Python.
+BATCH_BYTES = "4m"
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of ``BATCH_BYTES``, from here on in this session, as results are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the certified quality rules reject go."""
+    in_small_batches(spark)
     return quality_rules.accepted_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -24,6 +35,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     The model is fitted on labelled rows of the whole documents table: what the
     rules left over holds too few bad documents to learn from.
     """
+    in_small_batches(spark)
     model = quality_classifier.fit_on(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_classifier.accepted_documents(docs, model)
 
@@ -34,6 +46,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near are texts whose sets of 5-word shingles have Jaccard similarity 0.8 or
     more; op10's setting (3 words, 3 bits) binds that query alone.
     """
+    in_small_batches(spark)
     return simhash.one_of_each_group(docs, near_copies.set_prints, near_copies.set_links)
 
 
@@ -44,6 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token ids; digests of the ids and of the decoded bytes go along."""
+    in_small_batches(spark)
     return byte_bpe.encoded_digests(docs, with_ids=True)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import column_of, sent_back, table
 
 PASSAGE_WORDS = 64
 BUCKETS = 1 << 12
@@ -274,8 +274,8 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(bags, targets)
 
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the score of every whole text.
+def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: tuple[str, ...] = ("text",)) -> DataFrame:
+    """The columns ``keep`` and the score of every whole text, which ``text`` names, within a struct too.
 
     Null and empty texts score as one passage without words.  Repeated rows
     score alike; other columns are ignored; an empty input gives no rows.
@@ -283,17 +283,17 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score_texts(model, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores, pa.float64())], [*keep, "score"])
+            scores = score_texts(model, column_of(batch, text).to_pylist())
+            yield from sent_back(pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores, pa.float64())], [*keep, "score"]))
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*dict.fromkeys([*keep, text[0]])).mapInArrow(run, f"{schema}, score double")
 
 
 def accepted_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score ``least`` or more."""
-    packed = docs.select(F.struct("*").alias("_doc"), "text")
-    return score_documents(packed, model, ("_doc",)).where(F.col("score") >= least).select("_doc.*")
+    packed = docs.select(F.struct("*").alias("_doc"))
+    return score_documents(packed, model, ("_doc",), ("_doc", "text")).where(F.col("score") >= least).select("_doc.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

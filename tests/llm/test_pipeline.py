@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
-from rubato.llm import byte_bpe, mixing, quality_classifier, quality_rules
+from rubato.llm import byte_bpe, common, mixing, quality_classifier, quality_rules
 
 from .test_mixing import brute_targets
 from .test_near_copies import brute_groups
@@ -54,3 +55,14 @@ def test_clean_documents_stay(spark):
     for _, stage in corpus_pipeline.STAGES[:2]:
         kept = stage(spark, docs, sf)
         assert kept.join(good, "doc_id").count() >= 0.95 * docs.join(good, "doc_id").count()
+
+
+def test_texts_go_to_python_once_and_come_back_in_slices(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        plan = stage(spark, docs, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+        sent = [line for line in plan.splitlines() if "MapInArrow" in line]
+        assert sent and all("text#" not in line for line in sent), name
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["i"])
+    parts = list(common.sent_back(batch))
+    assert [p.num_rows for p in parts] == [256, 256, 256, 232] and pa.concat_arrays([p["i"] for p in parts]).equals(batch["i"])
