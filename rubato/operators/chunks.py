@@ -264,7 +264,9 @@ def with_halo(blocks: DataFrame, before: int, after: int, keep: tuple[str, ...]
 
     doubles = blocks.withColumn("samples", F.transform("samples", lambda v: v.cast("double")))
     own = piece(i, **{c: F.col(c) for c in ("start_sample", "samples", *keep)})
-    lent = doubles.select("recording_id", F.explode(F.array(own, piece(i + 1, left=tail), piece(i - 1, right=head))).alias("p")).select("recording_id", "p.*")
+    # the first block has none before it; what is not lent is not made a row of
+    pieces = F.array(own, *[piece(i + 1, left=tail)] * (before > 0), *[F.when(i > 0, piece(i - 1, right=head))] * (after > 0))
+    lent = doubles.select("recording_id", F.explode(F.filter(pieces, lambda p: p.isNotNull())).alias("p")).select("recording_id", "p.*")
     one = [F.first(c, ignorenulls=True).alias(c) for c in names]
     return dealt(lent, "recording_id", "block_idx").groupBy("recording_id", "block_idx").agg(*one).where("samples is not null")
 

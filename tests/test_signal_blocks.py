@@ -193,3 +193,12 @@ def test_noise_is_not_sent_through_the_driver(spark):
     states = sb.noise_states(lengths, 2400).collect()
     assert sorted((r.n_samples, r.block_idx, r.state is None) for r in states) == [(700, 0, True), (7205, 0, True), (7205, 1, False), (7205, 2, False), (7205, 3, False)]
     assert all(len(r.state) < 3000 for r in states if r.state)
+
+
+def test_edges_are_lent_only_where_a_block_may_be(spark):
+    rows = [(k, b, b * 100, [float(b)] * 100) for k in range(3) for b in range(k + 1)]
+    blocks = spark.createDataFrame(rows, "recording_id long, block_idx int, start_sample long, samples array<double>")
+    plan = chunks.with_halo(blocks, 2, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "block_idx#" in plan and "> 0" in plan  # the first block lends nothing to one before it
+    found = {(r.recording_id, r.block_idx): (r.left, r.right) for r in chunks.with_halo(blocks, 2, 3).collect()}
+    assert found == {(k, b): ([b - 1.0] * 2 if b else None, [b + 1.0] * 3 if b < k else None) for k, b, *_ in rows}
